@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .packing import op5_best_fit_packing
 from .token_output import op1_token_output
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_output, op5_best_fit_packing, op8_benchmark_decontamination)}
+ORACLES: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL}
