@@ -4,12 +4,12 @@ Each block of ``BLOCK`` ids starts from a reset model, has its own words and crc
 be decoded alone with the frame's header. All blocks of a frame are coded in step, one numpy
 lane for each block.
 
-Model of a block. Order 0, 1 and 2 each predict one id: the entry for no context, for the
-last id, for the last two ids; an entry holds an id and a confidence of 0 to 3. Each order
-learns how often its predictions of each confidence come true. These rates are the weights
-of the mixture: order 2 takes its rate of the interval, order 1 its rate of what is left,
-order 0 its rate of that; orders that predict the same id pool their shares. The remainder
-is spread over all ids by the frame's id counts.
+Model of a block. Order 1 and order 2 each predict one id: the one that last followed the last
+id, or the last two; an entry holds an id and how often in a row it was right, 0 to 3. Each
+order learns how often its predictions of each such standing come true. These rates are the
+weights of the mixture: order 2 takes its rate of the interval, order 1 its rate of what is
+left, and where both predict the same id their shares are one. The remainder goes to order 0,
+which spreads it over all ids by the frame's id counts.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ BLOCK = 2048
 MAGIC = b"SKRC0001"
 HEAD = struct.Struct("<8sQIIIII")  # magic, ids, ids in a block, blocks, bytes of counts, of index, of documents
 WHOLE, SPREAD = 16, 19  # bits of the mixture's and of the spread's total
-TOP, LEAST = np.uint64(48), np.uint64(1 << 32)
-LOW48, LOW32 = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
-ONE_BITS, TWO_BITS = 10, 12
-START = np.array([[400, 3000, 6000, 9000], [600, 6000, 14000, 24000], [2000, 20000, 40000, 50000]], np.int64)
+# A lane's interval lies in 63 bits and is widened by a word while it is under 2**47.
+FULL, LEAST, BELOW = np.uint64((1 << 63) - 1), np.uint64(1 << 47), np.uint64((1 << 47) - 1)
+KEPT, WORD = np.uint64(47), np.uint64(16)
+ONE_BITS, TWO_BITS, FACTOR = 10, 12, np.uint32(2654435761)
+FEWEST, MOST = 64, 62000  # bounds of a rate, of 2**WHOLE
+START = np.array([[600, 6000, 14000, 24000], [2000, 20000, 40000, 50000]], np.int32)  # rates of order 1 and 2
 
 
 class BadBlock(ValueError):
@@ -50,124 +52,121 @@ class Model:
     """The adaptive state of all lanes. ``predict`` gives the mixture, ``learn`` takes the ids coded."""
 
     def __init__(self, lanes: int):
-        self.lane1 = np.arange(lanes, dtype=np.int64) << ONE_BITS
-        self.lane2 = np.arange(lanes, dtype=np.int64) << TWO_BITS
-        self.tables = [np.full(lanes, -4, np.int64), np.full(lanes << ONE_BITS, -4, np.int32), np.full(lanes << TWO_BITS, -4, np.int32)]
-        self.rates = [np.tile(x, lanes) for x in START]
-        self.rate_at = np.arange(lanes, dtype=np.int64) << 2
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-
-    def predict(self, n: int) -> list[np.ndarray]:
-        """Ids predicted by order 2, 1, 0 and their shares, for the first ``n`` lanes."""
-        a, b = self.last[:n], self.before[:n]
-        h1 = (a * 40503 >> 3) & ((1 << ONE_BITS) - 1)
-        h2 = (a * 2654435761 + b * 40503 >> 7) & ((1 << TWO_BITS) - 1)
-        self.at = [slice(0, n), self.lane1[:n] + h1, self.lane2[:n] + h2]
-        self.entry = [self.tables[0][:n].copy(), self.tables[1].take(self.at[1]).astype(np.int64), self.tables[2].take(self.at[2]).astype(np.int64)]
-        self.where = [self.rate_at[:n] + (e & 3) for e in self.entry]
-        self.rate = [r.take(w) for r, w in zip(self.rates, self.where)]
-        p0, p1, p2 = (e >> 2 for e in self.entry)
-        r0, r1, r2 = self.rate
-        left = (1 << WHOLE) - r2
-        m1 = left * r1 >> WHOLE
+        self.lane1 = np.arange(lanes, dtype=np.int32) << ONE_BITS
+        self.lane2 = np.arange(lanes, dtype=np.int32) << TWO_BITS
+        self.one, self.two = np.full(lanes << ONE_BITS, -4, np.int32), np.full(lanes << TWO_BITS, -4, np.int32)
+        self.rates1, self.rates2 = np.tile(START[0], lanes), np.tile(START[1], lanes)
+        self.rate_at = np.arange(lanes, dtype=np.int32) << 2
+        self.last = np.zeros(lanes, np.uint32)
+        self.mixed = np.zeros(lanes, np.uint32)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids predicted by order 2 and order 1, and the ends of their shares, for the first ``n`` lanes."""
+        h = self.last[:n] * FACTOR
+        both = (h + self.mixed[:n]) >> np.uint32(32 - TWO_BITS)
+        self.mixed[:n] = h >> np.uint32(7)
+        h >>= np.uint32(32 - ONE_BITS)
+        self.at1, self.at2 = self.lane1[:n] + h.view(np.int32), self.lane2[:n] + both.view(np.int32)
+        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.sure1, self.sure2 = self.e1 & 3, self.e2 & 3
+        self.where1, self.where2 = self.rate_at[:n] + self.sure1, self.rate_at[:n] + self.sure2
+        self.r1, self.r2 = self.rates1.take(self.where1), self.rates2.take(self.where2)
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        m1 = ((1 << WHOLE) - self.r2) * (self.r1 >> 1)
+        m1 >>= WHOLE - 1
         m1 += 1
-        left = left - m1
-        m0 = left * r0 >> WHOLE
-        m0 += 1
-        m2 = r2.copy()
-        pool = np.where(p1 == p2, m1 - 1, 0)
-        m2 += pool
-        m1 -= pool
-        pool = np.where(p0 == p2, m0 - 1, 0)
-        m2 += pool
-        m0 -= pool
-        pool = np.where(p0 == p1, m0 - 1, 0)
-        m1 += pool
-        m0 -= pool
-        return [p2, p1, p0, m2, m1, m0]
+        end1 = self.r2 + m1
+        m1 *= self.p1 == self.p2  # what order 1 would take goes to the same id of order 2
+        return self.p2, self.p1, np.minimum(self.r2 + m1, end1), end1
 
     def learn(self, ids: np.ndarray) -> None:
-        n = len(ids)
         fresh = ids << 2
-        for k in range(3):
-            e, r = self.entry[k], self.rate[k]
-            hit = (e >> 2) == ids
-            sure = e & 3
-            new = np.where(hit, e + (sure < 3), np.where(sure > 0, e - 1, fresh))
-            if k:
-                self.tables[k][self.at[k]] = new
-            else:
-                self.tables[0][:n] = new
-            r += ((hit.astype(np.int64) << WHOLE) - r) >> 5
-            np.clip(r, 64, 62000, out=r)
-            self.rates[k][self.where[k]] = r
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
+        for table, rates, at, e, sure, where, r, p in (
+            (self.one, self.rates1, self.at1, self.e1, self.sure1, self.where1, self.r1, self.p1),
+            (self.two, self.rates2, self.at2, self.e2, self.sure2, self.where2, self.r2, self.p2),
+        ):
+            hit = p == ids
+            e += sure < 3
+            table[at] = np.where(hit, e, fresh)
+            goal = hit * np.int32(MOST - FEWEST)
+            goal -= r
+            goal += FEWEST
+            goal >>= 5
+            r += goal
+            rates[where] = r
+        self.last[: len(ids)] = ids
 
 
 class Writer:
+    """The arithmetic coder of all lanes: ``low`` and ``range`` of 63 bits, words of 16."""
+
     def __init__(self, lanes: int, steps: int):
         self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, LOW48)
+        self.range = np.full(lanes, FULL)
         self.width = 4 * steps + 8
         self.words = np.zeros(lanes * self.width, np.uint16)
-        self.n = np.zeros(lanes, np.int64)
-
-    def code(self, at, cum: np.ndarray, share: np.ndarray, bits: int) -> None:
-        unit = self.range[at] >> np.uint64(bits)
-        self.low[at] += unit * cum.view(np.uint64)
-        self.range[at] = unit * share.view(np.uint64)
+        self.at = np.arange(lanes, dtype=np.int64) * self.width
 
     def settle(self) -> None:
         todo = np.flatnonzero(self.range < LEAST)
         while len(todo):
             low, size = self.low[todo], self.range[todo]
-            size = np.minimum(size, LEAST - (low & LOW32))
-            self.words[todo * self.width + self.n[todo]] = (low >> np.uint64(32)).astype(np.uint16)
-            self.n[todo] += 1
-            self.low[todo] = (low << np.uint64(16)) & LOW48
-            self.range[todo] = size = size << np.uint64(16)
+            size = np.minimum(size, LEAST - (low & BELOW))
+            at = self.at[todo]
+            self.words[at] = low >> KEPT
+            self.at[todo] = at + 1
+            self.low[todo] = (low & BELOW) << WORD
+            size <<= WORD
+            self.range[todo] = size
             todo = todo[size < LEAST]
 
     def finish(self) -> list[np.ndarray]:
-        for shift in (32, 16, 0):
-            self.words[np.arange(len(self.n)) * self.width + self.n] = (self.low >> np.uint64(shift)).astype(np.uint16)
-            self.n += 1
-        rows = self.words.reshape(len(self.n), self.width)
-        return [rows[i, :n] for i, n in enumerate(self.n.tolist())]
+        for shift in (47, 31, 15):
+            self.words[self.at] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
+            self.at += 1
+        self.words[self.at] = (self.low << np.uint64(1)) & np.uint64(0xFFFF)
+        self.at += 1
+        begin = np.arange(len(self.at)) * self.width
+        return [self.words[a:b] for a, b in zip(begin.tolist(), self.at.tolist())]
 
 
 def encode_ids(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
-    """The spread's ids and shares, each block's words and crc32."""
+    """The ids that occur and their shares, each block's words and crc32."""
     lanes = -(-len(ids) // block)
     found, share = spread(ids)
     size = int(found[-1]) + 1 if len(found) else 1
-    shares = np.zeros(size, np.int64)
+    shares, cums = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
     shares[found] = share
-    cums = np.zeros(size, np.int64)
     cums[found] = np.cumsum(share) - share
-    grid = np.zeros(lanes * block, np.uint32)
+    grid = np.zeros(lanes * block, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     tail = len(ids) - (lanes - 1) * block
     model, out = Model(lanes), Writer(lanes, min(block, len(ids)))
+    whole, fine = np.uint64(WHOLE), np.uint64(SPREAD)
     for t in range(min(block, len(ids))):
         n = lanes if t < tail else lanes - 1
-        x = grid[t, :n].astype(np.int64)
-        p2, p1, p0, m2, m1, m0 = model.predict(n)
-        c1 = m2 + m1
-        c0 = c1 + m0
-        is2, is1, is0 = x == p2, x == p1, x == p0
-        cum = np.where(is2, 0, np.where(is1, m2, np.where(is0, c1, c0)))
-        part = np.where(is2, m2, np.where(is1, m1, np.where(is0, m0, (1 << WHOLE) - c0)))
-        out.code(slice(0, n), cum, part, WHOLE)
-        out.settle()
-        rest = np.flatnonzero(~(is2 | is1 | is0))
+        x = grid[t, :n]
+        p2, p1, c2, c1 = model.predict(n)
+        is2, is1 = x == p2, x == p1
+        cum = np.where(is1, c2, c1)
+        cum[is2] = 0
+        part = np.where(is1, c1, 1 << WHOLE)
+        np.copyto(part, c2, where=is2)
+        part -= cum
+        unit = out.range[:n] >> whole
+        out.low[:n] += unit * cum.astype(np.uint64)
+        unit *= part.astype(np.uint64)
+        out.range[:n] = unit
+        is2 |= is1
+        rest = np.flatnonzero(~is2)
         if len(rest):
             y = x[rest]
-            out.code(rest, cums.take(y), shares.take(y), SPREAD)
-            out.settle()
+            unit = unit[rest] >> fine
+            out.low[rest] += unit * cums.take(y)
+            unit *= shares.take(y)
+            out.range[rest] = unit
+        out.settle()
         model.learn(x)
     crcs = [zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, len(ids), block)]
     return found, share, out.finish() if lanes else [], crcs
@@ -178,65 +177,68 @@ def decode_ids(n_ids: int, block: int, found: np.ndarray, share: np.ndarray, wor
     lanes = len(n_words)
     if not lanes:
         return np.zeros(0, np.uint32)
-    cums = np.cumsum(share) - share
+    cums = (np.cumsum(share) - share).astype(np.uint64)
     of = np.repeat(np.arange(len(found), dtype=np.int32), share)
-    found = found.astype(np.int64)
+    found, share = found.astype(np.int32), share.astype(np.uint64)
     words = np.concatenate([words, np.zeros(8, np.uint16)]).astype(np.uint64)
     at = np.cumsum(n_words) - n_words
     last = len(words) - 1
     low = np.zeros(lanes, np.uint64)
-    size = np.full(lanes, LOW48)
+    size = np.full(lanes, FULL)
     gap = np.zeros(lanes, np.uint64)  # the code's value less low
-    for _ in range(3):
-        gap = (gap << np.uint64(16)) | words[at]
-        at = at + 1
-
-    def settle() -> None:
-        todo = np.flatnonzero(size < LEAST)
-        while len(todo):
-            lo = low[todo]
-            s = np.minimum(size[todo], LEAST - (lo & LOW32))
-            low[todo] = (lo << np.uint64(16)) & LOW48
-            gap[todo] = ((gap[todo] << np.uint64(16)) | words[np.minimum(at[todo], last)]) & LOW48
-            at[todo] += 1
-            size[todo] = s = s << np.uint64(16)
-            todo = todo[s < LEAST]
-
+    for shift in (47, 31, 15):
+        gap |= words[at] << np.uint64(shift)
+        at += 1
+    # The code has 15 bits more than three words; they lead the fourth.
+    gap |= words[np.minimum(at, last)] >> np.uint64(1)
     tail = n_ids - (lanes - 1) * block
-    steps = min(block, n_ids)
-    grid = np.zeros((block, lanes), np.uint32)
+    grid = np.zeros((block, lanes), np.int32)
     model = Model(lanes)
-    top, spread_top = (1 << WHOLE) - 1, (1 << SPREAD) - 1
-    for t in range(steps):
+    top, spread_top = np.uint64((1 << WHOLE) - 1), np.uint64((1 << SPREAD) - 1)
+    whole, fine, one, low_bit = np.uint64(WHOLE), np.uint64(SPREAD), np.uint64(1), np.uint64(15)
+    for t in range(min(block, n_ids)):
         n = lanes if t < tail else lanes - 1
-        p2, p1, p0, m2, m1, m0 = model.predict(n)
-        c1 = m2 + m1
-        c0 = c1 + m0
-        unit = size[:n] >> np.uint64(WHOLE)
-        v = np.minimum((gap[:n] // unit).view(np.int64), top)
-        is2, in1, in0 = v < m2, v < c1, v < c0
-        cum = np.where(is2, 0, np.where(in1, m2, np.where(in0, c1, c0)))
-        part = np.where(is2, m2, np.where(in1, m1, np.where(in0, m0, (1 << WHOLE) - c0)))
-        x = np.where(is2, p2, np.where(in1, p1, p0))
-        step = unit * cum.view(np.uint64)
+        p2, p1, c2, c1 = model.predict(n)
+        unit = size[:n] >> whole
+        v = np.minimum(gap[:n] // unit, top).astype(np.int32)
+        is2, in1 = v < c2, v < c1
+        cum = np.where(in1, c2, c1)
+        cum[is2] = 0
+        part = np.where(in1, c1, 1 << WHOLE)
+        np.copyto(part, c2, where=is2)
+        part -= cum
+        x = np.where(is2, p2, p1)
+        step = unit * cum.astype(np.uint64)
         low[:n] += step
         gap[:n] -= step
-        size[:n] = unit * part.view(np.uint64)
-        settle()
-        rest = np.flatnonzero(~in0)
+        unit *= part.astype(np.uint64)
+        size[:n] = unit
+        rest = np.flatnonzero(~in1)
         if len(rest):
-            unit = size[rest] >> np.uint64(SPREAD)
-            v = np.minimum((gap[rest] // unit).view(np.int64), spread_top)
-            i = of.take(v)
-            step = unit * cums.take(i).view(np.uint64)
+            unit = unit[rest] >> fine
+            i = of.take(np.minimum(gap[rest] // unit, spread_top).view(np.int64))
+            step = unit * cums.take(i)
             low[rest] += step
             gap[rest] -= step
-            size[rest] = unit * share.take(i).view(np.uint64)
-            settle()
+            unit *= share.take(i)
+            size[rest] = unit
             x[rest] = found.take(i)
+        todo = np.flatnonzero(size < LEAST)
+        while len(todo):
+            lo = low[todo]
+            s = np.minimum(size[todo], LEAST - (lo & BELOW))
+            low[todo] = (lo & BELOW) << WORD
+            k = at[todo]
+            # 16 new bits: the last bit of the word begun before and 15 of the next.
+            new = ((words[np.minimum(k, last)] & one) << low_bit) | (words[np.minimum(k + 1, last)] >> one)
+            gap[todo] = (gap[todo] << WORD) | new
+            at[todo] = k + 1
+            s <<= WORD
+            size[todo] = s
+            todo = todo[s < LEAST]
         grid[t, :n] = x
         model.learn(x)
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n_ids]
+    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n_ids].view(np.uint32)
     for k, crc in enumerate(crcs.tolist()):
         if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != crc:
             raise BadBlock(f"block {k}")
