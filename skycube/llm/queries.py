@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
+from .fingerprint import op4_document_fingerprints
 from .packing import op5_best_fit_packing
+from .simhash import op10_simhash_near_dedup
 from .token_output import op1_token_output
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_best_fit_packing, op8_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_output,
+        op4_document_fingerprints,
+        op5_best_fit_packing,
+        op8_benchmark_decontamination,
+        op10_simhash_near_dedup,
+    )
+}
 ORACLES: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL}
