@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat_formatting
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .fingerprint import op4_document_fingerprints
 from .packing import op5_best_fit_packing
@@ -15,7 +16,8 @@ QUERIES = {
         op4_document_fingerprints,
         op5_best_fit_packing,
         op8_benchmark_decontamination,
+        op9_chat_formatting,
         op10_simhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL, "op9_chat_formatting": OP9_SQL}
