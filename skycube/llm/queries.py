@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP9_SQL, op9_chat_formatting
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .fingerprint import op4_document_fingerprints
+from .language import op2_language_id
 from .packing import op5_best_fit_packing
 from .simhash import op10_simhash_near_dedup
 from .token_output import op1_token_output
@@ -13,6 +14,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_output,
+        op2_language_id,
         op4_document_fingerprints,
         op5_best_fit_packing,
         op8_benchmark_decontamination,
