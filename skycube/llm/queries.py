@@ -7,6 +7,7 @@ from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .fingerprint import op4_document_fingerprints
 from .language import op2_language_id
 from .packing import op5_best_fit_packing
+from .secrets import OP3_SQL, op3_secret_scan
 from .simhash import op10_simhash_near_dedup
 from .token_output import op1_token_output
 
@@ -15,6 +16,7 @@ QUERIES = {
     for f in (
         op1_token_output,
         op2_language_id,
+        op3_secret_scan,
         op4_document_fingerprints,
         op5_best_fit_packing,
         op8_benchmark_decontamination,
@@ -22,4 +24,8 @@ QUERIES = {
         op10_simhash_near_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op8_benchmark_decontamination": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op3_secret_scan": OP3_SQL,
+    "op8_benchmark_decontamination": OP8_SQL,
+    "op9_chat_formatting": OP9_SQL,
+}
