@@ -7,6 +7,7 @@ from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .fingerprint import op4_document_fingerprints
 from .language import op2_language_id
 from .packing import op5_best_fit_packing
+from .pii import op6_personal_data
 from .secrets import OP3_SQL, op3_secret_scan
 from .simhash import op10_simhash_near_dedup
 from .token_output import op1_token_output
@@ -19,6 +20,7 @@ QUERIES = {
         op3_secret_scan,
         op4_document_fingerprints,
         op5_best_fit_packing,
+        op6_personal_data,
         op8_benchmark_decontamination,
         op9_chat_formatting,
         op10_simhash_near_dedup,
