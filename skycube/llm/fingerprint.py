@@ -160,11 +160,12 @@ def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # One row for each part: the first document of its order.
     order = F.struct(F.col("d").isNull().alias("no"), (-F.col("d")).alias("m"), "h")
     heads = sorted(rows.groupBy("p").agg(F.min(order).alias("f")).select("p", "f.m", "f.h").collect())
-    before = {heads[i].p: heads[i - 1].p for i in range(len(heads))}
-    spare = F.lit(None).cast("int")
-    for head in heads:
-        is_head = F.col("d").eqNullSafe(F.lit(None if head.m is None else -head.m).cast("long")) & (F.col("h") == head.h)
-        spare = F.when((F.col("p") == head.p) & is_head, before[head.p]).otherwise(spare)
+    # Arrays by part, so a row looks up its own part's head: nothing nests with the number of parts.
+    found: list = [(None, None, None)] * (len(cuts) + 2)
+    for i, head in enumerate(heads):
+        found[head.p] = (None if head.m is None else -head.m, head.h, heads[i - 1].p)
+    first, mark, before = (F.array(*[F.lit(x).cast(kind) for x in column])[F.col("p")] for column, kind in zip(zip(*found), ("long", "long", "int")))
+    spare = F.when(F.col("d").eqNullSafe(first) & (F.col("h") == mark), before)
     targets = F.array_compact(F.array(F.struct(F.col("p").alias("part"), F.lit(False).alias("spare")), F.when(F.col("x").isNotNull(), F.struct(F.col("x").alias("part"), F.lit(True).alias("spare")))))
     dealt = rows.withColumn("x", spare).select("d", "h", "t", F.explode(targets).alias("to")).select("to.part", "to.spare", "d", "h", "t")
     return dealt.repartition("part").sortWithinPartitions("part", "spare", F.col("d").desc_nulls_last(), "h").select("part", "spare", F.col("d").alias("doc_id"), F.col("t").alias("text"))
