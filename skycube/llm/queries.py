@@ -6,6 +6,7 @@ from .chat import OP9_SQL, op9_chat_formatting
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
 from .fingerprint import op4_document_fingerprints
 from .language import op2_language_id
+from .line_dedup import OP7_SQL, op7_line_dedup
 from .packing import op5_best_fit_packing
 from .pii import op6_personal_data
 from .secrets import OP3_SQL, op3_secret_scan
@@ -21,6 +22,7 @@ QUERIES = {
         op4_document_fingerprints,
         op5_best_fit_packing,
         op6_personal_data,
+        op7_line_dedup,
         op8_benchmark_decontamination,
         op9_chat_formatting,
         op10_simhash_near_dedup,
@@ -28,6 +30,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_secret_scan": OP3_SQL,
+    "op7_line_dedup": OP7_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
 }
