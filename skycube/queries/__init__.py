@@ -1,6 +1,6 @@
 """Registered queries: each operator on the driver's tables, beside the same thing in SQL."""
 
-from . import cube
+from . import cube, tracks
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cube"]
+__all__ = ["ORACLES", "QUERIES", "cube", "tracks"]
