@@ -51,7 +51,7 @@ def key_timestamp(key: Column) -> Column:
 
 def mjd(ts: Column) -> Column:
     """Modified Julian date of a timestamp."""
-    return F.unix_micros(ts) / 86_400_000_000 + MJD_UNIX
+    return F.unix_micros(ts.cast("timestamp")) / 86_400_000_000 + MJD_UNIX
 
 
 def mjd_timestamp(value: Column) -> Column:

@@ -100,7 +100,7 @@ def fold(curves: DataFrame, keys: list[str], period_s: float, bins: int) -> Data
     seconds = F.col("mjd") * 86400
     phase = (seconds - F.floor(seconds / period_s) * period_s) / period_s
     found = curves.withColumn("bin", F.least(F.floor(phase * bins), F.lit(bins - 1)).cast("long")).groupBy(*keys, "bin").agg(F.avg("flux").alias("flux"))
-    every = curves.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    every = curves.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<long>")).alias("bin"))
     return every.join(found, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("flux", F.lit(0.0)).alias("flux"))
 
 

@@ -56,11 +56,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each event: stamp to the minute, subband from the type, Stokes from the user."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     mhz = F.create_map(*[F.lit(x) for kv in BANDS.items() for x in kv])[F.col("event_type")]
-    stamp = F.date_trunc("hour", "ts")
+    # Hours 0, 3, 6, ... count to the hour before, so observations come in pairs an hour apart.
+    whole = F.date_trunc("hour", "ts")
+    stamp = F.when(F.hour("ts") % 3 == 0, whole - F.expr("interval 1 hour")).otherwise(whole)
     name = F.concat(F.date_format(stamp, "yyyyMMdd_HHmmss"), F.lit("_"), mhz.cast("string"), F.lit("MHz-"), F.when(F.col("user_id") % 2 == 0, "I").otherwise("V"), F.lit("-image.fits"))
     i = F.col("event_id")
-    bmaj = F.when(i % 11 == 0, F.lit(None)).when(i % 13 == 0, "0").when(i % 17 == 0, "bad").otherwise(F.format_string("%.4f", F.col("value") / 1000))
-    header = F.map_from_arrays(F.array(*[F.lit(k) for k in ("BMAJ", "BMIN", "RESTFREQ", "DATE-OBS")]), F.array(bmaj, F.lit("0.01"), F.format_string("%.1f", mhz * 1e6 + i % 3 * 1000), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")))
+    bmaj = F.when(i % 11 == 0, F.lit(None)).when(i % 13 == 0, "0").when(i % 17 == 0, "bad").otherwise(F.format_string("%.5f", F.col("value") / 1000))
+    header = F.map_from_arrays(F.array(*[F.lit(k) for k in ("BMAJ", "BMIN", "RESTFREQ", "DATE-OBS")]), F.array(bmaj, F.lit("0.01"), F.format_string("%.1f", mhz * 1e6 + i % 3 * 1000), F.date_format(F.when(F.hour(stamp) % 4 == 1, stamp).otherwise(F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss")))
     return e.select(
         F.concat(F.lit("/data/"), F.lpad(i.cast("string"), 8, "0"), F.lit("/"), name).alias("path"), name.alias("name"),
         F.when(i % 19 == 0, 0).otherwise(40000 + i % 50000).cast("long").alias("size_bytes"), header.alias("header"), "event_id", "ts",
@@ -69,12 +71,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FILES_SQL = """files AS (
   SELECT *, '/data/' || lpad(CAST(event_id AS VARCHAR), 8, '0') || '/' || name AS path FROM (
-    SELECT event_id, ts, mhz, strftime(date_trunc('hour', ts), '%Y%m%d_%H%M%S') || '_' || mhz || 'MHz-' || CASE WHEN user_id % 2 = 0 THEN 'I' ELSE 'V' END || '-image.fits' AS name,
-           strftime(date_trunc('hour', ts), '%Y%m%d_%H%M%S') AS time_key, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 4 END AS stokes,
+    SELECT event_id, ts, mhz, strftime(stamp, '%Y%m%d_%H%M%S') || '_' || mhz || 'MHz-' || CASE WHEN user_id % 2 = 0 THEN 'I' ELSE 'V' END || '-image.fits' AS name,
+           strftime(stamp, '%Y%m%d_%H%M%S') AS time_key, CASE WHEN hour(stamp) % 4 = 1 THEN stamp ELSE date_trunc('second', ts) END AS header_time, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 4 END AS stokes,
            CASE WHEN event_id % 19 = 0 THEN 0 ELSE 40000 + event_id % 50000 END AS size_bytes,
            CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN '0' WHEN event_id % 17 = 0 THEN 'bad' ELSE 'ok' END AS beam,
            mhz * 1e6 + event_id % 3 * 1000 AS freq_hz
-    FROM (SELECT *, CASE event_type WHEN 'view' THEN 41 WHEN 'signup' THEN 46 WHEN 'click' THEN 50 WHEN 'error' THEN 55 WHEN 'purchase' THEN 73 END AS mhz FROM events)))"""
+    FROM (SELECT *, CASE event_type WHEN 'view' THEN 41 WHEN 'signup' THEN 46 WHEN 'click' THEN 50 WHEN 'error' THEN 55 WHEN 'purchase' THEN 73 END AS mhz,
+                 date_trunc('hour', ts) - CASE WHEN hour(ts) % 3 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS stamp FROM events)))"""
 
 
 def light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
