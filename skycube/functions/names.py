@@ -15,7 +15,8 @@ MJD_UNIX = 40587
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The group of the first match, NULL without one; evaluated once."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def subband_mhz(name: Column) -> Column:
@@ -25,7 +26,7 @@ def subband_mhz(name: Column) -> Column:
 def stokes(name: Column, header: Column | None = None) -> Column:
     """Stokes code: the first pattern that the name has, the header's, or 1 (I)."""
     letter = reduce(lambda a, b: F.coalesce(a, b), [found(name, p) for p in STOKES])
-    code = F.when(letter == "I", 1).when(letter == "V", 4)
+    code = F.create_map(F.lit("I"), F.lit(1), F.lit("V"), F.lit(4))[letter]
     return F.coalesce(code, header.try_cast("int") if header is not None else F.lit(None).cast("int"), F.lit(1))
 
 

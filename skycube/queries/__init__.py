@@ -1,6 +1,6 @@
 """Registered queries: each operator on the driver's tables, beside the same thing in SQL."""
 
-from . import cube, inventory, quality, tracks
+from . import cube, inventory, quality, tracks, workloads
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cube", "inventory", "quality", "tracks"]
+__all__ = ["ORACLES", "QUERIES", "cube", "inventory", "quality", "tracks", "workloads"]
