@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import map_texts, new_path
 from .tokens import byte_alphabet
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -145,7 +145,8 @@ def format_conversations(turns: DataFrame, tokenizer: str, segment_chars: int =
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows_in = turns.select(F.col(conv).cast("long").alias("c"), F.col(turn).alias("n"), empty(role).alias("r"), empty(text).alias("t"))
-    return rows_in.repartition("c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t").mapInArrow(rows, FORMATTED)
+    ordered = rows_in.repartition("c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t")
+    return map_texts(ordered, rows, FORMATTED)
 
 
 def digest(formatted: DataFrame, tokenizer: str) -> DataFrame:
@@ -188,7 +189,7 @@ def digest(formatted: DataFrame, tokenizer: str) -> DataFrame:
         if out:
             yield flush()
 
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(rows, DIGEST)
+    return map_texts(formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment"), rows, DIGEST)
 
 
 PROBE = "</s>[INST] ok [/INST]"

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import map_texts
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MATCHED = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 
@@ -197,7 +199,7 @@ def _through(docs: DataFrame, automaton: Automaton, n_kept: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_texts(docs, rows, docs.schema)
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", **limits) -> DataFrame:
@@ -242,7 +244,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, least_spa
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     names = docs.columns
-    out = matched(docs, items, window, text_col).mapInArrow(cut, docs.schema)
+    out = map_texts(matched(docs, items, window, text_col), cut, docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import map_texts
+
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 48_271_009)
 CELLS = 32
@@ -202,7 +204,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if out:
             yield flush()
 
-    return next_documents(docs, id_col, text_col, parts).mapInArrow(rows, RESULT)
+    return map_texts(next_documents(docs, id_col, text_col, parts), rows, RESULT)
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

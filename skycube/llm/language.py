@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import map_texts
+
 DIMS_BITS = 14
 DIMS = 1 << DIMS_BITS
 GRAMS = 4
@@ -209,7 +211,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     share = (found[at] / found.sum()).astype(np.float32)
                     yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([place.as_py()]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([share], pa.list_(pa.float32()))], names=["l", "place", "at", "share"])
 
-    sample = rows.withColumn("p", place).where(F.col("p") < limit).select("l", "p", "t").mapInArrow(features, "l string, place long, at array<int>, share array<float>").toArrow()
+    sample = map_texts(rows.withColumn("p", place).where(F.col("p") < limit).select("l", "p", "t"), features, "l string, place long, at array<int>, share array<float>").toArrow()
     order = np.lexsort([np.asarray(sample["place"]), np.array(sample["l"].to_pylist(), object).astype(str)]) if sample.num_rows else []
     x, langs, seen = [], [], {}
     for i in order:
@@ -246,7 +248,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                     first, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "__lang", "__score"])
 
-    return docs.mapInArrow(rows, schema)
+    return map_texts(docs, rows, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:

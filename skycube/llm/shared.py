@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-END_OF_BATCH_CHARS = 1 << 20
+TEXTS_IN_BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +35,27 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/skycube/{tag}-{uuid.uuid4().hex}"
 
 
+def map_texts(df: DataFrame, rows, schema) -> DataFrame:
+    """``df.mapInArrow(rows, schema)`` in batches that suit long texts.
+
+    Spark's default of 10,000 rows is some dozens of MB of text in a worker, several times over;
+    a session that sets its own number keeps it. What Arrow holds goes back after each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) == 10_000:
+        df.sparkSession.conf.set(key, TEXTS_IN_BATCH)
+
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)

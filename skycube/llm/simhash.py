@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, stored
+from .shared import components, map_texts, stored
 
 BITS = 64
-CHUNK = 1 << 17
+CHUNK = 1 << 15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -79,13 +79,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in texts:
                 held.append(shingle_hashes(text.as_py() or b"", words, seed))
                 size += len(held[-1])
-                if size > 1 << 18:
+                if size > 1 << 16:
                     fps.append(majority(held))
                     held, size = [], 0
             fps.append(majority(held))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(fps).view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(rows, "doc_id long, h long, fp long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    return map_texts(texts, rows, "doc_id long, h long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .range_coder import BLOCK, pack_frame, unpack_frame
-from .shared import new_path
+from .shared import map_texts, new_path
 from .tokens import tokens
 
 FRAME_IDS = 4 << 20
@@ -86,7 +86,7 @@ def write_tokens(
         if held:
             yield made()
 
-    ordered.mapInArrow(frames, FRAMES).write.parquet(path)
+    map_texts(ordered, frames, FRAMES).write.parquet(path)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

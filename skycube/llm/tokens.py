@@ -42,7 +42,7 @@ class Tokens:
     then the memory starts afresh.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1 << 21):
+    def __init__(self, path: str, max_pieces: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
@@ -181,7 +181,7 @@ class Tokens:
         ends = total[np.flatnonzero(is_edge)]
         return self.ids[at], np.append(0, ends)
 
-    def encode(self, texts: list[str], chars: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], chars: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
         parts, owner = [], []
         for i, text in enumerate(texts):
             at = 0
