@@ -77,11 +77,12 @@ def integrated_flux(spectra: DataFrame, keys: list[str], low_hz: float, high_hz:
     """
     w = Window.partitionBy(*keys).orderBy("freq_hz")
     inside = F.col("freq_hz").between(low_hz, high_hz)
-    rows = spectra.where(inside).withColumns({"f0": F.lag("flux").over(w), "n0": F.lag("freq_hz").over(w)})
-    area = F.sum((F.col("flux") + F.col("f0")) / 2 * (F.col("freq_hz") - F.col("n0")))
-    sums = rows.groupBy(*keys).agg(area.alias("area"), F.count(F.lit(1)).alias("n"), F.count("flux").alias("k"), F.max("flux").alias("only"))
-    sums = sums.select(*keys, F.when(F.col("k") < F.col("n"), F.lit(None)).when(F.col("n") == 1, F.col("only")).otherwise(F.col("area")).alias("integrated"))
-    return spectra.select(*keys).distinct().join(sums.withColumn("has", F.lit(True)), keys, "left").select(*keys, F.when(F.col("has"), F.col("integrated")).otherwise(F.lit(0.0)).alias("integrated"))
+    rows = spectra.where(inside).withColumns({"__f0": F.lag("flux").over(w), "__n0": F.lag("freq_hz").over(w)})
+    area = F.sum((F.col("flux") + F.col("__f0")) / 2 * (F.col("freq_hz") - F.col("__n0")))
+    n, known = F.count(F.lit(1)), F.count("flux")
+    sums = rows.groupBy(*keys).agg(F.when(known < n, F.lit(None)).when(n == 1, F.max("flux")).otherwise(area).alias("__area"), F.lit(True).alias("__has"))
+    every = spectra.select(*keys).distinct().join(sums, keys, "left")
+    return every.select(*keys, F.when(F.col("__has"), F.col("__area")).otherwise(F.lit(0.0)).alias("integrated"))
 
 
 def variability(curves: DataFrame, keys: list[str], value: str = "flux") -> DataFrame:

@@ -23,13 +23,13 @@ def first_arrivals(files: DataFrame, delay: str = "1 hour") -> DataFrame:
     return files.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["time_key", "freq_bin", "stokes"])
 
 
-def merged_observations(files: DataFrame, tolerance_s: float, delay: str = "1 hour") -> DataFrame:
-    """Files no further apart than the tolerance are one observation, named by its start.
+def merged_observations(files: DataFrame, tolerance_s: float, key: str = "stokes", delay: str = "1 hour") -> DataFrame:
+    """Files of one key no further apart than the tolerance are one observation, named by its start.
 
     A group is given out once the watermark has passed, so a late earlier file can't rename it.
     """
     window = F.session_window("ts", f"{int(tolerance_s * 1000)} milliseconds")
-    return files.withWatermark("ts", delay).groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("files"), F.approx_count_distinct("mhz").alias("subbands")).select(F.col("w.start").alias("start"), "files", "subbands")
+    return files.withWatermark("ts", delay).groupBy(key, window.alias("w")).agg(F.count(F.lit(1)).alias("files"), F.approx_count_distinct("mhz").alias("subbands")).select(key, F.col("w.start").alias("start"), "files", "subbands")
 
 
 def running_coverage(files: DataFrame) -> DataFrame:
