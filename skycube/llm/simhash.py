@@ -137,7 +137,9 @@ def chance(n: int, both: np.ndarray, group: list[int], upto: int) -> list[float]
     q = np.clip(2 * p * (1 - p), 1e-6, 0.5)
     cov = both[np.ix_(group, group)] / max(n, 1) - np.outer(p, p)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    real = max(1, round(len(group) ** 2 / (cov / np.outer(sd, sd)).clip(-1, 1).__pow__(2).sum()))
+    square = (cov / np.outer(sd, sd)).clip(-1, 1) ** 2
+    np.fill_diagonal(square, 1)
+    real = max(1, round(len(group) ** 2 / square.sum()))
     rate, dist = float(q.mean()), [1.0]
     for _ in range(min(real, len(group))):
         dist = [a * (1 - rate) + b * rate for a, b in zip([*dist, 0], [0, *dist])]
