@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = in_group.join(fps, in_group.node == fps.fp).select("node", "root", "least")
     best = named.groupBy("root").agg(F.min("least").alias("component"))
     known = named.join(best, "root").select(F.col("node").alias("fp"), "component")
-    ids = fps.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # Stored, so that both sides of the last join are plain shuffles and a hot fingerprint can be split.
+    ids = stored(fps.join(known, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "ids")
     return marked.join(ids, "fp").select("doc_id", "h", "fp", "component_id")
 
 
