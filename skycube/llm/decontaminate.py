@@ -162,7 +162,7 @@ def join_runs(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def automata(items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text", max_words: int = 4_000_000) -> Iterator[Automaton]:
+def automata(items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text", max_words: int = 400_000) -> Iterator[Automaton]:
     """Automata over all items, each of at most ``max_words`` words (or one longer item)."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     held: list[tuple[str, list[bytes]]] = []

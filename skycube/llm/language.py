@@ -6,7 +6,8 @@ the largest margin, then to the language that wins most of its pairs. A margin i
 the n-grams' weights over the whole text, so scoring is one pass of table look-ups.
 
 The model is fitted on at most ``max_sample`` labelled rows (default 1200), the same number for
-each language, chosen by a hash of doc_id among rows outside the held-out fold. Their n-gram
+each of the ``max_langs`` most frequent languages (default 200), chosen by a hash of doc_id among
+rows outside the held-out fold. Their n-gram
 counts are made where the texts lie; the driver sees counts only, at most
 ``max_sample * distinct n-grams`` numbers.
 
@@ -189,17 +190,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_sample: int = 1200) -> Model | None:
-    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("d")))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_sample: int = 1200, max_langs: int = 200) -> Model | None:
+    rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("d")))
+    # A language column may hold any rubbish: the names that occur most are learned.
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     if not counts:
         return None
     each = max(1, max_sample // len(counts))
     place = F.pmod(F.xxhash64(F.col("d").cast("string"), F.lit("sample")), F.lit(1 << 30))
     # A share that holds somewhat more than needed of each language; the rest is cut below.
-    limit = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        limit = F.when(F.col("l") == lang, F.lit(int((1 << 30) * min(1.0, (each + 3 * each**0.5 + 5) / n)))).otherwise(limit)
+    shares = {lang: int((1 << 30) * min(1.0, (each + 3 * each**0.5 + 5) / n)) for lang, n in counts.items()}
+    limit = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("l")]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
