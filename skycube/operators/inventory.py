@@ -163,3 +163,38 @@ def ingest_plan(files: DataFrame, stored: DataFrame, tolerance_s: float) -> Data
     rows = rows.join(groups, "time_key", "left").withColumn("group_key", F.coalesce("group_key", "time_key"))
     rows = first_of(rows, ["group_key", "mhz", "stokes"], ["time_key", "path"])
     return not_stored(consistent_beams(rows).where("size_bytes > 0"), stored)
+
+
+def shared_times(files: DataFrame, warn_s: float = 1.0) -> DataFrame:
+    """One MJD for each time group: that of the lowest channel; the spread, and whether it is worth a warning."""
+    t = NM.mjd(F.col("header_time"))
+    out = files.groupBy("time_key").agg(F.min_by(t, F.struct("freq_hz", "path")).alias("mjd"), ((F.max(t) - F.min(t)) * 86400).alias("spread_s"))
+    return out.withColumn("warn", F.col("spread_s") > warn_s)
+
+
+def key_agreement(files: DataFrame) -> DataFrame:
+    """Time keys that only names or only headers give."""
+    header = F.date_format("header_time", "yyyyMMdd_HHmmss")
+    rows = files.select(F.explode(F.array(F.struct(F.col("time_key").alias("key"), F.lit(1).alias("name"), F.lit(0).alias("header")), F.struct(header.alias("key"), F.lit(0).alias("name"), F.lit(1).alias("header")))).alias("x")).select("x.*")
+    seen = rows.where("key IS NOT NULL").groupBy("key").agg(F.max("name").alias("name"), F.max("header").alias("header"))
+    return seen.where("name + header = 1").select("key", F.when(F.col("name") == 1, "name").otherwise("header").alias("only_in"))
+
+
+def mapped_times(stored: DataFrame, groups: DataFrame, tolerance_s: float = 6.0) -> DataFrame:
+    """(time_idx, group_key): the group with the stored time's key, else the nearest within the tolerance; NULL without one.
+
+    ``stored``: time_idx, time_key, mjd; ``groups``: group_key, mjd. Groups stand in their bucket
+    of one tolerance and both neighbours, so an equality join meets every pair in reach.
+    """
+    exact = stored.join(groups.select("group_key"), F.col("time_key") == F.col("group_key"), "left").select("time_idx", "mjd", "group_key")
+    bucket = lambda c: F.floor(c * 86400 / tolerance_s).cast("long")
+    near = groups.select(F.col("group_key").alias("g"), F.col("mjd").alias("m"), F.explode(F.array(*[bucket(F.col("mjd")) + k for k in (-1, 0, 1)])).alias("b"))
+    gap = F.abs(F.col("mjd") - F.col("m")) * 86400
+    close = exact.where("group_key IS NULL").join(near, bucket(F.col("mjd")) == F.col("b")).where(gap <= tolerance_s + 1e-6).groupBy("time_idx").agg(F.min_by("g", F.struct(gap, "g")).alias("g"))
+    return exact.join(close, "time_idx", "left").select("time_idx", F.coalesce("group_key", "g").alias("group_key"))
+
+
+def aligned_stokes(planes: DataFrame, stokes: list[int]) -> DataFrame:
+    """Every (time_idx, freq_idx) with each wanted Stokes plane; an absent one is NULL."""
+    every = planes.select("time_idx", "freq_idx").distinct().withColumn("stokes", F.explode(F.array(*[F.lit(s) for s in stokes])))
+    return every.join(planes, ["time_idx", "freq_idx", "stokes"], "left")
