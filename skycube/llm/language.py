@@ -117,7 +117,7 @@ def fit_svm(gram: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 10.0)
 
 
 def fit(x: np.ndarray, langs: list[str]) -> Model | None:
-    """x: n-gram shares of the sample's texts."""
+    """x: n-gram shares of the sample's texts; it is scaled in place."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -126,10 +126,14 @@ def fit(x: np.ndarray, langs: list[str]) -> Model | None:
         groups.setdefault(_FAMILY.get(name, name), []).append(name)
     families = sorted(groups.values())
     label = np.array(langs)
-    scale = (1 / np.maximum(x.std(0), 1e-4)).astype(np.float32)
-    scale /= max(1e-9, float(np.sqrt(((x * scale) ** 2).sum(1).mean())))
-    z = x * scale
-    gram = (z @ z.T).astype(float)
+    mean = x.mean(0)
+    std = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean * mean, 0))
+    scale = (1 / np.maximum(std, 1e-4)).astype(np.float32)
+    x *= scale
+    size = np.float32(max(1e-9, float(np.sqrt(np.einsum("ij,ij->", x, x, dtype=float) / len(x)))))
+    x /= size
+    scale /= size
+    gram = (x @ x.T).astype(float)
     pairs = [(f, i, j) for f, group in enumerate(families) for i, j in combinations(range(len(group)), 2)]
     tasks = [(np.ones(len(label), bool), np.where(np.isin(label, group), 1.0, -1.0)) for group in families]
     for f, i, j in pairs:
@@ -144,7 +148,9 @@ def fit(x: np.ndarray, langs: list[str]) -> Model | None:
         inner = gram[np.ix_(rows, rows)]
         coefficient, b = fit_svm(inner, y[rows])
         margin = float(np.median(np.abs(inner @ coefficient + b)))
-        weights[:DIMS, k] = (coefficient.astype(np.float32) @ z[rows]) * scale
+        every = np.zeros(len(x), np.float32)
+        every[rows] = coefficient
+        weights[:DIMS, k] = (every @ x) * scale
         bias.append(b)
         slope.append(4 / max(margin, 1e-6))  # the median of the sample is at odds of e**4
     return Model(families, pairs, weights, np.array(bias), np.array(slope))
@@ -213,17 +219,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([place.as_py()]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([share], pa.list_(pa.float32()))], names=["l", "place", "at", "share"])
 
     sample = map_texts(rows.withColumn("p", place).where(F.col("p") < limit).select("l", "p", "t"), features, "l string, place long, at array<int>, share array<float>").toArrow()
-    order = np.lexsort([np.asarray(sample["place"]), np.array(sample["l"].to_pylist(), object).astype(str)]) if sample.num_rows else []
-    x, langs, seen = [], [], {}
-    for i in order:
-        lang = sample["l"][i].as_py()
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= each:
-            row = np.zeros(DIMS, np.float32)
-            row[np.asarray(sample["at"][i].values)] = np.asarray(sample["share"][i].values)
-            x.append(row)
-            langs.append(lang)
-    return fit(np.array(x), langs) if x else None
+    if not sample.num_rows:
+        return None
+    names = np.array(sample["l"].to_pylist(), object).astype(str)
+    chosen, seen = [], {}
+    for i in np.lexsort([np.asarray(sample["place"]), names]).tolist():
+        seen[names[i]] = seen.get(names[i], 0) + 1
+        if seen[names[i]] <= each:
+            chosen.append(i)
+    # The only large array on the driver: max_sample rows of DIMS floats.
+    x = np.zeros((len(chosen), DIMS), np.float32)
+    at, share = sample["at"], sample["share"]
+    for k, i in enumerate(chosen):
+        x[k, np.asarray(at[i].values)] = np.asarray(share[i].values)
+    return fit(x, [str(names[i]) for i in chosen])
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
