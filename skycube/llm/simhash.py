@@ -11,6 +11,11 @@ whole distance. A bucket of more than ``max_bucket`` fingerprints is not joined
 its members meet at hubs instead, which costs the same for each member whatever the bucket's
 size and finds the same components.
 
+``near_copies``, which the pipeline's stage takes, asks more: texts link when the Jaccard
+similarity of their sets of five-word shingles is 0.8 or more, which fingerprints of 64 bits
+cannot tell. Candidates share one of 32 bands of five minima (at similarity 0.8 a pair is missed
+with probability (1 - 0.8^5)^32 = 3e-6, less above); the exact similarity of the sets decides.
+
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link
 like any other. Equal fingerprints are one node, so a group of copies costs one row. Null
 doc_ids do not count for a component's smallest doc_id; a component of null doc_ids alone has a
@@ -33,6 +38,7 @@ from .shared import components, map_texts, stored
 
 BITS = 64
 CHUNK = 1 << 15
+BANDS, ROWS = 32, 5
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -229,11 +235,10 @@ def hub_links(fps: DataFrame, tau: int) -> DataFrame:
     return at.select("hub", F.col("fp").alias("u")).join(hubs, "hub").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, tau: int = 3, seed: int = 42, max_bucket: int = 4096) -> DataFrame:
-    """(doc_id, h, fp, component_id) of every row."""
-    marked = stored(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+def _named(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, h, fp, component_id) of the rows of ``marked`` (doc_id, h, fp), by links (u, v) between their fps."""
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(fps, tau, max_bucket), "u", "v")
+    roots = components(found, "u", "v")
     in_group = roots.select("node", "root").union(roots.select("root", "root").distinct())
     named = in_group.join(fps, in_group.node == fps.fp).select("node", "root", "least")
     best = named.groupBy("root").agg(F.min("least").alias("component"))
@@ -243,12 +248,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(ids, "fp").select("doc_id", "h", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, tau: int = 3, seed: int = 42, max_bucket: int = 4096) -> DataFrame:
+    """(doc_id, h, fp, component_id) of every row."""
+    marked = stored(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
+    fps = stored(marked.select("fp").distinct(), "distinct")
+    return _named(marked, links(fps, tau, max_bucket))
+
+
+def minima(sets: list[np.ndarray], flip: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """For each set that is not empty, its least value under each of the orders."""
+    flat = np.concatenate(sets)
+    start = np.cumsum([0, *map(len, sets[:-1])])
+    return np.stack([np.minimum.reduceat((flat ^ f) * o, start) for f, o in zip(flip, odd)], axis=1)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
+    """(doc_id, h, fp, n, bands): fp hashes the set of shingles, n is its size, bands has the keys of its bands, none for an empty set."""
+    random = np.random.default_rng(seed)
+    flip, odd = (random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+    mix = random.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
+    odd |= np.uint64(1)
+
+    def keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+        full = [x for x in sets if len(x)]
+        found = iter((minima(full, flip, odd).reshape(-1, BANDS, ROWS) * mix).sum(axis=2, dtype=np.uint64).view(np.int64) if full else [])
+        return [next(found) if len(x) else np.zeros(0, np.int64) for x in sets]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            fps, sizes, bands, held, size = [], [], [], [], 0
+            for text in batch.column(2).cast(pa.binary()):
+                held.append(np.unique(shingle_hashes(text.as_py() or b"", words, seed)))
+                fps.append(xxh64_intdigest(held[-1].tobytes(), seed))
+                sizes.append(len(held[-1]))
+                size += sizes[-1]
+                if size > CHUNK:
+                    bands += keys(held)
+                    held, size = [], 0
+            bands += keys(held)
+            fps = pa.array(np.array(fps, np.uint64).view(np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32))
+            flat = pa.array(np.concatenate([*bands, np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "h", "fp", "n", "bands"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    return map_texts(texts, rows, "doc_id long, h long, fp long, n long, bands array<long>")
+
+
+def _members(fps: DataFrame, words: int, seed: int) -> DataFrame:
+    """(fp, s): the shingle set of each row's text t."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, text in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                found = np.unique(shingle_hashes(text.as_py() or b"", words, seed)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([fp.as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.array(found))], names=["fp", "s"])
+
+    return map_texts(fps.select("fp", "t"), rows, "fp long, s array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (u, v) whose sets have at least that Jaccard similarity."""
+    both = pairs.join(sets.toDF("v", "b"), "v").join(sets.toDF("u", "a"), "u")
+    both = both.withColumn("i", F.size(F.array_intersect("a", "b")))
+    return stored(both.where(F.col("i") / (F.size("a") + F.size("b") - F.col("i")) >= similar).select("u", "v"), "similar")
+
+
+def set_links(marked: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similar: float, seed: int) -> DataFrame:
+    """(u, v): pairs of similar sets that connect just what all similar pairs of one bucket connect.
+
+    First each member of a bucket is compared with its least one. Then only members that this
+    leaves in different components are, all with all; so a large group of near copies costs a
+    comparison for each member.
+    """
+    index = marked.select("fp", "n", F.posexplode("bands").alias("g", "key")).distinct()
+    buckets = stored(index.groupBy("g", "key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("fp", "n")).alias("hub")).where("k > 1").select("g", "key", "hub"), "buckets")
+    at = stored(index.join(buckets, ["g", "key"]), "members")
+    fits = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similar
+    # One row speaks for each set; rows repeated as a whole would give it twice.
+    rows = marked.join(at.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("r"))
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("g"), F.col(text_col).alias("t"))
+    rows = texts.join(rows, F.col("d").eqNullSafe(F.col("r.doc_id")) & (F.col("g") == F.col("r.h"))).select("fp", "t").dropDuplicates(["fp"])
+    sets = stored(_members(rows, words, seed), "sets")
+    stars = stored(at.where((F.col("fp") != F.col("hub.fp")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
+    found = _similar(stars, sets, similar)
+    roots = components(found, "u", "v").toDF("fp", "root")
+    named = stored(at.join(roots, "fp", "left").select("g", "key", "fp", "n", "hub", F.coalesce("root", "fp").alias("c")), "named")
+    mixed = stored(named.groupBy("g", "key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("g", "key"), "mixed")
+    left = stored(named.where(F.col("fp") != F.col("hub.fp")).join(mixed, ["g", "key"], "left_semi").drop("hub"), "left")
+    x, y = left.toDF("g", "key", "u", "nu", "cu"), left.toDF("g", "key", "v", "nv", "cv")
+    pairs = x.join(y, ["g", "key"]).where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
+    return found.unionByName(_similar(stored(pairs, "pairs"), sets, similar))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, h, fp, component_id) of every row; fp is a hash of the text's set of shingles."""
+    marked = stored(shingle_sets(docs, id_col, text_col, words, seed), "signatures")
+    return _named(marked.select("doc_id", "h", "fp"), set_links(marked, docs, id_col, text_col, words, similar, seed))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component: the smallest doc_id, of rows with one doc_id the smallest text hash.
+    """One document of each component of near copies: the smallest doc_id, of rows with one doc_id the smallest text hash.
 
     Columns and rows that stay are as they were.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, **options), "components")
+    found = stored(near_copies(docs, id_col, text_col, **options), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h", "fp")
     # A component of null doc_ids has no number; its fingerprints' rows then stand for themselves.
     group = [F.coalesce("component_id", "fp"), F.col("component_id").isNull()]
