@@ -4,7 +4,8 @@ The tree has a fixed depth: a line goes by its number of tokens, then by its fir
 Tokens with digits are variable fields and become ``<*>`` (unless that would leave less than half
 of the line). In a leaf, the most frequent template speaks for those that agree with it in
 ``similar`` of the positions: the other positions are variable too. Positions are compared in 16
-runs of equally many tokens, so as single tokens up to 16. A template that recurs across
+runs of equally many tokens, so as single tokens up to 16: that is the query's contract, which
+its SQL states. The pipeline's stage (``exact``) compares all positions token by token. A template that recurs across
 documents is dropped from all of them but the first: a line of ``long_line`` tokens or more when
 it is in two documents, a shorter one, which may recur by chance, when it is in ``short_docs``.
 Blank lines stay.
@@ -34,12 +35,8 @@ def _document(doc_id: Column, h: Column) -> list[Column]:
     return [doc_id.isNull().alias("no"), doc_id.alias("d"), h.alias("h")]
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = 8) -> DataFrame:
-    """(d, h, i, n, leaf, t, t2, s0..s3) of every line with a token.
-
-    t and t2 hash the template; s0 to s3 have 16 bits for each of its 16 runs of tokens.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, "\n")).alias("i", "raw"))
+def _templates(rows: DataFrame) -> DataFrame:
+    """A column template for the column raw; rows of blank lines go."""
     odd = F.contains("raw", F.lit("  "))
     for c in "\t\x0b\f\r":
         odd = odd | F.contains("raw", F.lit(c))
@@ -47,7 +44,16 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_
     rows = rows.withColumn("masked", F.when(F.rlike("line", F.lit("[0-9]")), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", "<*>")))
     fields = (F.length("masked") - F.length(F.replace("masked", F.lit("<*>")))) / 3
     n_line = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    rows = rows.withColumn("template", F.when(F.col("masked").isNull() | (fields * 2 > n_line), F.col("line")).otherwise(F.col("masked")))
+    return rows.withColumn("template", F.when(F.col("masked").isNull() | (fields * 2 > n_line), F.col("line")).otherwise(F.col("masked"))).drop("line", "masked")
+
+
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = 8) -> DataFrame:
+    """(d, h, i, n, leaf, t, t2, s0..s3) of every line with a token.
+
+    t and t2 hash the template; s0 to s3 have 16 bits for each of its 16 runs of tokens.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, "\n")).alias("i", "raw"))
+    rows = _templates(rows)
     rows = rows.select("d", "h", "i", "template", F.split("template", " ").alias("tokens")).withColumn("n", F.size("tokens"))
     width = F.ceil(F.col("n") / RUNS).cast("int")
     rows = rows.withColumn("runs", F.when(F.col("n") >= long_line, F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda k: F.hash(F.slice("tokens", k * width + 1, width)).bitwiseAND(F.lit(0xFFFF)).cast("long"))))
@@ -68,7 +74,28 @@ def _agreement(n: Column) -> Column:
     return (same - (RUNS - used)) / used
 
 
-def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, long_line: int, short_docs: int) -> tuple[DataFrame, DataFrame]:
+def _tokens(docs: DataFrame, pool: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The templates of ``pool`` with hashes of their tokens, from the texts that have them first."""
+    wanted = pool.groupBy(F.col("first.d").alias("d"), F.col("first.h").alias("h")).agg(F.collect_list("first.i").alias("i"))
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).withColumnRenamed("d", "e")
+    rows = texts.join(wanted, F.col("e").eqNullSafe(F.col("d")) & (texts.h == wanted.h)).select("d", wanted.h, "i", "text").dropDuplicates(["d", "h"])
+    rows = _templates(rows.select(F.explode("i").alias("i"), F.split("text", "\n").alias("l")).select(F.get("l", F.col("i")).alias("raw")))
+    rows = rows.select(F.xxhash64("template").alias("t"), F.hash("template").alias("t2"), F.transform(F.split("template", " "), lambda x: F.xxhash64(x)).alias("tokens"))
+    return stored(pool.join(rows, ["t", "t2"]), "tokens")
+
+
+def _equal(a: str, b: str) -> Column:
+    """Share of the positions at which two templates of a leaf are equal."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
+
+
+def _speakers(pool: DataFrame, rank: Column, similar: float) -> DataFrame:
+    """(t, t2, rt, rt2): templates and the one that speaks for them in their leaf."""
+    speaks = pool.groupBy("leaf").agg(F.max_by(F.struct("t", "t2", "tokens"), rank).alias("r")).select("leaf", "r.*").toDF("leaf", "rt", "rt2", "spoken")
+    return pool.join(speaks, "leaf").where(_equal("tokens", "spoken") >= similar).select("t", "t2", "rt", "rt2")
+
+
+def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, long_line: int, short_docs: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """The stored lines of leaves with several, and (t, t2, first) of templates that recur, with their first document."""
     places = stored(lines(docs, id_col, text_col, long_line), "lines")
     # Stored, so that both sides of the join are plain shuffles and a hot leaf can be split.
@@ -80,9 +107,14 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, long_
         "templates",
     )
     rank = F.struct("lines", (-F.col("first.d")).alias("d"), (-F.col("first.i")).alias("i"))
-    speaks = templates.where(F.col("n") >= long_line).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.max_by(F.struct("t", "t2", *SIGNS), rank).alias("r")).where("k > 1")
-    speaks = speaks.select("leaf", "r.*").toDF("leaf", "rt", "rt2", *[f"r{j}" for j in range(4)])
-    joined = templates.where(F.col("n") >= long_line).join(speaks, "leaf").where(_agreement(F.col("n")) >= similar).select("t", "t2", "rt", "rt2")
+    if exact:
+        several = templates.where(F.col("n") >= long_line).groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf")
+        pool = stored(templates.where(F.col("n") >= long_line).join(several, "leaf").select("leaf", "t", "t2", "lines", "first"), "pool")
+        joined = _speakers(_tokens(docs, pool, id_col, text_col), rank, similar)
+    else:
+        speaks = templates.where(F.col("n") >= long_line).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.max_by(F.struct("t", "t2", *SIGNS), rank).alias("r")).where("k > 1")
+        speaks = speaks.select("leaf", "r.*").toDF("leaf", "rt", "rt2", *[f"r{j}" for j in range(4)])
+        joined = templates.where(F.col("n") >= long_line).join(speaks, "leaf").where(_agreement(F.col("n")) >= similar).select("t", "t2", "rt", "rt2")
     grouped = templates.join(joined, ["t", "t2"], "left").select("t", "t2", "n", "lines", "first", "last", F.coalesce("rt", "t").alias("g"), F.coalesce("rt2", "t2").alias("g2"))
     first = F.min(F.struct("first.no", "first.d", "first.h"))
     groups = stored(grouped.groupBy("g", "g2").agg(F.max("n").alias("n"), F.sum("lines").alias("lines"), first.alias("first"), F.max("last").alias("last")).where(F.col("first") != F.col("last")), "groups")
@@ -94,12 +126,12 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, long_
     return busy, many.join(grouped.select("t", "t2", "g", "g2"), ["g", "g2"]).select("t", "t2", "first")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.75, long_line: int = 8, short_docs: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.75, long_line: int = 8, short_docs: int = 10, exact: bool = False) -> DataFrame:
     """All columns of ``docs`` with recurring lines taken out of the text, and __lines, __dropped, __tokens, __lost.
 
     The last four count the document's lines and those dropped, its tokens and those dropped.
     """
-    busy, found = recurring(docs, id_col, text_col, similar, long_line, short_docs)
+    busy, found = recurring(docs, id_col, text_col, similar, long_line, short_docs, exact)
     gone = busy.join(found, ["t", "t2"]).where(F.struct(*_document(F.col("d"), F.col("h"))) != F.col("first"))
     gone = gone.groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_set("i").alias("__gone"), F.sum("n").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
     rows = docs.withColumn("__g", F.xxhash64(text_col)).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__g") == F.col("__h")), "left")
@@ -124,7 +156,7 @@ def drop_recurring_lines(docs: DataFrame, most_lost: float = 0.5, id_col: str =
     A document that loses more than ``most_lost`` of its tokens is a copy in the main and goes.
     A column n_chars follows the text.
     """
-    found = dedup_lines(docs, id_col, text_col, **options)
+    found = dedup_lines(docs, id_col, text_col, exact=True, **options)
     found = found.where((F.col("__dropped") == 0) | (F.col("__lost") <= most_lost * F.col("__tokens")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -2,7 +2,7 @@
 
 import random
 
-from skycube.llm import simhash
+from skycube.llm import line_dedup, simhash
 
 
 def shingles(text, words=5):
@@ -37,3 +37,17 @@ def test_near_copies_by_exact_similarity(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {x.doc_id: x.component_id for x in simhash.near_copies(df).collect()} == dict(enumerate(least))
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == sorted(set(least))
+
+
+def test_long_lines_agree_token_by_token(spark):
+    """A recurring line of 147 tokens with six changed ones is found; one with a third of them changed is not."""
+    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(147)]
+    few, many = list(base), list(base)
+    for i in range(5, 147, 24):
+        few[i] = "other"
+    for i in range(4, 147, 3):
+        many[i] = "another"
+    rows = [(k, f"own start {'x' * k}\n" + " ".join(w)) for k, w in enumerate((base, base, few, many))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r["__dropped"] for r in line_dedup.dedup_lines(df, exact=True).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0}
