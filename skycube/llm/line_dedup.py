@@ -5,7 +5,8 @@ Tokens with digits are variable fields and become ``<*>`` (unless that would lea
 of the line). In a leaf, the most frequent template speaks for those that agree with it in
 ``similar`` of the positions: the other positions are variable too. Positions are compared in 16
 runs of equally many tokens, so as single tokens up to 16: that is the query's contract, which
-its SQL states. The pipeline's stage (``exact``) compares all positions token by token. A template that recurs across
+its SQL states. The pipeline's stage (``exact``) compares all positions token by token, ranks templates by their documents, and lets those that
+no speaker took elect further ones until none is left that agree. A template that recurs across
 documents is dropped from all of them but the first: a line of ``long_line`` tokens or more when
 it is in two documents, a shorter one, which may recur by chance, when it is in ``short_docs``.
 Blank lines stay.
@@ -21,12 +22,16 @@ templates the one that comes first speaks. No rows give no rows. Other columns p
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import components, stored
 
 LEAD, RUNS = 3, 16
+#: So many pairs for each template are compared at once; above, speakers are elected first.
+PAIRS = 20
 SIGNS = ("s0", "s1", "s2", "s3")
 
 
@@ -89,10 +94,33 @@ def _equal(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
 
 
-def _speakers(pool: DataFrame, rank: Column, similar: float) -> DataFrame:
-    """(t, t2, rt, rt2): templates and the one that speaks for them in their leaf."""
-    speaks = pool.groupBy("leaf").agg(F.max_by(F.struct("t", "t2", "tokens"), rank).alias("r")).select("leaf", "r.*").toDF("leaf", "rt", "rt2", "spoken")
-    return pool.join(speaks, "leaf").where(_equal("tokens", "spoken") >= similar).select("t", "t2", "rt", "rt2")
+def _speakers(pool: DataFrame, similar: float) -> DataFrame:
+    """(t, t2, rt, rt2): templates and the one that speaks for them.
+
+    In each leaf the first by rank speaks for those that agree with it, then the first of the
+    rest, and so on. Once the pairs left in leaves are few, all are compared; only components
+    of pairs that agree then go on, all at the same time, which elects the same speakers.
+    """
+    pair = lambda x: F.struct(*[F.col(c).alias(f"{x}{c}") for c in ("t", "t2", "tokens")])
+    n, joined, left, paired = pool.count(), [], pool, False
+    while True:
+        k = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"))
+        pairs = k.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("n")).first().n or 0
+        if not pairs and joined:
+            break
+        if joined and not paired and pairs <= PAIRS * n:
+            paired = True
+            x, y = left.select("leaf", pair("x").alias("x")).select("leaf", "x.*"), left.select("leaf", pair("y").alias("y")).select("leaf", "y.*")
+            agree = x.join(y, "leaf").where((F.struct("xt", "xt2") < F.struct("yt", "yt2")) & (_equal("xtokens", "ytokens") >= similar))
+            roots = components(agree.select(F.xxhash64("xt", "xt2").alias("u"), F.xxhash64("yt", "yt2").alias("v")), "u", "v")
+            roots = roots.union(roots.select("root", "root").distinct()).toDF("node", "root")
+            left = stored(left.withColumn("node", F.xxhash64("t", "t2")).join(roots, "node").withColumn("leaf", F.col("root")).select(pool.columns), "left")
+            continue
+        speaks = left.groupBy("leaf").agg(F.max_by(F.struct("t", "t2", "tokens"), "rank").alias("r")).select("leaf", "r.*").toDF("leaf", "rt", "rt2", "spoken")
+        judged = stored(left.join(speaks, "leaf").withColumn("joins", _equal("tokens", "spoken") >= similar).drop("spoken"), "judged")
+        joined.append(judged.where("joins").select("t", "t2", "rt", "rt2"))
+        left = judged.where("NOT joins").select(pool.columns)
+    return reduce(DataFrame.unionByName, joined)
 
 
 def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, long_line: int, short_docs: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +138,10 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, long_
     if exact:
         several = templates.where(F.col("n") >= long_line).groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf")
         pool = stored(templates.where(F.col("n") >= long_line).join(several, "leaf").select("leaf", "t", "t2", "lines", "first"), "pool")
-        joined = _speakers(_tokens(docs, pool, id_col, text_col), rank, similar)
+        # Ranked by documents, so that one which repeats a line often has no more say than another.
+        in_docs = busy.join(pool.select("t", "t2"), ["t", "t2"], "left_semi").groupBy("t", "t2", "d", "h").agg(F.count(F.lit(1)).alias("k")).groupBy("t", "t2").agg(F.count(F.lit(1)).alias("docs"))
+        ranked = _tokens(docs, pool, id_col, text_col).join(in_docs, ["t", "t2"]).withColumn("rank", F.struct("docs", rank.alias("rest")))
+        joined = _speakers(ranked.select("leaf", "t", "t2", "tokens", "rank"), similar)
     else:
         speaks = templates.where(F.col("n") >= long_line).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.max_by(F.struct("t", "t2", *SIGNS), rank).alias("r")).where("k > 1")
         speaks = speaks.select("leaf", "r.*").toDF("leaf", "rt", "rt2", *[f"r{j}" for j in range(4)])

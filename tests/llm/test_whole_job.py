@@ -51,3 +51,15 @@ def test_long_lines_agree_token_by_token(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r["__dropped"] for r in line_dedup.dedup_lines(df, exact=True).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
+def test_every_family_of_a_leaf_has_a_speaker(spark, monkeypatch):
+    """Three families under one opening, and a line that one document repeats: all families are found, in rounds or by pairs."""
+    line = lambda family, field: "the same opening " + " ".join(f"{family}{c}" for c in "abcdefghi") + f" {field}"
+    rows = [(k, f"own {'x' * k}\n" + line("pqr"[k % 3], "abcdefghi"[k])) for k in range(9)]
+    rows.append((9, "\n".join([line("z", "z")] * 30)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for pairs in (20, 0):
+        monkeypatch.setattr(line_dedup, "PAIRS", pairs)
+        got = {r.doc_id: r["__dropped"] for r in line_dedup.dedup_lines(df, exact=True).collect()}
+        assert got == {k: int(3 <= k < 9) for k in range(10)}
