@@ -217,10 +217,11 @@ def matched(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str =
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, least_span: int = 10, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents without copied test passages, with the columns of ``docs``.
 
-    Runs of ``least_span`` hit words or more are cut out of the text. A document of which more
+    Every run of hit words is cut out of the text; it covers a window or a whole shorter item,
+    however short the item is. A document of which more
     than ``max_coverage`` of the words are hit, or of which no word is left, goes. Others stay
     as they are. A column n_chars follows the text.
     """
@@ -230,7 +231,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, least_spa
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), []
             for i, (n, hits) in enumerate(zip(batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist())):
-                runs = [(h["start"], h["end"]) for h in hits if h["end"] - h["start"] >= least_span]
+                runs = [(h["start"], h["end"]) for h in hits]
                 n_hit = sum(h["end"] - h["start"] for h in hits)
                 keep.append(not n or (n_hit <= max_coverage * n and n > sum(b - a for a, b in runs)))
                 if runs and keep[-1]:

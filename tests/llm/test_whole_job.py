@@ -2,7 +2,7 @@
 
 import random
 
-from skycube.llm import line_dedup, simhash
+from skycube.llm import decontaminate, line_dedup, simhash
 
 
 def shingles(text, words=5):
@@ -63,3 +63,12 @@ def test_every_family_of_a_leaf_has_a_speaker(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "PAIRS", pairs)
         got = {r.doc_id: r["__dropped"] for r in line_dedup.dedup_lines(df, exact=True).collect()}
         assert got == {k: int(3 <= k < 9) for k in range(10)}
+
+
+def test_short_items_are_cut(spark):
+    """An item of fewer words than a window is cut out of a long document, as op8 counts it."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    df = spark.createDataFrame([(1, " ".join([*words[:30], "what is the capital", *words[30:]])), (2, " ".join(words))], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "What is the capital")], "item_id string, text string")
+    got = {r.doc_id: r.text.split() for r in decontaminate.decontaminate(df, items).collect()}
+    assert got == {1: words, 2: words}
