@@ -77,11 +77,11 @@ def dedisperse_interpolated(spark, sf_dir):
 
 @query("e4_patch_fit")
 def patch_fit(spark, sf_dir):
-    """Gaussian fits of every tracked patch of one channel; tests hold the helper against planted sources."""
+    """Gaussian fits of every tracked patch of every channel; tests hold the helper against planted sources."""
     cells = views.cells(spark, sf_dir)
     tracked = T.track(views.sources(spark, sf_dir), P.axis(cells, "time_idx", "mjd"), 8, 8)
     places = tracked.where("visible").select("time_idx", "l_idx", "m_idx").distinct().select((F.col("l_idx") * 8 + F.col("m_idx")).alias("source_id"), "time_idx", "l_idx", "m_idx", F.lit(True).alias("visible"))
-    patches = T.patches(places, cells.where("pol_idx = 0 AND freq_idx = 4"), 2, 4)
+    patches = T.patches(places, cells.where("pol_idx = 0"), 2, 4)
     return rounded(H.fit_patches(patches, ["source_id", "time_idx", "freq_idx"], 1.0, 1.0), "peak", "offset", "l_fit", "m_fit", "chi2", "centre", "patch_max", digits=4)
 
 
