@@ -5,9 +5,13 @@ through it; the length of the longest match that ends at each word tells which w
 copied window. A word outside the items' vocabulary resets the automaton, so only runs of known
 words that could hold a window are stepped through.
 
-The items are the small side: an automaton takes at most ``max_words`` words of items. More
-items make more automata, and the documents pass through each, so the memory of a task stays
-bounded whatever the benchmark's size.
+The items are dealt by a hash into shards of about ``max_words`` words. Each shard's automaton is
+built in a task and stored in the shared folder; one at a time is broadcast, and the documents
+pass through it. Between two passes their hits are stored and the automaton is let go, so the
+driver and every worker hold one automaton whatever the benchmark's size. Most benchmarks are
+one shard, and then nothing is stored.
+
+Only texts go to Python; hits and, where there are some, the places to cut come back.
 
 Defined cases: a null or empty document has no words and no hits. Null or wordless items match
 nothing; a null item_id stands as ``null``. Item rows with one id count as one item. Repeated
@@ -16,19 +20,22 @@ documents keep a row each. Without items or documents nothing is hit.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_texts
+from .shared import fresh, judge_texts, stored
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-MATCHED = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+RUNS = "array<struct<start:long,end:long>>"
+MATCHED = f"n_words long, hits {RUNS}, cuts {RUNS}, items array<string>"
 
 _fold = bytearray(range(256))
 for _c in range(128):
@@ -162,62 +169,96 @@ def join_runs(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def automata(items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text", max_words: int = 400_000) -> Iterator[Automaton]:
-    """Automata over all items, each of at most ``max_words`` words (or one longer item)."""
+def automata(items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text", max_words: int = 400_000) -> DataFrame:
+    """(shard, automaton): a stored, pickled automaton for each shard of items."""
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    held: list[tuple[str, list[bytes]]] = []
-    size = 0
-    for row in rows.toLocalIterator():
-        words = words_of(row.t.encode())
-        if held and size + len(words) > max_words:
-            yield Automaton(held, window)
-            held, size = [], 0
-        held.append((row.i, words))
-        size += len(words)
-    if held:
-        yield Automaton(held, window)
-
-
-def _through(docs: DataFrame, automaton: Automaton, n_kept: int) -> DataFrame:
-    """Adds this automaton's hits: columns hits (word runs), items. The first ``n_kept`` columns pass."""
-    held = docs.sparkSession.sparkContext.broadcast(automaton)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = held.value.match
-        for batch in batches:
-            n_words, hits, items = [], [], []
-            for text, old, names in zip(batch.column("__text").cast(pa.binary()), batch.column("__hits").to_pylist(), batch.column("__items").to_pylist()):
-                words = words_of(text.as_py() or b"")
-                runs, found = match(words)
-                n_words.append(len(words))
-                hits.append([{"start": a, "end": b} for a, b in (join_runs(runs + [(x["start"], x["end"]) for x in old]) if old else runs)])
-                items.append(sorted(found.union(names)))
-            out = [batch.column(i) for i in range(n_kept + 1)] + [
-                pa.array(n_words, pa.int64()),
-                pa.array(hits, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array(items, pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays(out, names=batch.schema.names)
-
-    return map_texts(docs, rows, docs.schema)
+    # Every word but the last is followed by another character.
+    most = rows.agg(F.sum(F.length("t") / 2 + 1)).first()[0] or 0
+    if most > max_words:
+        most = rows.agg(F.sum(F.regexp_count("t", F.lit(WORD.pattern)))).first()[0]
+    shards = max(1, -(-int(most) // max_words))
+    rows = rows.select(F.pmod(F.xxhash64("i", "t"), F.lit(shards)).cast("int").alias("shard"), "i", "t").repartition(shards, "shard")
+
+    def built(_: tuple, texts: pa.Table) -> pa.Table:
+        named = zip(texts["i"].to_pylist(), texts["t"].to_pylist())
+        automaton = Automaton([(i, words_of(t.encode())) for i, t in named], window)
+        return pa.table({"shard": texts["shard"].slice(0, 1), "automaton": pa.array([pickle.dumps(automaton, 5)], pa.binary())})
+
+    return stored(rows.groupBy("shard").applyInArrow(built, "shard int, automaton binary"), "automata")
+
+
+def _word_spans(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in WORD.finditer(text.encode().translate(_LOWER).decode())]
+
+
+_loaded: dict[str, Automaton] = {}
+
+
+def _load(name: str, held: Broadcast) -> Automaton:
+    """The worker's only automaton, kept from task to task."""
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = pickle.loads(held.value)
+    return _loaded[name]
+
+
+def _through(text: Column, held: Broadcast, spark: SparkSession) -> Column:
+    """The struct ``MATCHED`` of a text: runs of hit words by word and by character, items with windows in it."""
+    mark = uuid.uuid4().hex
+
+    def judged(texts: list[str]) -> list[dict]:
+        match, out = _load(mark, held).match, []
+        for text in texts:
+            words = words_of(text.encode())
+            runs, found = match(words)
+            spans = _word_spans(text) if runs else []
+            out.append({"n_words": len(words), "hits": [{"start": a, "end": b} for a, b in runs], "cuts": [{"start": spans[a][0], "end": spans[b - 1][1]} for a, b in runs], "items": sorted(found)})
+        return out
+
+    return judge_texts(text, judged, MATCHED, spark)
+
+
+def union_of_runs(runs: Column) -> Column:
+    """Runs, sorted, of which overlapping and touching ones are one. Few runs: those of one text."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = (F.size(done) > 0) & (x["start"] <= last["end"])
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(runs), F.expr(f"cast(array() as {RUNS})"), add)
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", **limits) -> DataFrame:
-    """All columns of ``docs`` and __text, __n_words, __hits (runs of hit words), __items (their ids, sorted)."""
-    out = docs.select(
-        *docs.columns,
-        F.col(text_col).alias("__text"),
-        F.lit(0).cast("long").alias("__n_words"),
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("__hits"),
-        F.expr("cast(array() as array<string>)").alias("__items"),
-    )
-    found = list(automata(items, window, **limits)) or [Automaton([], window)]
-    for automaton in found:
-        out = _through(out, automaton, len(docs.columns))
+    """All columns of ``docs`` and a struct ``MATCHED`` named __match (with more underscores if ``docs`` has such a name).
+
+    After several shards, runs of different shards that touch are one run of hits.
+    """
+    spark = docs.sparkSession
+    shards = automata(items, window, **limits)
+    keys = sorted(r.shard for r in shards.select("shard").collect())
+    name, old = fresh(docs, "__match", "__old")
+    out = docs
+    for k, key in enumerate(keys or [None]):
+        # One automaton at a time, of a size that max_words bounds.
+        held = spark.sparkContext.broadcast(bytes(shards.where(F.col("shard") == key).first().automaton) if keys else pickle.dumps(Automaton([], window)))
+        if not k:
+            out = docs.withColumn(name, _through(F.col(text_col), held, spark))
+        else:
+            new = out.withColumnRenamed(name, old).withColumn(name, _through(F.col(text_col), held, spark))
+            both = {f: F.concat(F.col(old)[f], F.col(name)[f]) for f in ("hits", "cuts", "items")}
+            merged = F.struct(F.col(name)["n_words"].alias("n_words"), union_of_runs(both["hits"]).alias("hits"), union_of_runs(both["cuts"]).alias("cuts"), F.array_sort(F.array_distinct(both["items"])).alias("items"))
+            touched = (F.size(F.col(old)["hits"]) > 0) & (F.size(F.col(name)["hits"]) > 0)
+            kept = F.when(touched, merged).when(F.size(F.col(name)["hits"]) > 0, F.col(name)).otherwise(F.col(old))
+            out = new.withColumn(name, kept).drop(old)
+        if len(keys) > 1:
+            out = stored(out, "hits")
+            held.destroy()
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", **limits) -> DataFrame:
     """The documents without copied test passages, with the columns of ``docs``.
 
     Every run of hit words is cut out of the text; it covers a window or a whole shorter item,
@@ -225,44 +266,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     than ``max_coverage`` of the words are hit, or of which no word is left, goes. Others stay
     as they are. A column n_chars follows the text.
     """
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
-        for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for i, (n, hits) in enumerate(zip(batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist())):
-                runs = [(h["start"], h["end"]) for h in hits]
-                n_hit = sum(h["end"] - h["start"] for h in hits)
-                keep.append(not n or (n_hit <= max_coverage * n and n > sum(b - a for a, b in runs)))
-                if runs and keep[-1]:
-                    spans, out, last = [m.span() for m in WORD.finditer(texts[i].encode().translate(_LOWER).decode())], [], 0
-                    for a, b in runs:
-                        out.append(texts[i][last : spans[a][0]])
-                        last = spans[b - 1][1]
-                    texts[i] = "".join(out) + texts[i][last:]
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
-
-    names = docs.columns
-    out = map_texts(matched(docs, items, window, text_col), cut, docs.schema)
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    (name,) = fresh(docs, "__match")
+    found, x = matched(docs, items, window, text_col, **limits), F.col(name)
+    n_hit = F.aggregate(x["hits"], F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    found = found.where((n_hit == 0) | ((n_hit <= max_coverage * x["n_words"]) & (n_hit < x["n_words"])))
+    # What lies before, between and after the cuts.
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(x["cuts"], lambda r: r["end"]))
+    ends = F.concat(F.transform(x["cuts"], lambda r: r["start"]), F.array(F.length(text_col).cast("long")))
+    left = F.zip_with(starts, ends, lambda a, b: F.substr(F.col(text_col), (a + 1).cast("int"), (b - a).cast("int")))
+    text = F.when(n_hit > 0, F.array_join(left, "")).otherwise(F.col(text_col))
+    n_chars = {c: F.when(n_hit > 0, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in docs.columns if c == "n_chars"}
+    return found.select(*[text.alias(c) if c == text_col else n_chars.get(c, F.col(c)) for c in docs.columns])
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row for each document: its words, hit words, and the items with windows in it."""
-    found = matched(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, window)
-    n_hit = F.aggregate("__hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    found = matched(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items, window, **limits)
+    x = F.col("__match")
     return found.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
-        n_hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"),
-        (F.size("__hits") > 0).alias("contaminated"),
+        x["n_words"].alias("n_words"),
+        F.aggregate(x["hits"], F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]).alias("n_hit"),
+        F.size(x["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", x["items"]), 256).alias("items_sha256"),
+        (F.size(x["hits"]) > 0).alias("contaminated"),
     )
 
 

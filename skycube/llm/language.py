@@ -5,11 +5,11 @@ against the rest, then one for each two languages of a family. A text goes to th
 the largest margin, then to the language that wins most of its pairs. A margin is the mean of
 the n-grams' weights over the whole text, so scoring is one pass of table look-ups.
 
-The model is fitted on at most ``max_sample`` labelled rows (default 1200), the same number for
-each of the ``max_langs`` most frequent languages (default 200), chosen by a hash of doc_id among
-rows outside the held-out fold. Their n-gram
-counts are made where the texts lie; the driver sees counts only, at most
-``max_sample * distinct n-grams`` numbers.
+The model is fitted on a bounded sample of labelled rows outside the held-out fold: the same
+number for every language, ``max_sample`` (default 1200) in all but at least ``least_each``
+(default 8) of each, chosen by a hash of doc_id and text; rows repeated as a whole count once.
+No language is left out. Their n-gram counts are made where the texts lie; the driver sees
+counts only, of at most max(max_sample, least_each * languages) texts.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0. A null doc_id is
 neither learned from nor held out. Rows without lang are not learned from. Without any
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_texts
+from .shared import fresh, judge_texts, map_texts
 
 DIMS_BITS = 14
 DIMS = 1 << DIMS_BITS
@@ -196,17 +196,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_sample: int = 1200, max_langs: int = 200) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_sample: int = 1200, least_each: int = 8) -> Model | None:
     rows = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("d")))
-    # A language column may hold any rubbish: the names that occur most are learned.
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    rows = rows.withColumn("p", F.xxhash64(F.col("d").cast("string"), F.lit("sample"), F.col("t")))
+    # Different rows of each language, about: the share taken below holds more than needed, and the rest is cut.
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct("p").alias("n")).collect()}
     if not counts:
         return None
-    each = max(1, max_sample // len(counts))
-    place = F.pmod(F.xxhash64(F.col("d").cast("string"), F.lit("sample")), F.lit(1 << 30))
-    # A share that holds somewhat more than needed of each language; the rest is cut below.
-    shares = {lang: int((1 << 30) * min(1.0, (each + 3 * each**0.5 + 5) / n)) for lang, n in counts.items()}
-    limit = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])[F.col("l")]
+    each = max(least_each, max_sample // len(counts))
+    shares = {lang: min(1.0, 1.2 * (each + 3 * each**0.5 + 5) / n) for lang, n in counts.items()}
+    limit = F.create_map(*[F.lit(x) for lang, share in sorted(shares.items()) for x in (lang, int((1 << 30) * share))])[F.col("l")]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +217,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     share = (found[at] / found.sum()).astype(np.float32)
                     yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([place.as_py()]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([share], pa.list_(pa.float32()))], names=["l", "place", "at", "share"])
 
-    sample = map_texts(rows.withColumn("p", place).where(F.col("p") < limit).select("l", "p", "t"), features, "l string, place long, at array<int>, share array<float>").toArrow()
+    # The hash tells different rows apart, so repeated ones meet before anything goes to the driver.
+    chosen = rows.where(F.pmod("p", F.lit(1 << 30)) < limit).groupBy("l", "p").agg(F.first("t").alias("t"))
+    sample = map_texts(chosen, features, "l string, place long, at array<int>, share array<float>").toArrow()
     if not sample.num_rows:
         return None
     names = np.array(sample["l"].to_pylist(), object).astype(str)
@@ -236,35 +237,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and __lang, __score."""
+    """All columns of ``docs`` and __lang, __score (with more underscores if ``docs`` has such names)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = docs.select(*names, F.lit("").alias("__lang"), F.lit(0.0).alias("__score")).schema
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, at = held.value, names.index(text_col)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            lang, score = [UND] * len(texts), np.zeros(len(texts))
-            first, size = 0, 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if (size > 1 << 18 or i == len(texts) - 1) and model:
+    def judged(texts: list[str]) -> list[dict]:
+        model, out = held.value, []
+        first, size = 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size > 1 << 18 or i == len(texts) - 1:
+                if model:
                     m, n_letters = margins(model, texts[first : i + 1])
-                    found, s = decide(model, m)
-                    some = n_letters > 0
-                    lang[first : i + 1] = [x if ok else UND for x, ok in zip(found, some)]
-                    score[first : i + 1] = np.where(some, s, 0)
-                    first, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "__lang", "__score"])
+                    out += [{"lang": x, "score": s} if ok else {"lang": UND, "score": 0.0} for x, s, ok in zip(*decide(model, m), n_letters > 0)]
+                else:
+                    out += [{"lang": UND, "score": 0.0}] * (i + 1 - first)
+                first, size = i + 1, 0
+        return out
 
-    return map_texts(docs, rows, schema)
+    lang, score, both = fresh(docs, "__lang", "__score", "__both")
+    found = docs.withColumn(both, judge_texts(F.col(text_col), judged, "lang string, score double", docs.sparkSession))
+    return found.select(*docs.columns, F.col(both)["lang"].alias(lang), F.col(both)["score"].alias(score))
 
 
 def keep_identified(docs: DataFrame, model: Model | None, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents whose language is told with ``min_score`` or more, columns as they were."""
-    found = identify(docs, model, text_col)
-    return found.where((F.col("__lang") != UND) & (F.col("__score") >= min_score)).select(docs.columns)
+    lang, score = fresh(docs, "__lang", "__score")
+    return identify(docs, model, text_col).where((F.col(lang) != UND) & (F.col(score) >= min_score)).select(docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,37 +2,36 @@
 
 The tree has a fixed depth: a line goes by its number of tokens, then by its first three tokens.
 Tokens with digits are variable fields and become ``<*>`` (unless that would leave less than half
-of the line). In a leaf, the most frequent template speaks for those that agree with it in
-``similar`` of the positions: the other positions are variable too. Positions are compared in 16
-runs of equally many tokens, so as single tokens up to 16: that is the query's contract, which
-its SQL states. The pipeline's stage (``exact``) compares all positions token by token, ranks templates by their documents, and lets those that
-no speaker took elect further ones until none is left that agree. A template that recurs across
-documents is dropped from all of them but the first: a line of ``long_line`` tokens or more when
-it is in two documents, a shorter one, which may recur by chance, when it is in ``short_docs``.
-Blank lines stay.
+of the line). A leaf holds as many groups as it needs: two of its templates that agree in
+``similar`` of all positions, token by token, are in one group, and so are all that such pairs
+connect; the other positions are variable fields too. A template group that recurs across
+documents is dropped from all of them but the first. It recurs if it is in two documents or more
+and documents times tokens are ``evidence`` or more: the fewer tokens a line has, the more
+documents it takes to tell a copy from chance. Blank lines stay.
 
 One pass over the texts makes a row of hashes for each line. Leaves of one line end there; the
-rest works on rows of leaves with more. The texts are read once more with the decisions.
+rest works on rows of leaves with more. Templates that agree are found without comparing a leaf
+with itself: with at most m positions different, one of m + 1 blocks of positions is equal, so
+only templates that share a block are compared, first with the commonest of the block, then those
+that this leaves in different groups. The texts are read once more with the decisions.
+
+Tokens, templates and blocks are compared by 64-bit hashes, templates by 96 bits: unequal ones
+pass for equal once in 2**64.
 
 Defined cases: a null text stays null and has no lines. Documents are told apart by doc_id and a
 hash of the text, so rows repeated as a whole are one document and lose the same lines. The
-first document is the one with the smallest doc_id; null doc_ids come last. Of equally frequent
-templates the one that comes first speaks. No rows give no rows. Other columns pass untouched.
+first document is the one with the smallest doc_id; null doc_ids come last. Groups do not depend
+on any order. No rows give no rows. Other columns pass untouched.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, stored
+from .shared import components, fresh, stored
 
-LEAD, RUNS = 3, 16
-#: So many pairs for each template are compared at once; above, speakers are elected first.
-PAIRS = 20
-SIGNS = ("s0", "s1", "s2", "s3")
+LEAD = 3
 
 
 def _document(doc_id: Column, h: Column) -> list[Column]:
@@ -52,31 +51,11 @@ def _templates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("template", F.when(F.col("masked").isNull() | (fields * 2 > n_line), F.col("line")).otherwise(F.col("masked"))).drop("line", "masked")
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_line: int = 8) -> DataFrame:
-    """(d, h, i, n, leaf, t, t2, s0..s3) of every line with a token.
-
-    t and t2 hash the template; s0 to s3 have 16 bits for each of its 16 runs of tokens.
-    """
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(d, h, i, n, leaf, t, t2) of every line with a token; t and t2 hash the template."""
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, "\n")).alias("i", "raw"))
-    rows = _templates(rows)
-    rows = rows.select("d", "h", "i", "template", F.split("template", " ").alias("tokens")).withColumn("n", F.size("tokens"))
-    width = F.ceil(F.col("n") / RUNS).cast("int")
-    rows = rows.withColumn("runs", F.when(F.col("n") >= long_line, F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda k: F.hash(F.slice("tokens", k * width + 1, width)).bitwiseAND(F.lit(0xFFFF)).cast("long"))))
-    run = lambda k: F.shiftleft(F.get("runs", F.lit(k)), k % 4 * 16)
-    signs = [run(4 * j).bitwiseOR(run(4 * j + 1)).bitwiseOR(run(4 * j + 2)).bitwiseOR(run(4 * j + 3)).alias(s) for j, s in enumerate(SIGNS)]
-    lead = F.slice("tokens", 1, LEAD)
-    return rows.select("d", "h", "i", "n", F.xxhash64("n", lead).alias("leaf"), F.xxhash64("template").alias("t"), F.hash("template").alias("t2"), *signs)
-
-
-def _agreement(n: Column) -> Column:
-    """Share of the runs in use whose hashes are those of r0..r3."""
-    same = F.lit(0)
-    for j, s in enumerate(SIGNS):
-        x = F.col(s).bitwiseXOR(F.col(f"r{j}"))
-        for m in range(4):
-            same = same + (F.shiftrightunsigned(x, 16 * m).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int")
-    used = F.ceil(n / F.ceil(n / RUNS))
-    return (same - (RUNS - used)) / used
+    rows = _templates(rows).withColumn("n", F.length("template") - F.length(F.replace("template", F.lit(" "))) + 1)
+    return rows.select("d", "h", "i", "n", F.xxhash64("n", F.substring_index("template", " ", LEAD)).alias("leaf"), F.xxhash64("template").alias("t"), F.hash("template").alias("t2"))
 
 
 def _tokens(docs: DataFrame, pool: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,96 +68,85 @@ def _tokens(docs: DataFrame, pool: DataFrame, id_col: str, text_col: str) -> Dat
     return stored(pool.join(rows, ["t", "t2"]), "tokens")
 
 
-def _equal(a: str, b: str) -> Column:
-    """Share of the positions at which two templates of a leaf are equal."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / F.size(a)
-
-
-def _speakers(pool: DataFrame, similar: float) -> DataFrame:
-    """(t, t2, rt, rt2): templates and the one that speaks for them.
-
-    In each leaf the first by rank speaks for those that agree with it, then the first of the
-    rest, and so on. Once the pairs left in leaves are few, all are compared; only components
-    of pairs that agree then go on, all at the same time, which elects the same speakers.
-    """
-    pair = lambda x: F.struct(*[F.col(c).alias(f"{x}{c}") for c in ("t", "t2", "tokens")])
-    n, joined, left, paired = pool.count(), [], pool, False
-    while True:
-        k = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"))
-        pairs = k.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("n")).first().n or 0
-        if not pairs and joined:
-            break
-        if joined and not paired and pairs <= PAIRS * n:
-            paired = True
-            x, y = left.select("leaf", pair("x").alias("x")).select("leaf", "x.*"), left.select("leaf", pair("y").alias("y")).select("leaf", "y.*")
-            agree = x.join(y, "leaf").where((F.struct("xt", "xt2") < F.struct("yt", "yt2")) & (_equal("xtokens", "ytokens") >= similar))
-            roots = components(agree.select(F.xxhash64("xt", "xt2").alias("u"), F.xxhash64("yt", "yt2").alias("v")), "u", "v")
-            roots = roots.union(roots.select("root", "root").distinct()).toDF("node", "root")
-            left = stored(left.withColumn("node", F.xxhash64("t", "t2")).join(roots, "node").withColumn("leaf", F.col("root")).select(pool.columns), "left")
-            continue
-        speaks = left.groupBy("leaf").agg(F.max_by(F.struct("t", "t2", "tokens"), "rank").alias("r")).select("leaf", "r.*").toDF("leaf", "rt", "rt2", "spoken")
-        judged = stored(left.join(speaks, "leaf").withColumn("joins", _equal("tokens", "spoken") >= similar).drop("spoken"), "judged")
-        joined.append(judged.where("joins").select("t", "t2", "rt", "rt2"))
-        left = judged.where("NOT joins").select(pool.columns)
-    return reduce(DataFrame.unionByName, joined)
-
-
-def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, long_line: int, short_docs: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The stored lines of leaves with several, and (t, t2, first) of templates that recur, with their first document."""
-    places = stored(lines(docs, id_col, text_col, long_line), "lines")
+def _agree(pairs: DataFrame, tokens: DataFrame, similar: float) -> DataFrame:
+    """The pairs (u, v) of templates that are equal in that share of their positions."""
+    both = pairs.join(tokens.toDF("v", "b"), "v").join(tokens.toDF("u", "a"), "u")
+    equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return stored(both.where(equal >= similar * F.size("a")).select("u", "v"), "agree")
+
+
+def _groups(pool: DataFrame, similar: float) -> DataFrame:
+    """(node, root) of templates that agree with others. ``pool``: leaf, node, n, lines, tokens; one row a template."""
+    tokens = stored(pool.select("node", "tokens"), "tokens")
+    # So many positions may differ, and into one block more those after the lead are cut.
+    m = (F.col("n") - F.ceil(F.lit(similar) * F.col("n"))).cast("int")
+    at = lambda j: LEAD + F.floor(j * (F.col("n") - LEAD) / (m + 1)).cast("int")
+    block = lambda j: F.xxhash64("leaf", j, F.slice("tokens", at(j) + 1, at(j + 1) - at(j)))
+    keys = F.when(m > 0, F.transform(F.sequence(F.lit(0), m), block)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    index = stored(pool.select("node", "lines", F.explode(keys).alias("key")), "blocks")
+    hubs = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("node", F.struct("lines", "node")).alias("hub")).where("k > 1").select("key", "hub")
+    members = stored(index.join(stored(hubs, "hubs"), "key").select("key", "node", "hub"), "members")
+    pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    found = _agree(stored(members.where("node <> hub").select(*pair("node", "hub")).distinct(), "pairs"), tokens, similar)
+    named = members.join(components(found, "u", "v").toDF("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"), (F.col("node") == F.col("hub")).alias("is_hub"))
+    named = stored(named, "named")
+    mixed = stored(named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"), "mixed")
+    left = stored(named.where("NOT is_hub").join(mixed, "key", "left_semi").drop("is_hub"), "left")
+    x, y = left.toDF("key", "u", "cu"), left.toDF("key", "v", "cv")
+    more = stored(x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v").distinct(), "pairs")
+    roots = components(found.unionByName(_agree(more, tokens, similar)), "u", "v")
+    return roots.union(roots.select("root", "root").distinct()).toDF("node", "root")
+
+
+def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, evidence: int) -> tuple[DataFrame, DataFrame]:
+    """The stored lines of leaves with several, and (t, t2, first) of templates whose group recurs, with its first document."""
+    places = stored(lines(docs, id_col, text_col), "lines")
     # Stored, so that both sides of the join are plain shuffles and a hot leaf can be split.
     leaves = stored(places.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf"), "leaves")
     busy = stored(places.join(leaves, "leaf"), "busy")
     doc = _document(F.col("d"), F.col("h"))
-    templates = stored(
-        busy.groupBy("leaf", "t", "t2", "n").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct(*doc, "i")).alias("first"), F.max(F.struct(*doc)).alias("last"), *[F.min(s).alias(s) for s in SIGNS]),
-        "templates",
-    )
-    rank = F.struct("lines", (-F.col("first.d")).alias("d"), (-F.col("first.i")).alias("i"))
-    if exact:
-        several = templates.where(F.col("n") >= long_line).groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf")
-        pool = stored(templates.where(F.col("n") >= long_line).join(several, "leaf").select("leaf", "t", "t2", "lines", "first"), "pool")
-        # Ranked by documents, so that one which repeats a line often has no more say than another.
-        in_docs = busy.join(pool.select("t", "t2"), ["t", "t2"], "left_semi").groupBy("t", "t2", "d", "h").agg(F.count(F.lit(1)).alias("k")).groupBy("t", "t2").agg(F.count(F.lit(1)).alias("docs"))
-        ranked = _tokens(docs, pool, id_col, text_col).join(in_docs, ["t", "t2"]).withColumn("rank", F.struct("docs", rank.alias("rest")))
-        joined = _speakers(ranked.select("leaf", "t", "t2", "tokens", "rank"), similar)
-    else:
-        speaks = templates.where(F.col("n") >= long_line).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.max_by(F.struct("t", "t2", *SIGNS), rank).alias("r")).where("k > 1")
-        speaks = speaks.select("leaf", "r.*").toDF("leaf", "rt", "rt2", *[f"r{j}" for j in range(4)])
-        joined = templates.where(F.col("n") >= long_line).join(speaks, "leaf").where(_agreement(F.col("n")) >= similar).select("t", "t2", "rt", "rt2")
-    grouped = templates.join(joined, ["t", "t2"], "left").select("t", "t2", "n", "lines", "first", "last", F.coalesce("rt", "t").alias("g"), F.coalesce("rt2", "t2").alias("g2"))
+    templates = stored(busy.groupBy("leaf", "t", "t2", "n").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct(*doc, "i")).alias("first"), F.max(F.struct(*doc)).alias("last")), "templates")
+    several = templates.where(F.col("n") > LEAD).groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf")
+    pool = stored(templates.where(F.col("n") > LEAD).join(stored(several, "several"), "leaf").select("leaf", "t", "t2", "n", "lines", "first"), "pool")
+    node = F.xxhash64("t", "t2")
+    roots = _groups(_tokens(docs, pool, id_col, text_col).withColumn("node", node), similar)
+    grouped = stored(templates.withColumn("node", node).join(roots, "node", "left").withColumn("g", F.coalesce("root", "node")).drop("node", "root"), "grouped")
     first = F.min(F.struct("first.no", "first.d", "first.h"))
-    groups = stored(grouped.groupBy("g", "g2").agg(F.max("n").alias("n"), F.sum("lines").alias("lines"), first.alias("first"), F.max("last").alias("last")).where(F.col("first") != F.col("last")), "groups")
-    # Short lines count by documents; only those with enough lines can have enough documents.
-    short = groups.where((F.col("n") < long_line) & (F.col("lines") >= short_docs)).select(F.col("g").alias("t"), F.col("g2").alias("t2"))
-    often = busy.where(F.col("n") < long_line).join(short, ["t", "t2"], "left_semi").groupBy("t", "t2", "d", "h").agg(F.count(F.lit(1)).alias("k")).groupBy("t", "t2").agg(F.count(F.lit(1)).alias("docs"))
-    often = often.where(F.col("docs") >= short_docs).select(F.col("t").alias("g"), F.col("t2").alias("g2"))
-    many = groups.where(F.col("n") >= long_line).select("g", "g2", "first").unionByName(groups.join(often, ["g", "g2"], "left_semi").select("g", "g2", "first"))
-    return busy, many.join(grouped.select("t", "t2", "g", "g2"), ["g", "g2"]).select("t", "t2", "first")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.75, long_line: int = 8, short_docs: int = 10, exact: bool = False) -> DataFrame:
+    groups = grouped.groupBy("g").agg(F.max("n").alias("n"), F.sum("lines").alias("lines"), first.alias("first"), F.max("last").alias("last")).where(F.col("first") != F.col("last"))
+    # Two documents are enough, or those with enough lines are counted.
+    groups = stored(groups.where(F.col("lines") * F.col("n") >= evidence), "groups")
+    unsure = F.col("n") * 2 < evidence
+    counted = stored(groups.where(unsure).select("g").join(grouped, "g").select("t", "t2", "g"), "unsure")
+    in_docs = busy.where(unsure).join(counted, ["t", "t2"]).groupBy("g", "n", "d", "h").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg((F.count(F.lit(1)) * F.max("n")).alias("weight"))
+    often = groups.where(unsure).join(in_docs.where(F.col("weight") >= evidence), "g").select("g", "first")
+    many = stored(groups.where(~unsure).select("g", "first").unionByName(often), "recurring")
+    return busy, stored(grouped.select("t", "t2", "g").join(many, "g").select("t", "t2", "first"), "dropped")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.75, evidence: int = 16) -> DataFrame:
     """All columns of ``docs`` with recurring lines taken out of the text, and __lines, __dropped, __tokens, __lost.
 
-    The last four count the document's lines and those dropped, its tokens and those dropped.
+    The last four count the document's lines and those dropped, its tokens (where lines were
+    dropped) and those dropped. They get more underscores if ``docs`` has such names.
     """
-    busy, found = recurring(docs, id_col, text_col, similar, long_line, short_docs, exact)
-    gone = busy.join(found, ["t", "t2"]).where(F.struct(*_document(F.col("d"), F.col("h"))) != F.col("first"))
-    gone = gone.groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_set("i").alias("__gone"), F.sum("n").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    rows = docs.withColumn("__g", F.xxhash64(text_col)).join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__g") == F.col("__h")), "left")
+    busy, found = recurring(docs, id_col, text_col, similar, evidence)
+    d, g, h, own, gone, total, rows_in, *names = fresh(docs, "__d", "__g", "__h", "__own", "__gone", "__sum", "__rows", "__lines", "__dropped", "__tokens", "__lost")
+    lost = busy.join(found, ["t", "t2"]).where(F.struct(*_document(F.col("d"), F.col("h"))) != F.col("first"))
+    lost = lost.groupBy(F.col("d").alias(d), F.col("h").alias(h)).agg(F.collect_set("i").alias(gone), F.sum("n").alias(total), F.count(F.lit(1)).alias(rows_in))
+    rows = docs.withColumn(g, F.xxhash64(text_col)).withColumn(own, F.col(id_col).cast("long")).join(lost, F.col(own).eqNullSafe(F.col(d)) & (F.col(g) == F.col(h)), "left")
     split = F.split(text_col, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
-    # Rows repeated as a whole gave each line several times.
-    lost = F.coalesce(F.col("__sum") * F.size("__gone") / F.col("__rows"), F.lit(0)).cast("long")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n"))
+    n_lines = F.when(F.col(text_col).isNotNull(), F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1)
     tokens = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda x: x != ""))
-    counts = [
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__dropped"),
-        F.when(F.col("__gone").isNotNull(), tokens).otherwise(F.lit(0)).cast("long").alias("__tokens"),
-        lost.alias("__lost"),
-    ]
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
+    counts = (
+        F.coalesce(n_lines, F.lit(0)),
+        F.coalesce(F.size(gone), F.lit(0)),
+        F.when(F.col(gone).isNotNull(), tokens).otherwise(F.lit(0)),
+        # Rows repeated as a whole gave each line several times.
+        F.coalesce(F.col(total) * F.size(gone) / F.col(rows_in), F.lit(0)),
+    )
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *[c.cast("long").alias(name) for c, name in zip(counts, names)])
 
 
 def drop_recurring_lines(docs: DataFrame, most_lost: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -187,10 +155,11 @@ def drop_recurring_lines(docs: DataFrame, most_lost: float = 0.5, id_col: str =
     A document that loses more than ``most_lost`` of its tokens is a copy in the main and goes.
     A column n_chars follows the text.
     """
-    found = dedup_lines(docs, id_col, text_col, exact=True, **options)
-    found = found.where((F.col("__dropped") == 0) | (F.col("__lost") <= most_lost * F.col("__tokens")))
+    _, dropped, tokens, lost = fresh(docs, "__lines", "__dropped", "__tokens", "__lost")
+    found = dedup_lines(docs, id_col, text_col, **options)
+    found = found.where((F.col(dropped) == 0) | (F.col(lost) <= most_lost * F.col(tokens)))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
 
 
@@ -199,9 +168,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
 
 
-#: The same tree over the table's lines, every template by its text.
+#: The same tree over the table's lines: all pairs of a leaf compared token by token, groups by recursion.
 OP7_SQL = r"""
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT doc_id AS d, str_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
 line AS (
   SELECT d, k - 1 AS i, trim(regexp_replace(parts[k], '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS line
@@ -211,18 +180,17 @@ masked AS (
 placed AS (
   SELECT d, i, n, template, array_to_string(str_split(template, ' ')[1:3], ' ') AS lead
   FROM (SELECT *, CASE WHEN (length(m) - length(replace(m, '<*>', ''))) / 3 * 2 > n THEN line ELSE m END AS template FROM masked)),
-templates AS (
-  SELECT template, n, lead, count(*) AS lines, count(DISTINCT d) AS docs, min(d) AS first, max(d) AS last, min(struct_pack(d := d, i := i)) AS place FROM placed GROUP BY ALL),
-speaks AS (
-  SELECT n, lead, template AS rep FROM templates WHERE n >= 8
-  QUALIFY row_number() OVER (PARTITION BY n, lead ORDER BY lines DESC, place) = 1),
-grouped AS (
-  SELECT t.*, CASE WHEN rep IS NOT NULL AND list_sum(list_transform(range(0, 16), lambda k: CAST(
-             str_split(template, ' ')[k * w + 1 : k * w + w] = str_split(rep, ' ')[k * w + 1 : k * w + w] AS INT))) - (16 - ceil(n / w)) >= 0.75 * ceil(n / w) THEN rep ELSE template END AS g
-  FROM (SELECT *, CAST(ceil(n / 16.0) AS BIGINT) AS w FROM templates) t LEFT JOIN speaks USING (n, lead)),
+templates AS (SELECT DISTINCT template, n, lead, str_split(template, ' ') AS w FROM placed),
+agree AS (
+  SELECT a.template AS u, b.template AS v FROM templates a JOIN templates b ON a.n = b.n AND a.lead = b.lead AND a.template <> b.template
+  WHERE len(list_filter(list_zip(a.w, b.w), lambda x: x[1] = x[2])) >= 0.75 * a.n),
+reach AS (
+  SELECT template AS a, template AS b FROM templates
+  UNION SELECT a, v FROM reach JOIN agree ON b = u),
+grouped AS (SELECT a AS template, min(b) AS g FROM reach GROUP BY a),
 groups AS (
-  SELECT g, min(first) AS first FROM grouped GROUP BY g
-  HAVING (max(n) >= 8 AND min(first) <> max(last)) OR (max(n) < 8 AND sum(docs) >= 10)),
+  SELECT g, min(d) AS first FROM placed JOIN grouped USING (template) GROUP BY g
+  HAVING count(DISTINCT d) >= 2 AND count(DISTINCT d) * max(n) >= 16),
 gone AS (
   SELECT p.d, list(DISTINCT p.i) AS gone FROM placed p JOIN grouped USING (template) JOIN groups USING (g)
   WHERE p.d <> groups.first GROUP BY p.d)

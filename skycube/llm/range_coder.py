@@ -49,51 +49,52 @@ def spread(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The adaptive state of all lanes. ``predict`` gives the mixture, ``learn`` takes the ids coded."""
+    """The adaptive state of all lanes. ``predict`` gives the mixture, ``learn`` takes the ids coded.
+
+    Row 0 of its arrays is order 1, row 1 order 2; both are taken and learned in one pass.
+    """
 
     def __init__(self, lanes: int):
-        self.lane1 = np.arange(lanes, dtype=np.int32) << ONE_BITS
-        self.lane2 = np.arange(lanes, dtype=np.int32) << TWO_BITS
-        self.one, self.two = np.full(lanes << ONE_BITS, -4, np.int32), np.full(lanes << TWO_BITS, -4, np.int32)
-        self.rates1, self.rates2 = np.tile(START[0], lanes), np.tile(START[1], lanes)
-        self.rate_at = np.arange(lanes, dtype=np.int32) << 2
-        self.last = np.zeros(lanes, np.uint32)
-        self.mixed = np.zeros(lanes, np.uint32)
+        lane = np.arange(lanes, dtype=np.int32)
+        self.lane = np.stack([lane << ONE_BITS, (lanes << ONE_BITS) + (lane << TWO_BITS)])
+        self.table = np.full((lanes << ONE_BITS) + (lanes << TWO_BITS), -4, np.int32)
+        self.rates = np.concatenate([np.tile(START[0], lanes), np.tile(START[1], lanes)])
+        self.rate_at = np.stack([lane << 2, (lane + lanes) << 2])
+        self.last, self.mixed = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.key = np.zeros((2, lanes), np.uint32)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids predicted by order 2 and order 1, and the ends of their shares, for the first ``n`` lanes."""
         h = self.last[:n] * FACTOR
-        both = (h + self.mixed[:n]) >> np.uint32(32 - TWO_BITS)
+        key = self.key[:, :n]
+        np.right_shift(h, np.uint32(32 - ONE_BITS), out=key[0])
+        np.right_shift(h + self.mixed[:n], np.uint32(32 - TWO_BITS), out=key[1])
         self.mixed[:n] = h >> np.uint32(7)
-        h >>= np.uint32(32 - ONE_BITS)
-        self.at1, self.at2 = self.lane1[:n] + h.view(np.int32), self.lane2[:n] + both.view(np.int32)
-        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.sure1, self.sure2 = self.e1 & 3, self.e2 & 3
-        self.where1, self.where2 = self.rate_at[:n] + self.sure1, self.rate_at[:n] + self.sure2
-        self.r1, self.r2 = self.rates1.take(self.where1), self.rates2.take(self.where2)
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        m1 = ((1 << WHOLE) - self.r2) * (self.r1 >> 1)
+        self.at = self.lane[:, :n] + key.view(np.int32)
+        self.entry = self.table.take(self.at)
+        self.sure = self.entry & 3
+        self.where = self.rate_at[:, :n] + self.sure
+        self.rate = self.rates.take(self.where)
+        self.guess = self.entry >> 2
+        (r1, r2), (p1, p2) = self.rate, self.guess
+        m1 = ((1 << WHOLE) - r2) * (r1 >> 1)
         m1 >>= WHOLE - 1
         m1 += 1
-        end1 = self.r2 + m1
-        m1 *= self.p1 == self.p2  # what order 1 would take goes to the same id of order 2
-        return self.p2, self.p1, np.minimum(self.r2 + m1, end1), end1
+        end1 = r2 + m1
+        m1 *= p1 == p2  # what order 1 would take goes to the same id of order 2
+        m1 += r2
+        return p2, p1, np.minimum(m1, end1, out=m1), end1
 
     def learn(self, ids: np.ndarray) -> None:
-        fresh = ids << 2
-        for table, rates, at, e, sure, where, r, p in (
-            (self.one, self.rates1, self.at1, self.e1, self.sure1, self.where1, self.r1, self.p1),
-            (self.two, self.rates2, self.at2, self.e2, self.sure2, self.where2, self.r2, self.p2),
-        ):
-            hit = p == ids
-            e += sure < 3
-            table[at] = np.where(hit, e, fresh)
-            goal = hit * np.int32(MOST - FEWEST)
-            goal -= r
-            goal += FEWEST
-            goal >>= 5
-            r += goal
-            rates[where] = r
+        hit = self.guess == ids
+        self.entry += self.sure < 3
+        self.table[self.at] = np.where(hit, self.entry, ids << 2)
+        goal = hit * np.int32(MOST - FEWEST)
+        goal -= self.rate
+        goal += FEWEST
+        goal >>= 5
+        goal += self.rate
+        self.rates[self.where] = goal
         self.last[: len(ids)] = ids
 
 

@@ -6,11 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-TEXTS_IN_BATCH = 1000
+BATCH_BYTES, SPARK_BATCH_BYTES = 4 << 20, "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,15 +39,21 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/skycube/{tag}-{uuid.uuid4().hex}"
 
 
-def map_texts(df: DataFrame, rows, schema) -> DataFrame:
-    """``df.mapInArrow(rows, schema)`` in batches that suit long texts.
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds an Arrow batch by bytes, so that long texts do not add up in a worker.
 
-    Spark's default of 10,000 rows is some dozens of MB of text in a worker, several times over;
-    a session that sets its own number keeps it. What Arrow holds goes back after each task.
+    Spark's default is 64 MB, which a worker holds several times over. A session that chose a
+    bound of its own keeps it; one with the default gets ``BATCH_BYTES`` when it first hands
+    texts to Python. A batch has one row at least, so a text of any length passes.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) == 10_000:
-        df.sparkSession.conf.set(key, TEXTS_IN_BATCH)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == SPARK_BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def map_texts(df: DataFrame, rows, schema) -> DataFrame:
+    """``df.mapInArrow(rows, schema)`` in batches that suit long texts. What Arrow holds goes back after each task."""
+    bound_batches(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -56,6 +66,38 @@ def map_texts(df: DataFrame, rows, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def judge_texts(text: Column, values, schema: str, spark: SparkSession) -> Column:
+    """A struct of ``schema`` for each text; ``values`` maps lists of texts (null: empty) to lists of dicts.
+
+    Only the texts go to Python, once, and only the judgement comes back; all other columns
+    stay where they are. The column is marked as not deterministic so that a filter on it is
+    not evaluated a second time below a projection.
+    """
+    bound_batches(spark)
+    kind = to_arrow_type(StructType.fromDDL(schema))
+
+    @F.arrow_udf(schema)
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.array(values([x or "" for x in batch.to_pylist()]), kind)
+        pa.default_memory_pool().release_unused()
+
+    return judged.asNondeterministic()(text)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, made from ``names`` with underscores in front."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, tag)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, map_texts, stored
+from .shared import components, fresh, map_texts, stored
 
 BITS = 64
 CHUNK = 1 << 15
@@ -361,11 +361,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     winners = found.groupBy(*group).agg(F.min(rank).alias("w")).select("w.doc_id", "w.h")
     losers = found.select("doc_id", "h").distinct()
     gone = losers.join(winners, losers.doc_id.eqNullSafe(winners.doc_id) & (losers.h == winners.h), "left_anti")
-    keep = docs.withColumn("__h", F.xxhash64(text_col))
-    left = keep.join(gone.select(F.col("doc_id").alias("__d"), F.col("h").alias("__g")), F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g")), "left_anti")
+    h, d, g = fresh(docs, "__h", "__d", "__g")
+    keep = docs.withColumn(h, F.xxhash64(text_col))
+    left = keep.join(gone.select(F.col("doc_id").alias(d), F.col("h").alias(g)), F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(g)), "left_anti")
     if found.groupBy("doc_id", "h").count().where("count > 1").take(1):
-        left = left.dropDuplicates([id_col, "__h"])
-    return left.drop("__h").select(docs.columns)
+        left = left.dropDuplicates([id_col, h])
+    return left.select(docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import unicodedata
 
 import numpy as np
 
+PIECE = 64
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPLIT = re.compile(r"(?<=\S) ")
@@ -38,16 +39,23 @@ class Tokens:
     """``encode(texts)`` gives all ids in one array and each text's place in it.
 
     Equal to ``Tokenizer.encode(text, add_special_tokens=False)`` with
-    ``encode_special_tokens`` on. At most ``max_pieces`` distinct pieces are remembered;
-    then the memory starts afresh.
+    ``encode_special_tokens`` on, so strings of special tokens are ordinary text. A hash only
+    says where a piece may be remembered: its code points are compared before its ids are taken.
+    At most ``max_pieces`` distinct pieces of up to ``PIECE`` code points are remembered; then
+    the memory starts afresh.
     """
 
     def __init__(self, path: str, max_pieces: int = 1 << 20):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path).model
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        # The library's model on pieces that are cut already: byte 255, which is in no UTF-8 text, parts them.
+        self.pieces = Tokenizer(Tokenizer.from_file(path).model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(byte_alphabet()[255])
+        vocabulary = self.pieces.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
         self.kind = char_classes()
-        self.alphabet = byte_alphabet()
+        self.alphabet = np.array([ord(c) for _, c in sorted(byte_alphabet().items())], np.uint32)
         self.max_pieces, self.bits = max_pieces, max_pieces.bit_length()
         rng = np.random.default_rng(7)
         self.base = np.uint64(int(rng.integers(1 << 62)) | 1)
@@ -58,10 +66,9 @@ class Tokens:
     def clear(self) -> None:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.full(1 << self.bits, -1, np.int32)
-        self.n, self.n_ids = 0, 0
-        self.start = np.zeros(1 << 12, np.int64)
-        self.count = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint32)
+        self.n, self.n_ids, self.n_chars = 0, 0, 0
+        self.start, self.count, self.spelt = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.ids, self.chars = np.zeros(1 << 14, np.uint32), np.zeros(1 << 15, np.uint32)
 
     def cuts(self, c: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Starts of pieces in code points ``c``; positions ``edges`` separate texts."""
@@ -92,7 +99,7 @@ class Tokens:
                 start[at[at + width < len(c)] + width] = True
         return np.flatnonzero(start)
 
-    def hashes(self, c: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    def hashes(self, c: np.ndarray, cut: np.ndarray, end: np.ndarray) -> np.ndarray:
         n = len(c)
         if len(self.powers) < n:
             size = max(n, 1 << 16)
@@ -107,7 +114,6 @@ class Tokens:
         v *= self.powers[:n]
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(v, out=total[1:])
-        end = np.append(cut[1:], n)
         h = (total[end] - total[cut]) * self.inverses[cut]
         h ^= (end - cut).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
@@ -130,58 +136,91 @@ class Tokens:
         out[key != h] = -1
         return out
 
-    def learn(self, h: int, ids: list[int]) -> None:
-        mask = (1 << self.bits) - 1
-        slot = h >> (64 - self.bits)
-        while self.keys[slot]:
-            slot = (slot + 1) & mask
-        if self.n == len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        while self.n_ids + len(ids) > len(self.ids):
+    def keep(self, texts: list[str], codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Encodes pieces by the library's model; the places of their ids and of their ``codes``, as many as ``lengths`` says."""
+        raw = np.frombuffer("\udcff".join(texts).encode("utf-8", "surrogateescape"), np.uint8)
+        found = np.array(self.pieces.encode_batch_fast([self.alphabet.take(raw).tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.int64)
+        # Tokens are whole bytes of their piece, so their lengths tell where the pieces end.
+        parts = np.append(np.flatnonzero(raw == 255), len(raw))
+        count = np.diff(np.searchsorted(np.cumsum(self.bytes_of[found]), parts - np.arange(len(parts))) + 1, prepend=0)
+        n, n_ids, n_chars = self.n + len(texts), self.n_ids + len(found), self.n_chars + len(codes)
+        while n > len(self.start):
+            self.start, self.count, self.spelt = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.spelt))
+        while n_ids > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.keys[slot], self.values[slot] = h, self.n
-        self.start[self.n], self.count[self.n] = self.n_ids, len(ids)
-        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-        self.n += 1
-        self.n_ids += len(ids)
+        while n_chars > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
+        self.start[self.n : n], self.count[self.n : n] = self.n_ids + np.cumsum(count) - count, count
+        self.spelt[self.n : n] = self.n_chars + np.cumsum(lengths) - lengths
+        self.ids[self.n_ids : n_ids], self.chars[self.n_chars : n_chars] = found, codes
+        first, self.n, self.n_ids, self.n_chars = self.n, n, n_ids, n_chars
+        return np.arange(first, n)
+
+    def learn(self, h: np.ndarray, places: np.ndarray) -> None:
+        """Enters different hashes that are not in the table."""
+        mask = (1 << self.bits) - 1
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = h[free]
+            won = free[self.keys[slot[free]] == h[free]]
+            self.values[slot[won]] = places[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & mask
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\n".join(texts) + "\n"
         c = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         edges = np.cumsum(np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))) - 1
         cut = self.cuts(c, edges)
-        h = self.hashes(c, cut)
-        piece = self.find(h)
+        end = np.append(cut[1:], len(c))
+        h = self.hashes(c, cut, end)
         # An edge is a piece without ids: only a text's own pieces are looked up.
         is_edge = np.zeros(len(c), bool)
         is_edge[edges] = True
         is_edge = is_edge[cut]
-        unknown = np.flatnonzero((piece < 0) & ~is_edge)
+        rare = is_edge | (end - cut > PIECE)
+        piece = self.find(h)
+        unknown = np.flatnonzero((piece < 0) & ~rare)
         if len(unknown):
             _, first = np.unique(h[unknown], return_index=True)
             if self.n + len(first) > self.max_pieces:
                 self.clear()
-                unknown = np.flatnonzero(~is_edge)
+                unknown = np.flatnonzero(~rare)
                 _, first = np.unique(h[unknown], return_index=True)
                 while len(first) > self.max_pieces:
                     self.max_pieces, self.bits = self.max_pieces * 2, self.bits + 1
                     self.clear()
-            end = np.append(cut[1:], len(c))
-            tokenize, alphabet = self.model.tokenize, self.alphabet
-            for i in unknown[first].tolist():
-                text = joined[cut[i] : end[i]].encode().decode("latin-1").translate(alphabet)
-                self.learn(int(h[i]), [x.id for x in tokenize(text)])
+            new = np.sort(unknown[first])
+            length = end[new] - cut[new]
+            codes = c[np.repeat(cut[new] - np.cumsum(length) + length, length) + np.arange(length.sum())]
+            self.learn(h[new], self.keep([joined[a:b] for a, b in zip(cut[new].tolist(), end[new].tolist())], codes, length))
             piece = self.find(h)
+        mark = self.n, self.n_ids, self.n_chars
+        # Pieces that only share a hash with a remembered one, and long ones, are encoded for this batch alone.
+        if self.n_chars:
+            at = np.repeat((self.spelt[piece] - cut).astype(np.int32), end - cut)
+            at += np.arange(len(c), dtype=np.int32)
+            other = self.chars.take(at, mode="clip") != c
+            rare = rare | np.logical_or.reduceat(other, cut)
+        rare = np.flatnonzero(rare & ~is_edge)
+        if len(rare):
+            found = [joined[a:b] for a, b in zip(cut[rare].tolist(), end[rare].tolist())]
+            different = {text: k for k, text in enumerate(dict.fromkeys(found))}
+            places = self.keep(list(different), c[:0], np.zeros(len(different), np.int64))
+            piece[rare] = places[[different[x] for x in found]]
         piece[is_edge] = 0
         n = np.where(is_edge, 0, self.count[piece] if self.n else 0)
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
         at = np.repeat((self.start[piece] if self.n else 0) - total[:-1], n) + np.arange(total[-1])
         ends = total[np.flatnonzero(is_edge)]
-        return self.ids[at], np.append(0, ends)
+        out = self.ids[at]
+        self.n, self.n_ids, self.n_chars = mark
+        return out, np.append(0, ends)
 
-    def encode(self, texts: list[str], chars: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], chars: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         parts, owner = [], []
         for i, text in enumerate(texts):
             at = 0

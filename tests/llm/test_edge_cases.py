@@ -13,7 +13,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the quick brown fox jumps over a lazy dog while seven small birds sing in old trees"
 LONG = " ".join(f"{w}{i % 97}" for i in range(20_000) for w in ("alpha", "beta"))
-CLASHING = ["h", "d", "g", "t", "i", "n", "fp", "leaf", "kinds", "spans", "found", "part", "piece", "start", "length", "component_id", "score", "p"]
+CLASHING = ["h", "d", "g", "t", "i", "n", "fp", "leaf", "kinds", "spans", "found", "part", "piece", "start", "length", "component_id", "score", "p", "__lang", "__score", "__both", "__match", "__old", "__hits", "__d", "__h", "__g", "__gone", "__lines", "__dropped", "__lost", "__tokens", "__own", "_tmp"]
 
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,9 @@
 """Training-data stages against brute force where a shortcut would leave a part of the job."""
 
 import random
+import re
 
-from skycube.llm import decontaminate, line_dedup, simhash
+from skycube.llm import decontaminate, language, line_dedup, simhash
 
 
 def shingles(text, words=5):
@@ -39,6 +40,37 @@ def test_near_copies_by_exact_similarity(spark):
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == sorted(set(least))
 
 
+def tree(rows, similar=0.75, evidence=16):
+    """Lines dropped from each document by the plain tree: every two templates of a leaf compared."""
+    placed = []
+    for d, text in rows:
+        for line in (text or "").split("\n"):
+            words = re.sub(r"[ \t\x0b\f\r]+", " ", line).strip(" ")
+            if words:
+                masked = ["<*>" if re.search("[0-9]", w) else w for w in words.split(" ")]
+                placed.append((d, tuple(words.split(" ")) if masked.count("<*>") * 2 > len(masked) else tuple(masked)))
+    templates = sorted({t for _, t in placed})
+    group = {t: t for t in templates}
+    for a in templates:
+        for b in templates:
+            if len(a) == len(b) and a[:3] == b[:3] and sum(x == y for x, y in zip(a, b)) >= similar * len(a) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = {t: new if g == old else g for t, g in group.items()}
+    docs = {}
+    for d, t in placed:
+        docs.setdefault(group[t], set()).add(d)
+    gone = dict.fromkeys([d for d, _ in rows], 0)
+    for d, t in placed:
+        seen = docs[group[t]]
+        gone[d] += len(seen) > 1 and len(seen) * len(t) >= evidence and d != min(seen)
+    return gone
+
+
+def dropped(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: r["__dropped"] for r in line_dedup.dedup_lines(df).collect()}
+
+
 def test_long_lines_agree_token_by_token(spark):
     """A recurring line of 147 tokens with six changed ones is found; one with a third of them changed is not."""
     base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(147)]
@@ -48,21 +80,34 @@ def test_long_lines_agree_token_by_token(spark):
     for i in range(4, 147, 3):
         many[i] = "another"
     rows = [(k, f"own start {'x' * k}\n" + " ".join(w)) for k, w in enumerate((base, base, few, many))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r["__dropped"] for r in line_dedup.dedup_lines(df, exact=True).collect()}
-    assert got == {0: 0, 1: 1, 2: 1, 3: 0}
+    assert dropped(spark, rows) == {0: 0, 1: 1, 2: 1, 3: 0} == tree(rows)
 
 
-def test_every_family_of_a_leaf_has_a_speaker(spark, monkeypatch):
-    """Three families under one opening, and a line that one document repeats: all families are found, in rounds or by pairs."""
-    line = lambda family, field: "the same opening " + " ".join(f"{family}{c}" for c in "abcdefghi") + f" {field}"
+def test_every_family_of_a_leaf_is_found(spark):
+    """Families under one opening, each varying in one word, and a line that one document repeats."""
+    line = lambda family, field: "the same opening " + " ".join(f"{family}{c}" for c in "abcdefg") + f" {field}"
     rows = [(k, f"own {'x' * k}\n" + line("pqr"[k % 3], "abcdefghi"[k])) for k in range(9)]
     rows.append((9, "\n".join([line("z", "z")] * 30)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for pairs in (20, 0):
-        monkeypatch.setattr(line_dedup, "PAIRS", pairs)
-        got = {r.doc_id: r["__dropped"] for r in line_dedup.dedup_lines(df, exact=True).collect()}
-        assert got == {k: int(3 <= k < 9) for k in range(10)}
+    assert dropped(spark, rows) == {k: int(3 <= k < 9) for k in range(10)} == tree(rows)
+    rows = [(k, line("p" if k < 4 else "q", "abcdefg"[k])) for k in range(7)]
+    assert sum(dropped(spark, rows).values()) == 5
+
+
+def test_lines_against_the_plain_tree(spark):
+    """Lines of 1 to 30 tokens from few words, so that leaves hold many templates that agree more or less."""
+    r = random.Random(11)
+    rows = []
+    for d in range(60):
+        lines = []
+        for _ in range(12):
+            n = r.choice([1, 2, 4, 5, 6, 8, 9, 12, 30])
+            base = [f"w{chr(97 + (7 * i + n) % 26)}" for i in range(n)]
+            for _ in range(r.choice([0, 0, 1, 2, 4, 9])):
+                base[r.randrange(n)] = r.choice(["alpha", "beta", "gamma", "x1", "22", "c"])
+            lines.append(r.choice(["", " ", "\t"]) + r.choice([" ", "  "]).join(base))
+        rows.append((d, "\n".join(lines)))
+    got = dropped(spark, rows)
+    assert got == tree(rows) and 0 < sum(got.values()) < 720
 
 
 def test_short_items_are_cut(spark):
@@ -72,3 +117,22 @@ def test_short_items_are_cut(spark):
     items = spark.createDataFrame([("i", "What is the capital")], "item_id string, text string")
     got = {r.doc_id: r.text.split() for r in decontaminate.decontaminate(df, items).collect()}
     assert got == {1: words, 2: words}
+
+
+def test_cuts_over_several_shards(spark):
+    """Runs of hits from different shards that touch are one; what is cut does not depend on the shards."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+    rows = [(1, "Ä! " + " ".join(words)), (2, " ".join(words[:50]) + " own words that follow here"), (3, None), (4, "nothing of it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(words[k : k + 12])) for k in range(0, 40, 4)] + [(99, "own words")], "item_id long, text string")
+    one, many = (sorted((r.doc_id, r.text) for r in decontaminate.decontaminate(df, items, max_coverage=0.8, max_words=m).collect() if r.text) for m in (10**6, 20))
+    assert one == many and len(one) == 2 and one[1] == (4, "nothing of it")
+    assert one[0][1].split()[0] == "Ä!" and one[0][1].split()[1:] == words[48:]
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    """A row repeated many times counts once in the sample, and no language is left out, however many there are."""
+    same = spark.range(20_000).selectExpr("1L AS doc_id", "'the same words again and again' AS text", "'en' AS lang")
+    many = spark.range(900).selectExpr("id AS doc_id", "concat('wort ', repeat(chr(97 + cast(id % 26 AS int)), 3), ' ', id) AS text", "concat('l', id % 300) AS lang")
+    model = language.train(same.unionByName(many))
+    assert sum(map(len, model.families)) == 301
