@@ -50,6 +50,14 @@ def key_timestamp(key: Column) -> Column:
     return F.try_to_timestamp(found(key, STAMP), F.lit("yyyyMMdd_HHmmss"))
 
 
+def mixed_time_key(value: Column) -> Column:
+    """A time key from text that may be a key already, an MJD, a Unix time in s or ns, or an ISO date; NULL for none."""
+    x = value.try_cast("double")
+    us = F.when(x > 1e15, x / 1e3).when(x > 1e6, x * 1e6).when(x > 0, (x - MJD_UNIX) * 86_400_000_000)
+    numeric = F.date_format(F.timestamp_micros(F.rint(us / 1e6).cast("long") * 1_000_000), "yyyyMMdd_HHmmss")
+    return F.coalesce(found(value, LST_STAMP), found(value, STAMP), numeric, F.date_format(F.try_to_timestamp(value), "yyyyMMdd_HHmmss"))
+
+
 def mjd(ts: Column) -> Column:
     """Modified Julian date of a timestamp."""
     return F.unix_micros(ts.cast("timestamp")) / 86_400_000_000 + MJD_UNIX

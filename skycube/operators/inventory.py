@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +30,12 @@ def described(files: DataFrame) -> DataFrame:
 def first_of(files: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; rows with a NULL key are all kept.
 
-    Done by a minimum, which combines on the map side, and a join back, so a key with very many
-    files is never sorted in one task.
+    One aggregate: the running minimum is the whole row, so it combines on the map side, a key
+    with very many files is never sorted in one task, and the input is read once.
     """
-    known = files.dropna(subset=keys)
-    best = known.groupBy(*keys).agg(F.min(F.struct(*order)).alias("best")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("best").alias("_best"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    kept = known.join(best, [*same, F.struct(*order) == F.col("_best")], "left_semi")
-    loose = files.where(" OR ".join(f"{k} IS NULL" for k in keys))
-    return kept.unionByName(loose)
+    loose = F.when(reduce(Column.__or__, [F.col(k).isNull() for k in keys]), F.monotonically_increasing_id())
+    first = F.min_by(F.struct(*files.columns), F.struct(*order)).alias("x")
+    return files.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], loose.alias("_loose")).agg(first).select("x.*")
 
 
 def deduplicated(files: DataFrame) -> DataFrame:
@@ -67,13 +66,22 @@ def resolved(files: DataFrame, choose, schema: str) -> DataFrame:
 def merged_keys(keys: DataFrame, tolerance_s: float) -> DataFrame:
     """(time_key, group_key): keys whose sorted times leave gaps of at most the tolerance are one group, named by the earliest.
 
-    Works on distinct keys, of which there is one for each observation, not one for each file.
+    Works on distinct keys, one for each observation. Keys are put in order within their day;
+    a table of one row a day then tells how each day's first group hangs on to the days before.
+    Keys without a time are groups of their own.
     """
-    w = Window.orderBy("mjd", "time_key")
-    gap = (F.col("mjd") - F.lag("mjd").over(w)) * 86400
-    rows = keys.select("time_key", "mjd").distinct().withColumn("new", F.when(gap <= tolerance_s + 1e-6, 0).otherwise(1))
-    rows = rows.withColumn("g", F.sum("new").over(w))
-    return rows.select("time_key", F.first("time_key").over(Window.partitionBy("g").orderBy("mjd", "time_key")).alias("group_key"))
+    rows = keys.select("time_key", "mjd").distinct().withColumn("day", F.floor("mjd"))
+    far = lambda gap: gap * 86400 > tolerance_s + 1e-6
+    w, key = Window.partitionBy("day").orderBy("mjd", "time_key"), F.struct("mjd", "time_key")
+    timed = rows.where("mjd IS NOT NULL").withColumn("starts", F.coalesce(far(F.col("mjd") - F.lag("mjd").over(w)), F.lit(False)))
+    days = timed.groupBy("day").agg(F.min("mjd").alias("first"), F.max("mjd").alias("last"), F.min_by("time_key", key).alias("first_key"), F.max_by("time_key", F.when(F.col("starts"), key)).alias("inner"))
+    d = Window.orderBy("day")
+    days = days.withColumn("opens", F.coalesce(far(F.col("first") - F.lag("last").over(d)), F.lit(True)))
+    days = days.withColumn("begins", F.when(F.col("opens"), F.col("first_key")))
+    days = days.withColumn("carried", F.last(F.coalesce("inner", "begins"), True).over(d.rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.last(F.when(F.col("starts"), F.col("time_key")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    named = timed.join(days.select("day", F.coalesce("begins", "carried").alias("at_dawn")), "day").select("time_key", F.coalesce(inside, F.col("at_dawn")).alias("group_key"))
+    return named.unionByName(rows.where("mjd IS NULL").select("time_key", F.col("time_key").alias("group_key")))
 
 
 def consistent_beams(files: DataFrame) -> DataFrame:
@@ -96,12 +104,20 @@ def not_stored(files: DataFrame, stored: DataFrame) -> DataFrame:
 def beam_donors(beams: DataFrame) -> DataFrame:
     """For each missing beam the valid one of the same subband nearest in time, of two the earlier.
 
-    ``beams``: mhz, mjd, bmaj. Two as-of windows instead of a self-join.
+    ``beams``: mhz, mjd, bmaj. As-of windows within (subband, day); a table of one row for each
+    such pair carries the last valid beam before a day and the first one after it.
     """
-    w = Window.partitionBy("mhz").orderBy("mjd")
     valid = F.when(F.col("bmaj") > 0, F.struct("mjd", "bmaj"))
-    rows = beams.withColumns({"back": F.last(valid, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "ahead": F.first(valid, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    nearer = F.when(F.col("back").isNull(), F.col("ahead")).when(F.col("ahead").isNull(), F.col("back")).when(F.col("mjd") - F.col("back.mjd") <= F.col("ahead.mjd") - F.col("mjd"), F.col("back")).otherwise(F.col("ahead"))
+    rows = beams.withColumn("_day", F.floor("mjd"))
+    w, d = Window.partitionBy("mhz", "_day").orderBy("mjd"), Window.partitionBy("mhz").orderBy("_day")
+    days = rows.groupBy("mhz", "_day").agg(F.min(valid).alias("first"), F.max(valid).alias("last"))
+    days = days.select(
+        F.col("mhz").alias("_mhz"), F.col("_day").alias("_of"), F.last("last", True).over(d.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(d.rowsBetween(1, Window.unboundedFollowing)).alias("after")
+    )
+    rows = rows.withColumns({"back": F.last(valid, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "ahead": F.first(valid, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    rows = rows.join(days, F.col("mhz").eqNullSafe(F.col("_mhz")) & F.col("_day").eqNullSafe(F.col("_of")), "left")
+    back, ahead = F.coalesce("back", "before"), F.coalesce("ahead", "after")
+    nearer = F.when(back.isNull(), ahead).when(ahead.isNull(), back).when(F.col("mjd") - back["mjd"] <= ahead["mjd"] - F.col("mjd"), back).otherwise(ahead)
     return rows.withColumn("donor", nearer).select(*beams.columns, F.col("donor.mjd").alias("donor_mjd"), F.col("donor.bmaj").alias("donor_bmaj"))
 
 
@@ -157,10 +173,13 @@ def snapped(planes: DataFrame, channels: DataFrame, bin_hz: float = BIN_HZ) -> D
 
 
 def ingest_plan(files: DataFrame, stored: DataFrame, tolerance_s: float) -> DataFrame:
-    """Discovered files that a run would convert: de-duplicated, merged in time, valid, not stored."""
-    rows = deduplicated(described(files))
+    """Discovered files that a run would convert: de-duplicated, merged in time, valid, not stored.
+
+    The inventory is read twice: for its time keys, and for its files.
+    """
+    rows = described(files)
     groups = merged_keys(rows.select("time_key", "mjd"), tolerance_s)
-    rows = rows.join(groups, "time_key", "left").withColumn("group_key", F.coalesce("group_key", "time_key"))
+    rows = deduplicated(rows).join(groups, "time_key", "left").withColumn("group_key", F.coalesce("group_key", "time_key"))
     rows = first_of(rows, ["group_key", "mhz", "stokes"], ["time_key", "path"])
     return not_stored(consistent_beams(rows).where("size_bytes > 0"), stored)
 
@@ -181,17 +200,46 @@ def key_agreement(files: DataFrame) -> DataFrame:
 
 
 def mapped_times(stored: DataFrame, groups: DataFrame, tolerance_s: float = 6.0) -> DataFrame:
-    """(time_idx, group_key): the group with the stored time's key, else the nearest within the tolerance; NULL without one.
-
-    ``stored``: time_idx, time_key, mjd; ``groups``: group_key, mjd. Groups stand in their bucket
-    of one tolerance and both neighbours, so an equality join meets every pair in reach.
+    """(time_idx, group_key): which file group each stored time is.
+
+    ``stored``: time_idx, time_key, mjd; ``groups``: group_key, mjd. A stored time takes the
+    group of its key. If none has one, both sides are equally many, and put in order all lie
+    within the tolerance of each other, they are taken in order. Else it takes the nearest group
+    within the tolerance, or none. Groups stand in their bucket of one tolerance and both
+    neighbours, so an equality join meets every pair in reach. Both tables have a row for each
+    time step; the ranks that the second rule compares need them in one order.
     """
     exact = stored.join(groups.select("group_key"), F.col("time_key") == F.col("group_key"), "left").select("time_idx", "mjd", "group_key")
     bucket = lambda c: F.floor(c * 86400 / tolerance_s).cast("long")
     near = groups.select(F.col("group_key").alias("g"), F.col("mjd").alias("m"), F.explode(F.array(*[bucket(F.col("mjd")) + k for k in (-1, 0, 1)])).alias("b"))
     gap = F.abs(F.col("mjd") - F.col("m")) * 86400
-    close = exact.where("group_key IS NULL").join(near, bucket(F.col("mjd")) == F.col("b")).where(gap <= tolerance_s + 1e-6).groupBy("time_idx").agg(F.min_by("g", F.struct(gap, "g")).alias("g"))
-    return exact.join(close, "time_idx", "left").select("time_idx", F.coalesce("group_key", "g").alias("group_key"))
+    within = gap <= tolerance_s + 1e-6
+    close = exact.where("group_key IS NULL").join(near, bucket(F.col("mjd")) == F.col("b")).where(within).groupBy("time_idx").agg(F.min_by("g", F.struct(gap, "g")).alias("g"))
+    rank = lambda *by: F.row_number().over(Window.orderBy(*by))
+    pairs = exact.withColumn("k", rank("time_idx")).join(groups.select(F.col("group_key").alias("in_order"), F.col("mjd").alias("m"), rank("mjd", "group_key").alias("k")), "k", "full")
+    aligned = pairs.agg(F.coalesce(F.bool_and(F.col("time_idx").isNotNull() & F.col("in_order").isNotNull() & F.col("group_key").isNull() & F.coalesce(within, F.lit(False))), F.lit(False)).alias("all_aligned"))
+    out = exact.join(close, "time_idx", "left").join(pairs.select("time_idx", "in_order"), "time_idx").join(F.broadcast(aligned), F.lit(True))
+    return out.select("time_idx", F.coalesce("group_key", F.when(F.col("all_aligned"), F.col("in_order")), "g").alias("group_key"))
+
+
+def patched_grid(headers: DataFrame, mapped: DataFrame, sources: DataFrame) -> DataFrame:
+    """Grid headers whose CRVAL1 and CRVAL2 come from the source file of their time; those without one stay.
+
+    ``headers``: time_idx, header; ``mapped``: time_idx, group_key; ``sources``: group_key, path,
+    header. Of a group's files the first path with both values is the source.
+    """
+    crval = F.struct(*[F.col("header")[k].try_cast("double").alias(k.lower()) for k in ("CRVAL1", "CRVAL2")])
+    first = sources.select("group_key", "path", crval.alias("c")).where("c.crval1 IS NOT NULL AND c.crval2 IS NOT NULL").groupBy("group_key").agg(F.min_by("c", "path").alias("c"))
+    rows = headers.join(mapped, "time_idx", "left").join(first, "group_key", "left")
+    new = F.map_from_arrays(F.array(F.lit("CRVAL1"), F.lit("CRVAL2")), F.array(F.col("c.crval1").cast("string"), F.col("c.crval2").cast("string")))
+    kept = F.map_filter("header", lambda k, v: ~k.isin("CRVAL1", "CRVAL2"))
+    return rows.select("time_idx", F.when(F.col("c").isNotNull(), F.map_concat(kept, new)).otherwise(F.col("header")).alias("header"), F.col("c").isNotNull().alias("patched"))
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """Files of each time step in channel order: (frequency, or 1e15 Hz without one, then name)."""
+    at = F.struct(F.coalesce("freq_hz", F.lit(1e15)).alias("freq_hz"), "name", "path")
+    return files.withColumn("place", F.row_number().over(Window.partitionBy("time_key").orderBy(at)) - 1)
 
 
 def aligned_stokes(planes: DataFrame, stokes: list[int]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.store import pixels_at
+from .reduce import patch_statistic
 
 
 def track(sources: DataFrame, times: DataFrame, n_l: int, n_m: int, lat: float = G.SITE_LAT, lon: float = G.SITE_LON) -> DataFrame:
@@ -20,12 +22,20 @@ def track(sources: DataFrame, times: DataFrame, n_l: int, n_m: int, lat: float =
     return rows.select("source_id", "time_idx", F.when(F.col("visible"), at("l0", n_l)).otherwise(n_l).alias("l_idx"), F.when(F.col("visible"), at("m0", n_m)).otherwise(n_m).alias("m_idx"), "visible", "l0", "m0")
 
 
-def along(tracked: DataFrame, cells: DataFrame) -> DataFrame:
-    """Tracked pixels of all channels; a hidden or absent one stays as a row with NULL flux."""
-    wanted = tracked.select("source_id", "time_idx", "l_idx", "m_idx", "visible")
-    channels = cells.select("freq_idx", "pol_idx").distinct()
-    keys = ["time_idx", "freq_idx", "pol_idx", "l_idx", "m_idx"]
-    return wanted.join(F.broadcast(channels), F.lit(True)).join(cells.select(*keys, "flux"), keys, "left")
+def along(tracked: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
+    """Tracked pixels of all channels, straight from tile arrays; a hidden or absent one stays as a row with NULL flux.
+
+    Rows without a pixel are made beside, from tile keys alone, so the pixels need no outer join.
+    """
+    plane = ["freq_idx", "pol_idx"]
+    wanted = tracked.select("source_id", "time_idx", "l_idx", "m_idx", "visible", F.expr(f"l_idx div {tile}").alias("tile_l"), F.expr(f"m_idx div {tile}").alias("tile_m"))
+    out = ["source_id", "time_idx", *plane, "l_idx", "m_idx", "visible", "flux"]
+    found = pixels_at(tiles, tracked, tile).withColumn("visible", F.lit(True)).select(out)
+    channels, seen = tiles.select(*plane).distinct(), wanted.where("visible")
+    keys = ["time_idx", "tile_l", "tile_m"]
+    absent = seen.select(*keys).distinct().join(channels, F.lit(True)).join(tiles.select(*keys, *plane), [*keys, *plane], "left_anti")
+    empty = wanted.where("NOT visible").join(channels, F.lit(True)).unionByName(seen.join(absent, keys).select(*wanted.columns, *plane))
+    return found.unionByName(empty.withColumn("flux", F.lit(None).cast("double")).select(out))
 
 
 def patches(tracked: DataFrame, cells: DataFrame, radius: int, tile: int = 64) -> DataFrame:
@@ -41,6 +51,18 @@ def patches(tracked: DataFrame, cells: DataFrame, radius: int, tile: int = 64) -
     return wanted.join(pixels, ["time_idx", "tile_l", "tile_m"]).where(near).drop("tile_l", "tile_m")
 
 
+def patch_values(tracked: DataFrame, cells: DataFrame, radius: int, how: str, tile: int = 64) -> DataFrame:
+    """(source_id, time_idx, freq_idx, pol_idx, value): a statistic of the patch around each tracked pixel.
+
+    Sources at one pixel have one patch, so statistics are taken once for each place.
+    """
+    seen = tracked.where("visible").select("source_id", "time_idx", "l_idx", "m_idx")
+    places = seen.select("time_idx", "l_idx", "m_idx").distinct().select(F.lit(0).alias("source_id"), "*", F.lit(True).alias("visible"))
+    plane = ["freq_idx", "pol_idx"]
+    stat = patch_statistic(patches(places, cells, radius, tile), ["time_idx", "l_c", "m_c", *plane], how).withColumnsRenamed({"l_c": "l_idx", "m_c": "m_idx"})
+    return seen.join(stat, ["time_idx", "l_idx", "m_idx"]).select("source_id", "time_idx", *plane, "value")
+
+
 def patch_radius(beams: DataFrame, dl: float, dm: float, scale: float = 1.0) -> DataFrame:
     """Radius in pixels at each time from the widest beam of its channels, 1 at least; 0 without a beam."""
     x, y = G.beam_pixels(F.col("bmaj"), F.col("bmin"), F.col("bpa"), dl, dm)

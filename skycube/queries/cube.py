@@ -225,9 +225,9 @@ KERNEL = "k AS (SELECT d, exp(-0.5 * (d / 1.0) ** 2) AS w FROM unnest(range(-4,
 
 
 @query("h4_matched_filter", C + f", {KERNEL} " + """SELECT a.time_idx, a.freq_idx, a.pol_idx, a.l_idx, a.m_idx, round(sum(b.flux * kl.w * km.w) / sum(CASE WHEN b.flux IS NOT NULL THEN kl.w * km.w END), 6) + 0.0 AS flux
-FROM cells a JOIN cells b ON a.time_idx = b.time_idx AND a.freq_idx = b.freq_idx AND a.pol_idx = b.pol_idx AND abs(a.l_idx - b.l_idx) <= 4 AND abs(a.m_idx - b.m_idx) <= 4 JOIN k kl ON kl.d = a.l_idx - b.l_idx JOIN k km ON km.d = a.m_idx - b.m_idx WHERE a.freq_idx = 3 GROUP BY ALL""")
+FROM cells a JOIN cells b ON a.time_idx = b.time_idx AND a.freq_idx = b.freq_idx AND a.pol_idx = b.pol_idx AND abs(a.l_idx - b.l_idx) <= 4 AND abs(a.m_idx - b.m_idx) <= 4 JOIN k kl ON kl.d = a.l_idx - b.l_idx JOIN k km ON km.d = a.m_idx - b.m_idx GROUP BY ALL""")
 def matched_filter(spark, sf_dir):
-    return rounded(W.smooth(views.cells(spark, sf_dir).where("freq_idx = 3"), 1.0), "flux")
+    return rounded(W.smooth(views.cells(spark, sf_dir), 1.0), "flux")
 
 
 @query("t3_brightest", C + "SELECT freq_idx, pol_idx, l_idx, m_idx, round(max(flux), 6) AS peak FROM cells GROUP BY ALL ORDER BY peak DESC, freq_idx, pol_idx, l_idx, m_idx LIMIT 10")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spectra as S
+from ..jobs import ingest
 from ..operators import inventory as I
 from ..operators import quality as Q
 from ..operators import select as P
 from ..operators import tracking as T
-from ..sources import views
+from ..sources import store, views
+from ..sources.scratch import new_path
 from ..sources.views import CELLS_SQL, FILES_SQL, SOURCES_SQL
 from .quality import DET, _detections
 from .registry import query, rounded
@@ -62,13 +64,13 @@ def frame_select(spark, sf_dir):
     return rounded(plane.select("l_idx", "m_idx", "flux"), "flux")
 
 
-@query("p6_sky_boxes", C + TRACK + " SELECT source_id, t.time_idx, count(*) AS pixels, round(max(flux), 6) + 0.0 AS peak FROM track t JOIN cells c ON c.time_idx = t.time_idx AND abs(l - l0) <= radians(20) * cos(radians(dec_deg)) AND abs(m - m0) <= radians(15) WHERE visible AND pol_idx = 0 AND freq_idx = 0 GROUP BY ALL")
+@query("p6_sky_boxes", C + TRACK + " SELECT source_id, t.time_idx, freq_idx, pol_idx, count(*) AS pixels, round(max(flux), 6) + 0.0 AS peak FROM track t JOIN cells c ON c.time_idx = t.time_idx AND abs(l - l0) <= radians(20) * cos(radians(dec_deg)) AND abs(m - m0) <= radians(15) WHERE visible GROUP BY ALL")
 def sky_boxes(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
     sources = views.sources(spark, sf_dir)
     tracked = T.track(sources, P.axis(cells, "time_idx", "mjd"), 8, 8).where("visible").join(sources.select("source_id", "dec_deg"), "source_id")
-    found = P.box_on_sky(cells.where("pol_idx = 0 AND freq_idx = 0"), tracked.select("source_id", "dec_deg", "time_idx", "l0", "m0"), 20.0, 15.0)
-    return rounded(found.groupBy("source_id", "time_idx").agg(F.count(F.lit(1)).alias("pixels"), F.max("flux").alias("peak")), "peak")
+    found = P.box_on_sky(cells, tracked.select("source_id", "dec_deg", "time_idx", "l0", "m0"), 20.0, 15.0, 8, 8, 4)
+    return rounded(found.groupBy("source_id", "time_idx", "freq_idx", "pol_idx").agg(F.count(F.lit(1)).alias("pixels"), F.max("flux").alias("peak")), "peak")
 
 
 @query("w13_first_centre", C + "SELECT freq_idx, pol_idx, min(time_idx) AS time_idx FROM cells WHERE l_idx = 4 AND m_idx = 4 AND flux IS NOT NULL GROUP BY ALL")
@@ -76,14 +78,18 @@ def first_centre(spark, sf_dir):
     return views.cells(spark, sf_dir).where("l_idx = 4 AND m_idx = 4 AND flux IS NOT NULL").groupBy("freq_idx", "pol_idx").agg(F.min("time_idx").alias("time_idx"))
 
 
-@query("f10_spectral_index_at", C + TRACK + " SELECT source_id, t.time_idx, round(CASE WHEN a.flux > 0 AND b.flux > 0 THEN ln(b.flux / a.flux) / ln(72e6 / 42e6) END, 5) + 0.0 AS alpha FROM track t JOIN cells a ON a.time_idx = t.time_idx AND a.l_idx = t.l_idx AND a.m_idx = t.m_idx AND a.pol_idx = 0 AND a.freq_idx = 2 JOIN cells b ON b.time_idx = t.time_idx AND b.l_idx = t.l_idx AND b.m_idx = t.m_idx AND b.pol_idx = 0 AND b.freq_idx = 7 WHERE visible")
+@query("w13_default_slice", C + ", o AS (SELECT pol_idx, min(struct_pack(tier := CASE WHEN freq_idx = 4 THEN 0 ELSE 1 END, t := time_idx, f := freq_idx)) AS s FROM cells WHERE l_idx = 4 AND m_idx = 4 AND flux IS NOT NULL GROUP BY ALL) SELECT pol_idx, s.t AS time_idx, s.f AS freq_idx FROM o")
+def default_slice(spark, sf_dir):
+    return P.default_slice(views.cells(spark, sf_dir), 8, 8, 4)
+
+
+@query("f10_spectral_index_at", C + TRACK + " SELECT source_id, t.time_idx, a.pol_idx, round(CASE WHEN a.flux > 0 AND b.flux > 0 THEN ln(b.flux / a.flux) / ln(72e6 / 42e6) END, 5) + 0.0 AS alpha FROM track t JOIN cells a ON a.time_idx = t.time_idx AND a.l_idx = t.l_idx AND a.m_idx = t.m_idx AND a.freq_idx = 2 JOIN cells b ON b.time_idx = t.time_idx AND b.l_idx = t.l_idx AND b.m_idx = t.m_idx AND b.pol_idx = a.pol_idx AND b.freq_idx = 7 WHERE visible")
 def spectral_index_at(spark, sf_dir):
-    cells = views.cells(spark, sf_dir)
-    tracked = T.track(views.sources(spark, sf_dir), P.axis(cells, "time_idx", "mjd"), 8, 8).where("visible")
-    spectra = T.along(tracked, cells.where("pol_idx = 0 AND freq_idx IN (2, 7)"))
+    tracked = T.track(views.sources(spark, sf_dir), P.axis(views.cells(spark, sf_dir), "time_idx", "mjd"), 8, 8).where("visible")
+    spectra = T.along(tracked, views.tiles(spark, sf_dir).where("freq_idx IN (2, 7)"), 4)
     flux = lambda k: F.max(F.when(F.col("freq_idx") == k, F.col("flux")))
-    both = spectra.groupBy("source_id", "time_idx").agg(flux(2).alias("a"), flux(7).alias("b"))
-    return rounded(both.select("source_id", "time_idx", S.spectral_index(F.col("a"), F.col("b"), F.lit(42e6), F.lit(72e6)).alias("alpha")), "alpha", digits=5)
+    both = spectra.groupBy("source_id", "time_idx", "pol_idx").agg(flux(2).alias("a"), flux(7).alias("b"))
+    return rounded(both.select("source_id", "time_idx", "pol_idx", S.spectral_index(F.col("a"), F.col("b"), F.lit(42e6), F.lit(72e6)).alias("alpha")), "alpha", digits=5)
 
 
 @query("u2_union_queues", DET + " SELECT source_id, day, count(*) AS n FROM (SELECT * FROM det WHERE snr > 20 UNION ALL SELECT * FROM det WHERE band IS NULL) GROUP BY ALL")
@@ -92,11 +98,102 @@ def union_queues(spark, sf_dir):
     return d.where("snr > 20").unionByName(d.where("band IS NULL")).groupBy("source_id", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e13_candidate_slices")
+@query(
+    "e13_candidate_slices",
+    DET.replace("WITH ", f"WITH {CELLS_SQL}, ", 1) + """, best AS (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY snr DESC, detection_id) = 1),
+same AS (SELECT source_id, day, hour, arg_max(band, struct_pack(s := snr, d := -detection_id)) AS other FROM det WHERE band IS NOT NULL GROUP BY ALL),
+d AS (SELECT source_id, detection_id, CAST(day AS DATE) AS day, hour + 0.25 AS lst, CAST(coalesce(band, other) AS DOUBLE) AS mhz FROM best LEFT JOIN same USING (source_id, day, hour)),
+t AS (SELECT DISTINCT time_idx, make_timestamp(CAST(round((mjd - 40587) * 86400000000.0) AS BIGINT)) AS ts, ((18.697374558 + 24.06570982441908 * (mjd - 51544.5) + -118.2817 / 15) % 24 + 24) % 24 AS t_lst FROM cells), c AS (SELECT DISTINCT freq_idx, freq_hz / 1e6 AS c_mhz FROM cells),
+x AS (SELECT *, abs(lst - t_lst) AS a0, CAST(t.ts AS DATE) = day AS same_day FROM d, t),
+y AS (SELECT *, CASE WHEN same_day AND round_even(lst, 0) % 24 = round_even(t_lst, 0) % 24 THEN 0 WHEN same_day THEN 1 ELSE 2 END AS tier FROM x),
+z AS (SELECT source_id, detection_id, mhz, min(struct_pack(tier := tier, d := CASE WHEN tier < 2 THEN least(a0, 24 - a0) ELSE abs(epoch_us(ts) / 1e6 - epoch(CAST(day AS TIMESTAMP)) - 43200) END, i := time_idx)) AS s FROM y GROUP BY ALL)
+SELECT source_id, detection_id, s.i AS time_idx, s.tier AS tier, CASE WHEN mhz IS NULL THEN 5 ELSE (SELECT arg_min(freq_idx, struct_pack(d := abs(z.mhz - c_mhz), i := freq_idx)) FROM c) END AS freq_idx FROM z""",
+)
 def candidate_slices(spark, sf_dir):
-    """Each source's peak detection and its store slice; both parts have their own checked queries."""
+    """Each source's peak detection and its slice of the cube."""
+    from ..functions.geometry import lst_hours
+    from ..functions.names import mjd_timestamp
+
     peaks = Q.peak_detections(_detections(spark, sf_dir))
-    times = spark.range(120).select(F.col("id").alias("time_idx"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id * 7 as int))").alias("ts"), ((F.col("id") * 7.02) % 24).alias("lst"))
-    channels = spark.range(7).select(F.col("id").alias("freq_idx"), (18.0 + 9 * F.col("id")).alias("mhz"))
+    cells = views.cells(spark, sf_dir)
+    times = P.axis(cells, "time_idx", "mjd").select("time_idx", mjd_timestamp(F.col("mjd")).alias("ts"), lst_hours(F.col("mjd")).alias("lst"))
+    channels = P.axis(cells, "freq_idx", "freq_hz").select("freq_idx", (F.col("freq_hz") / 1e6).alias("mhz"))
     wanted = peaks.select("detection_id", F.to_date("day").alias("day"), (F.col("hour") + 0.25).alias("lst"), F.col("overlay").cast("double").alias("mhz"))
     return peaks.select("source_id", "detection_id").join(Q.to_slices(wanted, times, channels), "detection_id")
+
+
+@query("f5_mixed_times", W + "SELECT event_id, CASE event_id % 5 WHEN 4 THEN NULL ELSE CASE WHEN event_id % 5 = 0 THEN time_key ELSE strftime(header_time, '%Y%m%d_%H%M%S') END END AS time_key FROM files")
+def mixed_times(spark, sf_dir):
+    """Times as a key, an ISO date, an MJD, a Unix time, and as text that is none."""
+    from ..functions import names as NM
+
+    rows = I.described(views.files(spark, sf_dir))
+    t = F.col("header_time")
+    text = F.when(F.col("event_id") % 5 == 0, F.col("time_key")).when(F.col("event_id") % 5 == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_id") % 5 == 2, F.format_string("%.8f", NM.mjd(t))).when(F.col("event_id") % 5 == 3, F.unix_seconds(t).cast("string")).otherwise("soon")
+    return rows.select("event_id", NM.mixed_time_key(text).alias("time_key"))
+
+
+@query("j9_aligned_times", W + ", k AS (SELECT DISTINCT time_key FROM files) SELECT CAST(row_number() OVER (ORDER BY time_key) - 1 AS BIGINT) AS time_idx, time_key AS group_key FROM k")
+def aligned_times(spark, sf_dir):
+    """Stored times whose keys all differ from the groups', each some seconds off: taken in order."""
+    from pyspark.sql import Window
+
+    keys = I.described(views.files(spark, sf_dir)).select("time_key", "mjd").distinct()
+    stored = keys.withColumn("time_idx", (F.row_number().over(Window.orderBy("time_key")) - 1).cast("long")).withColumns({"mjd": F.col("mjd") + 4.0 / 86400, "time_key": F.concat(F.lit("x"), "time_key")})
+    return I.mapped_times(stored, keys.withColumnRenamed("time_key", "group_key"))
+
+
+@query("f18_patched_headers", W + ", g AS (SELECT time_key, min(struct_pack(p := path, e := event_id)).e AS e FROM files GROUP BY time_key) SELECT CAST(row_number() OVER (ORDER BY time_key) - 1 AS BIGINT) AS time_idx, CAST(e % 360 AS DOUBLE) AS crval1, CAST(e % 90 AS DOUBLE) AS crval2, 'SIN' AS ctype FROM g")
+def patched_headers(spark, sf_dir):
+    """Grid headers of every time take their centre from the first file of the time's group."""
+    from pyspark.sql import Window
+
+    rows = I.described(views.files(spark, sf_dir))
+    source = F.map_from_arrays(F.array(F.lit("CRVAL1"), F.lit("CRVAL2")), F.array((F.col("event_id") % 360).cast("string"), (F.col("event_id") % 90).cast("string")))
+    keys = rows.select(F.col("time_key").alias("group_key")).distinct().withColumn("time_idx", (F.row_number().over(Window.orderBy("group_key")) - 1).cast("long"))
+    headers = keys.select("time_idx", F.map_from_arrays(F.array(F.lit("CRVAL1"), F.lit("CTYPE")), F.array(F.lit("0"), F.lit("SIN"))).alias("header"))
+    found = I.patched_grid(headers, keys, rows.select(F.col("time_key").alias("group_key"), "path", source.alias("header")))
+    return found.select("time_idx", F.col("header")["CRVAL1"].cast("double").alias("crval1"), F.col("header")["CRVAL2"].cast("double").alias("crval2"), F.col("header")["CTYPE"].alias("ctype"))
+
+
+@query("t1_file_order", W + "SELECT event_id, CAST(row_number() OVER (PARTITION BY time_key ORDER BY freq_hz, name, path) - 1 AS BIGINT) AS place FROM files")
+def file_order(spark, sf_dir):
+    return I.in_order(I.described(views.files(spark, sf_dir))).select("event_id", F.col("place").cast("long").alias("place"))
+
+
+@query("s5_append_in_parts", C + " SELECT time_idx, freq_idx, pol_idx, count(*) AS pixels, round(sum(flux * (l_idx * 8 + m_idx)), 4) + 0.0 AS mark FROM cells GROUP BY ALL")
+def append_in_parts(spark, sf_dir):
+    """A store that gets half of the channels, then all, then all again, read back."""
+    tiles, path = views.tiles(spark, sf_dir), new_path(spark, "store")
+    for part in (tiles.where("freq_idx % 2 = 0"), tiles, tiles):
+        store.append_tiles(part, path)
+    cells = store.to_cells(store.open_tiles(spark, path))
+    out = cells.groupBy("time_idx", "freq_idx", "pol_idx").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("flux") * (F.col("l_idx") * 8 + F.col("m_idx"))).alias("mark"))
+    return rounded(out.withColumn("time_idx", F.col("time_idx").cast("long")), "mark", digits=4)
+
+
+@query("s6_rechunk", C + " SELECT DISTINCT time_idx, freq_idx, pol_idx, true AS equal FROM cells")
+def rechunked(spark, sf_dir):
+    """A store written, regrouped to tiles of another size, and compared plane by plane."""
+    path = new_path(spark, "store")
+    store.append_times(views.tiles(spark, sf_dir), path)
+    return store.rechunk(spark, path, new_path(spark, "rechunked"), 3).withColumn("time_idx", F.col("time_idx").cast("long"))
+
+
+@query(
+    "e11_combined_steps",
+    C + """, p AS (SELECT DISTINCT time_idx, freq_idx, pol_idx, stokes FROM cells WHERE (time_idx + freq_idx + pol_idx) % 7 <> 0),
+f AS (SELECT freq_idx, dense_rank() OVER (ORDER BY freq_idx) - 1 AS k FROM (SELECT DISTINCT freq_idx FROM p)), t AS (SELECT time_idx, dense_rank() OVER (ORDER BY time_idx) - 1 AS i FROM (SELECT DISTINCT time_idx FROM p)), s AS (SELECT stokes, dense_rank() OVER (ORDER BY stokes) - 1 AS q FROM (SELECT DISTINCT stokes FROM p))
+SELECT t.i AS time_idx, f.k AS freq_idx, s.q AS pol_idx, count(c.flux) AS pixels, round(sum(c.flux * (l_idx * 8 + m_idx)), 4) + 0.0 AS mark
+FROM t CROSS JOIN f CROSS JOIN s LEFT JOIN p ON p.time_idx = t.time_idx AND p.freq_idx = f.freq_idx AND p.stokes = s.stokes LEFT JOIN cells c ON c.time_idx = p.time_idx AND c.freq_idx = p.freq_idx AND c.pol_idx = p.pol_idx GROUP BY ALL""",
+)
+def combined_steps(spark, sf_dir):
+    """Planes of files, some of them missing, to a cube on the union of channels with all Stokes planes."""
+    plane = views.cells(spark, sf_dir).where("(time_idx + freq_idx + pol_idx) % 7 <> 0")
+    files = plane.select("time_idx", "freq_hz", "stokes", "freq_idx", "pol_idx").distinct()
+    files = files.select(F.format_string("%08d", "time_idx").alias("group_key"), "freq_hz", "stokes", F.struct("time_idx", "freq_idx", "pol_idx").cast("string").alias("path"), F.col("time_idx").alias("t"), F.col("freq_idx").alias("f"), F.col("pol_idx").alias("p"))
+    tiles = views.tiles(spark, sf_dir).join(files, (F.col("time_idx") == F.col("t")) & (F.col("freq_idx") == F.col("f")) & (F.col("pol_idx") == F.col("p"))).select("path", "tile_l", "tile_m", "l0", "m0", "n_l", "n_m", "data")
+    cube = ingest.combined(files.drop("t", "f", "p"), tiles)
+    cells = store.to_cells(cube)
+    out = cells.groupBy("time_idx", "freq_idx", "pol_idx").agg(F.count("flux").alias("pixels"), F.sum(F.col("flux") * (F.col("l_idx") * 8 + F.col("m_idx"))).alias("mark"))
+    return rounded(out, "mark", digits=4)

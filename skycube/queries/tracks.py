@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import spectra as S
 from ..operators import dispersion as D
-from ..operators import reduce as R
 from ..operators import select as P
 from ..operators import tracking as T
 from ..sources import views
@@ -152,75 +151,80 @@ def parse_coordinates(spark, sf_dir):
 @query("e3_dynamic_spectrum", C + TRACK + " SELECT source_id, track.time_idx, f.freq_idx, f.pol_idx, visible, round(flux, 6) + 0.0 AS flux FROM track CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN cells c ON c.time_idx = track.time_idx AND c.freq_idx = f.freq_idx AND c.pol_idx = f.pol_idx AND c.l_idx = track.l_idx AND c.m_idx = track.m_idx")
 def dynamic_spectrum(spark, sf_dir):
     cells, tracked = _track(spark, sf_dir)
-    return rounded(T.along(tracked, cells), "flux").select("source_id", "time_idx", "freq_idx", "pol_idx", "visible", "flux")
+    return rounded(T.along(tracked, views.tiles(spark, sf_dir), 4), "flux").select("source_id", "time_idx", "freq_idx", "pol_idx", "visible", "flux")
 
 
 @query("e1_light_curve", C + TRACK + " SELECT source_id, track.time_idx, visible, round(flux, 6) + 0.0 AS flux FROM track LEFT JOIN cells c ON c.time_idx = track.time_idx AND c.freq_idx = 4 AND c.pol_idx = 0 AND c.l_idx = track.l_idx AND c.m_idx = track.m_idx")
 def light_curve(spark, sf_dir):
     cells, tracked = _track(spark, sf_dir)
-    return rounded(T.along(tracked, cells.where("freq_idx = 4 AND pol_idx = 0")), "flux").select("source_id", "time_idx", "visible", "flux")
+    return rounded(T.along(tracked, views.tiles(spark, sf_dir).where("freq_idx = 4 AND pol_idx = 0"), 4), "flux").select("source_id", "time_idx", "visible", "flux")
 
 
 @query("e2_spectrum", C + TRACK + " SELECT source_id, f.freq_idx, round(flux, 6) + 0.0 AS flux FROM (SELECT * FROM track WHERE time_idx = 3 AND visible) t CROSS JOIN (SELECT DISTINCT freq_idx FROM cells) f LEFT JOIN cells c ON c.time_idx = 3 AND c.freq_idx = f.freq_idx AND c.pol_idx = 0 AND c.l_idx = t.l_idx AND c.m_idx = t.m_idx")
 def spectrum(spark, sf_dir):
     cells, tracked = _track(spark, sf_dir)
-    return rounded(T.along(tracked.where("time_idx = 3 AND visible"), cells.where("time_idx = 3 AND pol_idx = 0")), "flux").select("source_id", "freq_idx", "flux")
+    return rounded(T.along(tracked.where("time_idx = 3 AND visible"), views.tiles(spark, sf_dir).where("time_idx = 3 AND pol_idx = 0"), 4), "flux").select("source_id", "freq_idx", "flux")
 
 
-PATCH = TRACK + """, patch AS (
-  SELECT source_id, t.time_idx, freq_idx, pol_idx, flux FROM track t JOIN cells c ON c.time_idx = t.time_idx AND abs(c.l_idx - t.l_idx) <= 1 AND abs(c.m_idx - t.m_idx) <= 1
-  WHERE visible AND flux IS NOT NULL AND pol_idx = 0 AND freq_idx < 3)"""
+# Sources at one pixel share its patch.
+PATCH = TRACK + """, places AS (SELECT DISTINCT time_idx, l_idx, m_idx FROM track WHERE visible),
+patch AS (
+  SELECT p.time_idx, p.l_idx, p.m_idx, freq_idx, pol_idx, flux FROM places p JOIN cells c ON c.time_idx = p.time_idx AND abs(c.l_idx - p.l_idx) <= 1 AND abs(c.m_idx - p.m_idx) <= 1 WHERE flux IS NOT NULL)"""
+KEYS = ["source_id", "time_idx", "freq_idx", "pol_idx"]
 
 
-def _patches(spark, sf_dir):
+def _patch_sql(value: str, more: str = "") -> str:
+    return C + PATCH + more + f", s AS (SELECT time_idx, l_idx, m_idx, freq_idx, pol_idx, {value} AS value FROM patch GROUP BY ALL), v AS (SELECT source_id, time_idx, freq_idx, pol_idx, value FROM track JOIN s USING (time_idx, l_idx, m_idx) WHERE visible)"
+
+
+def _patch_values(spark, sf_dir, how):
     cells, tracked = _track(spark, sf_dir)
-    return T.patches(tracked, cells.where("pol_idx = 0 AND freq_idx < 3"), 1, 4)
+    return T.patch_values(tracked, cells, 1, how, 4)
 
 
-KEYS = ["source_id", "time_idx", "freq_idx"]
+ROUNDED = " SELECT source_id, time_idx, freq_idx, pol_idx, round(value, 6) + 0.0 AS value FROM v"
 
 
-@query("a5_patch_std", C + PATCH + " SELECT source_id, time_idx, freq_idx, round(stddev_pop(flux), 6) AS value FROM patch GROUP BY ALL")
+@query("a5_patch_std", _patch_sql("stddev_pop(flux)") + ROUNDED)
 def patch_std(spark, sf_dir):
-    return rounded(R.patch_statistic(_patches(spark, sf_dir), KEYS, "std"), "value")
+    return rounded(_patch_values(spark, sf_dir, "std"), "value")
 
 
-@query("a5_patch_max", C + PATCH + " SELECT source_id, time_idx, freq_idx, round(max(flux), 6) + 0.0 AS value FROM patch GROUP BY ALL")
+@query("a5_patch_max", _patch_sql("max(flux)") + ROUNDED)
 def patch_max(spark, sf_dir):
-    return rounded(R.patch_statistic(_patches(spark, sf_dir), KEYS, "max"), "value")
+    return rounded(_patch_values(spark, sf_dir, "max"), "value")
 
 
-@query("a5_patch_mad", C + PATCH + ", md AS (SELECT source_id, time_idx, freq_idx, median(flux) AS m FROM patch GROUP BY ALL) SELECT source_id, time_idx, freq_idx, round(median(abs(flux - m)), 6) AS value FROM patch JOIN md USING (source_id, time_idx, freq_idx) GROUP BY ALL")
+@query("a5_patch_mad", C + PATCH + ", md AS (SELECT time_idx, l_idx, m_idx, freq_idx, pol_idx, median(flux) AS m FROM patch GROUP BY ALL), s AS (SELECT time_idx, l_idx, m_idx, freq_idx, pol_idx, median(abs(flux - m)) AS value FROM patch JOIN md USING (time_idx, l_idx, m_idx, freq_idx, pol_idx) GROUP BY ALL), v AS (SELECT source_id, time_idx, freq_idx, pol_idx, value FROM track JOIN s USING (time_idx, l_idx, m_idx) WHERE visible)" + ROUNDED)
 def patch_mad(spark, sf_dir):
-    return rounded(R.patch_statistic(_patches(spark, sf_dir), KEYS, "mad"), "value")
+    return rounded(_patch_values(spark, sf_dir, "mad"), "value")
 
 
-@query("p11_select_patches", C + PATCH + ", s AS (SELECT source_id, time_idx, freq_idx, max(flux) AS v FROM patch GROUP BY ALL) SELECT source_id, time_idx, freq_idx, v >= 0.2 AS selected FROM s")
+@query("p11_select_patches", _patch_sql("max(flux)") + " SELECT source_id, time_idx, freq_idx, pol_idx, value >= 0.2 AS selected FROM v")
 def select_patches(spark, sf_dir):
-    stat = R.patch_statistic(_patches(spark, sf_dir), KEYS, "max")
-    return stat.select(*KEYS, P.passes(F.col("value"), "ge", 0.2).alias("selected"))
+    return _patch_values(spark, sf_dir, "max").select(*KEYS, P.passes(F.col("value"), "ge", 0.2).alias("selected"))
 
 
 @query(
     "p12_selected_spectrum",
-    C + PATCH + ", s AS (SELECT source_id, time_idx, freq_idx, max(flux) AS v FROM patch GROUP BY ALL) SELECT t.source_id, t.time_idx, f.freq_idx, CASE WHEN s.v >= 0.2 THEN round(c.flux, 6) + 0.0 END AS flux "
-    "FROM track t CROSS JOIN (SELECT DISTINCT freq_idx FROM cells WHERE freq_idx < 3) f LEFT JOIN cells c ON c.time_idx = t.time_idx AND c.freq_idx = f.freq_idx AND c.pol_idx = 0 AND c.l_idx = t.l_idx AND c.m_idx = t.m_idx "
-    "LEFT JOIN s ON s.source_id = t.source_id AND s.time_idx = t.time_idx AND s.freq_idx = f.freq_idx",
+    _patch_sql("max(flux)") + " SELECT t.source_id, t.time_idx, f.freq_idx, f.pol_idx, CASE WHEN v.value >= 0.2 THEN round(c.flux, 6) + 0.0 END AS flux "
+    "FROM track t CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN cells c ON c.time_idx = t.time_idx AND c.freq_idx = f.freq_idx AND c.pol_idx = f.pol_idx AND c.l_idx = t.l_idx AND c.m_idx = t.m_idx "
+    "LEFT JOIN v ON v.source_id = t.source_id AND v.time_idx = t.time_idx AND v.freq_idx = f.freq_idx AND v.pol_idx = f.pol_idx",
 )
 def selected_spectrum(spark, sf_dir):
-    cells, tracked = _track(spark, sf_dir)
-    spectra = T.along(tracked, cells.where("pol_idx = 0 AND freq_idx < 3")).select(*KEYS, "flux")
-    chosen = R.patch_statistic(_patches(spark, sf_dir), KEYS, "max").select(*KEYS, P.passes(F.col("value"), "ge", 0.2).alias("selected"))
+    _, tracked = _track(spark, sf_dir)
+    spectra = T.along(tracked, views.tiles(spark, sf_dir), 4).select(*KEYS, "flux")
+    chosen = _patch_values(spark, sf_dir, "max").select(*KEYS, P.passes(F.col("value"), "ge", 0.2).alias("selected"))
     return rounded(P.apply_selection(spectra, chosen, KEYS), "flux")
 
 
 @query("a27_coverage_report", C + TRACK + """ SELECT source_id, count(DISTINCT CASE WHEN visible THEN t.time_idx END) AS visible_times, count(c.flux) AS finite_cells, round(100.0 * count(c.flux) / count(*), 6) AS percent
-FROM track t CROSS JOIN (SELECT DISTINCT freq_idx FROM cells) f LEFT JOIN cells c ON c.time_idx = t.time_idx AND c.freq_idx = f.freq_idx AND c.pol_idx = 0 AND c.l_idx = t.l_idx AND c.m_idx = t.m_idx GROUP BY source_id""")
+FROM track t CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN cells c ON c.time_idx = t.time_idx AND c.freq_idx = f.freq_idx AND c.pol_idx = f.pol_idx AND c.l_idx = t.l_idx AND c.m_idx = t.m_idx GROUP BY source_id""")
 def coverage_report(spark, sf_dir):
-    cells, tracked = _track(spark, sf_dir)
-    rows = T.along(tracked, cells.where("pol_idx = 0"))
+    _, tracked = _track(spark, sf_dir)
+    rows = T.along(tracked, views.tiles(spark, sf_dir), 4)
     # Distinct times without a set: the visible rows of one channel.
-    out = rows.groupBy("source_id").agg(F.sum((F.col("visible") & (F.col("freq_idx") == 0)).cast("long")).alias("visible_times"), F.count("flux").alias("finite_cells"), (100.0 * F.count("flux") / F.count(F.lit(1))).alias("percent"))
+    out = rows.groupBy("source_id").agg(F.sum((F.col("visible") & (F.col("freq_idx") == 0) & (F.col("pol_idx") == 0)).cast("long")).alias("visible_times"), F.count("flux").alias("finite_cells"), (100.0 * F.count("flux") / F.count(F.lit(1))).alias("percent"))
     return rounded(out, "percent")
 
 
@@ -236,13 +240,13 @@ def dispersion_delay(spark, sf_dir):
     return rounded(a.select("freq_idx", "dm", S.dispersion_delay(F.col("dm"), F.col("freq_hz") / 1e6, F.lit(84.0)).alias("delay")), "delay")
 
 
-DYN = ", dyn AS (SELECT l_idx * 8 + m_idx AS source_id, time_idx, freq_idx, freq_hz, flux FROM cells WHERE pol_idx = 0)"
+DYN = ", dyn AS (SELECT (l_idx * 8 + m_idx) * 2 + pol_idx AS source_id, time_idx, freq_idx, freq_hz, flux FROM cells)"
 MOVED = DYN + ", t AS (SELECT unnest([0, 1, 2, 5, 10]) * 1.0 AS dm), moved AS (SELECT dm, source_id, time_idx - CAST(round_even(4148.808 * dm * (1 / (freq_hz * freq_hz / 1e12) - 1 / (84.0 * 84.0)) / 5.0, 0) AS BIGINT) AS time_idx, freq_idx, flux FROM dyn, t)"
 DMS = [0.0, 1.0, 2.0, 5.0, 10.0]
 
 
 def _dyn(spark, sf_dir):
-    return views.cells(spark, sf_dir).where("pol_idx = 0").select((F.col("l_idx") * 8 + F.col("m_idx")).alias("source_id"), "time_idx", "freq_idx", "freq_hz", "flux")
+    return views.cells(spark, sf_dir).select(((F.col("l_idx") * 8 + F.col("m_idx")) * 2 + F.col("pol_idx")).alias("source_id"), "time_idx", "freq_idx", "freq_hz", "flux")
 
 
 @query("w5_dedisperse_shift", C + MOVED + " SELECT dm, source_id, time_idx, freq_idx, round(flux, 6) + 0.0 AS flux FROM moved WHERE time_idx >= 0")

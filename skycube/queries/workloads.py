@@ -13,7 +13,7 @@ from ..sources import store, tables, views
 from ..sources.views import CELLS_SQL, SOURCES_SQL
 from .cube import PEAK
 from .registry import query, rounded
-from .tracks import DYN, PATCH, TRACK
+from .tracks import DYN, TRACK, _patch_sql
 
 C = f"WITH {CELLS_SQL}, {SOURCES_SQL} "
 PLANE = ("time_idx", "freq_idx", "pol_idx")
@@ -31,9 +31,8 @@ def tile_regroup(spark, sf_dir):
 
 @query("j1_tile_lookup", C + TRACK + " SELECT source_id, t.time_idx, freq_idx, pol_idx, round(flux, 6) + 0.0 AS flux FROM track t JOIN cells c ON c.time_idx = t.time_idx AND c.l_idx = t.l_idx AND c.m_idx = t.m_idx WHERE visible")
 def tile_lookup(spark, sf_dir):
-    cells = views.cells(spark, sf_dir)
-    tracked = T.track(views.sources(spark, sf_dir), P.axis(cells, "time_idx", "mjd"), 8, 8)
-    return rounded(store.pixels_at(store.to_tiles(cells, 4), tracked, 4).drop("l_idx", "m_idx"), "flux")
+    tracked = T.track(views.sources(spark, sf_dir), P.axis(views.cells(spark, sf_dir), "time_idx", "mjd"), 8, 8)
+    return rounded(store.pixels_at(views.tiles(spark, sf_dir), tracked, 4).drop("l_idx", "m_idx"), "flux")
 
 
 @query("a25_axis_lengths", C + ", a AS (SELECT CASE WHEN freq_idx % 2 = 0 THEN 'even' ELSE 'odd' END AS variable, time_idx FROM cells WHERE freq_idx % 2 = 0 OR time_idx < (SELECT max(time_idx) - 1 FROM cells)), l AS (SELECT variable, max(time_idx) + 1 AS length FROM a GROUP BY ALL) SELECT variable, length, (SELECT min(length) FROM l) AS least FROM l")
@@ -71,25 +70,25 @@ q AS (SELECT p.*, min(b.mjd) AS hi FROM p LEFT JOIN ok b ON b.source_id = p.sour
 SELECT q.source_id, q.freq_idx, q.time_idx, round(CASE WHEN hi = lo THEN x.flux ELSE x.flux + (y.flux - x.flux) * (pos - lo) / (hi - lo) END, 4) + 0.0 AS flux
 FROM q LEFT JOIN ok x ON x.source_id = q.source_id AND x.freq_idx = q.freq_idx AND x.mjd = lo LEFT JOIN ok y ON y.source_id = q.source_id AND y.freq_idx = q.freq_idx AND y.mjd = hi""")
 def dedisperse_interpolated(spark, sf_dir):
-    dyn = views.cells(spark, sf_dir).where("pol_idx = 0").select((F.col("l_idx") * 8 + F.col("m_idx")).alias("source_id"), "freq_idx", "time_idx", "mjd", "freq_hz", "flux")
+    dyn = views.cells(spark, sf_dir).select(((F.col("l_idx") * 8 + F.col("m_idx")) * 2 + F.col("pol_idx")).alias("source_id"), "freq_idx", "time_idx", "mjd", "freq_hz", "flux")
     return rounded(H.dedisperse_interpolated(dyn, 2.0, 84.0), "flux", digits=4)
 
 
 @query("e4_patch_fit")
 def patch_fit(spark, sf_dir):
-    """Gaussian fits of every tracked patch of every channel; tests hold the helper against planted sources."""
+    """Gaussian fits of every tracked patch of every plane; tests hold the helper against planted sources."""
     cells = views.cells(spark, sf_dir)
     tracked = T.track(views.sources(spark, sf_dir), P.axis(cells, "time_idx", "mjd"), 8, 8)
     places = tracked.where("visible").select("time_idx", "l_idx", "m_idx").distinct().select((F.col("l_idx") * 8 + F.col("m_idx")).alias("source_id"), "time_idx", "l_idx", "m_idx", F.lit(True).alias("visible"))
-    patches = T.patches(places, cells.where("pol_idx = 0"), 2, 4)
-    return rounded(H.fit_patches(patches, ["source_id", "time_idx", "freq_idx"], 1.0, 1.0), "peak", "offset", "l_fit", "m_fit", "chi2", "centre", "patch_max", digits=4)
+    patches = T.patches(places, cells, 2, 4)
+    return rounded(H.fit_patches(patches, ["source_id", "time_idx", "freq_idx", "pol_idx"], 1.0, 1.0), "peak", "offset", "l_fit", "m_fit", "chi2", "centre", "patch_max", digits=4)
 
 
-@query("e9_heat_map_mean", C + PATCH + ", v AS (SELECT source_id, time_idx, freq_idx, avg(flux) AS value FROM patch GROUP BY ALL) SELECT t.source_id, t.time_idx, f.freq_idx, round(value, 6) + 0.0 AS value FROM track t CROSS JOIN (SELECT DISTINCT freq_idx FROM cells WHERE freq_idx < 3) f LEFT JOIN v ON v.source_id = t.source_id AND v.time_idx = t.time_idx AND v.freq_idx = f.freq_idx")
+@query("e9_heat_map_mean", _patch_sql("avg(flux)") + " SELECT t.source_id, t.time_idx, f.freq_idx, f.pol_idx, round(value, 6) + 0.0 AS value FROM track t CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN v ON v.source_id = t.source_id AND v.time_idx = t.time_idx AND v.freq_idx = f.freq_idx AND v.pol_idx = f.pol_idx")
 def heat_map_mean(spark, sf_dir):
-    cells = views.cells(spark, sf_dir).where("pol_idx = 0 AND freq_idx < 3")
+    cells = views.cells(spark, sf_dir)
     tracked = T.track(views.sources(spark, sf_dir), P.axis(cells, "time_idx", "mjd"), 8, 8)
-    return rounded(review.heat_map(cells, tracked, "mean", 1, 4), "value")
+    return rounded(review.heat_map(views.tiles(spark, sf_dir), cells, tracked, "mean", 1, 4), "value")
 
 
 @query(
@@ -113,9 +112,37 @@ def inner_detections(spark, sf_dir):
     return P.detections_inside(W.find_peaks(views.cells(spark, sf_dir), 2.0, 6, 2), 8, 8, 2.1, 1).select(*PLANE, "l_idx", "m_idx")
 
 
-@query("s10_page_scan", "SELECT page_id, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS items, CAST(len(regexp_extract_all(html, '<p[ >]')) AS BIGINT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a[ >]')) AS BIGINT) AS links FROM pages")
-def page_scan(spark, sf_dir):
-    return tables.page_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+# Candidate pages with the raw page of the table as the text around them; labels in two orders.
+INDEX_PAGE = """'<p>' || p_name || '</p><table><tr data-sid="no"><td>outside</td></tr></table><table class="big idx"><tr>' || CASE WHEN p_partkey % 2 = 0 THEN '<th>#</th><th>SNR</th><th>source</th><th>odd</th><th>n_v_epoch</th>' ELSE '<th>source</th><th>n_i_epoch</th><th>#</th><th> snr</th><th>odd</th>' END || '</tr><tr data-sid="J' || p_partkey || '">'
+ || CASE WHEN p_partkey % 2 = 0 THEN '<td>' || p_size || '</td><td>' || p_size || '.5</td><td>x</td><td>y</td><td>' || p_partkey % 9 || '</td>' ELSE '<td>x</td><td>' || p_partkey % 9 || '</td><td>' || p_size || '</td><td>none</td><td>y</td>' END || '</tr><tr><td>no id</td></tr></table>' """
+
+
+@query("s10_candidates", "SELECT CAST(p_partkey AS VARCHAR) AS page, 'J' || p_partkey AS source_id, CAST(p_size AS VARCHAR) AS rank, CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.5 END AS snr, CAST(p_partkey % 9 AS VARCHAR) AS n_epoch, '' AS note FROM part")
+def candidate_rows(spark, sf_dir):
+    """Index pages made from the part table, read back by their labels."""
+    pages = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("page_id"), F.expr(INDEX_PAGE).alias("html"))
+    return tables.candidates(tables.read_pages(pages)).select("page", "source_id", "rank", "snr", "n_epoch", "note")
+
+
+SOURCE_PAGE = """'<div class="locbar"><span>combined position</span><div><input class="lv" value="' || printf_ra || ' ' || printf_dec || '"></div><input class="lv" value="other"></div><table><tr><th>LST</th><th>Date</th><th>band</th><th>SNR</th><th>RA</th><th>Dec</th></tr>'
+ || '<tr><td>' || c_custkey % 30 || 'h</td><td>2025-05-' || lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0') || '</td><td>' || CASE WHEN c_custkey % 3 = 0 THEN 'Full' ELSE '32MHz' END || '</td><td>1,2' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '.5</td><td>' || printf_ra || '</td><td>' || printf_dec || '</td></tr><tr><td>17h</td><td>short</td></tr></table>'
+ || '<table><tr><td>17h</td><td>2025-05-05</td><td>Full</td><td>9</td><td>1</td><td>2</td></tr></table>' """
+
+
+def _source_pages(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") * 37 % 360).cast("string").alias("printf_ra"), (F.col("c_nationkey") * 5 - 30).cast("string").alias("printf_dec"))
+    return tables.read_pages(c.select(F.col("c_custkey").alias("page_id"), F.expr(SOURCE_PAGE).alias("html")))
+
+
+@query("s11_detections", "SELECT CAST(c_custkey AS VARCHAR) AS page, CAST(c_custkey % 30 AS INT) AS lst_hour, '2025-05-' || lpad(CAST(1 + c_custkey % 28 AS VARCHAR), 2, '0') AS date, CASE WHEN c_custkey % 3 = 0 THEN 'Full' ELSE '32MHz' END AS band, 1200.5 + c_custkey % 100 AS snr, CAST(c_custkey * 37 % 360 AS DOUBLE) AS ra, CAST(c_nationkey * 5 - 30 AS DOUBLE) AS dec FROM customer WHERE c_custkey % 30 <= 23")
+def detection_rows(spark, sf_dir):
+    """Detections of source pages made from the customer table; SNRs have thousands commas."""
+    return tables.detections(_source_pages(spark, sf_dir)).withColumn("date", F.col("date").cast("string"))
+
+
+@query("s11_combined_position", "SELECT CAST(c_custkey AS VARCHAR) AS page, CAST(c_custkey * 37 % 360 AS DOUBLE) AS ra, CAST(c_nationkey * 5 - 30 AS DOUBLE) AS dec FROM customer")
+def combined_position(spark, sf_dir):
+    return tables.combined_positions(_source_pages(spark, sf_dir)).drop("position")
 
 
 @query("a13_reference_grid", C + ", s AS (SELECT time_idx, pol_idx, count(DISTINCT l_idx) AS n_l, count(DISTINCT m_idx) AS n_m FROM cells WHERE flux IS NOT NULL AND time_idx < 5 GROUP BY ALL) SELECT max(struct_pack(a := n_l * n_m, l := n_l, m := n_m)).l AS n_l, max(struct_pack(a := n_l * n_m, l := n_l, m := n_m)).m AS n_m FROM s")

@@ -93,11 +93,56 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.fits") -> DataF
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"))
 
 
+def header_of(stream) -> dict[str, str]:
+    """The header of the first image of a file, read block by block; data are skipped, not read."""
+    begin = 0
+    while True:
+        raw = b""
+        while True:
+            block = stream.read(BLOCK)
+            if len(block) < BLOCK:
+                raise ValueError("no image" if not raw and begin else "a header ends before its END card")
+            raw += block
+            if any(block[i : i + 8] == b"END     " for i in range(0, BLOCK, CARD)):
+                break
+        header, _ = parse_header(raw)
+        size = data_bytes(header)
+        if int(header.get("NAXIS", 0)) >= 2 and size and header.get("XTENSION", "IMAGE") == "IMAGE":
+            return header
+        begin += len(raw) + -(-size // BLOCK) * BLOCK
+        stream.seek(begin)
+
+
 def read_headers(spark: SparkSession, path: str, pattern: str = "*.fits") -> DataFrame:
-    """(path, name, size_bytes, header, problem): header maps; files that can't be parsed say why."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    """(path, name, size_bytes, header, problem): header maps; files that can't be parsed say why.
+
+    A task opens a file through pyarrow's file systems, which know local paths, HDFS and object
+    stores, and reads header blocks only. A path of any other scheme is read whole by Spark.
+    """
+    files = list_files(spark, path, pattern)
+    kinds = "path string, size_bytes long, header map<string,string>, problem string"
+
+    def described(batch: pa.RecordBatch, headers: list, problems: list) -> pa.RecordBatch:
+        columns = [batch.column(0), batch.column(1), pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(problems, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "size_bytes", "header", "problem"])
+
+    def from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            headers, problems = [], []
+            for name in batch.column(0).to_pylist():
+                try:
+                    system, at = fs.FileSystem.from_uri(name.replace("file:///", "/", 1) if name.startswith("file:") else name)
+                    with system.open_input_file(at) as stream:
+                        headers.append(list(header_of(stream).items()))
+                    problems.append(None)
+                except (ValueError, KeyError) as e:
+                    headers.append([])
+                    problems.append(str(e))
+            yield described(batch, headers, problems)
+
+    def from_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             headers, problems = [], []
             for data in batch.column(2):
@@ -107,9 +152,14 @@ def read_headers(spark: SparkSession, path: str, pattern: str = "*.fits") -> Dat
                 except (ValueError, KeyError) as e:
                     headers.append([])
                     problems.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(problems, pa.string())], names=["path", "size_bytes", "header", "problem"])
-
-    out = files.select("path", "length", "content").mapInArrow(rows, "path string, size_bytes long, header map<string,string>, problem string")
+            yield described(batch, headers, problems)
+
+    first = files.select("path").take(1)
+    if first and first[0].path.split(":")[0] in ("file", "hdfs", "s3", "s3a", "gs"):
+        out = files.select("path", "size_bytes").mapInArrow(from_blocks, kinds)
+    else:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+        out = found.select("path", F.col("length").alias("size_bytes"), "content").mapInArrow(from_content, kinds)
     return out.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
@@ -120,8 +170,12 @@ def tiles_of(plane: np.ndarray, tile: int) -> Iterator[tuple[int, int, np.ndarra
             yield l0, m0, plane[m0 : m0 + tile, l0 : l0 + tile].T
 
 
-def read_tiles(spark: SparkSession, inventory: DataFrame, tile: int = 512) -> DataFrame:
-    """Pixel tiles of the inventory's files (path, time_idx, freq_idx, pol_idx): one file in one task at a time."""
+def read_tiles(spark: SparkSession, inventory: DataFrame, root: str, tile: int = 512, pattern: str = "*.fits") -> DataFrame:
+    """Pixel tiles of the inventory's files (path, time_idx, freq_idx, pol_idx) below ``root``: one file in one task at a time.
+
+    Spark lists the root; files that the inventory doesn't name are dropped by a join on the
+    path. No list of paths goes through the driver's plan.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +187,7 @@ def read_tiles(spark: SparkSession, inventory: DataFrame, tile: int = 512) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], names=[x.split()[0] for x in TILES.split(", ")])
 
     paths = inventory.select("path", "time_idx", "freq_idx", "pol_idx")
-    content = spark.read.format("binaryFile").load([r.path for r in paths.select("path").toLocalIterator()])
+    content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path", "content")
     return content.join(paths, "path").select("time_idx", "freq_idx", "pol_idx", "content").mapInArrow(rows, TILES)
 
 

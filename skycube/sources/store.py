@@ -16,27 +16,59 @@ def open_tiles(spark: SparkSession, path: str) -> DataFrame:
     return found
 
 
-def stored_times(spark: SparkSession, path: str) -> DataFrame:
-    """The time indices of a store; none where nothing has been written."""
+#: What tells one tile of a cube from another.
+TILE_KEY = ("time_idx", "freq_idx", "pol_idx", "tile_l", "tile_m")
+_NOTHING_THERE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def stored_keys(tiles: DataFrame, path: str, keys: tuple[str, ...]) -> DataFrame:
+    """The distinct keys of the store that ``tiles`` would go to; none where nothing has been written.
+
+    A store that is there but can't be read is an error, so nothing is appended to it twice.
+    """
     from pyspark.errors import AnalysisException
 
+    spark = tiles.sparkSession
     try:
-        return spark.read.parquet(path).select("time_idx").distinct()
-    except AnalysisException:
-        return spark.createDataFrame([], "time_idx long")
+        return spark.read.parquet(path).select(*keys).distinct()
+    except AnalysisException as e:
+        if e.getCondition() not in _NOTHING_THERE:
+            raise
+        return spark.createDataFrame([], tiles.select(*keys).schema)
+
+
+def append_tiles(tiles: DataFrame, path: str) -> None:
+    """Add the tiles that are not stored yet. Told by plane and tile, so parts of a time step may come one after the other."""
+    new = tiles.join(stored_keys(tiles, path, TILE_KEY), list(TILE_KEY), "left_anti").select(tiles.columns)
+    new.write.mode("append").partitionBy("time_idx").parquet(path)
 
 
 def append_times(tiles: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Add time steps. Stored ones are skipped, or replaced on request; others stay untouched."""
-    spark = tiles.sparkSession
+    """Add whole time steps. A time that is stored is skipped whole, or replaced on request; others stay untouched."""
     if overwrite:
         tiles.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("time_idx").parquet(path)
         return
-    # A list of time steps: as many rows as the cube is long.
-    new = tiles.join(stored_times(spark, path), "time_idx", "left_anti")
+    new = tiles.join(stored_keys(tiles, path, ("time_idx",)), "time_idx", "left_anti").select(tiles.columns)
     new.write.mode("append").partitionBy("time_idx").parquet(path)
 
 
+def rechunk(spark: SparkSession, path: str, to: str, tile: int) -> DataFrame:
+    """Writes a store anew in tiles of another size and compares the two: (plane, equal) for each plane.
+
+    Values are compared by place without bringing pixels together: each pixel gives a hash of
+    its place and value, and a plane's hashes are summed on both sides.
+    """
+    regroup(open_tiles(spark, path), tile).write.partitionBy("time_idx").parquet(to)
+    plane = ["time_idx", "freq_idx", "pol_idx"]
+
+    def marks(of: str, name: str) -> DataFrame:
+        cells = to_cells(open_tiles(spark, of))
+        return cells.groupBy(*plane).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum(F.xxhash64("l_idx", "m_idx", "flux").cast("decimal(38,0)")).alias(f"{name}_sum"))
+
+    both = marks(path, "a").join(marks(to, "b"), plane, "full")
+    return both.select(*plane, (F.col("a_n").eqNullSafe(F.col("b_n")) & F.col("a_sum").eqNullSafe(F.col("b_sum"))).alias("equal"))
+
+
 def to_cells(tiles: DataFrame) -> DataFrame:
     """Pixels of tiles: NaN becomes NULL. Explodes, so select tiles first."""
     rows = tiles.select("time_idx", "freq_idx", "pol_idx", "l0", "m0", "n_m", F.posexplode("data").alias("k", "x"))

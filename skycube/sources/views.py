@@ -26,6 +26,18 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tiles(spark: SparkSession, sf_dir: str, tile: int = 4) -> DataFrame:
+    """The same cube as stored tiles, cut from the vectors; nothing is exploded to pixels."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    flux = F.transform(F.col("embedding"), lambda x, i: F.when((F.col("vec_id") * 7 + i) % 97 != 0, x.cast("float")).otherwise(F.lit(float("nan")).cast("float")))
+    n = range(-(-8 // tile))
+    cut = [(a, b, min(tile, 8 - a * tile), min(tile, 8 - b * tile)) for a in n for b in n]
+    row = lambda a, i, b, w: F.slice("data", (a * tile + i) * 8 + b * tile + 1, w)
+    parts = [F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(("tile_l", "tile_m", "l0", "m0"), (a, b, a * tile, b * tile))], F.lit(h).alias("n_l"), F.lit(w).alias("n_m"), F.concat(*[row(a, i, b, w) for i in range(h)]).alias("data")) for a, b, h, w in cut]
+    rows = v.select(F.expr("vec_id div 20").alias("time_idx"), F.expr("(vec_id div 2) % 10").alias("freq_idx"), F.expr("vec_id % 2").alias("pol_idx"), flux.alias("data"))
+    return rows.select("time_idx", "freq_idx", "pol_idx", F.explode(F.array(*parts)).alias("t")).select("time_idx", "freq_idx", "pol_idx", "t.*")
+
+
 CELLS_SQL = """cells AS (
   SELECT vec_id // 20 AS time_idx, 60000.0 + 0.01 * (vec_id // 20) AS mjd, (vec_id // 2) % 10 AS freq_idx, CAST(30e6 + 6e6 * ((vec_id // 2) % 10) AS DOUBLE) AS freq_hz,
          vec_id % 2 AS pol_idx, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 4 END AS stokes, i // 8 AS l_idx, i % 8 AS m_idx,

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import append_times
+from ..sources.store import append_tiles
 
 
 def append_as_they_arrive(tiles: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Tiles of a stream into a store; a batch that is run again adds nothing."""
+    """Tiles of a stream into a store. A time step may arrive over several batches; a batch that is run again adds nothing."""
 
     def add(batch: DataFrame, _: int) -> None:
-        append_times(batch, path)
+        append_tiles(batch, path)
 
     return tiles.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -27,9 +27,10 @@ def merged_observations(files: DataFrame, tolerance_s: float, key: str = "stokes
     """Files of one key no further apart than the tolerance are one observation, named by its start.
 
     A group is given out once the watermark has passed, so a late earlier file can't rename it.
+    Its subbands are a set of some dozens.
     """
     window = F.session_window("ts", f"{int(tolerance_s * 1000)} milliseconds")
-    return files.withWatermark("ts", delay).groupBy(key, window.alias("w")).agg(F.count(F.lit(1)).alias("files"), F.approx_count_distinct("mhz").alias("subbands")).select(key, F.col("w.start").alias("start"), "files", "subbands")
+    return files.withWatermark("ts", delay).groupBy(key, window.alias("w")).agg(F.count(F.lit(1)).alias("files"), F.size(F.collect_set("mhz")).alias("subbands")).select(key, F.col("w.start").alias("start"), "files", "subbands")
 
 
 def running_coverage(files: DataFrame) -> DataFrame:

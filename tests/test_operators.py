@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skycube.functions import geometry as G
 from skycube.functions import names as NM
 from skycube.functions import spectra as S
+from skycube.jobs import ingest
 from skycube.operators import inventory as I
 from skycube.operators import patchfit as H
 from skycube.operators import quality as Q
@@ -155,7 +156,7 @@ def test_fits_round_trip(spark, tmp_path):
     assert heads["a.fits"].header["OBJECT"] == "it's" and float(heads["a.fits"].header["RESTFREQ"]) == 46e6 and heads["bad.fits"].problem
     assert [r.name for r in fits.list_files(spark, str(tmp_path)).orderBy("name").collect()] == ["a.fits", "bad.fits"]
     path = fits.list_files(spark, str(tmp_path), "a.fits").first().path
-    tiles = fits.read_tiles(spark, spark.createDataFrame([(path, 0, 0, 0)], "path string, time_idx long, freq_idx long, pol_idx long"), 3)
+    tiles = fits.read_tiles(spark, spark.createDataFrame([(path, 0, 0, 0)], "path string, time_idx long, freq_idx long, pol_idx long"), str(tmp_path), 3)
     out = fits.export_planes(tiles, 5, 7).first().fits
     assert np.array_equal(fits.planes_of(bytes(out))[1][0], plane, equal_nan=True)
 
@@ -179,12 +180,92 @@ def test_regroup_keeps_values(spark):
     assert np.allclose(back, x.astype(np.float32))
 
 
+def test_headers_are_read_by_blocks(tmp_path):
+    """An empty first unit, a second with the image; what lies behind its header isn't read."""
+    image = fits.write_plane({"OBJECT": "x"}, np.ones((40, 50), np.float32))
+    empty = "".join(c.ljust(80) for c in ("SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    0", "END")).ljust(2880).encode()
+    head = image.index(b"END" + b" " * 77)
+
+    class Counting:
+        def __init__(self, data):
+            self.data, self.at, self.got = data, 0, 0
+
+        def read(self, n):
+            out = self.data[self.at : self.at + n]
+            self.at += len(out)
+            self.got += len(out)
+            return out
+
+        def seek(self, at):
+            self.at = at
+
+    stream = Counting(empty + image)
+    assert fits.header_of(stream)["OBJECT"] == "x" and stream.got == 2880 * (2 + head // 2880)
+    with pytest.raises(ValueError, match="no image"):
+        fits.header_of(Counting(empty))
+
+
+def test_files_to_store(spark, tmp_path):
+    """Files of two times, an invalid beam among them, to a cube with all planes; again adds nothing."""
+    rng = np.random.default_rng(8)
+    planes = {}
+    for t, key in enumerate(("20240101_000000", "20240101_010000")):
+        for f, mhz in enumerate((41, 46)):
+            planes[t, f] = rng.normal(size=(6, 5)).astype(np.float32)
+            name = f"{key}_{mhz}MHz-I-image.fits"
+            beam = -1.0 if (t, f) == (1, 1) else 0.1
+            (tmp_path / name).write_bytes(fits.write_plane({"RESTFREQ": mhz * 1e6, "BMAJ": beam, "BMIN": 0.05, "DATE-OBS": f"2024-01-01T0{t}:00:00"}, planes[t, f]))
+    for _ in range(2):
+        plan = ingest.convert(spark, str(tmp_path), str(tmp_path / "store"), tile=4)
+    assert plan.count() == 3
+    cells = store.to_cells(store.open_tiles(spark, str(tmp_path / "store"))).collect()
+    got = {(r.time_idx, r.freq_idx, r.l_idx, r.m_idx): r.flux for r in cells}
+    assert len(cells) == len(got) == 2 * 2 * 30 and all(got[1, 1, i, j] is None for i in range(5) for j in range(6))
+    assert all(np.isclose(got[t, f, i, j], planes[t, f][j, i]) for t, f in ((0, 0), (0, 1), (1, 0)) for i in range(5) for j in range(6))
+
+
+def test_append_keeps_every_channel(spark, tmp_path):
+    """A time step whose channels come one after the other is stored whole; an unreadable store is an error."""
+    x = np.random.default_rng(3).normal(size=(2, 3, 1, 6, 5))
+    tiles = store.to_tiles(cube(spark, x), 4)
+    path = str(tmp_path / "store")
+    for f in (0, 1, 0, 2):
+        store.append_tiles(tiles.where(F.col("freq_idx") == f), path)
+    back = array(store.to_cells(store.open_tiles(spark, path)), "flux", x.shape)
+    assert np.allclose(back, x.astype(np.float32)) and store.open_tiles(spark, path).count() == tiles.count()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet file at all")
+    with pytest.raises(Exception, match="part-0"):
+        store.append_tiles(tiles, str(tmp_path / "bad"))
+
+
+def test_first_of_keeps_loose_rows(spark):
+    rows = [("a", 1, "p2"), ("a", 1, "p1"), (None, 1, "p3"), (None, 1, "p3"), ("b", None, "p4")]
+    df = spark.createDataFrame(rows, "k string, n int, path string").withColumn("header", F.create_map(F.lit("x"), F.col("path")))
+    assert sorted(r.path for r in I.first_of(df, ["k", "n"], ["path"]).collect()) == ["p1", "p3", "p3", "p4"]
+
+
+def test_merging_over_days(spark):
+    """Groups that go over midnight, and over days; a key without a time stands alone."""
+    steps = [0.0, 0.4, 0.8, 1.1, 1.5, 1.9, 2.3, 5.0, 5.2, 7.0]
+    df = spark.createDataFrame([(f"k{i}", 60000.3 + s) for i, s in enumerate(steps)] + [("none", None)], "time_key string, mjd double")
+    got = {r.time_key: r.group_key for r in I.merged_keys(df, 0.41 * 86400).collect()}
+    assert got == {**{f"k{i}": "k0" for i in range(7)}, "k7": "k7", "k8": "k7", "k9": "k9", "none": "none"}
+
+
 def test_candidate_pages(spark):
-    index = '<table id="idx"><tr><th>#</th></tr><tr data-sid="J1"><td>1</td><td>J1</td><td>2025-05-05</td></tr></table>'
-    page = "<table><tr><td>17h</td><td>2025-05-05</td><td>Full</td><td>92.61</td><td>1.0</td><td>2.0</td></tr><tr><td>25h</td><td>2025-05-05</td><td>Full</td><td>1</td><td>1</td><td>1</td></tr><tr><td>a</td></tr></table>"
-    df = spark.createDataFrame([("1", index), ("2", page), ("3", None)], "page_id string, html string")
-    assert [(r.source_id, r.date) for r in tables.candidates(df).collect()] == [("J1", "2025-05-05")]
-    assert [(r.lst_hour, r.snr) for r in tables.detections(df).collect()] == [(17, 92.61)]
+    index = (
+        '<table><tr data-sid="J0"><td>9</td></tr></table><table class="x idx"><tr><th>#</th><th>source</th><th>date</th><th> PB-corr  peak (Jy)</th><th>SNR</th><th>what</th><th>n_i_epoch</th></tr>'
+        '<tr data-sid="J1"><td>1</td><td><a href="/s">J1</a></td><td>2025-05-05</td><td>21.91</td><td>72.3</td><td>?</td><td>16</td><td>more</td></tr><tr data-sid=""><td>2</td></tr><tr data-sid="J2"><td>3</td></tr></table>'
+    )
+    head = "<tr><th>LST</th><th>date</th><th>band</th><th>SNR</th><th>RA</th><th>Dec</th></tr>"
+    page = f'<div class="locbar"><input class="lv" value="280.4663 -1.96395"><input class="lv" value="18:41"></div><input class="lv" value="no"><table>{head}<tr><td>17h</td><td>2025-05-05</td><td>Full</td><td>1,092.61</td><td>1.0</td><td>2.0</td></tr><tr><td>25h</td><td>2025-05-05</td><td>Full</td><td>1</td><td>1</td><td>1</td></tr><tr><td>a</td></tr></table>'
+    loose = "<table><tr><td>17h</td><td>2025-05-05</td><td>Full</td><td>9</td><td>1.0</td><td>2.0</td></tr></table>"
+    read = tables.read_pages(spark.createDataFrame([("1", index), ("2", page + loose), ("3", None)], "page_id string, html string")).persist()
+    got = [(r.source_id, r.rank, r.date, r.peak_jy, r.snr, r.n_epoch, r.note) for r in tables.candidates(read).collect()]
+    assert got == [("J1", "1", "2025-05-05", 21.91, 72.3, "16", ""), ("J2", "3", "", None, None, "", "")]
+    assert [(r.lst_hour, r.snr) for r in tables.detections(read).collect()] == [(17, 1092.61)]
+    assert [(r.page, r.ra, r.dec) for r in tables.combined_positions(read).collect()] == [("1", None, None), ("2", 280.4663, -1.96395), ("3", None, None)]
 
 
 def test_quality_csv(spark, tmp_path):

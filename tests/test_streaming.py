@@ -41,3 +41,14 @@ def test_running_coverage(spark, tmp_path):
     q = arrivals.running_coverage(s).writeStream.format("memory").queryName("cov").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.mhz, r.files) for r in spark.sql("SELECT * FROM cov").collect()) == [(41.0, 2), (46.0, 1)]
+
+
+def test_a_time_step_over_two_batches(spark, tmp_path):
+    """Channels of one time step that arrive in different batches are all stored."""
+    schema = "time_idx long, freq_idx long, pol_idx long, tile_l long, tile_m long, l0 long, m0 long, n_l int, n_m int, data array<float>"
+    path = str(tmp_path / "in")
+    for f in range(3):
+        spark.createDataFrame([(0, f, 0, 0, 0, 0, 0, 1, 2, [1.0, 2.0])], schema).coalesce(1).write.mode("append").parquet(path)
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        arrivals.append_as_they_arrive(s, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.freq_idx for r in store.open_tiles(spark, str(tmp_path / "store")).collect()) == [0, 1, 2]
