@@ -9,13 +9,19 @@ Control strings inside texts and roles (anything that starts with ``<|``, and ``
 ``</s>``, ``[INST]``, ``[/INST]``) get one backslash more after their first character; taking
 one away restores the text.
 
-Rows stream in the order of (conv_id, turn), so a conversation needs no memory beyond one
-segment of ``segment_chars`` characters, however many turns it has; a segment ends between
-turns. Intermediate order comes from Spark's sort, which spills.
+Rows are dealt in ranges of (conv_id, turn, role, text), so a conversation with very many turns
+is sorted, rendered and encoded in several tasks. Within a task they stream in order and need no
+memory beyond one segment of ``segment_chars`` characters; a segment ends between turns. A row
+of the result is a whole conversation, or a segment of one that is long or lies at the end of a
+range. Whole ones are digested where they are read. The hashes of others run over their
+segments in order, so these, read back to plain texts, meet in one task for each conversation;
+that task hashes a stream and holds one segment. Intermediate order comes from Spark's sort,
+which spills.
 
 Defined cases: null roles and texts are empty. A null turn comes first, equal turns follow role
 and text; repeated rows are turns each. Conversations of null conv_id are one conversation.
-Empty texts keep their turn. No rows give no rows. Other columns are not read.
+Empty texts keep their turn. A conv_id that is no whole number is an error. No rows give no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +42,8 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _CONTROL = re.compile(r"([<\[]\\*)(?=\||/?s>|/?INST\])")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(?=\||/?s>|/?INST\])")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.S)
-FORMATTED = "conv_id long, segment int, text string, input_ids array<int>, loss_mask array<tinyint>"
+FORMATTED = "conv_id long, part int, segment int, whole boolean, text string, input_ids array<int>, loss_mask array<tinyint>"
+PLAIN = "conv_id long, part int, segment int, n_turns long, turns string, loss string, formatted_chars long"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -104,33 +111,41 @@ def chat_tokens(path: str) -> ChatTokens:
 
 
 def format_conversations(turns: DataFrame, tokenizer: str, segment_chars: int = 1 << 20, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A row for each segment of a conversation; most conversations are one segment."""
+    """A row for each conversation, or for each segment of it; (part, segment) is their order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         encode = chat_tokens(tokenizer).tokenizer.encode_batch
-        ready: list[tuple] = []  # conv_id, segment, turns
+        ready: list[tuple] = []  # conv_id, segment, whole, turns
         held: list[tuple[str, str]] = []
-        now, segment, size, waiting = None, 0, 0, 0
+        # The first conversation of a range may have begun in the range before it.
+        now, segment, size, waiting, broken = None, 0, 0, 0, True
 
         def flush() -> pa.RecordBatch:
-            drawn = [render(t) for _, _, t in ready]
+            drawn = [render(t) for *_, t in ready]
             found = encode([t for t, _ in drawn], add_special_tokens=False)
             columns = [
                 pa.array([x[0] for x in ready], pa.int64()),
+                pa.array([part] * len(ready), pa.int32()),
                 pa.array([x[1] for x in ready], pa.int32()),
+                pa.array([x[2] for x in ready], pa.bool_()),
                 pa.array([t for t, _ in drawn]),
                 pa.array([e.ids for e in found], pa.list_(pa.int32())),
                 pa.array([mask(e.offsets, spans) for e, (_, spans) in zip(found, drawn)], pa.list_(pa.int8())),
             ]
             ready.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "segment", "text", "input_ids", "loss_mask"])
+            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "part", "segment", "whole", "text", "input_ids", "loss_mask"])
 
         for batch in batches:
             for c, r, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if held and (c != now or size > segment_chars):
-                    ready.append((now, segment, held))
+                    broken = broken or c == now
+                    ready.append((now, segment, not broken, held))
                     waiting += size
-                    segment = segment + 1 if c == now else 0
+                    segment += 1
+                    broken = broken and c == now
                     held, size = [], 0
                     if waiting > segment_chars:
                         yield flush()
@@ -139,57 +154,63 @@ def format_conversations(turns: DataFrame, tokenizer: str, segment_chars: int =
                 held.append((r, t))
                 size += len(r) + len(t) + 1
         if held:
-            ready.append((now, segment, held))
+            ready.append((now, segment, False, held))
         if ready:
             yield flush()
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows_in = turns.select(F.col(conv).cast("long").alias("c"), F.col(turn).alias("n"), empty(role).alias("r"), empty(text).alias("t"))
-    ordered = rows_in.repartition("c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t")
+    number = F.col(conv).try_cast("long")
+    number = F.when(F.col(conv).isNull() | number.isNotNull(), number).otherwise(F.raise_error(F.concat(F.lit("conv_id is no whole number: "), F.col(conv).cast("string"))).cast("long"))
+    rows_in = turns.select(number.alias("c"), F.col(turn).alias("n"), empty(role).alias("r"), empty(text).alias("t"))
+    ordered = rows_in.repartitionByRange("c", "n", "r", "t").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t")
     return map_texts(ordered, rows, FORMATTED)
 
 
 def digest(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """One row for each conversation, from formatted texts, token ids and masks alone."""
+    names = [x.split()[0] for x in DIGEST.split(", ")]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[int, str, str, str]]:
+        """Turns, the text of all, that under the mask, and the formatted text of each row."""
         chat = chat_tokens(tokenizer)
-        names = [x.split()[0] for x in DIGEST.split(", ")]
-        state: list | None = None
-        out: list[tuple] = []
+        for text, ids, loss in zip(*(batch.column(k) for k in (4, 5, 6))):
+            turns = parse(text.as_py())
+            yield len(turns), "".join(f"{r}\n{t}\n" for r, t in turns), "".join(map(unescape, chat.masked_texts(np.asarray(ids.values), np.asarray(loss.values)))), text.as_py()
 
-        def close() -> None:
-            out.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(n, hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)) for n, turns, loss, text in read(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), pa.string() if n.endswith("sha256") else pa.int64()) for n, c in zip(names[1:], zip(*out))]], names=names)
 
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array(list(c), pa.string() if n.endswith("sha256") else pa.int64()) for n, c in zip(names, zip(*out))]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=names)
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, turns, loss, text = (list(x) for x in zip(*read(batch)))
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(turns), pa.array(loss), pa.array(list(map(len, text)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PLAIN.split(", ")])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list | None = None
+
+        def close() -> pa.RecordBatch:
+            row = (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.string() if n.endswith("sha256") else pa.int64()) for n, x in zip(names, row)], names=names)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                conv, _, text, ids, loss = (batch.column(k)[i] for k in range(5))
-                conv, text = conv.as_py(), text.as_py()
-                if state is None or state[0] != conv:
+            for conv, n, turns, loss, chars in zip(*(batch.column(k) for k in (0, 3, 4, 5, 6))):
+                if state is None or state[0] != conv.as_py():
                     if state:
-                        close()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for r, t in parse(text):
-                    state[1] += 1
-                    state[2].update(f"{r}\n{t}\n".encode())
-                for t in chat.masked_texts(np.asarray(ids.values), np.asarray(loss.values)):
-                    t = unescape(t)
-                    state[3] += len(t)
-                    state[4].update(t.encode())
-                state[5] += len(text)
-            if len(out) > 1000:
-                yield flush()
+                        yield close()
+                    state = [conv.as_py(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[1] += n.as_py()
+                state[2].update(turns.as_py().encode())
+                state[3] += len(loss.as_py())
+                state[4].update(loss.as_py().encode())
+                state[5] += chars.as_py()
         if state:
-            close()
-        if out:
-            yield flush()
+            yield close()
 
-    return map_texts(formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment"), rows, DIGEST)
+    parts = map_texts(formatted.where("NOT whole"), plain, PLAIN)
+    return map_texts(formatted.where("whole"), whole, DIGEST).unionByName(map_texts(parts.repartition("conv_id").sortWithinPartitions("conv_id", "part", "segment"), joined, DIGEST))
 
 
 PROBE = "</s>[INST] ok [/INST]"

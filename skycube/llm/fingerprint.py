@@ -1,14 +1,21 @@
 """Document fingerprints from prefix polynomial hashes (operator 4).
 
 ``Prefix`` holds modular prefix sums of a text; they answer whether any two spans are equal and
-find longest common extensions by binary search. A fingerprint keeps these sums at up to 32
-places from either end, on a grid whose step is a power of two, so the sums of two texts of any
-lengths meet on the coarser grid. ``likeness`` walks two fingerprints: it extends a common run
-by binary search, skips the cell that differs, and goes on.
+find longest common extensions by binary search. A fingerprint keeps a few of these sums, and
+``likeness`` asks two fingerprints the same questions:
+
+* at up to 64 places that the text itself chooses: after each four characters whose hash ends in
+  enough zero bits. They move with the text, so spans between them are compared wherever they
+  lie, after any insertions. From each chunk that both have, the longest common extension is
+  found by binary search, and the extensions are chained.
+* at up to 16 places from either end, on a grid whose step is a power of two, so the sums of two
+  texts of any lengths meet on the coarser grid. They serve texts that repeat themselves, which
+  choose few places or too many.
 
 ``next_documents`` puts each document beside the next one in descending doc_id order with one
-shuffle of the texts: doc_ids are cut into ranges, and the first document of each range is
-dealt to the range before it as well.
+shuffle of the texts: (doc_id, text hash) is cut into ranges, so that one doc_id with very many
+texts, or very many null ones, lie in several; the first document of each range is dealt to the
+range before it as well.
 
 Defined cases: a null text is an empty one. Null doc_ids come last; rows with one doc_id are
 ordered by a hash of the text. A lone document is its own next. Two empty texts are alike (1),
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -31,7 +39,7 @@ from .shared import map_texts
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 48_271_009)
-CELLS = 32
+CELLS, CUTS, WINDOW = 16, 64, 4
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -59,7 +67,7 @@ class Prefix:
 
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-        self.n = len(codes)
+        self.n, self.codes = len(codes), codes
         self.sums = []
         for base in BASES:
             total = np.zeros(self.n + 1, np.uint64)
@@ -91,15 +99,35 @@ class Fingerprint(NamedTuple):
     step: int
     front: list[int]  # sums of the first 0, 1, 2, ... cells
     back: list[int]  # the same of the text read from its end
+    places: list[int]  # that the text chose, in order
+    levels: list[int]  # zero bits of the hash at each place
+    sums: list[int]  # at each place
 
     def __str__(self) -> str:
-        return f"{self.n:x}.{self.whole:016x}.{self.step:x}.{''.join(f'{x:08x}' for x in self.front[1:])}.{''.join(f'{x:08x}' for x in self.back[1:])}"
+        cells = [f"{self.n:x}", f"{self.whole:016x}", f"{self.step:x}"] + ["".join(f"{x:08x}" for x in c[1:]) for c in (self.front, self.back)]
+        return ".".join([*cells, *(",".join(f"{x:x}" for x in c) for c in (self.places, self.levels)), "".join(f"{x:08x}" for x in self.sums)])
 
     @staticmethod
     def parse(text: str) -> Fingerprint:
-        n, whole, step, front, back = text.split(".")
-        cells = ([0, *(int(x[i : i + 8], 16) for i in range(0, len(x), 8))] for x in (front, back))
-        return Fingerprint(int(n, 16), int(whole, 16), int(step, 16), *cells)
+        n, whole, step, front, back, places, levels, sums = text.split(".")
+        eights = lambda x: [int(x[i : i + 8], 16) for i in range(0, len(x), 8)]
+        numbers = lambda x: [int(v, 16) for v in x.split(",") if v]
+        return Fingerprint(int(n, 16), int(whole, 16), int(step, 16), [0, *eights(front)], [0, *eights(back)], numbers(places), numbers(levels), eights(sums))
+
+
+def chosen_places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``CUTS`` places inside a text, and the level of each: places of higher levels are fewer by halves."""
+    x = np.zeros(max(0, len(codes) - 1), np.uint64)
+    for k in range(WINDOW):
+        x[k:] = x[k:] * np.uint64(0x9E3779B97F4A7C15) + codes[: len(x) - k] if k < len(x) else x[k:]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    level = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+    at_least = np.cumsum(np.bincount(level, minlength=1)[::-1])[::-1]
+    least = int(np.searchsorted(-at_least, -CUTS)) if len(x) else 0
+    at = np.flatnonzero(level >= least)
+    return at + 1, level[at]
 
 
 def fingerprint(text: str) -> Fingerprint:
@@ -113,7 +141,8 @@ def fingerprint(text: str) -> Fingerprint:
     turn = np.uint64(pow(BASES[0], -p.n, PRIME))
     back = _mod((np.uint64(PRIME) + p.at(np.array([p.n])) - p.at(p.n - grid)) % np.uint64(PRIME) * turn)
     whole = int(p.at(np.array([p.n]))[0]) << 31 | int(p.at(np.array([p.n]), 1)[0])
-    return Fingerprint(p.n, whole, step, front.tolist(), back.tolist())
+    places, levels = chosen_places(p.codes)
+    return Fingerprint(p.n, whole, step, front.tolist(), back.tolist(), places.tolist(), levels.tolist(), p.at(places).tolist())
 
 
 def _runs(a: list[int], b: list[int]) -> tuple[int, int]:
@@ -129,15 +158,53 @@ def _runs(a: list[int], b: list[int]) -> tuple[int, int]:
     return equal, lead
 
 
+_INVERSE = pow(BASES[0], -1, PRIME)
+
+
+def _chunks(f: Fingerprint, level: int) -> tuple[list[int], list[int]]:
+    """The places of that level or above with both ends, and the sums there."""
+    kept = [i for i, x in enumerate(f.levels) if x >= level]
+    return [0, *(f.places[i] for i in kept), f.n], [0, *(f.sums[i] for i in kept), f.whole >> 31]
+
+
+def common(a: Fingerprint, b: Fingerprint) -> int:
+    """Characters of both texts in chained common extensions of chunks."""
+    level = max(min(a.levels, default=0), min(b.levels, default=0))
+    (pa_, sa), (pb, sb) = _chunks(a, level), _chunks(b, level)
+    # Factors that make the sums of spans from these places comparable.
+    ta, tb = ([pow(_INVERSE, p, PRIME) for p in x] for x in (pa_, pb))
+    first: dict[tuple[int, int], list[int]] = {}
+    for j in range(len(pb) - 1):
+        first.setdefault((pb[j + 1] - pb[j], (sb[j + 1] - sb[j]) * tb[j] % PRIME), []).append(j)
+    used, total, i = [False] * len(pb), 0, 0
+    while i < len(pa_) - 1:
+        best, at = 0, 0
+        for j in first.get((pa_[i + 1] - pa_[i], (sa[i + 1] - sa[i]) * ta[i] % PRIME), ()):
+            if used[j]:
+                continue
+            # Spans of both texts from these places are equal up to some number of chunks, and unequal beyond.
+            most = min(len(pa_) - i, len(pb) - j)
+            differs = lambda m: pa_[i + m] - pa_[i] != pb[j + m] - pb[j] or ((sa[i + m] - sa[i]) * ta[i] - (sb[j + m] - sb[j]) * tb[j]) % PRIME != 0 or used[j + m - 1]  # noqa: B023, E731
+            m = 1 + bisect_right(range(2, most), False, key=differs)
+            if m > best:
+                best, at = m, j
+        if best:
+            used[at : at + best] = [True] * best
+            total += pa_[i + best] - pa_[i]
+        i += max(best, 1)
+    return total
+
+
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    """Share of the longer text that lies in common runs, as far as the coarser grid shows; 1 for equal texts."""
+    """Share of the longer text that lies in common runs, as far as the sums show; 1 for equal texts."""
     if (a.n, a.whole) == (b.n, b.whole):
         return 1.0
     if not a.n or not b.n:
         return 0.0
     step = max(a.step, b.step)
     (front, lead), (back, trail) = (_runs(x[:: step // a.step], y[:: step // b.step]) for x, y in ((a.front, b.front), (a.back, b.back)))
-    return min(1.0, max(front, back, min(lead + trail, min(a.n, b.n) // step)) * step / max(a.n, b.n))
+    grid = max(front, back, min(lead + trail, min(a.n, b.n) // step)) * step
+    return min(1.0, max(grid, common(a, b)) / max(a.n, b.n))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -153,17 +220,25 @@ def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     shares = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = sorted({*(rows.select(F.percentile_approx("d", shares, 20 * parts)).first()[0] or [])}, reverse=True)
+    found = rows.select(F.percentile_approx("d", shares, 20 * parts).alias("q"), F.count_if(F.col("d").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).first()
+    # A doc_id that several quantiles fall on, and null, are cut further by the hash of the text.
+    ids = Counter(found.q or [])
+    width = lambda k: [((i << 64) // k) - (1 << 63) for i in range(k)]
+    cuts = [(d, h) for d in sorted(ids, reverse=True) for h in width(ids[d])]
+    cuts += [(None, h) for h in width(max(1, -(-found.nulls * parts // found.n)))] if found.nulls else []
+    rows = rows.withColumn("h", F.xxhash64("t"))
     if cuts:
-        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda x: x >= F.col("d")))
+        marks = F.array(*[F.struct(F.lit(d).cast("long").alias("d"), F.lit(h).cast("long").alias("h")) for d, h in cuts])
+        before = lambda x: F.when(x["d"].isNull(), F.col("d").isNull() & (x["h"] <= F.col("h"))).otherwise(F.col("d").isNull() | (x["d"] > F.col("d")) | ((x["d"] == F.col("d")) & (x["h"] <= F.col("h"))))
+        part = F.size(F.filter(marks, before))
     else:
         part = F.lit(0)
-    rows = rows.withColumn("p", F.when(F.col("d").isNull(), len(cuts) + 1).otherwise(part)).withColumn("h", F.xxhash64("t"))
+    rows = rows.withColumn("p", part)
     # One row for each part: the first document of its order.
     order = F.struct(F.col("d").isNull().alias("no"), (-F.col("d")).alias("m"), "h")
     heads = sorted(rows.groupBy("p").agg(F.min(order).alias("f")).select("p", "f.m", "f.h").collect())
     # Arrays by part, so a row looks up its own part's head: nothing nests with the number of parts.
-    found: list = [(None, None, None)] * (len(cuts) + 2)
+    found: list = [(None, None, None)] * (len(cuts) + 1)
     for i, head in enumerate(heads):
         found[head.p] = (None if head.m is None else -head.m, head.h, heads[i - 1].p)
     first, mark, before = (F.array(*[F.lit(x).cast(kind) for x in column])[F.col("p")] for column, kind in zip(zip(*found), ("long", "long", "int")))

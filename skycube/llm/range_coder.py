@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK, AHEAD = 2048, 32
 MAGIC = b"SKRC0001"
 HEAD = struct.Struct("<8sQIIIII")  # magic, ids, ids in a block, blocks, bytes of counts, of index, of documents
 WHOLE, SPREAD = 16, 19  # bits of the mixture's and of the spread's total
@@ -27,7 +27,7 @@ WHOLE, SPREAD = 16, 19  # bits of the mixture's and of the spread's total
 FULL, LEAST, BELOW = np.uint64((1 << 63) - 1), np.uint64(1 << 47), np.uint64((1 << 47) - 1)
 KEPT, WORD = np.uint64(47), np.uint64(16)
 ONE_BITS, TWO_BITS, FACTOR = 10, 12, np.uint32(2654435761)
-FEWEST, MOST = 64, 62000  # bounds of a rate, of 2**WHOLE
+FEWEST, MOST = np.int32(64), np.int32(62000)  # bounds of a rate, of 2**WHOLE
 START = np.array([[600, 6000, 14000, 24000], [2000, 20000, 40000, 50000]], np.int32)  # rates of order 1 and 2
 
 
@@ -55,29 +55,35 @@ class Model:
     """
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes, dtype=np.int32)
+        lane = np.arange(lanes)
         self.lane = np.stack([lane << ONE_BITS, (lanes << ONE_BITS) + (lane << TWO_BITS)])
         self.table = np.full((lanes << ONE_BITS) + (lanes << TWO_BITS), -4, np.int32)
         self.rates = np.concatenate([np.tile(START[0], lanes), np.tile(START[1], lanes)])
         self.rate_at = np.stack([lane << 2, (lane + lanes) << 2])
-        self.last, self.mixed = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.key = np.zeros((2, lanes), np.uint32)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids predicted by order 2 and order 1, and the ends of their shares, for the first ``n`` lanes."""
-        h = self.last[:n] * FACTOR
-        key = self.key[:, :n]
-        np.right_shift(h, np.uint32(32 - ONE_BITS), out=key[0])
-        np.right_shift(h + self.mixed[:n], np.uint32(32 - TWO_BITS), out=key[1])
-        self.mixed[:n] = h >> np.uint32(7)
-        self.at = self.lane[:, :n] + key.view(np.int32)
-        self.entry = self.table.take(self.at)
+
+    def places(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Table places of the contexts (last id; last two ids) of the first lanes, at one step or at several."""
+        h, g = last * FACTOR, before * FACTOR
+        g >>= np.uint32(7)
+        g += h
+        g >>= np.uint32(32 - TWO_BITS)
+        h >>= np.uint32(32 - ONE_BITS)
+        out = np.empty((*h.shape[:-1], 2, h.shape[-1]), np.int64)
+        out[..., 0, :], out[..., 1, :] = h, g
+        out += self.lane[:, : h.shape[-1]]
+        return out
+
+    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids predicted by order 2 and order 1 from their tables' places, and the ends of their shares."""
+        self.at = at
+        self.entry = self.table.take(at)
         self.sure = self.entry & 3
-        self.where = self.rate_at[:, :n] + self.sure
+        self.where = self.rate_at[:, : at.shape[1]] + self.sure
         self.rate = self.rates.take(self.where)
         self.guess = self.entry >> 2
         (r1, r2), (p1, p2) = self.rate, self.guess
-        m1 = ((1 << WHOLE) - r2) * (r1 >> 1)
+        m1 = (1 << WHOLE) - r2
+        m1 *= r1 >> 1
         m1 >>= WHOLE - 1
         m1 += 1
         end1 = r2 + m1
@@ -89,13 +95,11 @@ class Model:
         hit = self.guess == ids
         self.entry += self.sure < 3
         self.table[self.at] = np.where(hit, self.entry, ids << 2)
-        goal = hit * np.int32(MOST - FEWEST)
+        goal = np.where(hit, MOST, FEWEST)
         goal -= self.rate
-        goal += FEWEST
         goal >>= 5
         goal += self.rate
         self.rates[self.where] = goal
-        self.last[: len(ids)] = ids
 
 
 class Writer:
@@ -145,10 +149,15 @@ def encode_ids(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, lis
     tail = len(ids) - (lanes - 1) * block
     model, out = Model(lanes), Writer(lanes, min(block, len(ids)))
     whole, fine = np.uint64(WHOLE), np.uint64(SPREAD)
+    past = np.concatenate([np.zeros((2, lanes), np.uint32), grid.view(np.uint32)])
     for t in range(min(block, len(ids))):
         n = lanes if t < tail else lanes - 1
         x = grid[t, :n]
-        p2, p1, c2, c1 = model.predict(n)
+        # The ids are all known, so contexts are looked up for many steps at once.
+        if t % AHEAD == 0:
+            m = min(AHEAD, block - t)
+            at = model.places(past[t + 1 : t + 1 + m], past[t : t + m])
+        p2, p1, c2, c1 = model.predict(at[t % AHEAD, :, :n])
         is2, is1 = x == p2, x == p1
         cum = np.where(is1, c2, c1)
         cum[is2] = 0
@@ -183,7 +192,7 @@ def decode_ids(n_ids: int, block: int, found: np.ndarray, share: np.ndarray, wor
     found, share = found.astype(np.int32), share.astype(np.uint64)
     words = np.concatenate([words, np.zeros(8, np.uint16)]).astype(np.uint64)
     at = np.cumsum(n_words) - n_words
-    last = len(words) - 1
+    end = len(words) - 1
     low = np.zeros(lanes, np.uint64)
     size = np.full(lanes, FULL)
     gap = np.zeros(lanes, np.uint64)  # the code's value less low
@@ -191,15 +200,16 @@ def decode_ids(n_ids: int, block: int, found: np.ndarray, share: np.ndarray, wor
         gap |= words[at] << np.uint64(shift)
         at += 1
     # The code has 15 bits more than three words; they lead the fourth.
-    gap |= words[np.minimum(at, last)] >> np.uint64(1)
+    gap |= words[np.minimum(at, end)] >> np.uint64(1)
     tail = n_ids - (lanes - 1) * block
     grid = np.zeros((block, lanes), np.int32)
+    last = before = np.zeros(lanes, np.uint32)
     model = Model(lanes)
     top, spread_top = np.uint64((1 << WHOLE) - 1), np.uint64((1 << SPREAD) - 1)
     whole, fine, one, low_bit = np.uint64(WHOLE), np.uint64(SPREAD), np.uint64(1), np.uint64(15)
     for t in range(min(block, n_ids)):
         n = lanes if t < tail else lanes - 1
-        p2, p1, c2, c1 = model.predict(n)
+        p2, p1, c2, c1 = model.predict(model.places(last[:n], before[:n]))
         unit = size[:n] >> whole
         v = np.minimum(gap[:n] // unit, top).astype(np.int32)
         is2, in1 = v < c2, v < c1
@@ -231,13 +241,14 @@ def decode_ids(n_ids: int, block: int, found: np.ndarray, share: np.ndarray, wor
             low[todo] = (lo & BELOW) << WORD
             k = at[todo]
             # 16 new bits: the last bit of the word begun before and 15 of the next.
-            new = ((words[np.minimum(k, last)] & one) << low_bit) | (words[np.minimum(k + 1, last)] >> one)
+            new = ((words[np.minimum(k, end)] & one) << low_bit) | (words[np.minimum(k + 1, end)] >> one)
             gap[todo] = (gap[todo] << WORD) | new
             at[todo] = k + 1
             s <<= WORD
             size[todo] = s
             todo = todo[s < LEAST]
         grid[t, :n] = x
+        before, last = last, grid[t].view(np.uint32)
         model.learn(x)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n_ids].view(np.uint32)
     for k, crc in enumerate(crcs.tolist()):

@@ -196,7 +196,7 @@ class Tokens:
             length = end[new] - cut[new]
             codes = c[np.repeat(cut[new] - np.cumsum(length) + length, length) + np.arange(length.sum())]
             self.learn(h[new], self.keep([joined[a:b] for a, b in zip(cut[new].tolist(), end[new].tolist())], codes, length))
-            piece = self.find(h)
+            piece[unknown] = self.find(h[unknown])
         mark = self.n, self.n_ids, self.n_chars
         # Pieces that only share a hash with a remembered one, and long ones, are encoded for this batch alone.
         if self.n_chars:

@@ -99,3 +99,25 @@ def test_chat_rules(spark):
     assert {k: r.n_turns for k, r in got.items()} == {1: 3, None: 1, 2: 2}
     assert got[1].loss_chars == len(rows[2][3]) and got[None].loss_chars == 0 and got[2].loss_chars == 3000
     assert chat.digest(chat.format_conversations(df.limit(0), TOKENIZER), TOKENIZER).collect() == []
+    with pytest.raises(Exception, match="no whole number"):
+        chat.format_conversations(df.withColumn("conv_id", F.lit("x1")), TOKENIZER).collect()
+
+
+def test_a_hot_conversation_is_spread(spark, tmp_path):
+    """One conversation with nearly all turns, among repeated rows and ties: several tasks format it, and its digests are those of the whole."""
+    import hashlib
+
+    rows = [(1, k // 2, "user" if k % 3 else "assistant", f"turn {k // 2} [INST] " + "word " * (k % 50)) for k in range(3000)] + [(c, t, "assistant", "x" * t) for c in (0, 2, 3) for t in (1, 2)] + [(3, 2, "assistant", "xx")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # Spark would put so few rows together again
+    chat.format_conversations(df, TOKENIZER, segment_chars=5000).write.parquet(str(tmp_path / "f"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    formatted = spark.read.parquet(str(tmp_path / "f"))
+    assert len({r.part for r in formatted.where("conv_id = 1").select("part").collect()}) > 2
+    got = {r.conv_id: r for r in chat.digest(formatted, TOKENIZER).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for c, r in got.items():
+        mine = sorted((t, role, text) for conv, t, role, text in rows if conv == c)
+        assert r.n_turns == len(mine) and r.turns_sha256 == hashlib.sha256("".join(f"{x[1]}\n{x[2]}\n" for x in mine).encode()).hexdigest()
+        loss = "".join(x[2] for x in mine if x[1] == "assistant")
+        assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()

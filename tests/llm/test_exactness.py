@@ -12,6 +12,7 @@ import pytest
 from compare import SMALL, sql_rows, table
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
@@ -187,6 +188,83 @@ def test_expectation_maximisation(spark):
     assert abs(got["prior"] - 0.3) < 0.03 and abs(got["t_form"] - 0.95) < 0.03 and abs(got["f_context"] - 0.05) < 0.03
 
 
+def iban(country, number):
+    turned = "".join(str(int(c, 36)) for c in number + country + "00")
+    return f"{country}{98 - int(turned) % 97:02d}{number}"
+
+
+def test_added_spans_against_brute_force(spark):
+    """All kinds, good and bad: labelers' votes, EM, the classifier and the added spans, worked out span by span in Python."""
+    r = random.Random(9)
+    good, bad = [], []
+    for _ in range(120):
+        d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+        good += [
+            f"call me by phone ({r.randint(201, 289)}) {r.randint(234, 289)}-{d(4)} today", f"social security {r.randint(100, 599)}-{r.randint(10, 99)}-{r.randint(1000, 9999)} noted",
+            f"my bank account {iban('DE', d(18))} there", f"dear Mr. {r.choice(['Thomas', 'Peter'])} Anders, hello",
+        ]
+        bad += [f"order 111.911-{d(4)} there", f"version 666-00-0000 out", f"serial ZZ{d(2)}{'Q' * 12} item", "the build Dr. Xu Y was"]
+    texts = good + bad[:200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {row.doc_id: row.spans for row in pii.personal_spans(df).collect()}
+    found = [(row.doc_id, s) for row in pii.candidates(df).collect() for s in row.found]
+    kinds = {}
+    for doc, s in found:
+        kinds.setdefault(s.kind, []).append((doc, s))
+    assert {"local_phone", "ssn", "iban", "person"} <= kinds.keys()
+    for doc, s in kinds["iban"]:
+        span = texts[doc][s.start : s.end].replace(" ", "")
+        assert s.form == (int("".join(str(int(c, 36)) for c in span[4:] + span[:4])) % 97 == 1) and s.gazetteer == (span[:2] == "DE" and len(span) == 22)
+    want = {}
+    for kind, seen in kinds.items():
+        p = [0.5] * len(seen)
+        x = {"prior": 0.5} | {f"t_{v}": 0.8 for v in pii.LABELERS} | {f"f_{v}": 0.3 for v in pii.LABELERS}
+        odds = lambda s, x: np.log(x["prior"] / (1 - x["prior"])) + sum(0 if s[v] < 0 else np.log(x[f"t_{v}"] / x[f"f_{v}"]) if s[v] else np.log((1 - x[f"t_{v}"]) / (1 - x[f"f_{v}"])) for v in pii.LABELERS)
+        for _ in range(15):
+            p = [1 / (1 + np.exp(-odds(s, x))) for _, s in seen]
+            new = {"prior": (sum(p) + 1) / (len(p) + 2)}
+            for v in pii.LABELERS:
+                said = [(q, s[v]) for q, (_, s) in zip(p, seen) if s[v] >= 0]
+                new[f"t_{v}"] = (sum(q for q, y in said if y) + 1.6) / (sum(q for q, _ in said) + 2)
+                new[f"f_{v}"] = (sum(1 - q for q, y in said if y) + 0.6) / (sum(1 - q for q, _ in said) + 2)
+            x = new
+        p = [1 / (1 + np.exp(-odds(s, x))) for _, s in seen]
+        for k, (doc, s) in enumerate(seen):
+            total = odds(s, x)
+            for f in pii.FEATURES:
+                values = {y[f] for _, y in seen}
+                t, o = (sum(w for w, (_, y) in zip(ws, seen) if y[f] == s[f]) + 1 for ws in (p, [1 - q for q in p]))
+                total += np.log(t / (sum(p) + len(values))) - np.log(o / (sum(1 - q for q in p) + len(values)))
+            want.setdefault(doc, {})[s.kind, s.start, s.end] = 1 / (1 + np.exp(-total))
+    for doc, spans in got.items():
+        have = {(s.kind, s.start, s.end): s.probability for s in spans}
+        wanted = {k: v for k, v in want.get(doc, {}).items() if v >= 0.5 or k in have and [s.base for s in spans if (s.kind, s.start, s.end) == k][0]}
+        assert have.keys() == wanted.keys() and all(abs(have[k] - wanted[k]) < 1e-6 for k in have)
+    caught = sum(any(s.kind in ("local_phone", "ssn", "iban", "person") for s in got[k]) for k in range(len(good)))
+    wrong = sum(any(not s.base for s in got[k]) for k in range(len(good), len(texts)))
+    assert caught > 0.9 * len(good) and wrong < 0.1 * 200
+
+
+def plain_common(a, b):
+    """The chain of common extensions by comparing the texts themselves at the places that the fingerprints chose."""
+    fa, fb = fingerprint.fingerprint(a), fingerprint.fingerprint(b)
+    level = max(min(fa.levels, default=0), min(fb.levels, default=0))
+    at = [[0, *(p for p, x in zip(f.places, f.levels) if x >= level), f.n] for f in (fa, fb)]
+    used, total, i = set(), 0, 0
+    while i < len(at[0]) - 1:
+        best, place = 0, 0
+        for j in range(len(at[1]) - 1):
+            m = 0
+            while i + m + 1 < len(at[0]) and j + m + 1 < len(at[1]) and j + m not in used and a[at[0][i] : at[0][i + m + 1]] == b[at[1][j] : at[1][j + m + 1]]:
+                m += 1
+            if m > best:
+                best, place = m, j
+        used |= {*range(place, place + best)}
+        total += at[0][i + best] - at[0][i]
+        i += max(best, 1)
+    return total
+
+
 def test_fingerprints(spark, docs):
     got = QUERIES["op4_document_fingerprints"](spark, SMALL).toPandas().sort_values("doc_id", ascending=False)
     x = docs.text.tolist()[::-1]
@@ -194,6 +272,23 @@ def test_fingerprints(spark, docs):
     assert got.edited_sha256.tolist() == [hashlib.sha256(e.encode()).hexdigest() for e in edited] and got.n_chars.tolist() == list(map(len, x))
     assert got.fingerprint.tolist() == [str(fingerprint.fingerprint(a)) for a in x] and len(set(x)) == got.fingerprint.nunique()
     assert (got.near_edited > 0.55).all() and got.near_next.mean() < 0.1
+    for a, e, b, near, following in list(zip(x, edited, x[1:], got.near_edited, got.near_next))[:200]:
+        for other, value in ((e, near), (b, following)):
+            chain = plain_common(a, other) / max(1, len(a), len(other))
+            assert value >= min(1, chain) - 1e-9 and fingerprint.common(*map(fingerprint.fingerprint, (a, other))) == (plain_common(a, other))
+
+
+def test_hot_and_null_doc_ids_are_cut_into_ranges(spark):
+    """One doc_id, and null, with very many texts: no part holds them all, and each row's next is the one in order."""
+    rows = [(7, f"text {i}") for i in range(400)] + [(None, f"none {i}") for i in range(400)] + [(k, f"own {k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = fingerprint.next_documents(df, parts=10)
+    dealt = parts.where("NOT spare").groupBy("part").count().collect()
+    assert max(r["count"] for r in dealt) < 250 and sum(r["count"] for r in dealt) == len(rows)
+    order = [r.text for r in df.select("text", F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")).orderBy(F.col("d").desc_nulls_last(), "h").collect()]
+    want = {a: hashlib.sha256(fingerprint.edited_text(a, b).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1])}
+    got = fingerprint.edited_fingerprints(df, parts=10).collect()
+    assert sorted(r.edited_sha256 for r in got) == sorted(want.values())
 
 
 @given(st.text("ab", max_size=30), st.text("ab", max_size=30), st.data())
@@ -213,6 +308,10 @@ def test_likeness_of_insertions():
     a = "".join(r.choice("abcdefgh ") for _ in range(4000))
     f = fingerprint.fingerprint
     assert fingerprint.likeness(f(a), f(a[:1000] + "xyz" + a[1000:])) > 0.9
+    # Insertions, a cut and a move: nothing stays at its distance from either end.
+    b = "new " + a[:700] + "xyz" + a[700:1900] + a[2000:2900] + "and more words" + a[2900:] + " end"
+    assert fingerprint.likeness(f(a), f(b)) > 0.7 and fingerprint.likeness(f(a), f(a[2000:] + a[:2000])) > 0.8
+    assert fingerprint.likeness(f("a" * 3000), f("a" * 2000 + b[:1000])) > 0.55
     assert fingerprint.likeness(f(a), f(a[::-1])) < 0.1 and fingerprint.likeness(f(""), f("")) == 1 and fingerprint.likeness(f(""), f("a")) == 0
 
 
