@@ -84,6 +84,42 @@ def patch_fit(spark, sf_dir):
     return rounded(H.fit_patches(patches, ["source_id", "time_idx", "freq_idx", "pol_idx"], 1.0, 1.0), "peak", "offset", "l_fit", "m_fit", "chi2", "centre", "patch_max", digits=4)
 
 
+WIDE = TRACK + """, places AS (SELECT DISTINCT time_idx, l_idx AS l_c, m_idx AS m_c FROM track WHERE visible),
+px AS (SELECT p.*, freq_idx, pol_idx, flux, c.l_idx - l_c AS dx, c.m_idx - m_c AS dy FROM places p JOIN cells c ON c.time_idx = p.time_idx AND abs(c.l_idx - l_c) <= 2 AND abs(c.m_idx - m_c) <= 2 WHERE flux IS NOT NULL)"""
+PLACE = ["time_idx", "l_c", "m_c", "freq_idx", "pol_idx"]
+
+
+def _wide_patches(spark, sf_dir):
+    cells = views.cells(spark, sf_dir)
+    times = P.axis(cells, "time_idx", "mjd")
+    places = T.track(views.sources(spark, sf_dir), times, 8, 8).where("visible").select("time_idx", "l_idx", "m_idx").distinct()
+    return T.patches(places.select(F.lit(0).alias("source_id"), "*", F.lit(True).alias("visible")), cells, 2, 4), times
+
+
+@query(
+    "e4_fixed_fit",
+    C + WIDE + """, s AS (SELECT time_idx, l_c, m_c, freq_idx, pol_idx, regr_slope(flux, g) AS a, regr_intercept(flux, g) AS b, avg(flux) AS mean, regr_syy(flux, g) AS syy, regr_sxy(flux, g) AS sxy, count(*) AS n FROM (SELECT *, exp(-0.5 * (dx * dx + dy * dy)) AS g FROM px) GROUP BY ALL)
+SELECT time_idx, l_c, m_c, freq_idx, pol_idx, round(greatest(a, 0), 5) + 0.0 AS peak, round(CASE WHEN a >= 0 THEN b ELSE mean END, 5) + 0.0 AS offset, round((syy - CASE WHEN a >= 0 THEN a * sxy ELSE 0 END) / (n - 2), 5) + 0.0 AS chi2 FROM s WHERE n > 2 AND a IS NOT NULL""",
+)
+def fixed_fit(spark, sf_dir):
+    return rounded(H.fit_fixed(_wide_patches(spark, sf_dir)[0], PLACE, 1.0, 1.0), "peak", "offset", "chi2", digits=5)
+
+
+@query(
+    "e5_peak_positions",
+    C + WIDE + """, md AS (SELECT time_idx, l_c, m_c, freq_idx, pol_idx, median(flux) AS low FROM px GROUP BY ALL), w AS (SELECT *, greatest(flux - low, 0) AS w FROM px JOIN md USING (time_idx, l_c, m_c, freq_idx, pol_idx)),
+o AS (SELECT time_idx, l_c, m_c, freq_idx, pol_idx, CASE WHEN sum(w) > 0 THEN sum(w * dx) / sum(w) ELSE 0 END AS dl, CASE WHEN sum(w) > 0 THEN sum(w * dy) / sum(w) ELSE 0 END AS dm FROM w GROUP BY ALL),
+q AS (SELECT *, CAST(least(greatest(round_even(l_c + greatest(least(dl, 2), -2), 0), 0), 7) AS BIGINT) AS l_peak, CAST(least(greatest(round_even(m_c + greatest(least(dm, 2), -2), 0), 0), 7) AS BIGINT) AS m_peak FROM o),
+t AS (SELECT DISTINCT time_idx, ((18.697374558 + 24.06570982441908 * (mjd - 51544.5) + -118.2817 / 15) % 24 + 24) % 24 * 15 AS ra0 FROM cells),
+d AS (SELECT q.*, ra0, 2 * l_peak / 7 - 1 AS l, 2 * m_peak / 7 - 1 AS m FROM q JOIN t USING (time_idx)), e AS (SELECT *, CASE WHEN l * l + m * m <= 1 THEN sqrt(1 - l * l - m * m) END AS c FROM d)
+SELECT time_idx, l_c, m_c, freq_idx, pol_idx, l_peak, m_peak, round(((ra0 + degrees(atan2(l, c * cos(radians(37.2339)) - m * sin(radians(37.2339))))) % 360 + 360) % 360, 4) AS ra_deg, round(degrees(asin(c * sin(radians(37.2339)) + m * cos(radians(37.2339)))), 4) AS dec_deg FROM e""",
+)
+def peak_positions(spark, sf_dir):
+    patches, times = _wide_patches(spark, sf_dir)
+    found = H.peak_positions(H.patch_moments(patches, PLACE, 2.0), times, 8, 8)
+    return rounded(found.select(*PLACE, "l_peak", "m_peak", "ra_deg", "dec_deg"), "ra_deg", "dec_deg", digits=4)
+
+
 @query("e9_heat_map_mean", _patch_sql("avg(flux)") + " SELECT t.source_id, t.time_idx, f.freq_idx, f.pol_idx, round(value, 6) + 0.0 AS value FROM track t CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN v ON v.source_id = t.source_id AND v.time_idx = t.time_idx AND v.freq_idx = f.freq_idx AND v.pol_idx = f.pol_idx")
 def heat_map_mean(spark, sf_dir):
     cells = views.cells(spark, sf_dir)

@@ -147,6 +147,16 @@ def test_gaussian_fit_recovers_source():
     assert np.allclose(p, [7.0, 1.5, 5.3, 4.6], rtol=1e-4) and chi2 < 1e-8
 
 
+def test_bounded_fits():
+    """A dip has no negative peak, a source beyond the reach stays at it, and a flat patch keeps its moments."""
+    x, y = (a.reshape(-1).astype(float) for a in np.meshgrid(np.arange(9), np.arange(9), indexing="ij"))
+    p, _ = H.fit_gaussian(x, y, H.model(np.array([-5.0, 2.0, 4.0, 4.0]), x, y, 1.5, 1.5), 1.5, 1.5, centre=(4, 4), reach=2)
+    assert p[0] >= 0 and np.abs(p[2:] - 4).max() <= 2
+    p, _ = H.fit_gaussian(x, y, H.model(np.array([5.0, 2.0, 7.0, 4.0]), x, y, 1.5, 1.5), 1.5, 1.5, centre=(4, 4), reach=2)
+    assert np.isclose(p[2], 6) and p[0] > 0
+    assert np.allclose(H.moments(x, y, np.ones(81), (4, 4), 2), [1, 1, 4, 4])
+
+
 def test_fits_round_trip(spark, tmp_path):
     plane = np.arange(35, dtype=np.float32).reshape(7, 5)
     plane[2, 3] = np.nan
