@@ -16,7 +16,7 @@ def shifts(channels: DataFrame, dms: list[float], step_s: float, ref_mhz: float)
 
 def dedisperse(spectra: DataFrame, dms: list[float], step_s: float, ref_mhz: float) -> DataFrame:
     """out[t] = in[t + shift] for every trial: each value is moved to its new time, none is joined."""
-    by = F.broadcast(shifts(spectra.select("freq_idx", "freq_hz").distinct(), dms, step_s, ref_mhz))
+    by = shifts(spectra.select("freq_idx", "freq_hz").distinct(), dms, step_s, ref_mhz)
     moved = spectra.select("source_id", "time_idx", "freq_idx", "flux").join(by, "freq_idx").withColumn("time_idx", F.col("time_idx") - F.col("shift"))
     return moved.select("dm", "source_id", "time_idx", "freq_idx", "flux")
 

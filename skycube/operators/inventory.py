@@ -159,16 +159,19 @@ def with_reference(files: DataFrame, mhz: float) -> DataFrame:
 
 
 def on_global_grid(planes: DataFrame, channels: DataFrame) -> DataFrame:
-    """Every (time, channel) of the union grid; missing planes are NULL. Both axes are small."""
-    return planes.select("time_key").distinct().join(F.broadcast(channels), F.lit(True)).join(planes, ["time_key", "freq_bin"], "left")
+    """Every (time, channel) of the union grid; missing planes are NULL. The grid is the result's own size."""
+    return planes.select("time_key").distinct().join(channels, F.lit(True)).join(planes, ["time_key", "freq_bin"], "left")
 
 
 def snapped(planes: DataFrame, channels: DataFrame, bin_hz: float = BIN_HZ) -> DataFrame:
     """Planes moved to the nearest expected channel within half a bin, the first of each channel.
 
-    ``channels``: freq_idx, expected_hz. The channel axis is small.
+    ``channels``: freq_idx, expected_hz. A channel stands in its bin and both neighbours, so an
+    equality join meets every pair in reach.
     """
-    near = planes.join(F.broadcast(channels), F.abs(F.col("freq_hz") - F.col("expected_hz")) <= bin_hz / 2)
+    own = F.floor(F.col("expected_hz") / bin_hz).cast("long")
+    reach = channels.select("freq_idx", "expected_hz", F.explode(F.array(own - 1, own, own + 1)).alias("_bin"))
+    near = planes.withColumn("_bin", F.floor(F.col("freq_hz") / bin_hz).cast("long")).join(reach, "_bin").where(F.abs(F.col("freq_hz") - F.col("expected_hz")) <= bin_hz / 2)
     return near.groupBy("time_key", "stokes", "freq_idx").agg(F.min_by("path", F.struct(F.abs(F.col("freq_hz") - F.col("expected_hz")), "path")).alias("path"))
 
 

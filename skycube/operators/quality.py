@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN_PATH = r"([0-9]{2}h)/([0-9]{4}-[0-9]{2}-[0-9]{2})/(Run_[0-9]{8}_[0-9]{6})(?:/([0-9]+MHz))?(?:/(.*))?$"
@@ -104,16 +104,25 @@ def to_slices(detections: DataFrame, times: DataFrame, channels: DataFrame) -> D
     """Each detection's store slice: same day and hour and nearest LST, else same day, else nearest to noon.
 
     ``detections``: detection_id, day (date), lst, mhz; ``times``: time_idx, ts, lst; ``channels``:
-    freq_idx, mhz. Both axes are small. Without a band the middle channel is taken.
+    freq_idx, mhz. Without a band the middle channel is taken. Detections meet the times of their
+    day alone; the time nearest to noon is found once for each day, the channel once for each band.
     """
-    t = times.select("time_idx", F.col("ts"), F.col("lst").alias("t_lst"))
-    rows = detections.join(F.broadcast(t), F.lit(True))
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    t = times.select("time_idx", F.to_date("ts").alias("day"), seconds(F.col("ts")).alias("s"), F.col("lst").alias("t_lst"))
     apart = F.abs(F.col("lst") - F.col("t_lst"))
     apart = F.least(apart, 24 - apart)
-    same_day = F.to_date("ts") == F.col("day")
-    tier = F.when(same_day & (F.pmod(F.rint("lst"), F.lit(24)) == F.pmod(F.rint("t_lst"), F.lit(24))), 0).when(same_day, 1).otherwise(2)
-    noon = F.abs(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - F.unix_seconds(F.col("day").cast("timestamp")) - 43200)
-    found = rows.groupBy("detection_id", "mhz").agg(F.min(F.struct(tier.alias("tier"), F.when(tier < 2, apart).otherwise(noon).alias("d"), "time_idx")).alias("s")).select("detection_id", "mhz", "s.time_idx", "s.tier")
+    tier = F.when(F.pmod(F.rint("lst"), F.lit(24)) == F.pmod(F.rint("t_lst"), F.lit(24)), 0).otherwise(1)
+    same = detections.join(t.drop("s"), "day").groupBy("detection_id").agg(F.min(F.struct(tier.alias("tier"), apart.alias("d"), "time_idx")).alias("same"))
+    # Days and times in one order, of which there is a row each: the times before and after each noon.
+    noon = detections.select("day").distinct().select((F.unix_seconds(F.col("day").cast("timestamp")).cast("double") + 43200).alias("s"), F.col("day").alias("noon_of"))
+    at = t.groupBy("s").agg(F.min("time_idx").alias("time_idx"))
+    rows = at.select("s", F.lit(None).cast("date").alias("noon_of"), F.struct("s", "time_idx").alias("x")).unionByName(noon.select("s", "noon_of", F.lit(None).cast("struct<s:double,time_idx:bigint>").alias("x")))
+    w = Window.orderBy("s", F.col("x").isNull())
+    rows = rows.withColumns({"back": F.last("x", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "ahead": F.first("x", True).over(w.rowsBetween(0, Window.unboundedFollowing))}).where("noon_of IS NOT NULL")
+    off = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.s") - F.col("s")).alias("d"), F.col(f"{c}.time_idx").alias("time_idx")))
+    nearest = rows.select(F.col("noon_of").alias("day"), F.least(off("back"), off("ahead"))["time_idx"].alias("near_noon"))
+    found = detections.join(same, "detection_id", "left").join(nearest, "day", "left")
     n = channels.count()
-    near = found.join(F.broadcast(channels.select("freq_idx", F.col("mhz").alias("c_mhz"))), F.lit(True)).groupBy("detection_id", "mhz", "time_idx", "tier").agg(F.min(F.struct(F.abs(F.col("mhz") - F.col("c_mhz")).alias("d"), "freq_idx")).alias("c"))
-    return near.select("detection_id", "time_idx", "tier", F.when(F.col("mhz").isNull(), n // 2).otherwise(F.col("c.freq_idx")).alias("freq_idx"))
+    bands = detections.where("mhz IS NOT NULL").select("mhz").distinct().join(channels.select("freq_idx", F.col("mhz").alias("c_mhz")), F.lit(True))
+    bands = bands.groupBy("mhz").agg(F.min(F.struct(F.abs(F.col("mhz") - F.col("c_mhz")).alias("d"), "freq_idx"))["freq_idx"].alias("freq_idx"))
+    return found.join(bands, "mhz", "left").select("detection_id", F.coalesce("same.time_idx", "near_noon").alias("time_idx"), F.coalesce("same.tier", F.lit(2)).alias("tier"), F.when(F.col("mhz").isNull(), n // 2).otherwise(F.col("freq_idx")).alias("freq_idx"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spectra as S
+from ..functions.geometry import lst_hours
 from ..jobs import ingest
 from ..operators import inventory as I
 from ..operators import quality as Q
 from ..operators import select as P
 from ..operators import tracking as T
-from ..sources import store, views
+from ..sources import fits, store, views
 from ..sources.scratch import new_path
-from ..sources.views import CELLS_SQL, FILES_SQL, SOURCES_SQL
+from ..sources.views import BEAMS_SQL, CELLS_SQL, FILES_SQL, SOURCES_SQL
 from .quality import DET, _detections
 from .registry import query, rounded
 from .tracks import TRACK
@@ -111,7 +112,6 @@ SELECT source_id, detection_id, s.i AS time_idx, s.tier AS tier, CASE WHEN mhz I
 )
 def candidate_slices(spark, sf_dir):
     """Each source's peak detection and its slice of the cube."""
-    from ..functions.geometry import lst_hours
     from ..functions.names import mjd_timestamp
 
     peaks = Q.peak_detections(_detections(spark, sf_dir))
@@ -197,3 +197,32 @@ def combined_steps(spark, sf_dir):
     cells = store.to_cells(cube)
     out = cells.groupBy("time_idx", "freq_idx", "pol_idx").agg(F.count("flux").alias("pixels"), F.sum(F.col("flux") * (F.col("l_idx") * 8 + F.col("m_idx"))).alias("mark"))
     return rounded(out, "mark", digits=4)
+
+
+@query(
+    "s7_exported_headers",
+    C + f", {BEAMS_SQL}, p AS (SELECT DISTINCT time_idx, mjd, freq_idx, freq_hz, pol_idx, stokes FROM cells) SELECT time_idx, freq_idx, pol_idx, freq_hz AS restfreq, mjd, CAST(stokes AS DOUBLE) AS stokes, bmaj, 'RA---SIN' AS ctype, 'plane ' || time_idx AS source FROM p JOIN beams USING (time_idx, freq_idx, pol_idx)",
+)
+def exported_headers(spark, sf_dir):
+    """Every plane exported with the cards of its place in the cube, and its header read back."""
+    cells = views.cells(spark, sf_dir)
+    planes = cells.select("time_idx", "mjd", "freq_idx", "freq_hz", "pol_idx", "stokes").distinct().join(views.beams(spark, sf_dir), ["time_idx", "freq_idx", "pol_idx"])
+    planes = planes.withColumns({"ra0_deg": lst_hours(F.col("mjd")) * 15, "dec0_deg": F.lit(37.2339), "cdelt_deg": F.lit(16.37), "source": F.concat(F.lit("plane "), F.col("time_idx").cast("string"))})
+    files = fits.export_planes(views.tiles(spark, sf_dir), 8, 8, cards=fits.plane_cards(planes, 8, 8, "skycube"))
+    h = F.col("header")
+    read = fits.headers_of(files.select("time_idx", "freq_idx", "pol_idx", "fits"))
+    return read.select("time_idx", "freq_idx", "pol_idx", h["RESTFREQ"].cast("double").alias("restfreq"), h["MJD-OBS"].cast("double").alias("mjd"), h["CRVAL4"].cast("double").alias("stokes"), h["BMAJ"].cast("double").alias("bmaj"), h["CTYPE1"].alias("ctype"), h["SRCFILE"].alias("source"))
+
+
+@query(
+    "s12_channel_planes",
+    "SELECT CAST(p_partkey AS VARCHAR) AS path, chan, pol, 30e6 + (chan + 1 - 1) * (p_size * 1000.0) AS freq_hz, (p_size + chan) / 3600.0 AS bmaj, p_size / 7200.0 AS bmin FROM part, range(0, 4) AS c(chan), range(0, 2) AS q(pol) WHERE (p_partkey + chan) % 5 <> 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), chan, NULL, 30e6 + chan * (p_size * 1000.0), NULL, NULL FROM part, range(0, 4) AS c(chan) WHERE (p_partkey + chan) % 5 = 0",
+)
+def channel_planes(spark, sf_dir):
+    """Spectral cubes, one for each part, split into channels with their beams; some beams are missing."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = F.col("p_partkey").cast("string").alias("path")
+    heads = part.select(path, F.lit(4).alias("n_chan"), F.lit(30e6).alias("crval"), F.lit(1.0).alias("crpix"), (F.col("p_size") * 1000.0).alias("cdelt"))
+    beams = part.select(path, "p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("path", "p_partkey", F.expr("cast(k div 2 as int)").alias("chan"), (F.col("k") % 2).alias("pol"), "p_size")
+    beams = beams.where("(p_partkey + chan) % 5 <> 0").select("path", "chan", "pol", (F.col("p_size") + F.col("chan")).cast("double").alias("bmaj"), (F.col("p_size") / 2).alias("bmin"))
+    return fits.channel_planes(heads, beams)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from .schema import TILES
 
@@ -163,6 +164,20 @@ def read_headers(spark: SparkSession, path: str, pattern: str = "*.fits") -> Dat
     return out.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
+def headers_of(files: DataFrame, content: str = "fits") -> DataFrame:
+    """The other columns of ``files`` and the header map of the content that they hold."""
+    keep = [c for c in files.columns if c != content]
+    schema = StructType([*[files.schema[c] for c in keep], StructField("header", MapType(StringType(), StringType()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.string(), pa.string())
+        for batch in batches:
+            headers = pa.array([list(image_hdu(x.as_py())[0].items()) for x in batch.column(content)], kind)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], headers], names=[*keep, "header"])
+
+    return files.mapInArrow(rows, schema)
+
+
 def tiles_of(plane: np.ndarray, tile: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(l0, m0, pixels as (l, m)) of a plane given as (m, l)."""
     for l0 in range(0, plane.shape[1], tile):
@@ -191,18 +206,43 @@ def read_tiles(spark: SparkSession, inventory: DataFrame, root: str, tile: int =
     return content.join(paths, "path").select("time_idx", "freq_idx", "pol_idx", "content").mapInArrow(rows, TILES)
 
 
-def export_planes(tiles: DataFrame, n_l: int, n_m: int, header: dict[str, str | float | int] | None = None) -> DataFrame:
-    """(time_idx, freq_idx, pol_idx, fits): one image file for each plane; a plane fits one task."""
+def plane_cards(planes: DataFrame, n_l: int, n_m: int, origin: str) -> DataFrame:
+    """(time_idx, freq_idx, pol_idx, cards): sky coordinates, frequency, time, beam and provenance of each plane.
+
+    ``planes``: time_idx, mjd, freq_idx, freq_hz, pol_idx, stokes, ra0_deg, dec0_deg, cdelt_deg,
+    bmaj, bmin, bpa, source; whatever is NULL has no card.
+    """
+    texts = {"CTYPE1": F.lit("RA---SIN"), "CTYPE2": F.lit("DEC--SIN"), "CTYPE3": F.lit("FREQ"), "CTYPE4": F.lit("STOKES"), "CUNIT1": F.lit("deg"), "CUNIT2": F.lit("deg"), "ORIGIN": F.lit(origin), "SRCFILE": F.col("source")}
+    numbers = {
+        "CRVAL1": F.col("ra0_deg"), "CRVAL2": F.col("dec0_deg"), "CRPIX1": F.lit(n_l // 2 + 1), "CRPIX2": F.lit(n_m // 2 + 1), "CDELT1": -F.col("cdelt_deg"), "CDELT2": F.col("cdelt_deg"), "CRVAL3": F.col("freq_hz"), "RESTFREQ": F.col("freq_hz"),
+        "CRVAL4": F.col("stokes"), "MJD-OBS": F.col("mjd"), "BMAJ": F.col("bmaj"), "BMIN": F.col("bmin"), "BPA": F.col("bpa"),
+    }
+    card = lambda k, t, x: F.struct(F.lit(k).alias("key"), t.alias("text"), x.cast("double").alias("number"))
+    none = F.lit(None)
+    cards = [card(k, t, none) for k, t in texts.items()] + [card(k, none.cast("string"), x) for k, x in numbers.items()]
+    return planes.select("time_idx", "freq_idx", "pol_idx", F.filter(F.array(*cards), lambda c: c["text"].isNotNull() | c["number"].isNotNull()).alias("cards"))
+
+
+def export_planes(tiles: DataFrame, n_l: int, n_m: int, header: dict[str, str | float | int] | None = None, cards: DataFrame | None = None) -> DataFrame:
+    """(time_idx, freq_idx, pol_idx, fits): one image file for each plane; a plane fits one task.
+
+    ``header`` is for all planes, ``cards`` (see ``plane_cards``) for each its own.
+    """
     import pandas as pd
 
+    key = ["time_idx", "freq_idx", "pol_idx"]
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         plane = np.full((n_m, n_l), np.nan, np.float32)
         for r in pdf.itertuples():
             plane[r.m0 : r.m0 + r.n_m, r.l0 : r.l0 + r.n_l] = np.asarray(r.data, np.float32).reshape(r.n_l, r.n_m).T
         first = pdf.iloc[0]
-        return pd.DataFrame([{"time_idx": first.time_idx, "freq_idx": first.freq_idx, "pol_idx": first.pol_idx, "fits": write_plane(header or {}, plane)}])
+        own = {c["key"]: c["number"] if c["text"] is None else c["text"] for c in (first.cards if first.cards is not None else ())}
+        return pd.DataFrame([{"time_idx": first.time_idx, "freq_idx": first.freq_idx, "pol_idx": first.pol_idx, "fits": write_plane((header or {}) | own, plane)}])
 
-    return tiles.groupBy("time_idx", "freq_idx", "pol_idx").applyInPandas(one, "time_idx long, freq_idx long, pol_idx long, fits binary")
+    none = F.lit(None).cast("array<struct<key:string,text:string,number:double>>").alias("cards")
+    rows = tiles.join(cards.select(*key, "cards"), key, "left") if cards is not None else tiles.select("*", none)
+    return rows.groupBy(*key).applyInPandas(one, "time_idx long, freq_idx long, pol_idx long, fits binary")
 
 
 def channel_planes(cube_header: DataFrame, beams: DataFrame) -> DataFrame:
