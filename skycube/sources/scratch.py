@@ -28,5 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/skycube/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/skycube/{tag}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more, in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application wrote on the way; call it when no result is read any more."""
+    remove(spark, run_dir(spark))
