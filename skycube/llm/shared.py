@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,29 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-BATCH_BYTES, SPARK_BATCH_BYTES = 4 << 20, "67108864b"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset a local master
-    (tests) gets a temporary folder; any other master is refused, since a folder of one
-    machine would be invisible to the others.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="skycube-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
+from ..sources.scratch import new_path, remove
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/skycube/{tag}-{uuid.uuid4().hex}"
+BATCH_BYTES, SPARK_BATCH_BYTES = 4 << 20, "67108864b"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -99,8 +75,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, tag)
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays until ``scratch.clear`` removes what the application wrote.
+    """
+    return _stored(df, new_path(df.sparkSession, tag))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -115,12 +97,12 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al. 2014). A node with many
     neighbours costs a partial-aggregated minimum and one row for each of its edges; no
-    neighbour list is gathered anywhere. Every round is a stored table.
+    neighbour list is gathered anywhere. Every round is a stored table, and the round before it is
+    removed.
     """
     spark = edges.sparkSession
-    e = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
-    )
+    path = new_path(spark, "edges")
+    e = _stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), path)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -133,12 +115,14 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("x"))
             .select("x.u", "x.v").where("u <> v").distinct()
         )
-        new = stored(small, "edges")
+        path, old = new_path(spark, "edges"), path
+        new = _stored(small, path)
         # Both are sets; a star forest is reached when a round changes nothing.
         sums = [
             x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, new)
         ]
         e = new
+        remove(spark, old)
         if sums[0] == sums[1]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
