@@ -137,9 +137,16 @@ def source_catalogue(spark, sf_dir):
     return rounded(rounded(found.select(*PLANE, "l_idx", "m_idx", "flux", "alpha"), "flux"), "alpha", digits=5)
 
 
-@query("e7_transient_search")
+@query(
+    "e7_transient_search",
+    C + ", r AS (SELECT freq_idx, pol_idx, l_idx, m_idx, avg(flux) AS mean FROM cells GROUP BY ALL), diff AS (SELECT time_idx, freq_idx, pol_idx, l_idx, m_idx, flux - mean AS flux FROM cells JOIN r USING (freq_idx, pol_idx, l_idx, m_idx))" + PEAK.replace("cells a", "diff a").replace("cells b", "diff b") + """,
+pk AS (SELECT freq_idx, pol_idx, l_idx, m_idx, flux / sqrt(q / n - (s / n) * (s / n)) AS snr FROM box WHERE flux = top AND flux / sqrt(q / n - (s / n) * (s / n)) >= 2),
+hits AS (SELECT pol_idx, l_idx, m_idx, count(DISTINCT freq_idx) AS channels, max(snr) AS snr FROM pk GROUP BY ALL),
+v AS (SELECT pol_idx, l_idx, m_idx, CASE WHEN avg(flux) > 0 THEN stddev_pop(flux) / avg(flux) ELSE 0 END AS variability, count(flux) AS samples FROM cells GROUP BY ALL)
+SELECT pol_idx, l_idx, m_idx, channels, round(snr, 4) AS snr, round(variability, 4) + 0.0 AS variability, samples, round(channels / (SELECT count(DISTINCT freq_idx) FROM cells), 4) + 0.0 AS share FROM hits JOIN v USING (pol_idx, l_idx, m_idx) WHERE channels / (SELECT count(DISTINCT freq_idx) FROM cells) >= 0.3""",
+)
 def transient_search(spark, sf_dir):
-    """Differences, peaks, variability and channels in one job; each part has its own checked query."""
+    """Differences, peaks, variability and channels in one job."""
     return rounded(search.transient_search(views.cells(spark, sf_dir), 2.0, 6, 2, 0.3), "snr", "variability", "share", digits=4)
 
 
