@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, fresh, stored
+from .shared import components, fresh, sized, stored
 
 LEAD = 3
 
@@ -60,9 +60,9 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def _tokens(docs: DataFrame, pool: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The templates of ``pool`` with hashes of their tokens, from the texts that have them first."""
-    wanted = pool.groupBy(F.col("first.d").alias("d"), F.col("first.h").alias("h")).agg(F.collect_list("first.i").alias("i"))
+    wanted = stored(pool.groupBy(F.col("first.d").alias("d"), F.col("first.h").alias("h")).agg(F.collect_list("first.i").alias("i")), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).withColumnRenamed("d", "e")
-    rows = texts.join(wanted, F.col("e").eqNullSafe(F.col("d")) & (texts.h == wanted.h)).select("d", wanted.h, "i", "text").dropDuplicates(["d", "h"])
+    rows = texts.join(sized(wanted), F.col("e").eqNullSafe(F.col("d")) & (texts.h == wanted.h)).select("d", wanted.h, "i", "text").dropDuplicates(["d", "h"])
     rows = _templates(rows.select(F.explode("i").alias("i"), F.split("text", "\n").alias("l")).select(F.get("l", F.col("i")).alias("raw")))
     rows = rows.select(F.xxhash64("template").alias("t"), F.hash("template").alias("t2"), F.transform(F.split("template", " "), lambda x: F.xxhash64(x)).alias("tokens"))
     return stored(pool.join(rows, ["t", "t2"]), "tokens")

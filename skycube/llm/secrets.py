@@ -22,6 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import sized, stored
 from .spans import find_spans, joined, labelled, no_spans
 
 #: Strings that an expression's part can be, at most; more are cut into trigrams and forgotten.
@@ -151,7 +152,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     found = candidates(postings(rows, sorted({g for q in queries.values() for a in q for g in a})), queries) if queries else None
     if found is not None:
-        rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
+        rows = rows.join(sized(stored(found, "candidates")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     else:
         rows = rows.withColumn("kinds", F.expr("cast(array() as array<string>)"))
     kinds = F.coalesce("kinds", F.expr("cast(array() as array<string>)"))

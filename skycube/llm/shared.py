@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.scratch import new_path, remove
 
+MOST_BROADCAST = 1 << 18
 BATCH_BYTES, SPARK_BATCH_BYTES = 4 << 20, "67108864b"
 
 
@@ -87,6 +88,16 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """The stored table ``small``, to be broadcast if it has at most ``most`` rows.
+
+    For decisions on some documents that meet all texts: the texts then stay where they are.
+    With more rows nothing is asked for, and Spark joins by shuffles. Rows are to be of some
+    dozens of bytes.
+    """
+    return F.broadcast(small) if small.count() <= most else small
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, all other characters as they are."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, fresh, map_texts, stored
+from .shared import components, fresh, map_texts, sized, stored
 
 BITS = 64
 CHUNK = 1 << 15
@@ -330,7 +330,7 @@ def set_links(marked: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     # One row speaks for each set; rows repeated as a whole would give it twice.
     rows = marked.join(at.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("r"))
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("g"), F.col(text_col).alias("t"))
-    rows = texts.join(rows, F.col("d").eqNullSafe(F.col("r.doc_id")) & (F.col("g") == F.col("r.h"))).select("fp", "t").dropDuplicates(["fp"])
+    rows = texts.join(sized(stored(rows, "speakers")), F.col("d").eqNullSafe(F.col("r.doc_id")) & (F.col("g") == F.col("r.h"))).select("fp", "t").dropDuplicates(["fp"])
     sets = stored(_members(rows, words, seed), "sets")
     stars = stored(at.where((F.col("fp") != F.col("hub.fp")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
     found = _similar(stars, sets, similar)
@@ -361,6 +361,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     winners = found.groupBy(*group).agg(F.min(rank).alias("w")).select("w.doc_id", "w.h")
     losers = found.select("doc_id", "h").distinct()
     gone = losers.join(winners, losers.doc_id.eqNullSafe(winners.doc_id) & (losers.h == winners.h), "left_anti")
+    gone = sized(stored(gone, "gone"))
     h, d, g = fresh(docs, "__h", "__d", "__g")
     keep = docs.withColumn(h, F.xxhash64(text_col))
     left = keep.join(gone.select(F.col("doc_id").alias(d), F.col("h").alias(g)), F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(g)), "left_anti")
