@@ -170,27 +170,27 @@ def _chunks(f: Fingerprint, level: int) -> tuple[list[int], list[int]]:
 def common(a: Fingerprint, b: Fingerprint) -> int:
     """Characters of both texts in chained common extensions of chunks."""
     level = max(min(a.levels, default=0), min(b.levels, default=0))
-    (pa_, sa), (pb, sb) = _chunks(a, level), _chunks(b, level)
+    (at_a, sum_a), (at_b, sum_b) = _chunks(a, level), _chunks(b, level)
     # Factors that make the sums of spans from these places comparable.
-    ta, tb = ([pow(_INVERSE, p, PRIME) for p in x] for x in (pa_, pb))
+    turn_a, turn_b = ([pow(_INVERSE, p, PRIME) for p in x] for x in (at_a, at_b))
     first: dict[tuple[int, int], list[int]] = {}
-    for j in range(len(pb) - 1):
-        first.setdefault((pb[j + 1] - pb[j], (sb[j + 1] - sb[j]) * tb[j] % PRIME), []).append(j)
-    used, total, i = [False] * len(pb), 0, 0
-    while i < len(pa_) - 1:
+    for j in range(len(at_b) - 1):
+        first.setdefault((at_b[j + 1] - at_b[j], (sum_b[j + 1] - sum_b[j]) * turn_b[j] % PRIME), []).append(j)
+    used, total, i = [False] * len(at_b), 0, 0
+    while i < len(at_a) - 1:
         best, at = 0, 0
-        for j in first.get((pa_[i + 1] - pa_[i], (sa[i + 1] - sa[i]) * ta[i] % PRIME), ()):
+        for j in first.get((at_a[i + 1] - at_a[i], (sum_a[i + 1] - sum_a[i]) * turn_a[i] % PRIME), ()):
             if used[j]:
                 continue
             # Spans of both texts from these places are equal up to some number of chunks, and unequal beyond.
-            most = min(len(pa_) - i, len(pb) - j)
-            differs = lambda m: pa_[i + m] - pa_[i] != pb[j + m] - pb[j] or ((sa[i + m] - sa[i]) * ta[i] - (sb[j + m] - sb[j]) * tb[j]) % PRIME != 0 or used[j + m - 1]  # noqa: B023, E731
+            most = min(len(at_a) - i, len(at_b) - j)
+            differs = lambda m: at_a[i + m] - at_a[i] != at_b[j + m] - at_b[j] or ((sum_a[i + m] - sum_a[i]) * turn_a[i] - (sum_b[j + m] - sum_b[j]) * turn_b[j]) % PRIME != 0 or used[j + m - 1]  # noqa: B023, E731
             m = 1 + bisect_right(range(2, most), False, key=differs)
             if m > best:
                 best, at = m, j
         if best:
             used[at : at + best] = [True] * best
-            total += pa_[i + best] - pa_[i]
+            total += at_a[i + best] - at_a[i]
         i += max(best, 1)
     return total
 

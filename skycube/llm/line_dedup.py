@@ -13,7 +13,8 @@ One pass over the texts makes a row of hashes for each line. Leaves of one line
 rest works on rows of leaves with more. Templates that agree are found without comparing a leaf
 with itself: with at most m positions different, one of m + 1 blocks of positions is equal, so
 only templates that share a block are compared, first with the commonest of the block, then those
-that this leaves in different groups. The texts are read once more with the decisions.
+that this leaves in different groups; where these are many, those that share two blocks of a finer
+cut. The texts are read once more with the decisions.
 
 Tokens, templates and blocks are compared by 64-bit hashes, templates by 96 bits: unequal ones
 pass for equal once in 2**64.
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .shared import components, fresh, sized, stored
 
 LEAD = 3
+#: A block that more templates share without agreeing is cut finer.
+CROWD = 256
 
 
 def _document(doc_id: Column, h: Column) -> list[Column]:
@@ -65,7 +68,7 @@ def _tokens(docs: DataFrame, pool: DataFrame, id_col: str, text_col: str) -> Dat
     rows = texts.join(sized(wanted), F.col("e").eqNullSafe(F.col("d")) & (texts.h == wanted.h)).select("d", wanted.h, "i", "text").dropDuplicates(["d", "h"])
     rows = _templates(rows.select(F.explode("i").alias("i"), F.split("text", "\n").alias("l")).select(F.get("l", F.col("i")).alias("raw")))
     rows = rows.select(F.xxhash64("template").alias("t"), F.hash("template").alias("t2"), F.transform(F.split("template", " "), lambda x: F.xxhash64(x)).alias("tokens"))
-    return stored(pool.join(rows, ["t", "t2"]), "tokens")
+    return stored(pool.join(rows, ["t", "t2"]).withColumn("node", F.xxhash64("t", "t2")), "tokens")
 
 
 def _agree(pairs: DataFrame, tokens: DataFrame, similar: float) -> DataFrame:
@@ -75,26 +78,51 @@ def _agree(pairs: DataFrame, tokens: DataFrame, similar: float) -> DataFrame:
     return stored(both.where(equal >= similar * F.size("a")).select("u", "v"), "agree")
 
 
-def _groups(pool: DataFrame, similar: float) -> DataFrame:
-    """(node, root) of templates that agree with others. ``pool``: leaf, node, n, lines, tokens; one row a template."""
-    tokens = stored(pool.select("node", "tokens"), "tokens")
-    # So many positions may differ, and into one block more those after the lead are cut.
+def _blocks(similar: float, shared: int) -> Column:
+    """Keys of which two templates of a leaf that agree have one in common at least.
+
+    With m positions different at most, of m + ``shared`` blocks of positions that many are
+    equal; a key is one block, or two.
+    """
     m = (F.col("n") - F.ceil(F.lit(similar) * F.col("n"))).cast("int")
-    at = lambda j: LEAD + F.floor(j * (F.col("n") - LEAD) / (m + 1)).cast("int")
-    block = lambda j: F.xxhash64("leaf", j, F.slice("tokens", at(j) + 1, at(j + 1) - at(j)))
-    keys = F.when(m > 0, F.transform(F.sequence(F.lit(0), m), block)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    index = stored(pool.select("node", "lines", F.explode(keys).alias("key")), "blocks")
+    at = lambda j: LEAD + F.floor(j * (F.col("n") - LEAD) / (m + shared)).cast("int")
+    block = lambda j: F.slice("tokens", at(j) + 1, at(j + 1) - at(j))
+    if shared == 1:
+        keys = F.transform(F.sequence(F.lit(0), m), lambda j: F.xxhash64("leaf", j, block(j)))
+    else:
+        keys = F.flatten(F.transform(F.sequence(F.lit(0), m), lambda i: F.transform(F.sequence(i + 1, m + 1), lambda j: F.xxhash64("leaf", i, j, block(i), block(j)))))
+    return F.when(m > 0, keys).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _starred(pool: DataFrame, similar: float, shared: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of templates that agree with the commonest of a block, and what that leaves apart.
+
+    The second has (key, node, c) of blocks whose members are in different components c, without
+    the commonest, which has been compared with all.
+    """
+    tokens = pool.select("node", "tokens")
+    index = stored(pool.select("node", "lines", F.explode(_blocks(similar, shared)).alias("key")), "blocks")
     hubs = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("node", F.struct("lines", "node")).alias("hub")).where("k > 1").select("key", "hub")
     members = stored(index.join(stored(hubs, "hubs"), "key").select("key", "node", "hub"), "members")
-    pair = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
-    found = _agree(stored(members.where("node <> hub").select(*pair("node", "hub")).distinct(), "pairs"), tokens, similar)
+    found = _agree(stored(members.where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs"), tokens, similar)
     named = members.join(components(found, "u", "v").toDF("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"), (F.col("node") == F.col("hub")).alias("is_hub"))
     named = stored(named, "named")
     mixed = stored(named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"), "mixed")
-    left = stored(named.where("NOT is_hub").join(mixed, "key", "left_semi").drop("is_hub"), "left")
+    return found, stored(named.where("NOT is_hub").join(mixed, "key", "left_semi").drop("is_hub"), "left")
+
+
+def _groups(pool: DataFrame, similar: float) -> DataFrame:
+    """(node, root) of templates that agree with others. ``pool``: leaf, node, n, lines, tokens; a stored table of a row a template."""
+    found, left = _starred(pool, similar, 1)
+    crowded = stored(left.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("key"), "crowded")
+    if crowded.take(1):
+        # Members of blocks that very many share have to agree in two blocks of a finer cut.
+        again = stored(left.join(crowded, "key", "left_semi").select("node").distinct(), "again")
+        more, finer = _starred(stored(pool.join(again, "node"), "finer"), similar, 2)
+        found, left = found.unionByName(more), left.join(crowded, "key", "left_anti").unionByName(finer)
     x, y = left.toDF("key", "u", "cu"), left.toDF("key", "v", "cv")
-    more = stored(x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v").distinct(), "pairs")
-    roots = components(found.unionByName(_agree(more, tokens, similar)), "u", "v")
+    pairs = stored(x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v").distinct(), "pairs")
+    roots = components(found.unionByName(_agree(pairs, pool.select("node", "tokens"), similar)), "u", "v")
     return roots.union(roots.select("root", "root").distinct()).toDF("node", "root")
 
 
@@ -109,7 +137,7 @@ def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, evide
     several = templates.where(F.col("n") > LEAD).groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("leaf")
     pool = stored(templates.where(F.col("n") > LEAD).join(stored(several, "several"), "leaf").select("leaf", "t", "t2", "n", "lines", "first"), "pool")
     node = F.xxhash64("t", "t2")
-    roots = _groups(_tokens(docs, pool, id_col, text_col).withColumn("node", node), similar)
+    roots = _groups(_tokens(docs, pool, id_col, text_col), similar)
     grouped = stored(templates.withColumn("node", node).join(roots, "node", "left").withColumn("g", F.coalesce("root", "node")).drop("node", "root"), "grouped")
     first = F.min(F.struct("first.no", "first.d", "first.h"))
     groups = grouped.groupBy("g").agg(F.max("n").alias("n"), F.sum("lines").alias("lines"), first.alias("first"), F.max("last").alias("last")).where(F.col("first") != F.col("last"))

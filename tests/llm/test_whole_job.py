@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from skycube.llm import decontaminate, language, line_dedup, simhash
 
 
@@ -93,8 +95,10 @@ def test_every_family_of_a_leaf_is_found(spark):
     assert sum(dropped(spark, rows).values()) == 5
 
 
-def test_lines_against_the_plain_tree(spark):
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_lines_against_the_plain_tree(spark, monkeypatch, crowd):
     """Lines of 1 to 30 tokens from few words, so that leaves hold many templates that agree more or less."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     r = random.Random(11)
     rows = []
     for d in range(60):
