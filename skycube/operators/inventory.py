@@ -73,15 +73,15 @@ def merged_keys(keys: DataFrame, tolerance_s: float) -> DataFrame:
     rows = keys.select("time_key", "mjd").distinct().withColumn("day", F.floor("mjd"))
     far = lambda gap: gap * 86400 > tolerance_s + 1e-6
     w, key = Window.partitionBy("day").orderBy("mjd", "time_key"), F.struct("mjd", "time_key")
-    timed = rows.where("mjd IS NOT NULL").withColumn("starts", F.coalesce(far(F.col("mjd") - F.lag("mjd").over(w)), F.lit(False)))
-    days = timed.groupBy("day").agg(F.min("mjd").alias("first"), F.max("mjd").alias("last"), F.min_by("time_key", key).alias("first_key"), F.max_by("time_key", F.when(F.col("starts"), key)).alias("inner"))
+    rows = rows.withColumn("starts", F.coalesce(far(F.col("mjd") - F.lag("mjd").over(w)), F.lit(False)))
+    days = rows.groupBy("day").agg(F.min("mjd").alias("first"), F.max("mjd").alias("last"), F.min_by("time_key", key).alias("first_key"), F.max_by("time_key", F.when(F.col("starts"), key)).alias("inner"))
     d = Window.orderBy("day")
     days = days.withColumn("opens", F.coalesce(far(F.col("first") - F.lag("last").over(d)), F.lit(True)))
     days = days.withColumn("begins", F.when(F.col("opens"), F.col("first_key")))
     days = days.withColumn("carried", F.last(F.coalesce("inner", "begins"), True).over(d.rowsBetween(Window.unboundedPreceding, -1)))
     inside = F.last(F.when(F.col("starts"), F.col("time_key")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    named = timed.join(days.select("day", F.coalesce("begins", "carried").alias("at_dawn")), "day").select("time_key", F.coalesce(inside, F.col("at_dawn")).alias("group_key"))
-    return named.unionByName(rows.where("mjd IS NULL").select("time_key", F.col("time_key").alias("group_key")))
+    named = rows.withColumn("inside", inside).join(days.select("day", F.coalesce("begins", "carried").alias("at_dawn")), "day", "left")
+    return named.select("time_key", F.when(F.col("mjd").isNull(), F.col("time_key")).otherwise(F.coalesce("inside", "at_dawn")).alias("group_key"))
 
 
 def consistent_beams(files: DataFrame) -> DataFrame:
