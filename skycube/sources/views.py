@@ -26,9 +26,15 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tiles(spark: SparkSession, sf_dir: str, tile: int = 4) -> DataFrame:
-    """The same cube as stored tiles, cut from the vectors; nothing is exploded to pixels."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+def arriving(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as a stream of its files. A stream's path is a folder or, as here, a pattern."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{table[0]}]{table[1:]}.parquet")
+
+
+def tiles(spark: SparkSession, sf_dir: str, tile: int = 4, vectors: DataFrame | None = None) -> DataFrame:
+    """The same cube as stored tiles, cut from the vectors (a stream of them gives a stream); nothing is exploded to pixels."""
+    v = vectors if vectors is not None else spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     flux = F.transform(F.col("embedding"), lambda x, i: F.when((F.col("vec_id") * 7 + i) % 97 != 0, x.cast("float")).otherwise(F.lit(float("nan")).cast("float")))
     n = range(-(-8 // tile))
     cut = [(a, b, min(tile, 8 - a * tile), min(tile, 8 - b * tile)) for a in n for b in n]
@@ -64,9 +70,9 @@ BEAMS_SQL = """beams AS (
 BANDS = {"view": 41, "signup": 46, "click": 50, "error": 55, "purchase": 73}
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file for each event: stamp to the minute, subband from the type, Stokes from the user."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def files(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """A file for each event (a stream of them gives a stream): stamp to the minute, subband from the type, Stokes from the user."""
+    e = events if events is not None else spark.read.parquet(f"{sf_dir}/events.parquet")
     mhz = F.create_map(*[F.lit(x) for kv in BANDS.items() for x in kv])[F.col("event_type")]
     # Hours 0, 3, 6, ... count to the hour before, so observations come in pairs an hour apart.
     whole = F.date_trunc("hour", "ts")
