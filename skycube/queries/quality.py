@@ -8,7 +8,8 @@ from ..functions import names as NM
 from ..operators import inventory as I
 from ..operators import quality as Q
 from ..operators import reduce as R
-from ..sources import views
+from ..sources import tables, views
+from ..sources.scratch import new_path
 from ..sources.views import CURVES_SQL, FILES_SQL, FLUX_SQL, RUNS_SQL
 from .registry import query, rounded
 
@@ -73,6 +74,25 @@ def shift_grid(spark, sf_dir):
     return rounded(Q.shift_grid(views.flux_checks(spark, sf_dir)), "shift")
 
 
+@query("s8_flux_csv", f"WITH {FLUX_SQL} SELECT source, hour, CAST(freq AS DOUBLE) AS freq, round(avg(CASE WHEN model_flux <> 0 THEN imfit_flux / model_flux END), 6) AS ratio FROM flux GROUP BY ALL")
+def flux_csv(spark, sf_dir):
+    """Flux checks written as CSV files of runs, read back beside their runs' coverage."""
+    rows = views.flux_checks(spark, sf_dir).withColumn("run", F.concat(F.lit("Run_20240101_"), F.lpad(F.col("hour").cast("string"), 6, "0")))
+    path = new_path(spark, "runs")
+    rows.select("run", "imfit_flux", F.lit(0.1).alias("imfit_err"), F.lit(50.0).alias("elevation"), "model_flux", "source", F.col("freq").cast("double").alias("freq")).write.partitionBy("run").option("header", "true").csv(path)
+    return rounded(Q.flux_ratio(tables.flux_checks(spark, path, rows.select("run", "hour").distinct())), "ratio")
+
+
+@query("s9_shift_csv", f"WITH {FLUX_SQL} SELECT freq * 1.5 AS freq_mhz, round(avg(CASE WHEN hour <> 3 THEN shift END), 6) AS shift, count(*) AS n FROM flux GROUP BY ALL")
+def shift_csv(spark, sf_dir):
+    """Position shifts written as CSV, some of them text that is no number, read back."""
+    path = new_path(spark, "shifts")
+    rows = views.flux_checks(spark, sf_dir)
+    rows.select((F.col("freq") * 1.5).alias("freq_mhz"), F.when(F.col("hour") == 3, "flagged").otherwise(F.col("shift").cast("string")).alias("median_shift_arcmin")).write.option("header", "true").csv(path)
+    found = tables.dewarp_shifts(spark, path).groupBy("freq_mhz").agg(F.avg("median_shift_arcmin").alias("shift"), F.count(F.lit(1)).alias("n"))
+    return rounded(found, "shift")
+
+
 @query("f16_subband_labels", f"WITH {FLUX_SQL} SELECT DISTINCT freq, printf('%.0fMHz', freq * 5 + 18.0) AS label FROM flux")
 def subband_labels(spark, sf_dir):
     return views.flux_checks(spark, sf_dir).select("freq", F.format_string("%.0fMHz", F.col("freq") * 5 + 18.0).alias("label")).distinct()
