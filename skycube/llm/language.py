@@ -233,6 +233,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     at, share = sample["at"], sample["share"]
     for k, i in enumerate(chosen):
         x[k, np.asarray(at[i].values)] = np.asarray(share[i].values)
+    del sample, at, share
+    pa.default_memory_pool().release_unused()
     return fit(x, [str(names[i]) for i in chosen])
 
 
