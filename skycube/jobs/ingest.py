@@ -1,12 +1,21 @@
-"""From files to a cube: time steps combined on one set of axes."""
+"""From files to a cube: planes of any run find their place on axes that never change."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names as NM
 from ..operators import inventory as I
-from ..sources import fits, store
+from ..sources import cube, fits
+from ..sources.schema import CubeError
+from ..sources.scratch import new_path
+
+AXIS_OF = {"time": ("mjd", "group_key"), "freq": ("freq_hz", None), "pol": ("stokes", None)}
+#: Files without a frequency are one channel, after all others.
+NO_FREQUENCY = 1e15
 
 
 def axes(files: DataFrame) -> DataFrame:
@@ -15,7 +24,7 @@ def axes(files: DataFrame) -> DataFrame:
     Files without a frequency come last, as one channel. Axes are distinct values, some thousands at most; their ranks are windows over
     those.
     """
-    files = files.withColumn("freq_hz", F.coalesce("freq_hz", F.lit(1e15)))
+    files = files.withColumn("freq_hz", F.coalesce("freq_hz", F.lit(NO_FREQUENCY)))
     for column, name in (("group_key", "time_idx"), ("freq_hz", "freq_idx"), ("stokes", "pol_idx")):
         axis = files.select(column).distinct().withColumn(name, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
         files = files.join(axis, column)
@@ -39,20 +48,100 @@ def combined(files: DataFrame, tiles: DataFrame) -> DataFrame:
     return here.unionByName(missing.withColumn("data", nan)).select("time_idx", "freq_idx", "pol_idx", *place, "data")
 
 
-def convert(spark: SparkSession, source: str, path: str, tolerance_s: float = 60.0, tile: int = 512) -> DataFrame:
-    """FITS files of a folder into a tile store; gives the plan it carried out.
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _number(header: Column, key: str, default: float) -> Column:
+    return F.coalesce(header[key].try_cast("double"), F.lit(default))
+
+
+def planes_of(files: DataFrame) -> DataFrame:
+    """A row for each image plane of described files: plane, and freq_hz and stokes by the header's axes.
+
+    A file of one plane keeps the frequency and Stokes that were found for it. In a spectral cube
+    plane k is channel k mod NAXIS3, at CRVAL3 + (channel + 1 - CRPIX3) CDELT3, and Stokes by axis 4 alike.
+    """
+    h = F.col("header")
+    n = lambda k: F.greatest(F.coalesce(h[k].try_cast("int"), F.lit(1)), F.lit(1))
+    rows = files.withColumns({"_n3": n("NAXIS3"), "_n4": n("NAXIS4")}).withColumn("plane", F.explode(F.sequence(F.lit(0), F.col("_n3") * F.col("_n4") - 1)))
+    at = lambda axis, k: _number(h, f"CRVAL{axis}", 0.0) + (k + 1 - _number(h, f"CRPIX{axis}", 1.0)) * _number(h, f"CDELT{axis}", 1.0)
+    return rows.withColumns({
+        "freq_hz": F.when(F.col("_n3") > 1, at(3, F.col("plane") % F.col("_n3"))).otherwise(F.coalesce("freq_hz", F.lit(NO_FREQUENCY))),
+        "stokes": F.when(F.col("_n4") > 1, F.round(at(4, F.expr("plane div _n3"))).cast("int")).otherwise(F.col("stokes")),
+    }).drop("_n3", "_n4")
+
 
-    Headers are read first, 2,880-byte blocks of them; the plan de-duplicates, merges in time and drops
-    invalid beams; then the planned files alone are read.
+def examined(files: DataFrame, tolerance_s: float) -> DataFrame:
+    """Every file of ``read_headers`` with its time group and an outcome; NULL for those to convert.
+
+    Files that can't be read or are cut short go first, so that a broken copy doesn't stand for a
+    good one; then second copies of one plane, by path; then bad beams; then LST groups whose
+    headers disagree in time.
     """
-    files = fits.read_headers(spark, source).where("problem IS NULL")
     rows = I.described(files)
-    groups = I.merged_keys(rows.select("time_key", "mjd"), tolerance_s)
-    rows = I.deduplicated(rows).join(groups, "time_key", "left").withColumn("group_key", F.coalesce("group_key", "time_key"))
-    rows = I.consistent_beams(I.first_of(rows, ["group_key", "mhz", "stokes"], ["time_key", "path"]))
-    plan = rows.select("group_key", "freq_hz", "stokes", "path")
-    planes = axes(plan)
-    inventory = planes.select("path", "time_idx", "freq_idx", "pol_idx")
-    tiles = fits.read_tiles(spark, inventory, source, tile)
-    store.append_tiles(combined(plan, tiles.join(inventory, ["time_idx", "freq_idx", "pol_idx"]).drop("time_idx", "freq_idx", "pol_idx")), path)
-    return planes
+    h = F.col("header")
+    short = F.when(F.col("size_bytes") == 0, "empty").when(F.col("size_bytes") < F.col("needs"), "truncated")
+    bad = F.coalesce(short, F.when(F.col("problem").startswith("unreadable"), "unreadable").when(F.col("problem").isNotNull(), "malformed"))
+    # Spectral cubes are told from files of one plane by the number of theirs.
+    shape = F.concat_ws("x", h["NAXIS3"], h["NAXIS4"])
+    rows = _stored(rows.withColumns({"outcome": bad, "shape": shape}), "headers")
+    good = rows.where("outcome IS NULL")
+    groups = I.merged_keys(good.select("time_key", "mjd"), tolerance_s)
+    good = good.join(groups, "time_key", "left").withColumn("group_key", F.coalesce("group_key", "time_key"))
+    # The first copy of each plane of an observation, as first_of() has it, marked instead of kept.
+    copy = F.struct(F.coalesce("group_key", F.concat(F.lit("path "), "path")).alias("g"), F.coalesce(F.col("freq_bin").cast("string"), F.col("path")).alias("b"), "stokes", "shape")
+    order = Window.partitionBy(copy).orderBy("time_key", "path")
+    good = good.withColumn("outcome", F.when(F.row_number().over(order) > 1, "copy of a plane").when(F.col("beam_reason").isNotNull(), "beam").otherwise(F.when(F.col("time_key").isNull(), "no time")))
+    lst = F.col("group_key").rlike("LST")
+    times = F.collect_set(F.when(lst & F.col("outcome").isNull(), F.col("header_time"))).over(Window.partitionBy("group_key"))
+    good = good.withColumn("outcome", F.coalesce("outcome", F.when(lst & (F.size(times) > 1), "mixed header times")))
+    return good.unionByName(rows.where("outcome IS NOT NULL").withColumn("group_key", F.col("time_key")))
+
+
+def convert(spark: SparkSession, source: str, path: str, tolerance_s: float = 60.0, tile: int = 512, strict: bool = True) -> DataFrame:
+    """FITS files of a folder into a cube store; gives the planes of the folder that are in the store, and whether they are new.
+
+    Headers are read once and stored with what is to become of each file. Times, channels and Stokes
+    keep the numbers that earlier runs gave them: a time is an earlier one if it has its key or is
+    within the tolerance of it, whatever the order in which folders come. Planes that are
+    stored stay as they are, so a second run adds nothing and a late subband joins its observation.
+    Tiles and axes become visible together, by the version that this run commits; what became of
+    each file is in ``cube.files``. With ``strict``, a file that could not be read (not one that is
+    malformed or short) ends the run before anything is committed: its store, not its contents, is at fault.
+    """
+    seen = cube.versions(spark, path)
+    run, version = cube.new_run(), seen[-1]["version"] if seen else 0
+    rows = _stored(examined(fits.read_headers(spark, source), tolerance_s), "examined")
+    if strict and (lost := rows.where("outcome = 'unreadable'").select("path", "problem").take(3)):
+        raise CubeError("can't be read: " + "; ".join(f"{r.path} ({r.problem})" for r in lost))
+    planes = planes_of(rows.where("outcome IS NULL"))
+    # An observation's time is that of its earliest key.
+    first = planes.groupBy("group_key").agg(F.min("mjd").alias("mjd"))
+    planes = planes.drop("mjd").join(first, "group_key").withColumn("stokes", F.col("stokes").cast("double"))
+    known, new = cube.axes(spark, path), []
+    for axis, (value, label) in AXIS_OF.items():
+        tolerance = max(tolerance_s / 86400, cube.TOLERANCES[axis]) if axis == "time" else cube.TOLERANCES[axis]
+        values = planes.select(F.col(value).alias("value"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"))
+        found = _stored(cube.numbered(values, known.where(F.col("axis") == axis), tolerance), axis)
+        new.append(found.where("is_new").groupBy("idx").agg(F.min("value").alias("value"), F.min("label").alias("label")).select(F.lit(axis).alias("axis"), "idx", "value", "label"))
+        own = found.select(F.col("value").alias("_v"), F.col("label").alias("_l"), F.col("idx").alias(f"{axis}_idx"))
+        planes = planes.join(own, F.col(value).eqNullSafe(F.col("_v")) & ((F.col(label) if label else F.lit(None).cast("string")).eqNullSafe(F.col("_l")))).drop("_v", "_l")
+    key = ["time_idx", "freq_idx", "pol_idx"]
+    # Two files of a run may find one place, by a time that an earlier run gave: the first has it.
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("time_key", "path", "plane"))
+    planes = _stored(planes.withColumn("place", place), "planes")
+    there = cube.planes(spark, path).select(*key).withColumn("there", F.lit(True))
+    marked = planes.where("place = 1").join(there, key, "left").withColumn("is_new", F.col("there").isNull())
+    planned = _stored(marked.select("path", "size_bytes", "plane", *key, F.col("header")["NAXIS1"].cast("int").alias("n_l"), F.col("header")["NAXIS2"].cast("int").alias("n_m"), "header", "is_new", "group_key", "freq_hz", "stokes"), "planned")
+    fresh = planned.where("is_new")
+    fits.read_tiles(spark, fresh.select("path", "size_bytes", "plane", *key), source, tile).write.partitionBy("time_idx").parquet(f"{path}/tiles/run={run}")
+    reduce(DataFrame.unionByName, new).coalesce(1).write.parquet(f"{path}/axes/run={run}")
+    fresh.select([c.split()[0] for c in cube.PLANES.split(", ")]).write.parquet(f"{path}/planes/run={run}")
+    fates = planned.groupBy("path").agg(F.when(F.bool_or("is_new"), "converted").otherwise("stored before").alias("fate"))
+    outcome = F.coalesce("outcome", "fate", F.lit("copy of a plane"))
+    rows.join(fates, "path", "left").select("path", "size_bytes", outcome.alias("outcome"), F.coalesce("problem", "beam_reason").alias("detail")).write.parquet(f"{path}/files/run={run}")
+    cube.commit(spark, path, version, run, planes=fresh.count(), files=rows.count())
+    return planned

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
+from .remote import in_ranges, opened, written
 from .schema import TILES
 
 BLOCK, CARD = 2880, 80
@@ -94,74 +96,94 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.fits") -> DataF
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"))
 
 
-def header_of(stream) -> dict[str, str]:
-    """The header of the first image of a file, read block by block; data are skipped, not read."""
+def image_units(stream) -> Iterator[tuple[dict[str, str], int]]:
+    """Header and begin of the data of each image in a file, read block by block; data are skipped, not read."""
     begin = 0
     while True:
         raw = b""
         while True:
             block = stream.read(BLOCK)
+            if not block and not raw and begin:
+                return
             if len(block) < BLOCK:
-                raise ValueError("no image" if not raw and begin else "a header ends before its END card")
+                raise ValueError("a header ends before its END card")
             raw += block
             if any(block[i : i + 8] == b"END     " for i in range(0, BLOCK, CARD)):
                 break
         header, _ = parse_header(raw)
         size = data_bytes(header)
         if int(header.get("NAXIS", 0)) >= 2 and size and header.get("XTENSION", "IMAGE") == "IMAGE":
-            return header
+            yield header, begin + len(raw)
         begin += len(raw) + -(-size // BLOCK) * BLOCK
         stream.seek(begin)
 
 
+def first_image(stream) -> tuple[dict[str, str], int]:
+    """Header and begin of the data of the first image."""
+    found = next(image_units(stream), None)
+    if found is None:
+        raise ValueError("no image")
+    return found
+
+
+def header_of(stream) -> dict[str, str]:
+    """The header of the first image of a file."""
+    return first_image(stream)[0]
+
+
+HEADERS = "path string, size_bytes long, header map<string,string>, needs long, problem string"
+
+
 def read_headers(spark: SparkSession, path: str, pattern: str = "*.fits") -> DataFrame:
-    """(path, name, size_bytes, header, problem): header maps; files that can't be parsed say why.
+    """(path, name, size_bytes, header, needs, problem): header maps; files that can't be used say why.
 
-    A task opens a file through pyarrow's file systems, which know local paths, HDFS and object
-    stores, and reads header blocks only. A path of any other scheme is read whole by Spark.
+    ``needs`` is how long the header says that the file is, at least. A problem begins with
+    ``malformed`` if the file is no image, with ``unreadable`` if it could not be read. A task opens
+    a file through pyarrow's file systems, which know local paths, HDFS and object stores, and
+    reads header blocks only; files of other schemes are read whole by Spark. Each path is dealt
+    with by its own scheme.
     """
     files = list_files(spark, path, pattern)
-    kinds = "path string, size_bytes long, header map<string,string>, problem string"
+    known = in_ranges(F.col("path"))
+    out = headers_by_blocks(files.where(known))
+    if files.where(~known).take(1):
+        other = _contents(spark, path, pattern).where(~known).select("path", F.col("length").alias("size_bytes"), "content")
+        out = out.unionByName(_with_name(other.mapInArrow(lambda batches: _described(batches, lambda b, k: io.BytesIO(b.column(2)[k].as_py())), HEADERS)))
+    return out
 
-    def described(batch: pa.RecordBatch, headers: list, problems: list) -> pa.RecordBatch:
-        columns = [batch.column(0), batch.column(1), pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(problems, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=["path", "size_bytes", "header", "problem"])
 
-    def from_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+def _described(batches: Iterator[pa.RecordBatch], open_one) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        headers, needs, problems = [], [], []
+        for k in range(batch.num_rows):
+            header, need, problem = [], None, None
+            try:
+                with open_one(batch, k) as stream:
+                    found, begin = first_image(stream)
+                header, need = list(found.items()), begin + data_bytes(found)
+            except OSError as e:
+                problem = f"unreadable: {e}"
+            except (ValueError, KeyError) as e:
+                problem = f"malformed: {e}"
+            headers.append(header)
+            needs.append(need)
+            problems.append(problem)
+        columns = [batch.column(0), batch.column(1), pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(needs, pa.int64()), pa.array(problems, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["path", "size_bytes", "header", "needs", "problem"])
+
+
+def _with_name(df: DataFrame) -> DataFrame:
+    return df.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
-        for batch in batches:
-            headers, problems = [], []
-            for name in batch.column(0).to_pylist():
-                try:
-                    system, at = fs.FileSystem.from_uri(name.replace("file:///", "/", 1) if name.startswith("file:") else name)
-                    with system.open_input_file(at) as stream:
-                        headers.append(list(header_of(stream).items()))
-                    problems.append(None)
-                except (ValueError, KeyError) as e:
-                    headers.append([])
-                    problems.append(str(e))
-            yield described(batch, headers, problems)
-
-    def from_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            headers, problems = [], []
-            for data in batch.column(2):
-                try:
-                    headers.append(list(image_hdu(data.as_py())[0].items()))
-                    problems.append(None)
-                except (ValueError, KeyError) as e:
-                    headers.append([])
-                    problems.append(str(e))
-            yield described(batch, headers, problems)
-
-    first = files.select("path").take(1)
-    if first and first[0].path.split(":")[0] in ("file", "hdfs", "s3", "s3a", "gs"):
-        out = files.select("path", "size_bytes").mapInArrow(from_blocks, kinds)
-    else:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-        out = found.select("path", F.col("length").alias("size_bytes"), "content").mapInArrow(from_content, kinds)
-    return out.withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+def headers_by_blocks(files: DataFrame) -> DataFrame:
+    """``read_headers`` of the listed files (path, size_bytes) alone, a stream or not; tasks open them."""
+    rows = files.select("path", "size_bytes").mapInArrow(lambda batches: _described(batches, lambda b, k: opened(b.column(0)[k].as_py())), HEADERS)
+    return _with_name(rows)
+
+
+def _contents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
 def headers_of(files: DataFrame, content: str = "fits") -> DataFrame:
@@ -178,32 +200,98 @@ def headers_of(files: DataFrame, content: str = "fits") -> DataFrame:
     return files.mapInArrow(rows, schema)
 
 
-def tiles_of(plane: np.ndarray, tile: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(l0, m0, pixels as (l, m)) of a plane given as (m, l)."""
-    for l0 in range(0, plane.shape[1], tile):
-        for m0 in range(0, plane.shape[0], tile):
-            yield l0, m0, plane[m0 : m0 + tile, l0 : l0 + tile].T
+def strips(stream, tile: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``strips_of`` the first image of a file."""
+    return strips_of(stream, *first_image(stream), tile, first, last)
 
 
-def read_tiles(spark: SparkSession, inventory: DataFrame, root: str, tile: int = 512, pattern: str = "*.fits") -> DataFrame:
-    """Pixel tiles of the inventory's files (path, time_idx, freq_idx, pol_idx) below ``root``: one file in one task at a time.
+def strips_of(stream, header: dict[str, str], begin: int, tile: int, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(plane, m0, pixels as (m, l)) of an image, ``tile`` rows at a time, of strips that begin at bytes first to last.
 
-    Spark lists the root; files that the inventory doesn't name are dropped by a join on the
-    path. No list of paths goes through the driver's plan.
+    Rows of an image are contiguous, so a strip is one read and no plane is ever held whole.
     """
+    n_l, n_m, bits = int(header["NAXIS1"]), int(header["NAXIS2"]), int(header["BITPIX"])
+    width = abs(bits) // 8
+    scale, zero = float(header.get("BSCALE", 1)), float(header.get("BZERO", 0))
+    for plane in range(data_bytes(header) // (n_l * n_m * width)):
+        for m0 in range(0, n_m, tile):
+            at = begin + (plane * n_m + m0) * n_l * width
+            if at < first or last is not None and at >= last:
+                continue
+            rows = min(tile, n_m - m0)
+            stream.seek(at)
+            data = stream.read(rows * n_l * width)
+            if len(data) < rows * n_l * width:
+                raise ValueError("the file ends before its data do")
+            raw = np.frombuffer(data, DTYPES[bits])
+            x = raw.astype(np.float64)
+            if bits > 0 and "BLANK" in header:
+                x[raw == int(header["BLANK"])] = np.nan
+            yield plane, m0, (x * scale + zero).reshape(rows, n_l).astype(np.float32)
+
+
+_TILE_TYPES = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.list_(pa.float32())]
+
+
+def _cut(stream, place, tile: int, first: int, last: int | None) -> Iterator[pa.RecordBatch]:
+    for plane, m0, x in strips(stream, tile, first, last):
+        if (key := place(plane)) is not None:
+            out = [(*key, l0 // tile, m0 // tile, l0, m0, *y.T.shape, y.T.reshape(-1)) for l0, y in ((l0, x[:, l0 : l0 + tile]) for l0 in range(0, x.shape[1], tile))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), _TILE_TYPES)], names=[c.split()[0] for c in TILES.split(", ")])
+
+
+def read_tiles(spark: SparkSession, inventory: DataFrame, root: str, tile: int = 512, pattern: str = "*.fits", range_bytes: int = 64 << 20) -> DataFrame:
+    """Pixel tiles of the inventory's planes: path, time_idx, freq_idx, pol_idx, and plane if files have several.
+
+    The paths go to the tasks and are opened there: a file that the inventory doesn't name is never
+    touched, and no pixels are joined. A long file is several rows of ``range_bytes``, each read by
+    the task it is dealt to. Without a column plane, plane k of a file is channel freq_idx + k.
+    Paths that tasks can't open are read whole by Spark, below ``root``.
+    """
+    own = inventory if "plane" in inventory.columns else inventory.withColumn("plane", F.lit(None).cast("int"))
+    files = own.groupBy("path").agg(F.collect_list(F.struct("plane", "time_idx", "freq_idx", "pol_idx")).alias("planes"))
+    sizes = list_files(spark, root, pattern).select("path", "size_bytes") if "size_bytes" not in inventory.columns else inventory.select("path", "size_bytes").distinct()
+    ranges = files.join(sizes, "path").select("path", "planes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size_bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("first"))
+
+    def place_of(found: list[dict]):
+        """plane -> its place in the cube, or None."""
+        if found[0]["plane"] is None:
+            r = found[0]
+            return lambda k: (r["time_idx"], r["freq_idx"] + k, r["pol_idx"])
+        return {r["plane"]: (r["time_idx"], r["freq_idx"], r["pol_idx"]) for r in found}.get
+
+    def by_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, planes, first in zip(*(c.to_pylist() for c in batch.columns)):
+                with opened(name) as stream:
+                    yield from _cut(stream, place_of(planes), tile, first, first + range_bytes)
+
+    def by_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for planes, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from _cut(io.BytesIO(data.as_py()), place_of(planes), tile, 0, None)
+
+    known = in_ranges(F.col("path"))
+    # Rows of a path and a number; each is to be a task's work, so they are dealt to many tasks.
+    n = max(1, min(10_000, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4))
+    out = ranges.where(known).repartition(n, "path", "first").mapInArrow(by_ranges, TILES)
+    if files.where(~known).take(1):
+        contents = _contents(spark, root, pattern).where(~in_ranges(F.col("path"))).select("path", "content").join(files, "path")
+        out = out.unionByName(contents.select("planes", "content").mapInArrow(by_content, TILES))
+    return out
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes the column fits of each row to ``folder``/name in tasks; (path, size_bytes) of the files."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, f, p, data in zip(*(batch.column(i) for i in range(4))):
-                _, planes = planes_of(data.as_py())
-                for k, plane in enumerate(planes):
-                    out = [(t.as_py(), f.as_py() + k, p.as_py(), l0 // tile, m0 // tile, l0, m0, x.shape[0], x.shape[1], x.reshape(-1)) for l0, m0, x in tiles_of(plane, tile)]
-                    kinds = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.list_(pa.float32())]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], names=[x.split()[0] for x in TILES.split(", ")])
-
-    paths = inventory.select("path", "time_idx", "freq_idx", "pol_idx")
-    content = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path", "content")
-    return content.join(paths, "path").select("time_idx", "freq_idx", "pol_idx", "content").mapInArrow(rows, TILES)
+            names, data = batch.column(0).to_pylist(), batch.column(1)
+            for name, x in zip(names, data):
+                written(f"{folder}/{name}", x.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x}" for x in names]), pa.array([len(x.as_py()) for x in data], pa.int64())], names=["path", "size_bytes"])
+
+    return files.select("name", "fits").mapInArrow(rows, "path string, size_bytes long")
 
 
 def plane_cards(planes: DataFrame, n_l: int, n_m: int, origin: str) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cube
 from .schema import TILES, CubeError
 
 
 def open_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """The tiles of a plain store, or of a cube store with NaN where no file had a plane."""
+    if cube.is_cube(spark, path):
+        return cube.filled_tiles(spark, path)
     found = spark.read.parquet(path)
     need = {x.split()[0] for x in TILES.split(", ")}
     if missing := sorted(need - set(found.columns)):
