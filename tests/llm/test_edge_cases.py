@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skycube.llm import chat, decontaminate, fingerprint, language, line_dedup, packing, pii, secrets, simhash, token_output
+from skycube.llm import chat, decontaminate, fingerprint, language, line_dedup, mixing, packing, periodic, pii, search, secrets, simhash, token_output
 from skycube.llm.shared import new_path
 
 import public_tokenizers
@@ -52,6 +52,8 @@ OPERATORS = {
     "lines": line_dedup.dedup_lines,
     "contamination": lambda d: decontaminate.contamination(d, d.sparkSession.createDataFrame([("i", WORDS)], "item_id string, text string")),
     "near": simhash.near_duplicates,
+    "runs": periodic.find_runs,
+    "mix": mixing.mix,
 }
 
 
@@ -78,6 +80,23 @@ def test_stage_takes_anything(spark, odd, clashing, none, bench_dir, k):
     assert stage(spark, odd, bench_dir).count() == n
 
 
+def test_search_takes_anything(odd, clashing, none):
+    items = odd.sparkSession.createDataFrame([(1, WORDS), (1, "Hund ++ FOX"), (2, None), (3, ""), (None, "Katze"), (4, "unheard of")], "item_id long, text string").withColumn("rank", F.lit("x"))
+    rows = search.rank(odd, items).collect()
+    assert sorted(map(tuple, search.rank(clashing, items).collect()), key=str) == sorted(map(tuple, rows), key=str)
+    by = {i: [(r["rank"], r.doc_id) for r in sorted(rows, key=lambda r: r["rank"]) if r["item"] == i] for i in (1, 2, 3, None, 4)}
+    assert [d for _, d in by[1]] == [1, 1, 2, None] and by[None] == [(1, None)] and not by[2] + by[3] + by[4]
+    assert search.rank(none, items).collect() == [] and search.rank(odd, items.limit(0)).collect() == []
+
+
+def test_mix_rules(odd):
+    rows = mixing.mix(odd).collect()
+    assert all(0 <= r.taken <= 2 * r["size"] for r in rows) and all(r["size"] == 0 for r in rows if r.doc_id in (3, 4, 8))
+    texts = mixing.mixed_texts(odd.withColumn("epoch", F.lit(1)))
+    assert texts.columns == [*odd.columns, "epoch", "_epoch"]
+    assert sum(len((r.text or "").split()) for r in texts.collect()) == sum(r.taken for r in rows)
+
+
 def test_language_rules(odd):
     found = language.identify(odd, language.train(odd)).select("doc_id", "text", "__lang", "__score").collect()
     for r in found:
