@@ -121,24 +121,26 @@ def convert(spark: SparkSession, source: str, path: str, tolerance_s: float = 60
     # An observation's time is that of its earliest key.
     first = planes.groupBy("group_key").agg(F.min("mjd").alias("mjd"))
     planes = planes.drop("mjd").join(first, "group_key").withColumn("stokes", F.col("stokes").cast("double"))
-    known, new = cube.axes(spark, path), []
+    known, numbers = cube.axes(spark, path), []
+    label_of = lambda label: F.col(label) if label else F.lit(None).cast("string")
     for axis, (value, label) in AXIS_OF.items():
         tolerance = max(tolerance_s / 86400, cube.TOLERANCES[axis]) if axis == "time" else cube.TOLERANCES[axis]
-        values = planes.select(F.col(value).alias("value"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"))
-        found = _stored(cube.numbered(values, known.where(F.col("axis") == axis), tolerance), axis)
-        new.append(found.where("is_new").groupBy("idx").agg(F.min("value").alias("value"), F.min("label").alias("label")).select(F.lit(axis).alias("axis"), "idx", "value", "label"))
-        own = found.select(F.col("value").alias("_v"), F.col("label").alias("_l"), F.col("idx").alias(f"{axis}_idx"))
-        planes = planes.join(own, F.col(value).eqNullSafe(F.col("_v")) & ((F.col(label) if label else F.lit(None).cast("string")).eqNullSafe(F.col("_l")))).drop("_v", "_l")
+        values = planes.select(F.col(value).alias("value"), label_of(label).alias("label"))
+        numbers.append(cube.numbered(values, known.where(F.col("axis") == axis), tolerance).select(F.lit(axis).alias("axis"), "value", "label", "idx", "is_new"))
+    numbers = _stored(reduce(DataFrame.unionByName, numbers), "axes")
+    for axis, (value, label) in AXIS_OF.items():
+        own = numbers.where(F.col("axis") == axis).select(F.col("value").alias("_v"), F.col("label").alias("_l"), F.col("idx").alias(f"{axis}_idx"))
+        planes = planes.join(own, F.col(value).eqNullSafe(F.col("_v")) & label_of(label).eqNullSafe(F.col("_l"))).drop("_v", "_l")
     key = ["time_idx", "freq_idx", "pol_idx"]
     # Two files of a run may find one place, by a time that an earlier run gave: the first has it.
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("time_key", "path", "plane"))
-    planes = _stored(planes.withColumn("place", place), "planes")
+    planes = planes.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("time_key", "path", "plane")))
     there = cube.planes(spark, path).select(*key).withColumn("there", F.lit(True))
     marked = planes.where("place = 1").join(there, key, "left").withColumn("is_new", F.col("there").isNull())
     planned = _stored(marked.select("path", "size_bytes", "plane", *key, F.col("header")["NAXIS1"].cast("int").alias("n_l"), F.col("header")["NAXIS2"].cast("int").alias("n_m"), "header", "is_new", "group_key", "freq_hz", "stokes"), "planned")
     fresh = planned.where("is_new")
     fits.read_tiles(spark, fresh.select("path", "size_bytes", "plane", *key), source, tile).write.partitionBy("time_idx").parquet(f"{path}/tiles/run={run}")
-    reduce(DataFrame.unionByName, new).coalesce(1).write.parquet(f"{path}/axes/run={run}")
+    new = numbers.where("is_new").groupBy("axis", "idx").agg(F.min("value").alias("value"), F.min("label").alias("label"))
+    new.select("axis", "idx", "value", "label").coalesce(1).write.parquet(f"{path}/axes/run={run}")
     fresh.select([c.split()[0] for c in cube.PLANES.split(", ")]).write.parquet(f"{path}/planes/run={run}")
     fates = planned.groupBy("path").agg(F.when(F.bool_or("is_new"), "converted").otherwise("stored before").alias("fate"))
     outcome = F.coalesce("outcome", "fate", F.lit("copy of a plane"))

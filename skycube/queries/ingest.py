@@ -18,8 +18,8 @@ P = f"WITH {CELLS_SQL}, p AS (SELECT time_idx, freq_idx, pol_idx, any_value(mjd)
 NAME = "strftime(make_timestamp(CAST(round((mjd - 40587) * 86400000000.0) AS BIGINT)), '%Y%m%d_%H%M%S') || '_' || CAST(freq_hz / 1e6 AS INT) || 'MHz-' || CASE stokes WHEN 1 THEN 'I' ELSE 'V' END || '-image.fits'"
 
 
-def _written(spark, sf_dir, folder, which=None):
-    """A file for each plane: (path, size_bytes), stored, and as exported."""
+def _written(spark, sf_dir, folder, below=None):
+    """A file for each plane: (path, size_bytes), stored. ``below`` gives the folder below ``folder`` that a plane goes to."""
     planes = views.cells(spark, sf_dir).select("time_idx", "mjd", "freq_idx", "freq_hz", "pol_idx", "stokes").distinct().withColumn("v", V)
     planes = planes.withColumns({"bmaj": F.when(F.col("v") % 13 == 0, 0.0).otherwise(0.1), "bmin": F.lit(0.05), "bpa": F.lit(0.0), "ra0_deg": lst_hours(F.col("mjd")) * 15, "dec0_deg": F.lit(37.2339), "cdelt_deg": F.lit(16.37), "source": F.lit("view")})
     name = F.concat(F.date_format(mjd_timestamp(F.col("mjd")), "yyyyMMdd_HHmmss"), F.lit("_"), (F.col("freq_hz") / 1e6).cast("int").cast("string"), F.lit("MHz-"), F.when(F.col("stokes") == 1, "I").otherwise("V"), F.lit("-image.fits"))
@@ -28,7 +28,9 @@ def _written(spark, sf_dir, folder, which=None):
     # A copy that ends within its pixels.
     files = files.withColumn("fits", F.when(F.col("v") % 11 == 0, F.substring("fits", 1, 3000)).otherwise(F.col("fits")))
     out = new_path(spark, "written")
-    fits.write_files(files if which is None else files.where(which), folder).write.parquet(out)
+    if below is not None:
+        files = files.withColumn("name", F.concat_ws("/", below, "name"))
+    fits.write_files(files, folder).write.parquet(out)
     return spark.read.parquet(out)
 
 
@@ -82,12 +84,10 @@ RUNS = (0, 2, 1, 0)
 
 
 def _converted(spark, sf_dir):
-    path = new_path(spark, "cube")
-    folders = {k: new_path(spark, f"folder {k}") for k in set(RUNS)}
-    for k, folder in folders.items():
-        _written(spark, sf_dir, folder, F.col("time_idx") % 3 == k)
+    path, root = new_path(spark, "cube"), new_path(spark, "some folders")
+    _written(spark, sf_dir, root, F.col("time_idx") % 3)
     for k in RUNS:
-        ingest.convert(spark, folders[k], path, tile=3)
+        ingest.convert(spark, f"{root}/{k}", path, tile=3)
     return path
 
 

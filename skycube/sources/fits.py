@@ -91,7 +91,7 @@ def write_plane(header: dict[str, str | float | int], pixels: np.ndarray) -> byt
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.fits") -> DataFrame:
-    """(path, name, size_bytes) of files, content unread."""
+    """(path, name, size_bytes) of files, content unread. Spark lists no file without bytes."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"))
 
