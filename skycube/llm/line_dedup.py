@@ -1,23 +1,30 @@
 """Line dedup with a log-template tree (operator 7), in DataFrame functions only.
 
-The tree has a fixed depth: a line goes by its number of tokens, then by its first three tokens.
-Tokens with digits are variable fields and become ``<*>`` (unless that would leave less than half
-of the line). A leaf holds as many groups as it needs: two of its templates that agree in
-``similar`` of all positions, token by token, are in one group, and so are all that such pairs
-connect; the other positions are variable fields too. A template group that recurs across
-documents is dropped from all of them but the first. It recurs if it is in two documents or more
-and documents times tokens are ``evidence`` or more: the fewer tokens a line has, the more
-documents it takes to tell a copy from chance. Blank lines stay.
-
-One pass over the texts makes a row of hashes for each line. Leaves of one line end there; the
-rest works on rows of leaves with more. Templates that agree are found without comparing a leaf
-with itself: with at most m positions different, one of m + 1 blocks of positions is equal, so
-only templates that share a block are compared, first with the commonest of the block, then those
-that this leaves in different groups; where these are many, those that share two blocks of a finer
-cut. The texts are read once more with the decisions.
-
-Tokens, templates and blocks are compared by 64-bit hashes, templates by 96 bits: unequal ones
-pass for equal once in 2**64.
+The tree has a fixed depth: a line goes by its number of tokens, then by its first three tokens,
+then through ``DEPTH`` levels. Tokens with digits are variable fields and become ``<*>`` (unless
+that would leave less than half of the line). At most n - ceil(similar n) of a group's n positions
+are variable fields. A node of level j
+
+* makes a group of its commonest template (of two the one that is first met): its fields are the
+  positions where most lines that differ in few enough positions differ from it, and the templates
+  that differ in fields only join it;
+* deals the others to nodes below it: the ceil(similar n j / DEPTH) positions where they have the
+  fewest different tokens (of two the earlier) are constant there.
+
+At the tree's end what is in one node agrees in ``similar`` of all positions and is a group. So all
+lines of a group, not just each and the next, have the same tokens at ``similar`` of their positions.
+Templates are compared with their node's commonest one only, and no two lines of a leaf ever make a pair.
+
+A group that recurs across documents is dropped from all of them but the first. It recurs if it is
+in two documents or more and documents times tokens are ``evidence`` or more: the fewer tokens a
+line has, the more documents it takes to tell a copy from chance. Blank lines stay.
+
+One pass over the texts makes a row of hashes for each line. Leaves of one line end there; the rest
+works on rows of templates whose leaves have more, fewer at each level. The texts are read once
+more with the decisions.
+
+Tokens and nodes are compared by 64-bit hashes, templates by 96 bits: unequal ones pass for equal
+once in 2**64.
 
 Defined cases: a null text stays null and has no lines. Documents are told apart by doc_id and a
 hash of the text, so rows repeated as a whole are one document and lose the same lines. The
@@ -27,14 +34,14 @@ on any order. No rows give no rows. Other columns pass untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, fresh, stored
+from .shared import fresh, stored
 
-LEAD = 3
-#: A block that more templates share without agreeing is cut finer.
-CROWD = 256
+LEAD, DEPTH = 3, 3
 
 
 def _document(doc_id: Column, h: Column) -> list[Column]:
@@ -71,59 +78,28 @@ def _tokens(docs: DataFrame, pool: DataFrame, id_col: str, text_col: str) -> Dat
     return stored(pool.join(rows, ["t", "t2"]).withColumn("node", F.xxhash64("t", "t2")), "tokens")
 
 
-def _agree(pairs: DataFrame, tokens: DataFrame, similar: float) -> DataFrame:
-    """The pairs (u, v) of templates that are equal in that share of their positions."""
-    both = pairs.join(tokens.toDF("v", "b"), "v").join(tokens.toDF("u", "a"), "u")
-    equal = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return stored(both.where(equal >= similar * F.size("a")).select("u", "v"), "agree")
-
-
-def _blocks(similar: float, shared: int) -> Column:
-    """Keys of which two templates of a leaf that agree have one in common at least.
-
-    With m positions different at most, of m + ``shared`` blocks of positions that many are
-    equal; a key is one block, or two.
-    """
-    m = (F.col("n") - F.ceil(F.lit(similar) * F.col("n"))).cast("int")
-    at = lambda j: LEAD + F.floor(j * (F.col("n") - LEAD) / (m + shared)).cast("int")
-    block = lambda j: F.slice("tokens", at(j) + 1, at(j + 1) - at(j))
-    if shared == 1:
-        keys = F.transform(F.sequence(F.lit(0), m), lambda j: F.xxhash64("leaf", j, block(j)))
-    else:
-        keys = F.flatten(F.transform(F.sequence(F.lit(0), m), lambda i: F.transform(F.sequence(i + 1, m + 1), lambda j: F.xxhash64("leaf", i, j, block(i), block(j)))))
-    return F.when(m > 0, keys).otherwise(F.expr("cast(array() as array<bigint>)"))
-
-
-def _starred(pool: DataFrame, similar: float, shared: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of templates that agree with the commonest of a block, and what that leaves apart.
-
-    The second has (key, node, c) of blocks whose members are in different components c, without
-    the commonest, which has been compared with all.
-    """
-    tokens = pool.select("node", "tokens")
-    index = stored(pool.select("node", "lines", F.explode(_blocks(similar, shared)).alias("key")), "blocks")
-    hubs = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max_by("node", F.struct("lines", "node")).alias("hub")).where("k > 1").select("key", "hub")
-    members = stored(index.join(stored(hubs, "hubs"), "key").select("key", "node", "hub"), "members")
-    found = _agree(stored(members.where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "pairs"), tokens, similar)
-    named = members.join(components(found, "u", "v").toDF("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("c"), (F.col("node") == F.col("hub")).alias("is_hub"))
-    named = stored(named, "named")
-    mixed = stored(named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"), "mixed")
-    return found, stored(named.where("NOT is_hub").join(mixed, "key", "left_semi").drop("is_hub"), "left")
-
-
 def _groups(pool: DataFrame, similar: float) -> DataFrame:
-    """(node, root) of templates that agree with others. ``pool``: leaf, node, n, lines, tokens; a stored table of a row a template."""
-    found, left = _starred(pool, similar, 1)
-    crowded = stored(left.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("key"), "crowded")
-    if crowded.take(1):
-        # Members of blocks that very many share have to agree in two blocks of a finer cut.
-        again = stored(left.join(crowded, "key", "left_semi").select("node").distinct(), "again")
-        more, finer = _starred(stored(pool.join(again, "node"), "finer"), similar, 2)
-        found, left = found.unionByName(more), left.join(crowded, "key", "left_anti").unionByName(finer)
-    x, y = left.toDF("key", "u", "cu"), left.toDF("key", "v", "cv")
-    pairs = stored(x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v").distinct(), "pairs")
-    roots = components(found.unionByName(_agree(pairs, pool.select("node", "tokens"), similar)), "u", "v")
-    return roots.union(roots.select("root", "root").distinct()).toDF("node", "root")
+    """(node, root) of the templates of ``pool``: leaf, node, n, lines, first, tokens; a stored table of a row a template."""
+    need = lambda share: F.ceil(F.lit(share) * F.col("n")).cast("int")
+    rows, done = pool.select("node", "n", "lines", "first", "tokens", F.col("leaf").alias("g")), []
+    for level in range(1, DEPTH + 1):
+        heads = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min_by("tokens", F.struct((-F.col("lines")).alias("l"), "first")).alias("head"))
+        differs = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.get("tokens", p) != F.get("head", p)).alias("differs")
+        marked = stored(rows.join(stored(heads, "heads"), "g").select("node", "n", "lines", "first", "tokens", "g", "k", differs), "marked")
+        few = (F.col("k") > 1) & (F.size("differs") > 0) & (F.size("differs") <= F.col("n") - need(similar))
+        counts = marked.where(few).select("g", "n", "lines", F.explode("differs").alias("p")).groupBy("g", "n", "p").agg(F.sum("lines").alias("c"))
+        fields = counts.groupBy("g", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "p"))).alias("ps"))
+        fields = stored(fields.select("g", F.transform(F.slice("ps", F.lit(1), F.col("n") - need(similar)), lambda x: x["p"]).alias("fields")), "fields")
+        joins = (F.size("differs") == 0) | F.coalesce(few & (F.size(F.array_except("differs", "fields")) == 0), F.lit(False))
+        marked = stored(marked.join(fields, "g", "left").withColumn("joins", joins), "joined")
+        done.append(marked.where("joins").select("node", F.xxhash64("g", F.lit(level)).alias("root")))
+        rest = marked.where("NOT joins")
+        seen = rest.select("g", "n", F.posexplode("tokens").alias("p", "x")).distinct().groupBy("g", "n", "p").agg(F.count(F.lit(1)).alias("c"))
+        ranked = seen.groupBy("g", "n").agg(F.array_sort(F.collect_list(F.struct("c", "p"))).alias("ps"))
+        picked = stored(ranked.select("g", F.transform(F.slice("ps", F.lit(1), need(similar * level / DEPTH)), lambda x: x["p"]).alias("ps")), "picked")
+        below = F.xxhash64("g", F.transform("ps", lambda p: F.get("tokens", p)))
+        rows = stored(rest.join(picked, "g").select("node", "n", "lines", "first", "tokens", below.alias("g")), "level")
+    return reduce(DataFrame.unionByName, [*done, rows.select("node", F.col("g").alias("root"))])
 
 
 def recurring(docs: DataFrame, id_col: str, text_col: str, similar: float, evidence: int) -> tuple[DataFrame, DataFrame]:
@@ -196,9 +172,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"))
 
 
-#: The same tree over the table's lines: all pairs of a leaf compared token by token, groups by recursion.
+#: The same tree over the table's lines, its nodes named by the tokens on the way.
 OP7_SQL = r"""
-WITH RECURSIVE raw AS (
+WITH raw AS (
   SELECT doc_id AS d, str_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
 line AS (
   SELECT d, k - 1 AS i, trim(regexp_replace(parts[k], '[ \t\x0B\f\r]+', ' ', 'g'), ' ') AS line
@@ -208,14 +184,37 @@ masked AS (
 placed AS (
   SELECT d, i, n, template, array_to_string(str_split(template, ' ')[1:3], ' ') AS lead
   FROM (SELECT *, CASE WHEN (length(m) - length(replace(m, '<*>', ''))) / 3 * 2 > n THEN line ELSE m END AS template FROM masked)),
-templates AS (SELECT DISTINCT template, n, lead, str_split(template, ' ') AS w FROM placed),
-agree AS (
-  SELECT a.template AS u, b.template AS v FROM templates a JOIN templates b ON a.n = b.n AND a.lead = b.lead AND a.template <> b.template
-  WHERE len(list_filter(list_zip(a.w, b.w), lambda x: x[1] = x[2])) >= 0.75 * a.n),
-reach AS (
-  SELECT template AS a, template AS b FROM templates
-  UNION SELECT a, v FROM reach JOIN agree ON b = u),
-grouped AS (SELECT a AS template, min(b) AS g FROM reach GROUP BY a),
+n0 AS (SELECT template, n, str_split(template, ' ') AS w, count(*) AS lines, min(struct_pack(d := d, i := i)) AS first, n || ' ' || lead AS node FROM placed GROUP BY template, n, lead),
+h1 AS (SELECT node, count(*) AS k, arg_min(w, struct_pack(l := -lines, f := first)) AS head FROM n0 GROUP BY node),
+m1 AS (SELECT t.*, n - CAST(ceil(n * 3 / 4.0) AS BIGINT) AS most, list_filter(generate_series(1, n), lambda p: w[p] <> head[p]) AS differs FROM n0 t JOIN h1 USING (node)),
+f1 AS (
+  SELECT node, list(p ORDER BY c DESC, p)[1 : any_value(most)] AS fields
+  FROM (SELECT node, p, any_value(most) AS most, sum(lines) AS c FROM m1, unnest(differs) AS u(p) WHERE len(differs) <= most GROUP BY node, p) GROUP BY node),
+j1 AS (SELECT m.*, len(differs) = 0 OR coalesce(len(differs) <= most AND len(list_filter(differs, lambda p: NOT list_contains(fields, p))) = 0, false) AS joins FROM m1 m LEFT JOIN f1 USING (node)),
+p1 AS (SELECT node, n, p, count(DISTINCT w[p]) AS c FROM j1, unnest(generate_series(1, n)) AS u(p) WHERE NOT joins GROUP BY ALL),
+k1 AS (SELECT node, list(p ORDER BY c, p)[1 : CAST(ceil(n * 1 / 4.0) AS INTEGER)] AS ps FROM p1 GROUP BY node, n),
+n1 AS (SELECT template, n, w, lines, first, node || chr(10) || array_to_string(list_transform(ps, lambda p: p || ' ' || w[p]), chr(9)) AS node FROM j1 JOIN k1 USING (node) WHERE NOT joins),
+h2 AS (SELECT node, count(*) AS k, arg_min(w, struct_pack(l := -lines, f := first)) AS head FROM n1 GROUP BY node),
+m2 AS (SELECT t.*, n - CAST(ceil(n * 3 / 4.0) AS BIGINT) AS most, list_filter(generate_series(1, n), lambda p: w[p] <> head[p]) AS differs FROM n1 t JOIN h2 USING (node)),
+f2 AS (
+  SELECT node, list(p ORDER BY c DESC, p)[1 : any_value(most)] AS fields
+  FROM (SELECT node, p, any_value(most) AS most, sum(lines) AS c FROM m2, unnest(differs) AS u(p) WHERE len(differs) <= most GROUP BY node, p) GROUP BY node),
+j2 AS (SELECT m.*, len(differs) = 0 OR coalesce(len(differs) <= most AND len(list_filter(differs, lambda p: NOT list_contains(fields, p))) = 0, false) AS joins FROM m2 m LEFT JOIN f2 USING (node)),
+p2 AS (SELECT node, n, p, count(DISTINCT w[p]) AS c FROM j2, unnest(generate_series(1, n)) AS u(p) WHERE NOT joins GROUP BY ALL),
+k2 AS (SELECT node, list(p ORDER BY c, p)[1 : CAST(ceil(n * 2 / 4.0) AS INTEGER)] AS ps FROM p2 GROUP BY node, n),
+n2 AS (SELECT template, n, w, lines, first, node || chr(10) || array_to_string(list_transform(ps, lambda p: p || ' ' || w[p]), chr(9)) AS node FROM j2 JOIN k2 USING (node) WHERE NOT joins),
+h3 AS (SELECT node, count(*) AS k, arg_min(w, struct_pack(l := -lines, f := first)) AS head FROM n2 GROUP BY node),
+m3 AS (SELECT t.*, n - CAST(ceil(n * 3 / 4.0) AS BIGINT) AS most, list_filter(generate_series(1, n), lambda p: w[p] <> head[p]) AS differs FROM n2 t JOIN h3 USING (node)),
+f3 AS (
+  SELECT node, list(p ORDER BY c DESC, p)[1 : any_value(most)] AS fields
+  FROM (SELECT node, p, any_value(most) AS most, sum(lines) AS c FROM m3, unnest(differs) AS u(p) WHERE len(differs) <= most GROUP BY node, p) GROUP BY node),
+j3 AS (SELECT m.*, len(differs) = 0 OR coalesce(len(differs) <= most AND len(list_filter(differs, lambda p: NOT list_contains(fields, p))) = 0, false) AS joins FROM m3 m LEFT JOIN f3 USING (node)),
+p3 AS (SELECT node, n, p, count(DISTINCT w[p]) AS c FROM j3, unnest(generate_series(1, n)) AS u(p) WHERE NOT joins GROUP BY ALL),
+k3 AS (SELECT node, list(p ORDER BY c, p)[1 : CAST(ceil(n * 3 / 4.0) AS INTEGER)] AS ps FROM p3 GROUP BY node, n),
+n3 AS (SELECT template, n, w, lines, first, node || chr(10) || array_to_string(list_transform(ps, lambda p: p || ' ' || w[p]), chr(9)) AS node FROM j3 JOIN k3 USING (node) WHERE NOT joins),
+grouped AS (
+  SELECT template, '1 ' || node AS g FROM j1 WHERE joins UNION ALL SELECT template, '2 ' || node FROM j2 WHERE joins UNION ALL SELECT template, '3 ' || node FROM j3 WHERE joins
+  UNION ALL SELECT template, node FROM n3),
 groups AS (
   SELECT g, min(d) AS first FROM placed JOIN grouped USING (template) GROUP BY g
   HAVING count(DISTINCT d) >= 2 AND count(DISTINCT d) * max(n) >= 16),

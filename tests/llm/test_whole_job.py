@@ -1,9 +1,9 @@
 """Training-data stages against brute force where a shortcut would leave a part of the job."""
 
+import math
 import random
 import re
-
-import pytest
+from collections import Counter, defaultdict
 
 from skycube.llm import decontaminate, language, line_dedup, simhash
 
@@ -42,27 +42,49 @@ def test_near_copies_by_exact_similarity(spark):
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == sorted(set(least))
 
 
-def tree(rows, similar=0.75, evidence=16):
-    """Lines dropped from each document by the plain tree: every two templates of a leaf compared."""
+def tree(rows, similar=0.75, evidence=16, depth=3):
+    """Lines dropped from each document by the plain tree, node after node; what is dropped shares its group's constants."""
     placed = []
     for d, text in rows:
-        for line in (text or "").split("\n"):
+        for i, line in enumerate((text or "").split("\n")):
             words = re.sub(r"[ \t\x0b\f\r]+", " ", line).strip(" ")
             if words:
                 masked = ["<*>" if re.search("[0-9]", w) else w for w in words.split(" ")]
-                placed.append((d, tuple(words.split(" ")) if masked.count("<*>") * 2 > len(masked) else tuple(masked)))
-    templates = sorted({t for _, t in placed})
-    group = {t: t for t in templates}
-    for a in templates:
-        for b in templates:
-            if len(a) == len(b) and a[:3] == b[:3] and sum(x == y for x, y in zip(a, b)) >= similar * len(a) and group[a] != group[b]:
-                old, new = group[a], group[b]
-                group = {t: new if g == old else g for t, g in group.items()}
-    docs = {}
-    for d, t in placed:
-        docs.setdefault(group[t], set()).add(d)
+                placed.append((d, i, tuple(words.split(" ")) if masked.count("<*>") * 2 > len(masked) else tuple(masked)))
+    lines, first, group = Counter(t for _, _, t in placed), {}, {}
+    for d, i, t in sorted(placed):
+        first.setdefault(t, (d, i))
+    nodes = defaultdict(list)
+    for t in lines:
+        nodes[len(t), t[:3]].append(t)
+    for level in range(1, depth + 1):
+        below = defaultdict(list)
+        for name, ts in nodes.items():
+            n = len(ts[0])
+            most = n - math.ceil(similar * n)
+            head = min(ts, key=lambda t: (-lines[t], first[t]))
+            differs = {t: [p for p in range(n) if t[p] != head[p]] for t in ts}
+            often = Counter()
+            for t in ts:
+                if len(differs[t]) <= most:
+                    often.update(dict.fromkeys(differs[t], lines[t]))
+            fields = sorted(often, key=lambda p: (-often[p], p))[:most]
+            group |= {t: (level, name) for t in ts if set(differs[t]) <= set(fields)}
+            rest = [t for t in ts if t not in group]
+            seen = sorted(range(n), key=lambda p: (len({t[p] for t in rest}), p))[: math.ceil(similar * level / depth * n)]
+            for t in rest:
+                below[name, tuple((p, t[p]) for p in seen)].append(t)
+        nodes = below
+    group |= {t: name for name, ts in nodes.items() for t in ts}
+    members = defaultdict(list)
+    for t, g in group.items():
+        members[g].append(t)
+    assert all(sum(len(set(x)) == 1 for x in zip(*ts)) >= similar * len(ts[0]) for ts in members.values())
+    docs = defaultdict(set)
+    for d, _, t in placed:
+        docs[group[t]].add(d)
     gone = dict.fromkeys([d for d, _ in rows], 0)
-    for d, t in placed:
+    for d, _, t in placed:
         seen = docs[group[t]]
         gone[d] += len(seen) > 1 and len(seen) * len(t) >= evidence and d != min(seen)
     return gone
@@ -95,10 +117,33 @@ def test_every_family_of_a_leaf_is_found(spark):
     assert sum(dropped(spark, rows).values()) == 5
 
 
-@pytest.mark.parametrize("crowd", [256, 1])
-def test_lines_against_the_plain_tree(spark, monkeypatch, crowd):
+def test_a_chain_of_lines_is_no_group(spark):
+    """Thirteen lines, each unlike the one before in one token: a line goes only with those that share three quarters of all their tokens."""
+    words = [f"w{chr(97 + i)}" for i in range(15)]
+    rows = [(k, " ".join([*words[:3], *["new"] * k, *words[3 + k :]])) for k in range(13)]
+    got = dropped(spark, rows)
+    assert got == tree(rows) and 0 < sum(got.values()) < 12
+
+
+def test_form_lines_cost_a_row_each(spark, monkeypatch):
+    """Lines of 24 shared and 16 own tokens: none is dropped, and what is stored grows as their number."""
+    sizes, whole = {}, line_dedup.stored
+
+    def counting(df, tag):
+        out = whole(df, tag)
+        sizes[n] = sizes.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counting)
+    r = random.Random(2)
+    for n in (100, 400):
+        rows = [(k, " ".join(["the", "same", "start", *(f"w{chr(97 + i % 26)}{i}".rstrip("0123456789") for i in range(21)), *("".join(r.choices("abcdefgh", k=5)) for _ in range(16))])) for k in range(n)]
+        assert not any(dropped(spark, rows).values())
+    assert sizes[400] < 4.5 * sizes[100]
+
+
+def test_lines_against_the_plain_tree(spark):
     """Lines of 1 to 30 tokens from few words, so that leaves hold many templates that agree more or less."""
-    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     r = random.Random(11)
     rows = []
     for d in range(60):
