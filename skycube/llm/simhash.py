@@ -14,7 +14,8 @@ size and finds the same components.
 ``near_copies``, which the pipeline's stage takes, asks more: texts link when the Jaccard
 similarity of their sets of five-word shingles is 0.8 or more, which fingerprints of 64 bits
 cannot tell. Candidates share one of 32 bands of five minima (at similarity 0.8 a pair is missed
-with probability (1 - 0.8^5)^32 = 3e-6, less above); the exact similarity of the sets decides.
+with probability (1 - 0.8^5)^32 = 3e-6, less above); the exact similarity of the sets decides. Buckets
+that hold many unlike texts are dealt anew by their rarest shingles, which loses none.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link
 like any other. Equal fingerprints are one node, so a group of copies costs one row. Null
@@ -39,6 +40,8 @@ from .shared import components, fresh, map_texts, stored
 BITS = 64
 CHUNK = 1 << 15
 BANDS, ROWS = 32, 5
+#: Buckets that leave more members apart are dealt anew, by rare shingles.
+CROWD = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -316,30 +319,66 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return stored(both.where(F.col("i") / (F.size("a") + F.size("b") - F.col("i")) >= similar).select("u", "v"), "similar")
 
 
+def _starred(index: DataFrame, sets: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs (u, v) of members with the least one of their bucket, and the members that this leaves apart.
+
+    ``index``: key, fp, n; stored. The second has key, fp, n and the component c of members of
+    buckets that lie in different ones, without the least, which has been compared with all.
+    """
+    hubs = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("fp", "n")).alias("hub")).where("k > 1").select("key", "hub")
+    at = stored(index.join(stored(hubs, "buckets"), "key"), "members")
+    stars = stored(at.where((F.col("fp") != F.col("hub.fp")) & _fits(F.col("n"), F.col("hub.n"), similar)).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
+    found = _similar(stars, sets, similar)
+    roots = components(found, "u", "v").toDF("fp", "root")
+    named = stored(at.join(roots, "fp", "left").select("key", "fp", "n", (F.col("fp") == F.col("hub.fp")).alias("is_hub"), F.coalesce("root", "fp").alias("c")), "named")
+    mixed = stored(named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"), "mixed")
+    return found, stored(named.where("NOT is_hub").join(mixed, "key", "left_semi").drop("is_hub"), "left")
+
+
+def _fits(x: Column, y: Column, similar: float) -> Column:
+    """Whether sets of these sizes can be as similar."""
+    return F.least(x, y) / F.greatest(x, y) >= similar
+
+
+def rare_index(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(key, fp, n): each set's rarest shingles among the members, as many as similar sets must share one of.
+
+    Sets in one order of elements, the rarest first, that have ``similar`` of their union in common
+    share one of the first n - ceil(similar n) + 1 of either. What all of a crowd have in common
+    comes last in that order, so it brings no two together.
+    """
+    own = stored(members.select("fp", "n").distinct().join(sets, "fp").select("fp", "n", F.explode("s").alias("key")), "shingles")
+    often = stored(own.groupBy("key").agg(F.count(F.lit(1)).alias("often")), "often")
+    rows = own.join(often, "key").groupBy("fp", "n").agg(F.collect_list(F.struct("often", "key")).alias("x"))
+    first = F.slice(F.array_sort("x"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(similar)) + 1).cast("int"))
+    return rows.select("fp", "n", F.explode(first).alias("x")).where("x.often > 1").select("x.key", "fp", "n")
+
+
 def set_links(marked: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similar: float, seed: int) -> DataFrame:
     """(u, v): pairs of similar sets that connect just what all similar pairs of one bucket connect.
 
-    First each member of a bucket is compared with its least one. Then only members that this
-    leaves in different components are, all with all; so a large group of near copies costs a
-    comparison for each member.
+    First each member of a bucket is compared with its least one; so a large group of near copies
+    costs a comparison for each member. Members that this leaves in different components are
+    compared with each other where they are few. Where over ``CROWD`` are left they are dealt anew, by
+    their rarest shingles: that loses no similar pair, and pages that only have a frame in common meet
+    no more. In these buckets again all meet the least one, then those left apart each other.
     """
-    index = marked.select("fp", "n", F.posexplode("bands").alias("g", "key")).distinct()
-    buckets = stored(index.groupBy("g", "key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("fp", "n")).alias("hub")).where("k > 1").select("g", "key", "hub"), "buckets")
-    at = stored(index.join(buckets, ["g", "key"]), "members")
-    fits = lambda x, y: F.least(x, y) / F.greatest(x, y) >= similar
+    index = stored(marked.select("fp", "n", F.posexplode("bands").alias("g", "b")).select(F.xxhash64("g", "b").alias("key"), "fp", "n").distinct(), "bands")
+    several = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "several")
     # One row speaks for each set; rows repeated as a whole would give it twice.
-    rows = marked.join(at.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("r"))
+    wanted = index.join(several, "key", "left_semi").select("fp").distinct()
+    rows = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("r"))
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("g"), F.col(text_col).alias("t"))
     rows = texts.join(rows, F.col("d").eqNullSafe(F.col("r.doc_id")) & (F.col("g") == F.col("r.h"))).select("fp", "t").dropDuplicates(["fp"])
     sets = stored(_members(rows, words, seed), "sets")
-    stars = stored(at.where((F.col("fp") != F.col("hub.fp")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
-    found = _similar(stars, sets, similar)
-    roots = components(found, "u", "v").toDF("fp", "root")
-    named = stored(at.join(roots, "fp", "left").select("g", "key", "fp", "n", "hub", F.coalesce("root", "fp").alias("c")), "named")
-    mixed = stored(named.groupBy("g", "key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("g", "key"), "mixed")
-    left = stored(named.where(F.col("fp") != F.col("hub.fp")).join(mixed, ["g", "key"], "left_semi").drop("hub"), "left")
-    x, y = left.toDF("g", "key", "u", "nu", "cu"), left.toDF("g", "key", "v", "nv", "cv")
-    pairs = x.join(y, ["g", "key"]).where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & fits(F.col("nu"), F.col("nv"))).select("u", "v").distinct()
+    found, left = _starred(index, sets, similar)
+    crowded = stored(left.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("key"), "crowded")
+    if crowded.take(1):
+        crowd = left.join(crowded, "key", "left_semi")
+        more, again = _starred(stored(rare_index(crowd, sets, similar), "rare"), sets, similar)
+        found, left = found.unionByName(more), left.join(crowded, "key", "left_anti").unionByName(again)
+    x, y = left.toDF("key", "u", "nu", "cu"), left.toDF("key", "v", "nv", "cv")
+    pairs = x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _fits(F.col("nu"), F.col("nv"), similar)).select("u", "v").distinct()
     return found.unionByName(_similar(stored(pairs, "pairs"), sets, similar))
 
 

@@ -42,6 +42,29 @@ def test_near_copies_by_exact_similarity(spark):
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == sorted(set(least))
 
 
+def test_pages_of_one_frame_meet_no_more_than_their_number(spark, monkeypatch):
+    """Pages that share most words but not 0.8 of their shingles, and near copies among them: rows that are stored grow as the pages, and no pair is lost."""
+    sizes, whole = {}, simhash.stored
+
+    def counting(df, tag):
+        out = whole(df, tag)
+        if tag in ("pairs", "left", "members", "rare"):
+            sizes[n, tag] = sizes.get((n, tag), 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counting)
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    frame = [word() for _ in range(300)]
+    for n in (80, 240):
+        rows = [(k, " ".join(frame + [word() for _ in range(120)])) for k in range(n)]
+        rows += [(n + k, " ".join([*rows[k][1].split()[:-3], "some", "other", "end"])) for k in range(0, n, 8)]
+        got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {k: k if k < n else k - n for k, _ in rows}
+    assert all(sizes[240, tag] < 4.5 * max(sizes[80, tag], 60) for _, tag in sizes)
+
+
 def tree(rows, similar=0.75, evidence=16, depth=3):
     """Lines dropped from each document by the plain tree, node after node; what is dropped shares its group's constants."""
     placed = []
