@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import SITE_LAT, lst_hours, unproject
 from ..sources.schema import finite
 
 PLANE = ("time_idx", "freq_idx", "pol_idx")
@@ -28,7 +29,9 @@ def reference_difference(cells: DataFrame, first: int | None = None) -> DataFram
 def rms_map(cells: DataFrame, box: int = 50, mode: str = "documented") -> DataFrame:
     """Local noise in a box of pixels about each pixel, over valid in-bounds pixels.
 
-    Sums of values, squares and counts run along l, then along m: two sorts, whatever the box.
+    Sums of values, squares and counts run along l, then along m. Spark sums each frame anew, so a
+    pixel costs 2 box steps: for sparse cells or small boxes. ``halo.noise_tiles`` does whole tiles at a
+    cost that does not depend on the box.
     ``documented`` is the population std. ``reference`` scales both means by box**2 before
     subtracting, as the reference does, which gives 0 wherever the mean is not small.
     """
@@ -62,6 +65,18 @@ def find_peaks(cells: DataFrame, threshold: float = 5.0, box: int = 50, separati
     return rows.where(finite(F.col("flux")) & (F.col("flux") == F.col("top")) & (F.col("snr") >= threshold)).select(*PLANE, "l_idx", "m_idx", "flux", "rms", "snr")
 
 
+def located(peaks: DataFrame, times: DataFrame, l: Column, m: Column) -> DataFrame:  # noqa: E741
+    """Peaks with their position on the sky and their place in their plane by SNR, from 1; of equal ones the earlier pixel.
+
+    ``times``: time_idx, mjd; ``l`` and ``m``: direction cosines of a peak's pixel. A zenith image is centred
+    on the local sidereal time and the site's latitude. Positions beyond the horizon are NULL.
+    """
+    rows = peaks.join(times, "time_idx")
+    ra, dec = unproject(l, m, lst_hours(F.col("mjd")) * 15, F.lit(SITE_LAT))
+    by = Window.partitionBy(*PLANE).orderBy(F.desc("snr"), "l_idx", "m_idx")
+    return rows.select(*peaks.columns, ra.alias("ra_deg"), dec.alias("dec_deg"), F.row_number().over(by).alias("place"))
+
+
 def smooth(cells: DataFrame, sigma: float = 2.0, truncate: float = 4.0) -> DataFrame:
     """Matched filter: separable Gaussian over valid pixels, weights renormalised at gaps and edges.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import spectra as S
+from ..operators import halo as H
 from ..operators import reduce as R
 from ..operators import select as P
 from ..operators import windows as W
@@ -160,14 +161,22 @@ RMS = """, box AS (
   GROUP BY ALL)"""
 
 
+def _noise(spark, sf_dir, box):
+    """(plane, pixel, flux, rms, snr), by tiles with borders."""
+    found = H.noise_tiles(views.tiles(spark, sf_dir, 3), 3, box)
+    rows = found.select(*H.PLANE, "l0", "m0", "n_m", F.posexplode(F.arrays_zip("data", "rms", "snr")).alias("k", "x"))
+    real = lambda c: F.when(~F.isnan(c), c)
+    return rows.select(*H.PLANE, (F.col("l0") + F.expr("k div n_m")).alias("l_idx"), (F.col("m0") + F.col("k") % F.col("n_m")).alias("m_idx"), real(F.col("x.data").cast("double")).alias("flux"), real(F.col("x.rms")).alias("rms"), real(F.col("x.snr")).alias("snr"))
+
+
 @query("w2_rms_map", C + RMS + " SELECT time_idx, freq_idx, pol_idx, l_idx, m_idx, round(CASE WHEN flux IS NOT NULL THEN sqrt(greatest(q / n - (s / n) * (s / n), 0)) END, 6) AS rms FROM box")
 def rms_map(spark, sf_dir):
-    return rounded(W.rms_map(views.cells(spark, sf_dir), 4), "rms").drop("flux")
+    return rounded(_noise(spark, sf_dir, 4), "rms").drop("flux", "snr")
 
 
 @query("w3_snr_map", C + RMS + " SELECT time_idx, freq_idx, pol_idx, l_idx, m_idx, round(flux / sqrt(q / n - (s / n) * (s / n)), 4) + 0.0 AS snr FROM box")
 def snr_map(spark, sf_dir):
-    return rounded(W.snr_map(views.cells(spark, sf_dir), 4), "snr", digits=4).drop("flux", "rms")
+    return rounded(_noise(spark, sf_dir, 4), "snr", digits=4).drop("flux", "rms")
 
 
 PEAK = """, box AS (
@@ -182,7 +191,22 @@ PEAK = """, box AS (
 
 @query("w4_find_peaks", C + PEAK + " SELECT time_idx, freq_idx, pol_idx, l_idx, m_idx, round(flux, 6) AS flux, round(flux / sqrt(q / n - (s / n) * (s / n)), 4) AS snr FROM box WHERE flux = top AND flux / sqrt(q / n - (s / n) * (s / n)) >= 2")
 def find_peaks(spark, sf_dir):
-    return rounded(rounded(W.find_peaks(views.cells(spark, sf_dir), 2.0, 6, 2).drop("rms"), "flux"), "snr", digits=4)
+    return rounded(rounded(H.peak_rows(views.tiles(spark, sf_dir, 3), 3, 2.0, 6, 2).drop("rms"), "flux"), "snr", digits=4)
+
+
+@query(
+    "w4_located_peaks",
+    C + PEAK + """, peak AS (SELECT *, flux / sqrt(q / n - (s / n) * (s / n)) AS snr FROM box WHERE flux = top AND flux / sqrt(q / n - (s / n) * (s / n)) >= 2),
+t AS (SELECT DISTINCT time_idx, ((18.697374558 + 24.06570982441908 * (mjd - 51544.5) + -118.2817 / 15) % 24 + 24) % 24 * 15 AS ra0 FROM cells),
+c AS (SELECT *, 2 * l_idx / 7 - 1 AS l, 2 * m_idx / 7 - 1 AS m FROM peak JOIN t USING (time_idx)), d AS (SELECT *, CASE WHEN l * l + m * m <= 1 THEN sqrt(1 - l * l - m * m) END AS z FROM c)
+SELECT time_idx, freq_idx, pol_idx, l_idx, m_idx, round(snr, 4) AS snr, CAST(row_number() OVER (PARTITION BY time_idx, freq_idx, pol_idx ORDER BY snr DESC, l_idx, m_idx) AS INTEGER) AS place,
+       round(((ra0 + degrees(atan2(l, z * cos(radians(37.2339)) - m * sin(radians(37.2339))))) % 360 + 360) % 360, 5) AS ra_deg, round(degrees(asin(z * sin(radians(37.2339)) + m * cos(radians(37.2339)))), 5) + 0.0 AS dec_deg FROM d""",
+)
+def located_peaks(spark, sf_dir):
+    """Peaks with right ascension and declination, in order of SNR within their plane."""
+    peaks = H.peak_rows(views.tiles(spark, sf_dir, 3), 3, 2.0, 6, 2)
+    found = W.located(peaks, P.axis(views.cells(spark, sf_dir), "time_idx", "mjd"), 2 * F.col("l_idx") / 7 - 1, 2 * F.col("m_idx") / 7 - 1)
+    return rounded(rounded(found.drop("flux", "rms"), "ra_deg", "dec_deg", digits=5), "snr", digits=4)
 
 
 @query("w15_axis_spacing", C + ", a AS (SELECT DISTINCT freq_idx, freq_hz FROM cells), d AS (SELECT freq_hz - lag(freq_hz) OVER (ORDER BY freq_idx) AS step FROM a) SELECT min(step) AS least, max(step) AS most, count(step) AS n, max(step) - min(step) <= 1e-6 * max(step) AS regular FROM d")
@@ -218,7 +242,7 @@ def power_law(spark, sf_dir):
 
 @query("a10_confirmed_bands", C + RMS + ", s AS (SELECT time_idx, freq_idx, pol_idx, l_idx, m_idx, flux / sqrt(q / n - (s / n) * (s / n)) AS snr FROM box) SELECT time_idx, pol_idx, l_idx, m_idx, round(avg(CASE WHEN snr > 1 THEN 1 WHEN snr IS NOT NULL THEN 0 END), 6) AS share FROM s GROUP BY ALL HAVING avg(CASE WHEN snr > 1 THEN 1 WHEN snr IS NOT NULL THEN 0 END) >= 0.3")
 def confirmed_bands(spark, sf_dir):
-    return rounded(R.confirmed_bands(W.snr_map(views.cells(spark, sf_dir), 4), ["time_idx", "pol_idx", "l_idx", "m_idx"], 1.0, 0.3), "share")
+    return rounded(R.confirmed_bands(_noise(spark, sf_dir, 4), ["time_idx", "pol_idx", "l_idx", "m_idx"], 1.0, 0.3), "share")
 
 
 KERNEL = "k AS (SELECT d, exp(-0.5 * (d / 1.0) ** 2) AS w FROM unnest(range(-4, 5)) AS t(d))"

@@ -55,7 +55,7 @@ def aligned_stokes(spark, sf_dir):
     return I.aligned_stokes(planes, [1, 2, 4])
 
 
-@query("p4_frame_select", C + "SELECT l_idx, m_idx, round(flux, 6) + 0.0 AS flux FROM cells WHERE time_idx = 3 AND pol_idx = 0 AND freq_idx = (SELECT arg_min(freq_idx, struct_pack(d := abs(freq_hz - 50e6), i := freq_idx)) FROM cells)")
+@query("p4_frame_select", C + ", f AS (SELECT DISTINCT freq_idx, freq_hz FROM cells), near AS (SELECT freq_idx, row_number() OVER (ORDER BY abs(freq_hz - 50e6), freq_idx) AS k FROM f) SELECT l_idx, m_idx, round(flux, 6) + 0.0 AS flux FROM cells JOIN near USING (freq_idx) WHERE k = 1 AND time_idx = 3 AND pol_idx = 0")
 def frame_select(spark, sf_dir):
     """One plane by time index and nearest frequency: the selection is the feature."""
     cells = views.cells(spark, sf_dir)

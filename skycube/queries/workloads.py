@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..jobs import review, search
+from ..operators import halo
 from ..operators import patchfit as H
 from ..operators import select as P
 from ..operators import tracking as T
@@ -49,19 +50,18 @@ def best_stokes_plane(spark, sf_dir):
     return store.best_planes(cells.select("time_idx", F.expr("freq_idx div 2").alias("freq_idx"), "stokes", (F.col("freq_idx") % 2).alias("plane_idx"), "flux"))
 
 
-NEW = "new AS (SELECT i, -0.9 + 0.3 * i AS pos FROM range(0, 8) t(i))"
-
-
 @query(
     "h3_regrid",
-    C + f""", {NEW}, ax AS (SELECT i, pos, least(CAST(floor((pos + 1) / 2 * 7) AS BIGINT), 6) AS k, CASE WHEN pos BETWEEN -1 AND 1 THEN 1 END AS ok FROM new), w AS (SELECT i, k, ok, (pos - (2 * k / 7 - 1)) / (2 / 7.0) AS u FROM ax)
-SELECT a.time_idx, a.freq_idx, a.pol_idx, x.i AS l_idx, y.i AS m_idx, round(CASE WHEN x.ok = 1 AND y.ok = 1 THEN a.flux * (1 - x.u) * (1 - y.u) + b.flux * x.u * (1 - y.u) + c.flux * (1 - x.u) * y.u + d.flux * x.u * y.u END, 5) + 0.0 AS flux
-FROM w x CROSS JOIN w y JOIN cells a ON a.l_idx = x.k AND a.m_idx = y.k JOIN cells b ON b.l_idx = x.k + 1 AND b.m_idx = y.k AND b.time_idx = a.time_idx AND b.freq_idx = a.freq_idx AND b.pol_idx = a.pol_idx
-JOIN cells c ON c.l_idx = x.k AND c.m_idx = y.k + 1 AND c.time_idx = a.time_idx AND c.freq_idx = a.freq_idx AND c.pol_idx = a.pol_idx JOIN cells d ON d.l_idx = x.k + 1 AND d.m_idx = y.k + 1 AND d.time_idx = a.time_idx AND d.freq_idx = a.freq_idx AND d.pol_idx = a.pol_idx""",
+    C + """, ax AS (SELECT i, least(CAST(floor((0.1 + 0.3 * i) / 2 * 7) AS BIGINT), 6) AS k, (0.1 + 0.3 * i) / (2 / 7.0) AS pos, 0.3 * i <= 1.9 AS ok FROM (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS i)),
+w AS (SELECT i, k AS idx, 1 - (pos - k) AS part, ok FROM ax UNION ALL SELECT i, k + 1, pos - k, ok FROM ax)
+SELECT time_idx, freq_idx, pol_idx, CAST(x.i AS BIGINT) AS l_idx, CAST(y.i AS BIGINT) AS m_idx,
+       round(CASE WHEN bool_and(x.ok AND y.ok) AND count(flux) = 4 THEN sum(flux * x.part * y.part) END, 5) + 0.0 AS flux
+FROM cells JOIN w x ON x.idx = l_idx JOIN w y ON y.idx = m_idx GROUP BY ALL""",
 )
 def regrid(spark, sf_dir):
-    new = [-0.9 + 0.3 * i for i in range(8)]
-    return rounded(H.regrid(views.cells(spark, sf_dir), new, new), "flux", digits=5)
+    """Every plane on a shifted, wider grid that goes beyond the old one, by tiles with borders."""
+    old, new = (-1.0, 2 / 7, 8), (-0.9, 0.3, 8)
+    return rounded(store.to_cells(halo.regrid_tiles(views.tiles(spark, sf_dir, 3), (old, old), (new, new), 5)), "flux", digits=5)
 
 
 @query("w6_dedisperse_interpolated", C + DYN + """, s AS (SELECT *, 60000.0 + 0.01 * time_idx AS mjd, 4148.808 * 2.0 * (1 / (freq_hz * freq_hz / 1e12) - 1 / (84.0 * 84.0)) / 86400 AS delay FROM dyn), ok AS (SELECT * FROM s WHERE flux IS NOT NULL),
