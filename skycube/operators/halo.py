@@ -40,7 +40,7 @@ def _dealt(tiles: DataFrame, l: Axis, m: Axis, carry: tuple[str, ...] = ()) -> D
     row = lambda i: F.slice("data", ((i - F.col("l0")) * F.col("n_m") + F.col("b0") - F.col("m0") + 1).cast("int"), (F.col("b1") - F.col("b0")).cast("int"))
     whole = (F.col("a1") - F.col("a0") == F.col("n_l")) & (F.col("b1") - F.col("b0") == F.col("n_m"))
     data = F.when(whole, F.col("data")).otherwise(F.flatten(F.transform(F.sequence(F.col("a0"), F.col("a1") - 1), row)))
-    piece = F.struct(F.col("a0").alias("l0"), F.col("b0").alias("m0"), (F.col("a1") - F.col("a0")).alias("n_l"), data.alias("data"))
+    piece = F.struct(F.col("a0").alias("l0"), F.col("b0").alias("m0"), (F.col("a1") - F.col("a0")).alias("n_l"), (F.col("b1") - F.col("b0")).alias("n_m"), data.alias("data"))
     need = F.struct("need_l0", "need_l1", "need_m0", "need_m1").alias("need")
     rows = rows.select(*PLANE, *carry, "to_l", "to_m", need, piece.alias("piece"))
     return rows.groupBy(*PLANE, "to_l", "to_m").agg(F.first("need").alias("need"), *[F.first(c).alias(c) for c in carry], F.collect_list("piece").alias("pieces"))
@@ -70,9 +70,10 @@ def _surroundings(tile: int, before: int, after: int) -> Axis:
 
 
 def with_borders(tiles: DataFrame, tile: int, before: int, after: int) -> DataFrame:
-    """Blocks of tiles of the size ``tile`` with their borders. A target that has no pixel of its own is dropped later."""
+    """Blocks of tiles of the size ``tile`` with their borders; targets without a pixel of their own have none."""
     axis = _surroundings(tile, before, after)
-    return _dealt(tiles, axis, axis)
+    inside = lambda p, k: (p[f"{k}0"] < (F.col(f"to_{k}") + 1) * tile) & (p[f"{k}0"] + p[f"n_{k}"] > F.col(f"to_{k}") * tile)
+    return _dealt(tiles, axis, axis).where(F.exists("pieces", lambda p: inside(p, "l") & inside(p, "m")))
 
 
 def box_sums(x: np.ndarray, box: int) -> np.ndarray:
@@ -119,8 +120,6 @@ def noise_tiles(tiles: DataFrame, tile: int, box: int = 50, mode: str = "documen
         for plane, _, to_l, to_m, block, where in _blocks(batches):
             inner = block[before : before + tile, before : before + tile]
             own = [(min(c - before, tile), min(d - before, tile)) for a, b, c, d in where if c > before and d > before and a < before + tile and b < before + tile]
-            if not own:
-                continue
             n_l, n_m = (max(x) for x in zip(*own))
             rms = np.where(np.isnan(inner), np.nan, local_noise(block, box, mode))
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -172,13 +171,14 @@ def regrid_tiles(tiles: DataFrame, old: tuple[tuple, tuple], new: tuple[tuple[fl
         bound = lambda i: F.greatest(F.least(F.floor(i / tile), F.lit((to[2] - 1) // tile)), F.lit(0)).cast("long")
 
         def targets(first: Column, n: Column) -> tuple[Column, Column]:
-            a, b = back((first - 2).cast("double")), back((first + n + 1).cast("double"))
+            a, b = back((first - 3).cast("double")), back((first + n + 2).cast("double"))
             return bound(F.least(a, b)), bound(F.greatest(a, b))
 
         def need(t: Column) -> tuple[Column, Column]:
             a, b = at((t * tile).cast("double")), at(F.least(t * tile + tile, F.lit(to[2])).cast("double") - 1)
-            low = F.greatest(F.least(F.floor(F.least(a, b)), size - 2), F.lit(0)).cast("long")
-            high = F.least(F.greatest(F.floor(F.greatest(a, b)), F.lit(0)) + 2, size).cast("long")
+            # One pixel more on both sides than the places need, should rounding differ here and in numpy.
+            low = F.greatest(F.least(F.floor(F.least(a, b)) - 1, size - 2), F.lit(0)).cast("long")
+            high = F.least(F.greatest(F.floor(F.greatest(a, b)), F.lit(0)) + 3, size).cast("long")
             return low, F.greatest(high, low)
 
         return targets, need
