@@ -25,6 +25,7 @@ an empty and another are not (0). No rows give no rows. Other columns are not re
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -228,19 +229,24 @@ def next_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts += [(None, h) for h in width(max(1, -(-found.nulls * parts // found.n)))] if found.nulls else []
     rows = rows.withColumn("h", F.xxhash64("t"))
     if cuts:
-        marks = F.array(*[F.struct(F.lit(d).cast("long").alias("d"), F.lit(h).cast("long").alias("h")) for d, h in cuts])
+        marks = lambda some: F.array(*[F.struct(F.lit(d).cast("long").alias("d"), F.lit(h).cast("long").alias("h")) for d, h in some])
         before = lambda x: F.when(x["d"].isNull(), F.col("d").isNull() & (x["h"] <= F.col("h"))).otherwise(F.col("d").isNull() | (x["d"] > F.col("d")) | ((x["d"] == F.col("d")) & (x["h"] <= F.col("h"))))
-        part = F.size(F.filter(marks, before))
+        # Cuts are in order: a row meets every k-th of them, then those between two of these.
+        k = math.isqrt(len(cuts)) + 1
+        between = F.array(*[marks(cuts[i : i + k - 1]) if cuts[i : i + k - 1] else marks([]).cast("array<struct<d:bigint,h:bigint>>") for i in range(0, len(cuts) + 1, k)])
+        coarse = F.size(F.filter(marks(cuts[k - 1 :: k]), before)) if cuts[k - 1 :: k] else F.lit(0)
+        rows = rows.withColumn("coarse", coarse)
+        part = F.col("coarse") * k + F.size(F.filter(F.get(between, F.col("coarse")), before))
     else:
         part = F.lit(0)
-    rows = rows.withColumn("p", part)
+    rows = rows.withColumn("p", part).select("d", "t", "h", "p")
     # One row for each part: the first document of its order.
-    order = F.struct(F.col("d").isNull().alias("no"), (-F.col("d")).alias("m"), "h")
+    order = F.struct(F.col("d").isNull().alias("no"), F.bitwise_not("d").alias("m"), "h")
     heads = sorted(rows.groupBy("p").agg(F.min(order).alias("f")).select("p", "f.m", "f.h").collect())
     # Arrays by part, so a row looks up its own part's head: nothing nests with the number of parts.
     found: list = [(None, None, None)] * (len(cuts) + 1)
     for i, head in enumerate(heads):
-        found[head.p] = (None if head.m is None else -head.m, head.h, heads[i - 1].p)
+        found[head.p] = (None if head.m is None else ~head.m, head.h, heads[i - 1].p)
     first, mark, before = (F.array(*[F.lit(x).cast(kind) for x in column])[F.col("p")] for column, kind in zip(zip(*found), ("long", "long", "int")))
     spare = F.when(F.col("d").eqNullSafe(first) & (F.col("h") == mark), before)
     targets = F.array_compact(F.array(F.struct(F.col("p").alias("part"), F.lit(False).alias("spare")), F.when(F.col("x").isNotNull(), F.struct(F.col("x").alias("part"), F.lit(True).alias("spare")))))

@@ -7,8 +7,8 @@ longer document; its blocks are coded by ``range_coder``. ``read_tokens`` decode
 checks every block.
 
 Defined cases: a null text is an empty one; an empty text has the end id alone. A null doc_id
-comes first. Rows with the same doc_id keep their own entries, ordered by text. Other columns
-are not read.
+comes first. Rows with the same doc_id keep their own entries, ordered by a hash of the text, then by
+the text. Other columns are not read.
 """
 
 from __future__ import annotations

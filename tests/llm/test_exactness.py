@@ -417,3 +417,39 @@ def test_pipeline_catches_planted_cases(spark, tmp_path):
     assert sum(passage in t for t in texts.values()) <= 1 and leak not in texts[104] and all(texts[k] == clean[k] for k in range(3, 40))
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in packed.select("doc_id").collect()} == texts.keys()
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 7, 40])
+def test_next_documents_at_the_ends_of_long(spark, parts):
+    """Every row's next document follows it, whatever the number of parts, with the smallest and largest ids of all."""
+    ids = [-(2**63), -(2**63) + 1, -5, 0, 3, 2**63 - 1, *range(100, 140)]
+    df = spark.createDataFrame([(d, f"text {d}") for d in ids], "doc_id long, text string")
+    rows = fingerprint.next_documents(df, parts=parts).withColumn("at", F.spark_partition_id()).collect()
+    follows = {}
+    for a, b in zip(rows, rows[1:]):
+        if (a.at, a.part) == (b.at, b.part) and not a.spare:
+            follows[a.doc_id] = b.doc_id
+    down = sorted(ids, reverse=True)
+    assert follows == dict(zip(down, [*down[1:], down[0]]))
+
+
+def test_simhash_query_against_brute_force(spark, docs):
+    """Fingerprints of whole documents bit by bit, and components of all pairs at three bits."""
+    from xxhash import xxh64_intdigest
+
+    def plain(text):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+        h = [xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+
+    fps = [plain(t) for t in docs.text]
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for i, r in enumerate(root):
+        least[r] = min(least.get(r, 1 << 62), docs.doc_id[i])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op10_simhash_near_dedup"](spark, SMALL).collect()}
+    assert got == {d: (f"{fps[i]:016x}", least[root[i]]) for i, d in enumerate(docs.doc_id)}
