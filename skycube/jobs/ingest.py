@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as NM
+from ..operators import halo
 from ..operators import inventory as I
 from ..sources import cube, fits
 from ..sources.schema import CubeError
@@ -101,9 +102,36 @@ def examined(files: DataFrame, tolerance_s: float) -> DataFrame:
     return good.unionByName(rows.where("outcome IS NOT NULL").withColumn("group_key", F.col("time_key")))
 
 
+def _grid(header: Column) -> Column:
+    """The pixel axes of a header: where they begin, their step in degrees, their length."""
+    axis = lambda k: F.struct(((1 - _number(header, f"CRPIX{k}", 1.0)) * _number(header, f"CDELT{k}", 1.0)).alias("begin"), _number(header, f"CDELT{k}", 1.0).alias("step"), header[f"NAXIS{k}"].cast("int").alias("size"))
+    return F.struct(axis(1).alias("l"), axis(2).alias("m"))
+
+
+def reference_grid(first_run: DataFrame) -> Row | None:
+    """The grid that all planes of a store are on: that of the first plane of its first run, by number."""
+    return first_run.agg(F.min_by(_grid(F.col("header")), F.struct("time_idx", "freq_idx", "pol_idx")).alias("g")).first().g
+
+
+def _on_one_grid(tiles: DataFrame, fresh: DataFrame, to: Row | None, tile: int) -> DataFrame:
+    """Tiles of planes on another grid than ``to`` are taken to it, bilinear, by tiles with borders; the others stay."""
+    if to is None:
+        return tiles
+    own = _grid(F.col("header"))
+    other = fresh.select("time_idx", "freq_idx", "pol_idx", own.alias("g")).where(~F.col("g").eqNullSafe(F.struct(*[F.struct(F.lit(a.begin).alias("begin"), F.lit(a.step).alias("step"), F.lit(a.size).alias("size")).alias(k) for k, a in (("l", to.l), ("m", to.m))])))
+    if not other.take(1):
+        return tiles
+    key = ["time_idx", "freq_idx", "pol_idx"]
+    moved = tiles.join(other, key).withColumns({f"{k}_{x}": F.col(f"g.{k}.{x}") for k in "lm" for x in ("begin", "step", "size")})
+    old = tuple(tuple(F.col(f"{k}_{x}") for x in ("begin", "step", "size")) for k in "lm")
+    on_it = halo.regrid_tiles(moved, old, ((to.l.begin, to.l.step, to.l.size), (to.m.begin, to.m.step, to.m.size)), tile)
+    return tiles.join(other.select(*key), key, "left_anti").unionByName(on_it.withColumn("data", F.col("data").cast("array<float>")))
+
+
 def convert(spark: SparkSession, source: str, path: str, tolerance_s: float = 60.0, tile: int = 512, strict: bool = True) -> DataFrame:
     """FITS files of a folder into a cube store; gives the planes of the folder that are in the store, and whether they are new.
 
+    Planes whose pixel axes differ from those of the store's first plane are taken to that grid.
     Headers are read once and stored with what is to become of each file. Times, channels and Stokes
     keep the numbers that earlier runs gave them: a time is an earlier one if it has its key or is
     within the tolerance of it, whatever the order in which folders come. Planes that are
@@ -138,7 +166,10 @@ def convert(spark: SparkSession, source: str, path: str, tolerance_s: float = 60
     marked = planes.where("place = 1").join(there, key, "left").withColumn("is_new", F.col("there").isNull())
     planned = _stored(marked.select("path", "size_bytes", "plane", *key, F.col("header")["NAXIS1"].cast("int").alias("n_l"), F.col("header")["NAXIS2"].cast("int").alias("n_m"), "header", "is_new", "group_key", "freq_hz", "stokes"), "planned")
     fresh = planned.where("is_new")
-    fits.read_tiles(spark, fresh.select("path", "size_bytes", "plane", *key), source, tile).write.partitionBy("time_idx").parquet(f"{path}/tiles/run={run}")
+    filled = [r["run"] for r in seen if r["planes"]]
+    to = reference_grid(cube.planes(spark, path).where(F.col("run") == filled[0]) if filled else fresh)
+    tiles = _on_one_grid(fits.read_tiles(spark, fresh.select("path", "size_bytes", "plane", *key), source, tile), fresh, to, tile)
+    tiles.write.partitionBy("time_idx").parquet(f"{path}/tiles/run={run}")
     new = numbers.where("is_new").groupBy("axis", "idx").agg(F.min("value").alias("value"), F.min("label").alias("label"))
     new.select("axis", "idx", "value", "label").coalesce(1).write.parquet(f"{path}/axes/run={run}")
     fresh.select([c.split()[0] for c in cube.PLANES.split(", ")]).write.parquet(f"{path}/planes/run={run}")

@@ -148,3 +148,21 @@ def test_headers_of_arriving_files(spark, tmp_path):
         put(tmp_path / "in", f"2024010{k + 1}_000000", 41, 1)
         fits_source.arriving_headers(spark, str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", at).trigger(availableNow=True).start(out).awaitTermination()
         assert sorted(r.header["DATE-OBS"] for r in spark.read.parquet(out).collect()) == [f"2024-01-0{i + 1}T00:00:00" for i in range(k + 1)]
+
+
+def test_planes_on_another_grid_are_taken_to_the_first(spark, tmp_path):
+    """A plane of half the step and twice the size, in a later run: a linear image stays one; pixels beyond it are missing."""
+    path = str(tmp_path / "cube")
+    ramp = lambda n_m, n_l, step, at: np.add.outer((np.arange(n_m) + 1 - at) * step * 10, (np.arange(n_l) + 1 - at) * -step).astype(np.float32)
+    cards = {"BMAJ": 0.1, "BMIN": 0.05, "CDELT1": -1.0, "CDELT2": 1.0, "CRPIX1": 4.0, "CRPIX2": 4.0, "RESTFREQ": 41e6}
+    for folder, key, step, at, shape in (("a", "20240101_000000", 1.0, 4.0, (9, 7)), ("b", "20240102_000000", 0.5, 6.0, (11, 12))):
+        (tmp_path / folder).mkdir()
+        grid = {"CDELT1": -step, "CDELT2": step, "CRPIX1": at, "CRPIX2": at, "DATE-OBS": f"{key[:4]}-{key[4:6]}-{key[6:8]}T00:00:00"}
+        (tmp_path / folder / f"{key}_41MHz-I-image.fits").write_bytes(fits.write_plane(cards | grid, ramp(*shape, step, at)))
+        ingest.convert(spark, str(tmp_path / folder), path, tile=3)
+    want = ramp(9, 7, 1.0, 4.0).T
+    got = np.full((2, 7, 9), 0.0)
+    for r in store.to_cells(store.open_tiles(spark, path)).collect():
+        got[r.time_idx, r.l_idx, r.m_idx] = np.nan if r.flux is None else r.flux
+    assert np.allclose(got[0], want) and np.allclose(got[1][np.isfinite(got[1])], want[np.isfinite(got[1])], atol=1e-5)
+    assert 20 < np.isfinite(got[1]).sum() < 63
