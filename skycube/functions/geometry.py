@@ -44,6 +44,19 @@ def world_to_pixel(ra: Column, dec: Column, wcs: dict[str, Column], n_l: int, n_
     return F.when(inside, x.cast("long")), F.when(inside, y.cast("long"))
 
 
+def header_to_pixel(ra: Column, dec: Column, header: Column, n_l: int, n_m: int) -> tuple[Column, Column]:
+    """Nearest 0-based pixel by a SIN header given as a map of texts, with CDELT, PC or CD; null when hidden or outside."""
+    x = lambda key, default=None: F.coalesce(header[key].try_cast("double"), F.lit(default).cast("double"))
+    cd = [[F.coalesce(header[f"CD{i}_{j}"].try_cast("double"), x(f"CDELT{i}") * x(f"PC{i}_{j}", float(i == j))) for j in (1, 2)] for i in (1, 2)]
+    l, m, seen = project(ra, dec, x("CRVAL1"), x("CRVAL2"))  # noqa: E741
+    l, m = F.degrees(l), F.degrees(m)  # noqa: E741
+    det = cd[0][0] * cd[1][1] - cd[0][1] * cd[1][0]
+    i = F.rint((cd[1][1] * l - cd[0][1] * m) / det + x("CRPIX1") - 1)
+    j = F.rint((cd[0][0] * m - cd[1][0] * l) / det + x("CRPIX2") - 1)
+    inside = seen & i.between(0, n_l - 1) & j.between(0, n_m - 1)
+    return F.when(inside, i.cast("long")), F.when(inside, j.cast("long"))
+
+
 def pixel_to_world(i: Column, j: Column, wcs: dict[str, Column]) -> tuple[Column, Column]:
     l = F.radians((i + 1 - wcs["crpix1"]) * wcs["cdelt1"])  # noqa: E741
     m = F.radians((j + 1 - wcs["crpix2"]) * wcs["cdelt2"])

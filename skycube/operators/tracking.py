@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..sources.store import pixels_at
 from .reduce import patch_statistic
+from .skyindex import nearest_pixels
 
 
 def track(sources: DataFrame, times: DataFrame, n_l: int, n_m: int, lat: float = G.SITE_LAT, lon: float = G.SITE_LON) -> DataFrame:
@@ -22,6 +23,32 @@ def track(sources: DataFrame, times: DataFrame, n_l: int, n_m: int, lat: float =
     return rows.select("source_id", "time_idx", F.when(F.col("visible"), at("l0", n_l)).otherwise(n_l).alias("l_idx"), F.when(F.col("visible"), at("m0", n_m)).otherwise(n_m).alias("m_idx"), "visible", "l0", "m0")
 
 
+def track_by_rules(sources: DataFrame, times: DataFrame, n_l: int, n_m: int, headers: DataFrame, grid: DataFrame, h: float = 0.5, lat: float = G.SITE_LAT, lon: float = G.SITE_LON) -> DataFrame:
+    """``track`` where each time has its own rule: (source_id, time_idx, l_idx, m_idx, visible, rule).
+
+    A time with a header (``headers``: time_idx, header) that has a centre and a scale goes by its
+    coordinates; else one with a stored grid (``grid``: time_idx, l_idx, m_idx, ra, dec) by the nearest pixel
+    of it, for sources above the horizon; all others by sidereal time. A hidden source, or one outside
+    the image, stands at (n_l, n_m). Times are a small table; the plan is one, with a branch for each rule.
+    """
+    usable = F.col("header")["CRVAL1"].try_cast("double").isNotNull() & F.col("header")["CRVAL2"].try_cast("double").isNotNull() & (F.col("header")["CDELT1"].isNotNull() | F.col("header")["CD1_1"].isNotNull())
+    ruled = times.select("time_idx", "mjd").join(headers.where(usable).select("time_idx", "header"), "time_idx", "left").join(grid.select("time_idx").distinct().withColumn("has_grid", F.lit(True)), "time_idx", "left")
+    ruled = ruled.withColumn("rule", F.when(F.col("header").isNotNull(), "header").when(F.col("has_grid"), "grid").otherwise("lst"))
+    out = ["source_id", "time_idx", "l_idx", "m_idx", "visible", "rule"]
+    by = lambda rule: ruled.where(F.col("rule") == rule)
+    lst = track(sources, by("lst"), n_l, n_m, lat, lon).withColumn("rule", F.lit("lst")).select(out)
+    i, j = G.header_to_pixel(F.col("ra_deg"), F.col("dec_deg"), F.col("header"), n_l, n_m)
+    header = sources.join(by("header").select("time_idx", "header"), F.lit(True)).select("source_id", "time_idx", i.alias("i"), j.alias("j"))
+    header = header.select("source_id", "time_idx", F.coalesce("i", F.lit(n_l)).alias("l_idx"), F.coalesce("j", F.lit(n_m)).alias("m_idx"), F.col("i").isNotNull().alias("visible"), F.lit("header").alias("rule"))
+    above = track(sources, by("grid"), n_l, n_m, lat, lon).select("source_id", "time_idx", F.col("visible").alias("above"))
+    up = above.where("above").select("source_id", "time_idx").join(sources.select("source_id", "ra_deg", "dec_deg"), "source_id")
+    # Only the grids that decide are indexed.
+    near = nearest_pixels(up, grid.join(by("grid").select("time_idx"), "time_idx", "left_semi"), "source_id", ["time_idx"], h)
+    inside = F.col("l_idx").between(0, n_l - 1) & F.col("m_idx").between(0, n_m - 1)
+    on_grid = above.join(near.where(inside), ["source_id", "time_idx"], "left").select("source_id", "time_idx", F.coalesce("l_idx", F.lit(n_l)).alias("l_idx"), F.coalesce("m_idx", F.lit(n_m)).alias("m_idx"), F.col("l_idx").isNotNull().alias("visible"), F.lit("grid").alias("rule"))
+    return lst.unionByName(header).unionByName(on_grid)
+
+
 def along(tracked: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
     """Tracked pixels of all channels, straight from tile arrays; a hidden or absent one stays as a row with NULL flux.
 

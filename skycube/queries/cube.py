@@ -103,14 +103,14 @@ def first_valid_frame(spark, sf_dir):
 def nearest_channel(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
     targets = spark.createDataFrame([(x * 1e6,) for x in (20.0, 33.0, 45.5, 57.0, 99.0)], "target double")
-    return P.nearest(P.axis(cells, "freq_idx", "freq_hz"), "freq_idx", "freq_hz", targets, "target")
+    return P.nearest(views.axis(spark, sf_dir, "freq_idx"), "freq_idx", "freq_hz", targets, "target")
 
 
 @query("p2_nearest_time", C + ", a AS (SELECT DISTINCT time_idx, mjd FROM cells), t AS (SELECT unnest([59999, 60000.012, 60000.114, 60001]) AS target) SELECT CAST(target AS DOUBLE) AS target, arg_min(time_idx, struct_pack(d := abs(mjd - target), i := time_idx)) AS time_idx FROM a, t GROUP BY target")
 def nearest_time(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
     targets = spark.createDataFrame([(x,) for x in (59999.0, 60000.012, 60000.114, 60001.0)], "target double")
-    return P.nearest(P.axis(cells, "time_idx", "mjd"), "time_idx", "mjd", targets, "target")
+    return P.nearest(views.axis(spark, sf_dir, "time_idx"), "time_idx", "mjd", targets, "target")
 
 
 @query("p3_nearest_pixel", C + ", a AS (SELECT DISTINCT l_idx, l FROM cells), t AS (SELECT unnest([-2, -0.3, 0.05, 0.6]) AS target) SELECT CAST(target AS DOUBLE) AS target, arg_min(l_idx, struct_pack(d := abs(l - target), i := l_idx)) AS l_idx FROM a, t GROUP BY target")
@@ -205,13 +205,13 @@ SELECT time_idx, freq_idx, pol_idx, l_idx, m_idx, round(snr, 4) AS snr, CAST(row
 def located_peaks(spark, sf_dir):
     """Peaks with right ascension and declination, in order of SNR within their plane."""
     peaks = H.peak_rows(views.tiles(spark, sf_dir, 3), 3, 2.0, 6, 2)
-    found = W.located(peaks, P.axis(views.cells(spark, sf_dir), "time_idx", "mjd"), 2 * F.col("l_idx") / 7 - 1, 2 * F.col("m_idx") / 7 - 1)
+    found = W.located(peaks, views.axis(spark, sf_dir, "time_idx"), 2 * F.col("l_idx") / 7 - 1, 2 * F.col("m_idx") / 7 - 1)
     return rounded(rounded(found.drop("flux", "rms"), "ra_deg", "dec_deg", digits=5), "snr", digits=4)
 
 
 @query("w15_axis_spacing", C + ", a AS (SELECT DISTINCT freq_idx, freq_hz FROM cells), d AS (SELECT freq_hz - lag(freq_hz) OVER (ORDER BY freq_idx) AS step FROM a) SELECT min(step) AS least, max(step) AS most, count(step) AS n, max(step) - min(step) <= 1e-6 * max(step) AS regular FROM d")
 def axis_spacing(spark, sf_dir):
-    return W.axis_spacing(P.axis(views.cells(spark, sf_dir), "freq_idx", "freq_hz"), "freq_idx", "freq_hz")
+    return W.axis_spacing(views.axis(spark, sf_dir, "freq_idx"), "freq_idx", "freq_hz")
 
 
 INDEX = ", s AS (SELECT time_idx, pol_idx, l_idx, m_idx, max(CASE WHEN freq_idx = 2 THEN flux END) AS s1, max(CASE WHEN freq_idx = 7 THEN flux END) AS s2 FROM cells GROUP BY ALL), i AS (SELECT *, CASE WHEN s1 > 0 AND s2 > 0 THEN ln(s2 / s1) / ln(72e6 / 42e6) END AS alpha FROM s)"

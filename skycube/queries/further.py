@@ -60,7 +60,7 @@ def frame_select(spark, sf_dir):
     """One plane by time index and nearest frequency: the selection is the feature."""
     cells = views.cells(spark, sf_dir)
     target = spark.createDataFrame([(50e6,)], "target double")
-    channel = P.nearest(P.axis(cells, "freq_idx", "freq_hz"), "freq_idx", "freq_hz", target, "target")
+    channel = P.nearest(views.axis(spark, sf_dir, "freq_idx"), "freq_idx", "freq_hz", target, "target")
     plane = cells.where("time_idx = 3 AND pol_idx = 0").join(F.broadcast(channel.select("freq_idx")), "freq_idx")
     return rounded(plane.select("l_idx", "m_idx", "flux"), "flux")
 
@@ -69,7 +69,7 @@ def frame_select(spark, sf_dir):
 def sky_boxes(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
     sources = views.sources(spark, sf_dir)
-    tracked = T.track(sources, P.axis(cells, "time_idx", "mjd"), 8, 8).where("visible").join(sources.select("source_id", "dec_deg"), "source_id")
+    tracked = T.track(sources, views.axis(spark, sf_dir, "time_idx"), 8, 8).where("visible").join(sources.select("source_id", "dec_deg"), "source_id")
     found = P.box_on_sky(cells, tracked.select("source_id", "dec_deg", "time_idx", "l0", "m0"), 20.0, 15.0, 8, 8, 4)
     return rounded(found.groupBy("source_id", "time_idx", "freq_idx", "pol_idx").agg(F.count(F.lit(1)).alias("pixels"), F.max("flux").alias("peak")), "peak")
 
@@ -86,7 +86,7 @@ def default_slice(spark, sf_dir):
 
 @query("f10_spectral_index_at", C + TRACK + " SELECT source_id, t.time_idx, a.pol_idx, round(CASE WHEN a.flux > 0 AND b.flux > 0 THEN ln(b.flux / a.flux) / ln(72e6 / 42e6) END, 5) + 0.0 AS alpha FROM track t JOIN cells a ON a.time_idx = t.time_idx AND a.l_idx = t.l_idx AND a.m_idx = t.m_idx AND a.freq_idx = 2 JOIN cells b ON b.time_idx = t.time_idx AND b.l_idx = t.l_idx AND b.m_idx = t.m_idx AND b.pol_idx = a.pol_idx AND b.freq_idx = 7 WHERE visible")
 def spectral_index_at(spark, sf_dir):
-    tracked = T.track(views.sources(spark, sf_dir), P.axis(views.cells(spark, sf_dir), "time_idx", "mjd"), 8, 8).where("visible")
+    tracked = T.track(views.sources(spark, sf_dir), views.axis(spark, sf_dir, "time_idx"), 8, 8).where("visible")
     spectra = T.along(tracked, views.tiles(spark, sf_dir).where("freq_idx IN (2, 7)"), 4)
     flux = lambda k: F.max(F.when(F.col("freq_idx") == k, F.col("flux")))
     both = spectra.groupBy("source_id", "time_idx", "pol_idx").agg(flux(2).alias("a"), flux(7).alias("b"))
@@ -116,8 +116,8 @@ def candidate_slices(spark, sf_dir):
 
     peaks = Q.peak_detections(_detections(spark, sf_dir))
     cells = views.cells(spark, sf_dir)
-    times = P.axis(cells, "time_idx", "mjd").select("time_idx", mjd_timestamp(F.col("mjd")).alias("ts"), lst_hours(F.col("mjd")).alias("lst"))
-    channels = P.axis(cells, "freq_idx", "freq_hz").select("freq_idx", (F.col("freq_hz") / 1e6).alias("mhz"))
+    times = views.axis(spark, sf_dir, "time_idx").select("time_idx", mjd_timestamp(F.col("mjd")).alias("ts"), lst_hours(F.col("mjd")).alias("lst"))
+    channels = views.axis(spark, sf_dir, "freq_idx").select("freq_idx", (F.col("freq_hz") / 1e6).alias("mhz"))
     wanted = peaks.select("detection_id", F.to_date("day").alias("day"), (F.col("hour") + 0.25).alias("lst"), F.col("overlay").cast("double").alias("mhz"))
     return peaks.select("source_id", "detection_id").join(Q.to_slices(wanted, times, channels), "detection_id")
 

@@ -9,6 +9,7 @@ from ..functions import spectra as S
 from ..operators import dispersion as D
 from ..operators import select as P
 from ..operators import tracking as T
+from ..operators.skyindex import nearest_pixels
 from ..sources import views
 from ..sources.views import BEAMS_SQL, CELLS_SQL, SOURCES_SQL
 from .registry import query, rounded
@@ -30,12 +31,12 @@ track AS (
 
 def _track(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
-    return cells, T.track(views.sources(spark, sf_dir), P.axis(cells, "time_idx", "mjd"), N, N)
+    return cells, T.track(views.sources(spark, sf_dir), views.axis(spark, sf_dir, "time_idx"), N, N)
 
 
 @query("g6_sidereal_time", C + f", {TIMES} SELECT time_idx, round(lst, 6) AS lst FROM times")
 def sidereal_time(spark, sf_dir):
-    times = P.axis(views.cells(spark, sf_dir), "time_idx", "mjd")
+    times = views.axis(spark, sf_dir, "time_idx")
     return rounded(times.select("time_idx", G.lst_hours(F.col("mjd")).alias("lst")), "lst")
 
 
@@ -89,11 +90,41 @@ GRID = "grid AS (SELECT i // 20 AS l_idx, i % 20 AS m_idx, (i // 20) * 18.0 AS r
 )
 def nearest_grid_pixel(spark, sf_dir):
     grid = spark.range(400).select(F.expr("id div 20").alias("l_idx"), F.expr("id % 20").alias("m_idx"), (F.expr("id div 20") * 18.0).alias("ra"), (F.expr("id % 20") * 5.0 - 45.0).alias("dec"))
-    rows = views.sources(spark, sf_dir).join(F.broadcast(grid), F.lit(True))
-    wrapped = F.pmod(F.col("ra_deg") - F.col("ra") + 180, F.lit(360.0)) - 180
-    d2 = wrapped * wrapped * F.cos(F.radians("dec_deg")) ** 2 + (F.col("dec_deg") - F.col("dec")) ** 2
-    best = rows.groupBy("source_id").agg(F.min(F.struct(F.round(d2, 9).alias("d"), "l_idx", "m_idx")).alias("s"))
-    return best.select("source_id", "s.l_idx", "s.m_idx")
+    return nearest_pixels(views.sources(spark, sf_dir), grid, h=15.0, cosine="source").select("source_id", "l_idx", "m_idx")
+
+
+@query(
+    "g4_rule_chain",
+    C + TRACK + """, kind AS (SELECT time_idx, mjd, lst * 15 AS ra0, time_idx % 3 AS k, time_idx % 2 = 0 AS turned FROM times),
+hp AS (SELECT source_id, time_idx, turned, degrees(cos(radians(dec_deg)) * sin(radians(ra_deg - ra0))) AS l, degrees(sin(radians(dec_deg)) * cos(radians(30)) - cos(radians(dec_deg)) * cos(radians(ra_deg - ra0)) * sin(radians(30))) AS m,
+       sin(radians(dec_deg)) * sin(radians(30)) + cos(radians(dec_deg)) * cos(radians(ra_deg - ra0)) * cos(radians(30)) > 0 AS seen FROM sources, kind WHERE k = 0),
+hi AS (SELECT *, round_even(CASE WHEN turned THEN (15.0 * l - 4.0 * m) / (-16.0 * 15.0 - 4.0 * 5.0) ELSE l / -16.0 END + 4.5 - 1, 0) AS x, round_even(CASE WHEN turned THEN (-16.0 * m - 5.0 * l) / (-16.0 * 15.0 - 4.0 * 5.0) ELSE m / 15.0 END + 4.5 - 1, 0) AS y FROM hp),
+h AS (SELECT source_id, time_idx, seen AND x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 AS visible, x, y FROM hi),
+pix AS (SELECT time_idx, l_idx, m_idx, ra0, 2 * l_idx / 7 - 1 AS l, 2 * m_idx / 7 - 1 AS m FROM kind, (SELECT DISTINCT l_idx FROM cells), (SELECT DISTINCT m_idx FROM cells) WHERE k = 1),
+z AS (SELECT *, sqrt(1 - l * l - m * m) AS z FROM pix WHERE l * l + m * m <= 1),
+grid AS (SELECT time_idx, l_idx, m_idx, ((ra0 + degrees(atan2(l, z * cos(radians(37.2339)) - m * sin(radians(37.2339))))) % 360 + 360) % 360 AS ra, degrees(asin(z * sin(radians(37.2339)) + m * cos(radians(37.2339)))) AS dec FROM z),
+d AS (SELECT t.source_id, t.time_idx, grid.l_idx, grid.m_idx, round(power((((s.ra_deg - ra + 180) % 360 + 360) % 360 - 180) * cos(radians(dec)), 2) + power(s.dec_deg - dec, 2), 9) AS d2 FROM track t JOIN sources s USING (source_id) JOIN grid ON grid.time_idx = t.time_idx WHERE visible),
+g AS (SELECT source_id, time_idx, min(struct_pack(d := d2, l := l_idx, m := m_idx)) AS b FROM d GROUP BY ALL)
+SELECT source_id, time_idx, l_idx, m_idx, visible, 'lst' AS rule FROM track WHERE time_idx % 3 = 2
+UNION ALL SELECT source_id, time_idx, CASE WHEN visible THEN CAST(x AS BIGINT) ELSE 8 END, CASE WHEN visible THEN CAST(y AS BIGINT) ELSE 8 END, visible, 'header' FROM h
+UNION ALL SELECT track.source_id, track.time_idx, coalesce(b.l, 8), coalesce(b.m, 8), b IS NOT NULL, 'grid' FROM track LEFT JOIN g USING (source_id, time_idx) WHERE time_idx % 3 = 1""",
+)
+def rule_chain(spark, sf_dir):
+    """Times with a header (turned or not), with a stored grid, and with neither; the headers' times have grids too, which don't count."""
+    times = views.axis(spark, sf_dir, "time_idx")
+    k, text = F.col("time_idx") % 3, lambda x: F.lit(x).cast("string") if isinstance(x, float) else F.format_string("%.12f", x)
+    ra0 = G.lst_hours(F.col("mjd")) * 15
+    centre = [("CRVAL1", ra0), ("CRVAL2", 30.0), ("CRPIX1", 4.5), ("CRPIX2", 4.5)]
+    scale = lambda *pairs: F.create_map(*[y for key, x in (*centre, *pairs) for y in (F.lit(key), text(x))])
+    turned = scale(("CD1_1", -16.0), ("CD1_2", 4.0), ("CD2_1", 5.0), ("CD2_2", 15.0))
+    straight = scale(("CDELT1", -16.0), ("CDELT2", 15.0))
+    headers = times.where(k == 0).select("time_idx", F.when(F.col("time_idx") % 2 == 0, turned).otherwise(straight).alias("header"))
+    headers = headers.unionByName(times.where(k == 2).select("time_idx", F.create_map(F.lit("OBJECT"), F.lit("no coordinates")).alias("header")))
+    axis = F.sequence(F.lit(0).cast("long"), F.lit(N - 1).cast("long"))
+    pixel = times.where(k < 2).select("time_idx", "mjd", F.explode(axis).alias("l_idx")).select("*", F.explode(axis).alias("m_idx"))
+    ra, dec = G.unproject(2 * F.col("l_idx") / 7 - 1, 2 * F.col("m_idx") / 7 - 1, ra0, F.lit(G.SITE_LAT))
+    grid = pixel.select("time_idx", "l_idx", "m_idx", ra.alias("ra"), dec.alias("dec"))
+    return T.track_by_rules(views.sources(spark, sf_dir), times, N, N, headers, grid, h=15.0)
 
 
 @query(
@@ -236,7 +267,7 @@ def field_of_view(spark, sf_dir):
 
 @query("f13_dispersion_delay", C + ", a AS (SELECT DISTINCT freq_idx, freq_hz / 1e6 AS f FROM cells) SELECT freq_idx, dm, round(4148.808 * dm * (1 / (f * f) - 1 / (84.0 * 84.0)), 6) + 0.0 AS delay FROM a, (SELECT unnest([0, 10, 56.8]) * 1.0 AS dm)")
 def dispersion_delay(spark, sf_dir):
-    a = P.axis(views.cells(spark, sf_dir), "freq_idx", "freq_hz").withColumn("dm", F.explode(F.array(F.lit(0.0), F.lit(10.0), F.lit(56.8))))
+    a = views.axis(spark, sf_dir, "freq_idx").withColumn("dm", F.explode(F.array(F.lit(0.0), F.lit(10.0), F.lit(56.8))))
     return rounded(a.select("freq_idx", "dm", S.dispersion_delay(F.col("dm"), F.col("freq_hz") / 1e6, F.lit(84.0)).alias("delay")), "delay")
 
 

@@ -32,7 +32,7 @@ def tile_regroup(spark, sf_dir):
 
 @query("j1_tile_lookup", C + TRACK + " SELECT source_id, t.time_idx, freq_idx, pol_idx, round(flux, 6) + 0.0 AS flux FROM track t JOIN cells c ON c.time_idx = t.time_idx AND c.l_idx = t.l_idx AND c.m_idx = t.m_idx WHERE visible")
 def tile_lookup(spark, sf_dir):
-    tracked = T.track(views.sources(spark, sf_dir), P.axis(views.cells(spark, sf_dir), "time_idx", "mjd"), 8, 8)
+    tracked = T.track(views.sources(spark, sf_dir), views.axis(spark, sf_dir, "time_idx"), 8, 8)
     return rounded(store.pixels_at(views.tiles(spark, sf_dir), tracked, 4).drop("l_idx", "m_idx"), "flux")
 
 
@@ -78,7 +78,7 @@ def dedisperse_interpolated(spark, sf_dir):
 def patch_fit(spark, sf_dir):
     """Gaussian fits of every tracked patch of every plane; tests hold the helper against planted sources."""
     cells = views.cells(spark, sf_dir)
-    tracked = T.track(views.sources(spark, sf_dir), P.axis(cells, "time_idx", "mjd"), 8, 8)
+    tracked = T.track(views.sources(spark, sf_dir), views.axis(spark, sf_dir, "time_idx"), 8, 8)
     places = tracked.where("visible").select("time_idx", "l_idx", "m_idx").distinct().select((F.col("l_idx") * 8 + F.col("m_idx")).alias("source_id"), "time_idx", "l_idx", "m_idx", F.lit(True).alias("visible"))
     patches = T.patches(places, cells, 2, 4)
     return rounded(H.fit_patches(patches, ["source_id", "time_idx", "freq_idx", "pol_idx"], 1.0, 1.0), "peak", "offset", "l_fit", "m_fit", "chi2", "centre", "patch_max", digits=4)
@@ -91,7 +91,7 @@ PLACE = ["time_idx", "l_c", "m_c", "freq_idx", "pol_idx"]
 
 def _wide_patches(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
-    times = P.axis(cells, "time_idx", "mjd")
+    times = views.axis(spark, sf_dir, "time_idx")
     places = T.track(views.sources(spark, sf_dir), times, 8, 8).where("visible").select("time_idx", "l_idx", "m_idx").distinct()
     return T.patches(places.select(F.lit(0).alias("source_id"), "*", F.lit(True).alias("visible")), cells, 2, 4), times
 
@@ -123,7 +123,7 @@ def peak_positions(spark, sf_dir):
 @query("e9_heat_map_mean", _patch_sql("avg(flux)") + " SELECT t.source_id, t.time_idx, f.freq_idx, f.pol_idx, round(value, 6) + 0.0 AS value FROM track t CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN v ON v.source_id = t.source_id AND v.time_idx = t.time_idx AND v.freq_idx = f.freq_idx AND v.pol_idx = f.pol_idx")
 def heat_map_mean(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
-    tracked = T.track(views.sources(spark, sf_dir), P.axis(cells, "time_idx", "mjd"), 8, 8)
+    tracked = T.track(views.sources(spark, sf_dir), views.axis(spark, sf_dir, "time_idx"), 8, 8)
     return rounded(review.heat_map(views.tiles(spark, sf_dir), cells, tracked, "mean", 1, 4), "value")
 
 
@@ -199,6 +199,6 @@ def reference_grid(spark, sf_dir):
 def phase_centres(spark, sf_dir):
     from ..functions.geometry import lst_hours
 
-    t = P.axis(views.cells(spark, sf_dir), "time_idx", "mjd").withColumn("ra", lst_hours(F.col("mjd")) * 15)
+    t = views.axis(spark, sf_dir, "time_idx").withColumn("ra", lst_hours(F.col("mjd")) * 15)
     out = t.agg(F.min("ra").alias("least"), F.max("ra").alias("most"), (F.max_by("ra", "time_idx") - F.min_by("ra", "time_idx")).alias("moved"), (F.max("ra") - F.min("ra") > 0.01).alias("drifts"))
     return rounded(out, "least", "most", "moved")

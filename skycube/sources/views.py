@@ -26,6 +26,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def axis(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The distinct (index, value) pairs of the cube's time or frequency axis, from the vectors' keys: no pixel is read."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    t, f = F.expr("vec_id div 20"), F.expr("(vec_id div 2) % 10")
+    made = {"time_idx": (t, (F.lit(60000.0) + 0.01 * t).alias("mjd")), "freq_idx": (f, (F.lit(30e6) + 6e6 * f).alias("freq_hz"))}[name]
+    return v.select(made[0].alias(name), made[1]).distinct()
+
+
 def arriving(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table as a stream of its files. A stream's path is a folder or, as here, a pattern."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
