@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import lst_hours
 from ..functions.names import mjd_timestamp
 from ..jobs import ingest
-from ..sources import cube, fits, fits_source, store, views
+from ..sources import cube, fits, fits_source, fits_tables, store, views
 from ..sources.scratch import new_path
 from ..sources.views import CELLS_SQL
 from .registry import query, rounded
@@ -114,3 +114,33 @@ def file_outcomes(spark, sf_dir):
     path = _converted(spark, sf_dir)
     runs = spark.createDataFrame([(r["run"], r["version"]) for r in cube.versions(spark, path)], "run string, version long")
     return cube.files(spark, path).join(runs, "run").groupBy("version", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "s12_beam_tables",
+    "SELECT p_partkey AS part, chan, CASE WHEN (p_partkey + chan) % 5 <> 0 THEN pol END AS pol, 30e6 + chan * (p_size * 1000.0) AS freq_hz, CASE WHEN (p_partkey + chan) % 5 <> 0 THEN round((p_size + chan) / 3600.0, 9) END AS bmaj, CASE WHEN (p_partkey + chan) % 5 <> 0 THEN round(p_size / 7200.0, 9) END AS bmin FROM part, range(0, 4) AS c(chan), range(0, 2) AS q(pol) WHERE (p_partkey + chan) % 5 <> 0 OR pol = 0",
+)
+def beam_tables(spark, sf_dir):
+    """Spectral cubes written with a BEAMS table, one for each part; channels and their beams read back from headers and tables."""
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(batches):
+        for batch in batches:
+            names, data = [], []
+            for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = [(c, q) for c in range(4) for q in range(2) if (key + c) % 5 != 0]
+                image = fits.write_plane({"NAXIS3": 4, "CTYPE3": "FREQ", "CRVAL3": 30e6, "CRPIX3": 1.0, "CDELT3": size * 1000.0, "PART": key}, np.zeros((8, 2), np.float32))
+                beams = {"BMAJ": ("1E", [size + c for c, _ in own]), "BMIN": ("1E", [size / 2 for _ in own]), "BPA": ("1E", [0.0 for _ in own]), "CHAN": ("1J", [c for c, _ in own]), "POL": ("1J", [q for _, q in own])}
+                names.append(f"{key}.fits")
+                data.append(image + fits_tables.write_table("BEAMS", beams, {"TUNIT1": "arcsec", "NCHAN": 4}))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["name", "fits"])
+
+    folder, out = new_path(spark, "spectral cubes"), new_path(spark, "written")
+    fits.write_files(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").mapInArrow(rows, "name string, fits binary"), folder).write.parquet(out)
+    h, number = F.col("header"), lambda k: F.col("header")[k].cast("double")
+    heads = fits.read_headers(spark, folder).select("path", h["NAXIS3"].cast("int").alias("n_chan"), number("CRVAL3").alias("crval"), number("CRPIX3").alias("crpix"), number("CDELT3").alias("cdelt"), number("PART").cast("long").alias("part"))
+    # channel_planes takes widths in arcsec.
+    beams = fits_tables.read_tables(spark, heads, "BEAMS", "BMAJ double, BMIN double, CHAN int, POL int").select("path", F.col("CHAN").alias("chan"), F.col("POL").cast("long").alias("pol"), F.col("BMAJ").alias("bmaj"), F.col("BMIN").alias("bmin"))
+    found = fits.channel_planes(heads.drop("part"), beams).join(heads.select("path", "part"), "path").drop("path").withColumn("chan", F.col("chan").cast("long"))
+    return rounded(found, "bmaj", "bmin", digits=9)

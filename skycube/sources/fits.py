@@ -78,6 +78,13 @@ def write_plane(header: dict[str, str | float | int], pixels: np.ndarray) -> byt
     n_m, n_l = pixels.shape
     cards: dict = {"SIMPLE": True, "BITPIX": -32, "NAXIS": 4, "NAXIS1": n_l, "NAXIS2": n_m, "NAXIS3": 1, "NAXIS4": 1} | header
 
+    body = pixels.astype(">f4").tobytes()
+    return header_bytes(cards) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+
+
+def header_bytes(cards: dict[str, str | float | int | bool]) -> bytes:
+    """A header of these cards, in blocks."""
+
     def text(v) -> str:
         if isinstance(v, bool):
             return f"{'T' if v else 'F':>20}"
@@ -86,8 +93,7 @@ def write_plane(header: dict[str, str | float | int], pixels: np.ndarray) -> byt
         return f"{v!r:>20}"
 
     head = "".join(f"{k:<8}= {text(v)}"[:CARD].ljust(CARD) for k, v in cards.items()) + "END".ljust(CARD)
-    body = pixels.astype(">f4").tobytes()
-    return head.ljust(-(-len(head) // BLOCK) * BLOCK).encode("ascii") + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+    return head.ljust(-(-len(head) // BLOCK) * BLOCK).encode("ascii")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.fits") -> DataFrame:
@@ -96,8 +102,8 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.fits") -> DataF
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"))
 
 
-def image_units(stream) -> Iterator[tuple[dict[str, str], int]]:
-    """Header and begin of the data of each image in a file, read block by block; data are skipped, not read."""
+def units(stream) -> Iterator[tuple[dict[str, str], int]]:
+    """Header and begin of the data of each unit of a file, read block by block; data are skipped, not read."""
     begin = 0
     while True:
         raw = b""
@@ -111,13 +117,18 @@ def image_units(stream) -> Iterator[tuple[dict[str, str], int]]:
             if any(block[i : i + 8] == b"END     " for i in range(0, BLOCK, CARD)):
                 break
         header, _ = parse_header(raw)
-        size = data_bytes(header)
-        if int(header.get("NAXIS", 0)) >= 2 and size and header.get("XTENSION", "IMAGE") == "IMAGE":
-            yield header, begin + len(raw)
-        begin += len(raw) + -(-size // BLOCK) * BLOCK
+        yield header, begin + len(raw)
+        begin += len(raw) + -(-(data_bytes(header) + int(header.get("PCOUNT", 0)) * ("XTENSION" in header)) // BLOCK) * BLOCK
         stream.seek(begin)
 
 
+def image_units(stream) -> Iterator[tuple[dict[str, str], int]]:
+    """The units that are images of two axes or more."""
+    for header, begin in units(stream):
+        if int(header.get("NAXIS", 0)) >= 2 and data_bytes(header) and header.get("XTENSION", "IMAGE") == "IMAGE":
+            yield header, begin
+
+
 def first_image(stream) -> tuple[dict[str, str], int]:
     """Header and begin of the data of the first image."""
     found = next(image_units(stream), None)
