@@ -138,7 +138,7 @@ def write_table(extension: str, columns: dict[str, tuple[str, list]], cards: dic
         found = TFORM.match(form)
         count, code, inner = int(found[1] or 1), found[2], found[3]
         if code == "A":
-            fields_of.append(np.array([str(v).encode("ascii").ljust(count)[:count] for v in values], f"S{count}").reshape(n, 1).view(np.uint8).reshape(n, count))
+            fields_of.append(np.frombuffer(b"".join(str(v).encode("ascii").ljust(count)[:count] for v in values), np.uint8).reshape(n, count))
         elif code in "PQ":
             pairs = []
             for v in values:
