@@ -8,6 +8,7 @@ from ..functions import spectra as S
 from ..operators import halo as H
 from ..operators import reduce as R
 from ..operators import select as P
+from ..operators import sketches as K
 from ..operators import windows as W
 from ..sources import views
 from ..sources.views import BEAMS_SQL, CELLS_SQL
@@ -85,6 +86,23 @@ def tile_cuts(spark, sf_dir):
     return rounded(R.tile_cuts(views.cells(spark, sf_dir), 4, N), "lo", "hi")
 
 
+@query("a22_plane_sketches", C + "SELECT time_idx, freq_idx, pol_idx, count(flux) AS n, round(quantile_disc(flux, 0.02), 6) + 0.0 AS vmin, round(quantile_disc(flux, 0.98), 6) + 0.0 AS vmax FROM cells WHERE flux IS NOT NULL GROUP BY ALL")
+def plane_sketches(spark, sf_dir):
+    """Limits of planes from sketches of their tiles; a plane's values all fit a sketch, so they are exact."""
+    return rounded(K.limits(K.tile_sketches(views.tiles(spark, sf_dir)), ["time_idx", "freq_idx", "pol_idx"]), "vmin", "vmax")
+
+
+@query("a22_channel_sketches", C + "SELECT freq_idx, pol_idx, count(flux) AS n, true AS low_in_bound, true AS high_in_bound FROM cells WHERE flux IS NOT NULL GROUP BY ALL")
+def channel_sketches(spark, sf_dir):
+    """The same sketches merged for channels; the exact rank of each limit is held against the sketch's bound."""
+    found = K.limits(K.tile_sketches(views.tiles(spark, sf_dir)), ["freq_idx", "pol_idx"])
+    cells = views.cells(spark, sf_dir).where("flux IS NOT NULL").join(found, ["freq_idx", "pol_idx"])
+    share = lambda c: F.avg((F.col("flux") <= F.col(c)).cast("double"))
+    ranks = cells.groupBy("freq_idx", "pol_idx", "n").agg(share("vmin").alias("a"), share("vmax").alias("b"))
+    near = lambda c, q: F.abs(F.col(c) - q) <= K.rank_bound()
+    return ranks.select("freq_idx", "pol_idx", "n", near("a", 0.02).alias("low_in_bound"), near("b", 0.98).alias("high_in_bound"))
+
+
 @query(
     "a24_quality_summary",
     C + """SELECT freq_idx, pol_idx, round(min(flux), 6) + 0.0 AS low, round(max(flux), 6) + 0.0 AS high, round(avg(flux), 6) + 0.0 AS mean, round(stddev_pop(flux), 6) AS std,

@@ -12,7 +12,7 @@ from ..sources.scratch import new_path
 from ..sources.views import CELLS_SQL
 from .registry import query, rounded
 
-V = F.expr("time_idx * 20 + freq_idx * 2 + pol_idx")
+V = "time_idx * 20 + freq_idx * 2 + pol_idx"
 #: The planes of the view, which of them are cut short, and which have a bad beam.
 P = f"WITH {CELLS_SQL}, p AS (SELECT time_idx, freq_idx, pol_idx, any_value(mjd) AS mjd, any_value(freq_hz) AS freq_hz, any_value(stokes) AS stokes, count(flux) AS pixels, round(sum(flux * (l_idx * 8 + m_idx)), 3) + 0.0 AS mark, vec % 11 = 0 AS short, vec % 13 = 0 AS bad FROM (SELECT *, time_idx * 20 + freq_idx * 2 + pol_idx AS vec FROM cells) GROUP BY time_idx, freq_idx, pol_idx, vec) "
 NAME = "strftime(make_timestamp(CAST(round((mjd - 40587) * 86400000000.0) AS BIGINT)), '%Y%m%d_%H%M%S') || '_' || CAST(freq_hz / 1e6 AS INT) || 'MHz-' || CASE stokes WHEN 1 THEN 'I' ELSE 'V' END || '-image.fits'"
@@ -20,7 +20,7 @@ NAME = "strftime(make_timestamp(CAST(round((mjd - 40587) * 86400000000.0) AS BIG
 
 def _written(spark, sf_dir, folder, below=None):
     """A file for each plane: (path, size_bytes), stored. ``below`` gives the folder below ``folder`` that a plane goes to."""
-    planes = views.cells(spark, sf_dir).select("time_idx", "mjd", "freq_idx", "freq_hz", "pol_idx", "stokes").distinct().withColumn("v", V)
+    planes = views.cells(spark, sf_dir).select("time_idx", "mjd", "freq_idx", "freq_hz", "pol_idx", "stokes").distinct().withColumn("v", F.expr(V))
     planes = planes.withColumns({"bmaj": F.when(F.col("v") % 13 == 0, 0.0).otherwise(0.1), "bmin": F.lit(0.05), "bpa": F.lit(0.0), "ra0_deg": lst_hours(F.col("mjd")) * 15, "dec0_deg": F.lit(37.2339), "cdelt_deg": F.lit(16.37), "source": F.lit("view")})
     name = F.concat(F.date_format(mjd_timestamp(F.col("mjd")), "yyyyMMdd_HHmmss"), F.lit("_"), (F.col("freq_hz") / 1e6).cast("int").cast("string"), F.lit("MHz-"), F.when(F.col("stokes") == 1, "I").otherwise("V"), F.lit("-image.fits"))
     exported = fits.export_planes(views.tiles(spark, sf_dir), 8, 8, cards=fits.plane_cards(planes, 8, 8, "skycube"))

@@ -120,11 +120,38 @@ def peak_positions(spark, sf_dir):
     return rounded(found.select(*PLACE, "l_peak", "m_peak", "ra_deg", "dec_deg"), "ra_deg", "dec_deg", digits=4)
 
 
-@query("e9_heat_map_mean", _patch_sql("avg(flux)") + " SELECT t.source_id, t.time_idx, f.freq_idx, f.pol_idx, round(value, 6) + 0.0 AS value FROM track t CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN v ON v.source_id = t.source_id AND v.time_idx = t.time_idx AND v.freq_idx = f.freq_idx AND v.pol_idx = f.pol_idx")
-def heat_map_mean(spark, sf_dir):
-    cells = views.cells(spark, sf_dir)
+def _heat_sql(value: str, more: str = "") -> str:
+    return _patch_sql(value, more) + " SELECT t.source_id, t.time_idx, f.freq_idx, f.pol_idx, round(value, 6) + 0.0 AS value FROM track t CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN v ON v.source_id = t.source_id AND v.time_idx = t.time_idx AND v.freq_idx = f.freq_idx AND v.pol_idx = f.pol_idx"
+
+
+def _heat(spark, sf_dir, method):
     tracked = T.track(views.sources(spark, sf_dir), views.axis(spark, sf_dir, "time_idx"), 8, 8)
-    return rounded(review.heat_map(views.tiles(spark, sf_dir), cells, tracked, "mean", 1, 4), "value")
+    return rounded(review.heat_map(views.tiles(spark, sf_dir), views.cells(spark, sf_dir), tracked, method, 1, 4), "value")
+
+
+@query("e9_heat_map_mean", _heat_sql("avg(flux)"))
+def heat_map_mean(spark, sf_dir):
+    return _heat(spark, sf_dir, "mean")
+
+
+@query("e9_heat_map_std", _heat_sql("stddev_pop(flux)"))
+def heat_map_std(spark, sf_dir):
+    return _heat(spark, sf_dir, "std")
+
+
+@query("e9_heat_map_patch_max", _heat_sql("max(flux)"))
+def heat_map_patch_max(spark, sf_dir):
+    return _heat(spark, sf_dir, "patch_max")
+
+
+@query("e9_heat_map_min", _heat_sql("min(flux)"))
+def heat_map_min(spark, sf_dir):
+    return _heat(spark, sf_dir, "min")
+
+
+@query("e9_heat_map_dynamic_spectrum", C + TRACK + " SELECT source_id, track.time_idx, f.freq_idx, f.pol_idx, round(flux, 6) + 0.0 AS value FROM track CROSS JOIN (SELECT DISTINCT freq_idx, pol_idx FROM cells) f LEFT JOIN cells c ON c.time_idx = track.time_idx AND c.freq_idx = f.freq_idx AND c.pol_idx = f.pol_idx AND c.l_idx = track.l_idx AND c.m_idx = track.m_idx")
+def heat_map_dynamic_spectrum(spark, sf_dir):
+    return _heat(spark, sf_dir, "dynamic_spectrum")
 
 
 @query(
