@@ -14,8 +14,8 @@ size and finds the same components.
 ``near_copies``, which the pipeline's stage takes, asks more: texts link when the Jaccard
 similarity of their sets of five-word shingles is 0.8 or more, which fingerprints of 64 bits
 cannot tell. Candidates share one of 32 bands of five minima (at similarity 0.8 a pair is missed
-with probability (1 - 0.8^5)^32 = 3e-6, less above); the exact similarity of the sets decides. Buckets
-that hold many unlike texts are dealt anew by their rarest shingles, which loses none.
+with probability (1 - 0.8^5)^32 = 3e-6, less above); the exact similarity of the sets decides. Members of
+a bucket meet its hub, then those that differ from it alike each other, which loses no pair.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link
 like any other. Equal fingerprints are one node, so a group of copies costs one row. Null
@@ -40,8 +40,6 @@ from .shared import components, fresh, map_texts, stored
 BITS = 64
 CHUNK = 1 << 15
 BANDS, ROWS = 32, 5
-#: Buckets that leave more members apart are dealt anew, by rare shingles.
-CROWD = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -320,17 +318,22 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def _starred(index: DataFrame, sets: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
-    """Similar pairs (u, v) of members with the least one of their bucket, and the members that this leaves apart.
+    """Similar pairs (u, v) of members with the hub of their bucket, and the members that this leaves apart.
 
-    ``index``: key, fp, n; stored. The second has key, fp, n and the component c of members of
-    buckets that lie in different ones, without the least, which has been compared with all.
+    ``index``: key, fp, n; stored. The hub is the member that meets most others over all its buckets:
+    of a text and its copies the text, to which copies are closer than to each other. The second
+    table has key, fp, n, hub and the component c of members of buckets that lie in different ones,
+    without the hub, which has been compared with all.
     """
-    hubs = index.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("fp", "n")).alias("hub")).where("k > 1").select("key", "hub")
-    at = stored(index.join(stored(hubs, "buckets"), "key"), "members")
+    several = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
+    shared = stored(index.join(several, "key"), "shared")
+    met = stored(shared.groupBy("fp").agg(F.sum("k").alias("met")), "met")
+    hubs = shared.join(met, "fp").groupBy("key").agg(F.max(F.struct("met", "fp", "n")).alias("hub"))
+    at = stored(shared.drop("k").join(stored(hubs, "buckets"), "key"), "members")
     stars = stored(at.where((F.col("fp") != F.col("hub.fp")) & _fits(F.col("n"), F.col("hub.n"), similar)).select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
     found = _similar(stars, sets, similar)
     roots = components(found, "u", "v").toDF("fp", "root")
-    named = stored(at.join(roots, "fp", "left").select("key", "fp", "n", (F.col("fp") == F.col("hub.fp")).alias("is_hub"), F.coalesce("root", "fp").alias("c")), "named")
+    named = stored(at.join(roots, "fp", "left").select("key", "fp", "n", "hub", (F.col("fp") == F.col("hub.fp")).alias("is_hub"), F.coalesce("root", "fp").alias("c")), "named")
     mixed = stored(named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key"), "mixed")
     return found, stored(named.where("NOT is_hub").join(mixed, "key", "left_semi").drop("is_hub"), "left")
 
@@ -340,28 +343,50 @@ def _fits(x: Column, y: Column, similar: float) -> Column:
     return F.least(x, y) / F.greatest(x, y) >= similar
 
 
-def rare_index(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """(key, fp, n): each set's rarest shingles among the members, as many as similar sets must share one of.
+def hub_pairs(crowd: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(u, v): all similar pairs in different components c among the members of each hub, and few others.
 
-    Sets in one order of elements, the rarest first, that have ``similar`` of their union in common
-    share one of the first n - ceil(similar n) + 1 of either. What all of a crowd have in common
-    comes last in that order, so it brings no two together.
+    ``crowd``: h, nh (a hub and its size), fp, n, c. Two sets differ by as many elements as their
+    differences from the hub differ. With g = (1 - similar) / (1 + similar), sets are similar when they differ in
+    g (|u| + |v|) elements at most. Of a similar pair in different components one is far: not similar to
+    the hub. A set that differs from the hub in a elements has more than (a + g (|hub| - |u|)) / 2 of them in
+    common with one that is far, and a far one (a - g (|u| + |hub|)) / 2 at least with any. With so many in
+    common, one is among each side's rarest. What all have from the hub, or one alone has, brings no two together.
     """
-    own = stored(members.select("fp", "n").distinct().join(sets, "fp").select("fp", "n", F.explode("s").alias("key")), "shingles")
-    often = stored(own.groupBy("key").agg(F.count(F.lit(1)).alias("often")), "often")
-    rows = own.join(often, "key").groupBy("fp", "n").agg(F.collect_list(F.struct("often", "key")).alias("x"))
-    first = F.slice(F.array_sort("x"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(similar)) + 1).cast("int"))
-    return rows.select("fp", "n", F.explode(first).alias("x")).where("x.often > 1").select("x.key", "fp", "n")
+    g = (1 - similar) / (1 + similar)
+    both = crowd.join(sets.toDF("fp", "s"), "fp").join(sets.toDF("h", "hs"), "h")
+    off = F.concat(F.array_except("s", "hs"), F.array_except("hs", "s"))
+    off = stored(both.select("h", "nh", "fp", "n", "c", off.alias("off")).withColumn("a", F.size("off")), "off")
+    each = off.select("h", "fp", F.explode("off").alias("x"))
+    often = stored(each.groupBy("h", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "often")
+    kept = stored(each.join(often, ["h", "x"]).groupBy("h", "fp").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kept")), "kept")
+    rows = off.drop("off").join(kept, ["h", "fp"]).withColumn("far", F.col("a") > g * (F.col("n") + F.col("nh")) - 1e-6)
+    # Elements that one alone has are the rarest of all and stand before those kept.
+    first = lambda t: F.transform(F.slice("kept", F.lit(1), F.greatest(F.size("kept") - t + 1, F.lit(0)).cast("int")), lambda x: x["x"])
+    with_far = F.floor((F.col("a") + g * (F.col("nh") - F.col("n"))) / 2 - 1e-6) + 1
+    with_any = F.greatest(F.ceil((F.col("a") - g * (F.col("n") + F.col("nh"))) / 2 - 1e-6), F.lit(1))
+    rows = stored(rows.select("h", "fp", "n", "c", "far", first(with_far).alias("p2"), first(with_any).alias("p1")), "rare")
+
+    def side(which: Column, p: str, k: str) -> DataFrame:
+        return rows.where(which).select("h", F.col("fp").alias(k), F.col("n").alias(f"n{k}"), F.col("c").alias(f"c{k}"), F.col(p).alias(f"p{k}"), F.explode(p).alias("x"))
+
+    def met(a: DataFrame, b: DataFrame, one_way: Column) -> DataFrame:
+        # Of the elements that two share one stands for all, so a hub gives a pair once.
+        once = F.array_min(F.array_intersect("pu", "pv")) == F.col("x")
+        found = a.join(b, ["h", "x"]).where(one_way & (F.col("cu") != F.col("cv")) & _fits(F.col("nu"), F.col("nv"), similar) & once)
+        return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    far = F.col("far")
+    return met(side(far, "p2", "u"), side(far, "p2", "v"), F.col("u") < F.col("v")).unionByName(met(side(far, "p1", "u"), side(~far, "p2", "v"), F.lit(True)))
 
 
 def set_links(marked: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similar: float, seed: int) -> DataFrame:
     """(u, v): pairs of similar sets that connect just what all similar pairs of one bucket connect.
 
-    First each member of a bucket is compared with its least one; so a large group of near copies
-    costs a comparison for each member. Members that this leaves in different components are
-    compared with each other where they are few. Where over ``CROWD`` are left they are dealt anew, by
-    their rarest shingles: that loses no similar pair, and pages that only have a frame in common meet
-    no more. In these buckets again all meet the least one, then those left apart each other.
+    First each member of a bucket is compared with its hub; so a large group of near copies
+    costs a comparison for each member. Of the members that this leaves in different components
+    only those meet that differ from the hub alike (``hub_pairs``): that loses no similar pair, and
+    neither pages that only have a frame in common nor copies that each have changes of their own meet.
     """
     index = stored(marked.select("fp", "n", F.posexplode("bands").alias("g", "b")).select(F.xxhash64("g", "b").alias("key"), "fp", "n").distinct(), "bands")
     several = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "several")
@@ -372,14 +397,9 @@ def set_links(marked: DataFrame, docs: DataFrame, id_col: str, text_col: str, wo
     rows = texts.join(rows, F.col("d").eqNullSafe(F.col("r.doc_id")) & (F.col("g") == F.col("r.h"))).select("fp", "t").dropDuplicates(["fp"])
     sets = stored(_members(rows, words, seed), "sets")
     found, left = _starred(index, sets, similar)
-    crowded = stored(left.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("key"), "crowded")
-    if crowded.take(1):
-        crowd = left.join(crowded, "key", "left_semi")
-        more, again = _starred(stored(rare_index(crowd, sets, similar), "rare"), sets, similar)
-        found, left = found.unionByName(more), left.join(crowded, "key", "left_anti").unionByName(again)
-    x, y = left.toDF("key", "u", "nu", "cu"), left.toDF("key", "v", "nv", "cv")
-    pairs = x.join(y, "key").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _fits(F.col("nu"), F.col("nv"), similar)).select("u", "v").distinct()
-    return found.unionByName(_similar(stored(pairs, "pairs"), sets, similar))
+    crowd = left.select(F.col("hub.fp").alias("h"), F.col("hub.n").alias("nh"), "fp", "n", "c").distinct()
+    pairs = hub_pairs(stored(crowd, "crowd"), sets, similar)
+    return found.unionByName(_similar(stored(pairs.distinct(), "pairs"), sets, similar))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, seed: int = 42) -> DataFrame:

@@ -53,7 +53,6 @@ def test_pages_of_one_frame_meet_no_more_than_their_number(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(simhash, "stored", counting)
-    monkeypatch.setattr(simhash, "CROWD", 16)
     r = random.Random(9)
     word = lambda: "".join(r.choices("abcdefghij", k=6))
     frame = [word() for _ in range(300)]
