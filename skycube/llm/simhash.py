@@ -360,10 +360,10 @@ def hub_pairs(crowd: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     each = off.select("h", "fp", F.explode("off").alias("x"))
     often = stored(each.groupBy("h", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "often")
     kept = stored(each.join(often, ["h", "x"]).groupBy("h", "fp").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kept")), "kept")
-    rows = off.drop("off").join(kept, ["h", "fp"]).withColumn("far", F.col("a") > g * (F.col("n") + F.col("nh")) - 1e-6)
+    rows = off.drop("off").join(kept, ["h", "fp"]).withColumn("far", (F.col("n") + F.col("nh") - F.col("a")) / (F.col("n") + F.col("nh") + F.col("a")) < similar)
     # Elements that one alone has are the rarest of all and stand before those kept.
     first = lambda t: F.transform(F.slice("kept", F.lit(1), F.greatest(F.size("kept") - t + 1, F.lit(0)).cast("int")), lambda x: x["x"])
-    with_far = F.floor((F.col("a") + g * (F.col("nh") - F.col("n"))) / 2 - 1e-6) + 1
+    with_far = F.floor((F.col("a") + g * (F.col("nh") - F.col("n"))) / 2) + 1
     with_any = F.greatest(F.ceil((F.col("a") - g * (F.col("n") + F.col("nh"))) / 2 - 1e-6), F.lit(1))
     rows = stored(rows.select("h", "fp", "n", "c", "far", first(with_far).alias("p2"), first(with_any).alias("p1")), "rare")
 

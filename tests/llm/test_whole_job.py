@@ -61,7 +61,7 @@ def test_pages_of_one_frame_meet_no_more_than_their_number(spark, monkeypatch):
         rows += [(n + k, " ".join([*rows[k][1].split()[:-3], "some", "other", "end"])) for k in range(0, n, 8)]
         got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == {k: k if k < n else k - n for k, _ in rows}
-    assert all(sizes[240, tag] < 4.5 * max(sizes[80, tag], 60) for _, tag in sizes)
+    assert all(sizes[240, tag] < 4.5 * max(sizes[80, tag], 60) for _, tag in sizes), sizes
 
 
 def tree(rows, similar=0.75, evidence=16, depth=3):
