@@ -293,3 +293,32 @@ def test_peak_detection_of_full_band(spark):
     d = spark.createDataFrame(rows, "detection_id long, source_id string, day string, hour long, band long, snr double")
     r = Q.peak_detections(d).first()
     assert (r.detection_id, r.band, r.overlay) == (2, None, 32)
+
+
+def test_sources_of_one_position_share_its_track(spark):
+    """One row for a position, dealt to as many tasks as a shuffle has; no source is lost, nor one without a position."""
+    from skycube.operators import tracking as T
+
+    rows = [(k, 10.0 * (k % 3), 40.0) for k in range(600)] + [(600, None, None), (None, 10.0, 40.0)]
+    sources = spark.createDataFrame(rows, "source_id long, ra_deg double, dec_deg double")
+    times = spark.createDataFrame([(0, 60000.0), (1, 60000.3)], "time_idx long, mjd double")
+    held = T.track(sources, times, 8, 8, together=True)
+    assert held.count() == 2 * 4 and held.rdd.getNumPartitions() >= 4
+    tracked = T.track(sources, times, 8, 8)
+    assert tracked.count() == 2 * 602 and tracked.where("source_id IS NULL").count() == 2
+    tiles = spark.createDataFrame([(t, 0, 0, a, b, 4 * a, 4 * b, 4, 4, [1.0] * 16) for t in (0, 1) for a in (0, 1) for b in (0, 1)], "time_idx long, freq_idx long, pol_idx long, tile_l long, tile_m long, l0 long, m0 long, n_l int, n_m int, data array<float>")
+    found = T.along(held, tiles, 4)
+    assert found.count() == 2 * 602 and found.where("source_id = 600 AND flux IS NULL").count() == 2
+    assert found.where("visible").count() == found.where("flux = 1").count() > 0
+
+
+def test_boxes_take_the_pixels_at_their_borders(spark):
+    from math import cos, radians
+
+    from skycube.operators import select as P
+
+    centres = [(k, -80.0 + k * 16.1, 0, -1.3 + 0.13 * k, 1.1 - 0.11 * k) for k in range(10)] + [(10, 0.0, 0, 2 * 3 / 7 - 1 + radians(20), 0.0)]
+    boxes = P.boxes_on_sky(spark.createDataFrame(centres, "source_id long, dec_deg double, time_idx long, l0 double, m0 double"), 20.0, 15.0, 8, 8)
+    got = {(r.source_id, i, j) for r in boxes.collect() for i in range(r.l_lo, r.l_hi + 1) for j in range(r.m_lo, r.m_hi + 1)}
+    near = lambda i, c, half: abs(2 * i / 7 - 1 - c) <= half
+    assert got == {(s, i, j) for s, dec, _, l0, m0 in centres for i in range(8) for j in range(8) if near(i, l0, radians(20) * cos(radians(dec))) and near(j, m0, radians(15))}
