@@ -104,17 +104,18 @@ def not_stored(files: DataFrame, stored: DataFrame) -> DataFrame:
 def beam_donors(beams: DataFrame) -> DataFrame:
     """For each missing beam the valid one of the same subband nearest in time, of two the earlier.
 
-    ``beams``: mhz, mjd, bmaj. As-of windows within (subband, day); a table of one row for each
-    such pair carries the last valid beam before a day and the first one after it.
+    ``beams``: mhz, mjd, bmaj. As-of windows within (subband, day), one each way, so each grows with the rows;
+    beams of one time all count, the widest of those before and the narrowest of those after. A table of one row
+    for each subband and day carries the last valid beam before a day and the first one after it.
     """
     valid = F.when(F.col("bmaj") > 0, F.struct("mjd", "bmaj"))
     rows = beams.withColumn("_day", F.floor("mjd"))
-    w, d = Window.partitionBy("mhz", "_day").orderBy("mjd"), Window.partitionBy("mhz").orderBy("_day")
+    begin, here = Window.unboundedPreceding, Window.currentRow
+    up, down = (Window.partitionBy("mhz", "_day").orderBy(o).rangeBetween(begin, here) for o in (F.col("mjd").asc(), F.col("mjd").desc()))
+    before, after = (Window.partitionBy("mhz").orderBy(o).rowsBetween(begin, -1) for o in (F.col("_day").asc(), F.col("_day").desc()))
     days = rows.groupBy("mhz", "_day").agg(F.min(valid).alias("first"), F.max(valid).alias("last"))
-    days = days.select(
-        F.col("mhz").alias("_mhz"), F.col("_day").alias("_of"), F.last("last", True).over(d.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(d.rowsBetween(1, Window.unboundedFollowing)).alias("after")
-    )
-    rows = rows.withColumns({"back": F.last(valid, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "ahead": F.first(valid, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    days = days.select(F.col("mhz").alias("_mhz"), F.col("_day").alias("_of"), F.last("last", True).over(before).alias("before"), F.last("first", True).over(after).alias("after"))
+    rows = rows.withColumns({"back": F.max(valid).over(up), "ahead": F.min(valid).over(down)})
     rows = rows.join(days, F.col("mhz").eqNullSafe(F.col("_mhz")) & F.col("_day").eqNullSafe(F.col("_of")), "left")
     back, ahead = F.coalesce("back", "before"), F.coalesce("ahead", "after")
     nearer = F.when(back.isNull(), ahead).when(ahead.isNull(), back).when(F.col("mjd") - back["mjd"] <= ahead["mjd"] - F.col("mjd"), back).otherwise(ahead)

@@ -322,3 +322,43 @@ def test_boxes_take_the_pixels_at_their_borders(spark):
     got = {(r.source_id, i, j) for r in boxes.collect() for i in range(r.l_lo, r.l_hi + 1) for j in range(r.m_lo, r.m_hi + 1)}
     near = lambda i, c, half: abs(2 * i / 7 - 1 - c) <= half
     assert got == {(s, i, j) for s, dec, _, l0, m0 in centres for i in range(8) for j in range(8) if near(i, l0, radians(20) * cos(radians(dec))) and near(j, m0, radians(15))}
+
+
+def test_donors_of_one_time_and_windows_that_grow_with_the_rows(spark):
+    from skycube.operators import inventory as I
+
+    rows = spark.createDataFrame([(41.0, 5.1, 0.2), (41.0, 5.1, 0.1), (41.0, 5.3, None), (41.0, 5.9, 0.4), (41.0, 5.9, 0.3), (41.0, 7.2, 0.0), (46.0, 5.3, 0.0)], "mhz double, mjd double, bmaj double").coalesce(1)
+    found = I.beam_donors(rows)
+    assert {(r.mhz, r.mjd): r.donor_bmaj for r in found.where("coalesce(bmaj, 0) <= 0").collect()} == {(41.0, 5.3): 0.2, (41.0, 7.2): 0.4, (46.0, 5.3): None}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_a_time_step_is_few_files(spark, tmp_path):
+    from pathlib import Path
+
+    from skycube.sources import store
+
+    tiles = spark.range(320).selectExpr("id div 8 AS time_idx", "id % 8 AS freq_idx", "0L AS pol_idx", "0L AS tile_l", "0L AS tile_m", "0L AS l0", "0L AS m0", "1 AS n_l", "1 AS n_m", "array(cast(id AS float)) AS data").repartition(8)
+    for name, write in (("a", store.append_tiles), ("b", store.append_times)):
+        write(tiles, f"file://{tmp_path}/{name}")
+        assert len(list(Path(tmp_path, name).rglob("*.parquet"))) == 40
+        assert store.open_tiles(spark, f"file://{tmp_path}/{name}").count() == 320
+
+
+def test_a_small_file_is_many_tasks_work(spark):
+    from compare import SMALL
+
+    from skycube.queries import QUERIES
+
+    for name in ("s10_candidates", "s11_detections", "s11_combined_position"):
+        assert QUERIES[name](spark, SMALL).rdd.getNumPartitions() >= 4
+
+
+def test_a_beam_that_is_written_as_zero_is_not_positive(spark, tmp_path):
+    import duckdb
+    from compare import SMALL, sql_rows, table
+
+    from skycube.queries import ORACLES, QUERIES
+
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value END AS value) FROM read_parquet('{SMALL}/events.parquet')) TO '{tmp_path}/events.parquet'")
+    assert table(QUERIES["f7_invalid_beams"](spark, str(tmp_path)).toPandas()) == table(sql_rows(ORACLES["f7_invalid_beams"], str(tmp_path)))
