@@ -30,7 +30,7 @@ def mjd(spark, sf_dir):
     return rounded(e.select("event_id", NM.mjd(F.col("ts")).alias("mjd"), F.date_format("ts", "MM-dd").alias("label")), "mjd", digits=8)
 
 
-@query("f7_invalid_beams", W + "SELECT CASE WHEN beam IS NULL THEN 'BMAJ missing' WHEN beam = '0' THEN 'BMAJ not positive' WHEN beam = 'bad' THEN 'BMAJ not a number' END AS reason, count(*) AS n FROM files JOIN (SELECT event_id, round(value / 1000, 5) AS b FROM events) USING (event_id) WHERE beam IS NULL OR beam <> 'ok' GROUP BY ALL")
+@query("f7_invalid_beams", W + "SELECT CASE WHEN beam IS NULL THEN 'BMAJ missing' WHEN beam = '0' OR beam = 'ok' AND b <= 0 THEN 'BMAJ not positive' WHEN beam = 'bad' THEN 'BMAJ not a number' END AS reason, count(*) AS n FROM files JOIN (SELECT event_id, round(value / 1000, 5) AS b FROM events) USING (event_id) WHERE beam IS NULL OR beam <> 'ok' OR b <= 0 GROUP BY ALL")
 def invalid_beams(spark, sf_dir):
     rows = _files(spark, sf_dir)
     return rows.where(F.col("beam_reason").isNotNull()).groupBy(F.col("beam_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
