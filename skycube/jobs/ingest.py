@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names as NM
 from ..operators import halo
 from ..operators import inventory as I
-from ..sources import cube, fits
+from ..sources import cube, fits, store
 from ..sources.schema import CubeError
 from ..sources.scratch import new_path
 
@@ -169,7 +169,7 @@ def convert(spark: SparkSession, source: str, path: str, tolerance_s: float = 60
     filled = [r["run"] for r in seen if r["planes"]]
     to = reference_grid(cube.planes(spark, path).where(F.col("run") == filled[0]) if filled else fresh)
     tiles = _on_one_grid(fits.read_tiles(spark, fresh.select("path", "size_bytes", "plane", *key), source, tile), fresh, to, tile)
-    tiles.write.partitionBy("time_idx").parquet(f"{path}/tiles/run={run}")
+    store.by_time(tiles).write.partitionBy("time_idx").parquet(f"{path}/tiles/run={run}")
     new = numbers.where("is_new").groupBy("axis", "idx").agg(F.min("value").alias("value"), F.min("label").alias("label"))
     new.select("axis", "idx", "value", "label").coalesce(1).write.parquet(f"{path}/axes/run={run}")
     fresh.select([c.split()[0] for c in cube.PLANES.split(", ")]).write.parquet(f"{path}/planes/run={run}")
