@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
-from .remote import in_ranges, opened, written
+from .remote import SCHEMES, children, in_ranges, opened, scheme_of, written
 from .schema import TILES
+from .scratch import new_path
 
 BLOCK, CARD = 2880, 80
 DTYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -97,11 +101,50 @@ def header_bytes(cards: dict[str, str | float | int | bool]) -> bytes:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.fits") -> DataFrame:
-    """(path, name, size_bytes) of files, content unread. Spark lists no file without bytes."""
+    """(path, name, size_bytes) of files, content unread. Files without bytes are left out, as Spark does.
+
+    Tasks list the folders, level by level, so no listing goes through the driver. Patterns of paths, single files, and
+    paths that tasks can't open are listed by Spark.
+    """
+    if (folder := _folder(spark, path)) and not set(pattern) & set("[]{}^\\"):
+        return _with_name(_listed(spark, folder, pattern)).select("path", "name", "size_bytes")
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"))
 
 
+def _folder(spark: SparkSession, path: str) -> str | None:
+    """The whole name of a folder that tasks can list."""
+    if set(path) & set("*?[]{}\\"):
+        return None
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = system.makeQualified(at).toString()
+    return name.rstrip("/") if scheme_of(name) in SCHEMES and system.exists(at) and system.getFileStatus(at).isDirectory() else None
+
+
+def _listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(path, size_bytes) of the files at or below a folder, dealt to many tasks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top in batch.column(0).to_pylist():
+                found = ((p, n, d) for p, n, d in children(top) if d or n and fnmatchcase(p.rpartition("/")[2], pattern))
+                while some := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), (pa.string(), pa.int64(), pa.bool_()))], names=["path", "size_bytes", "is_folder"])
+
+    kinds, n, files = "path string, size_bytes long, is_folder boolean", int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    level = spark.createDataFrame([(folder,)], "path string")
+    while True:
+        at = new_path(spark, "listed")
+        level.mapInArrow(rows, kinds).write.parquet(at)
+        here = spark.read.schema(kinds).parquet(at)
+        files.append(here.where("NOT is_folder").select("path", "size_bytes"))
+        folders = here.where("is_folder").select("path")
+        if not folders.take(1):
+            return reduce(DataFrame.unionByName, files).repartition(n)
+        level = folders.repartition(n)
+
+
 def units(stream) -> Iterator[tuple[dict[str, str], int]]:
     """Header and begin of the data of each unit of a file, read block by block; data are skipped, not read."""
     begin = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import quote
 
 from pyspark.sql import Column
@@ -35,6 +36,27 @@ def opened(path: str):
     return system.open_input_file(at)
 
 
+def children(folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(path, size, whether it is a folder) of what lies in a folder, but for names that Spark takes no notice of."""
+    from os import scandir
+
+    from pyarrow import fs
+
+    scheme, seen = scheme_of(folder), lambda name: not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+    rest = folder[len(scheme) + 1 :] if folder.startswith(f"{scheme}:") else folder
+    if scheme == "file":
+        # One by one: a folder may hold millions.
+        with scandir("/" + rest.lstrip("/")) as found:
+            for x in found:
+                if seen(x.name):
+                    yield f"{folder}/{x.name}", 0 if x.is_dir() else x.stat().st_size, x.is_dir()
+        return
+    system, at = fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{quote(rest, safe='/@:')}")
+    for x in system.get_file_info(fs.FileSelector(at)):
+        if seen(x.base_name):
+            yield f"{folder}/{x.base_name}", x.size or 0, x.type == fs.FileType.Directory
+
+
 def written(path: str, data: bytes) -> None:
     """Writes a file whole: to another name first, so that a task that is lost leaves no half file under this one."""
     from pyarrow import fs
