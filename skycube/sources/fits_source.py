@@ -3,7 +3,8 @@
 Option ``content`` is ``headers`` (a row for each image of each file) or ``tiles`` (a row for each
 tile of each plane); ``tile`` and ``pattern`` as in ``fits``. Filters on path, name and
 size_bytes are applied to the listing, so a file that they exclude is never opened. Headers are read
-in blocks and tiles in ranges of ``rangeBytes``: a long file is several partitions.
+in blocks and tiles in ranges of ``rangeBytes``: a long file is several partitions, and short files
+share one (``filesPerTask`` at the most).
 
 The listing is the planner's, as for Spark's own file sources. For paths that only Spark can open,
 and for files that a table names, ``fits.read_headers`` and ``fits.read_tiles`` are the way;
@@ -79,7 +80,18 @@ class FitsReader(DataSourceReader):
                 files.append((path, size))
         if not self.tiles:
             return [Range(files[k : k + self.together]) for k in range(0, len(files), self.together)] or [Range([])]
-        return [Range([(path, size)], first, first + self.range_bytes) for path, size in files for first in range(0, max(size, 1), self.range_bytes)] or [Range([])]
+        # A long file is several partitions; short ones share one, up to its bytes.
+        out, some, held = [], [], 0
+        for path, size in files:
+            if size > self.range_bytes:
+                out += [Range([(path, size)], first, first + self.range_bytes) for first in range(0, size, self.range_bytes)]
+                continue
+            if some and (len(some) == self.together or held + size > self.range_bytes):
+                out.append(Range(some))
+                some, held = [], 0
+            some.append((path, size))
+            held += size
+        return out + [Range(some)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         for path, size in partition.files:

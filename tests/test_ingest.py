@@ -166,3 +166,30 @@ def test_planes_on_another_grid_are_taken_to_the_first(spark, tmp_path):
         got[r.time_idx, r.l_idx, r.m_idx] = np.nan if r.flux is None else r.flux
     assert np.allclose(got[0], want) and np.allclose(got[1][np.isfinite(got[1])], want[np.isfinite(got[1])], atol=1e-5)
     assert 20 < np.isfinite(got[1]).sum() < 63
+
+
+def test_folders_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """Deep folders, names that Spark skips, empty files; no reader of Spark's lists on the driver, and the files are many tasks' work."""
+    from skycube.sources import fits
+
+    for name in ("a.fits", "x y/b%20.fits", "x y/deep/c.fits", "_hidden/d.fits", ".e.fits", "k=1/f.fits", "g.txt"):
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"12345")
+    (tmp_path / "empty.fits").write_bytes(b"")
+    by_spark = spark.read.format("binaryFile").option("pathGlobFilter", "*.fits").option("recursiveFileLookup", "true").load(str(tmp_path))
+    want = sorted((r.path, r.length) for r in by_spark.select("path", "length").collect())
+    found = fits.list_files(spark, str(tmp_path))
+    assert sorted((r.path, r.size_bytes) for r in found.collect()) == want and len(want) == 4
+    assert found.rdd.getNumPartitions() == 4 and "binaryfile" not in found._jdf.queryExecution().toString().lower()
+    assert fits.list_files(spark, str(tmp_path / "a.fits")).count() == 1
+
+
+def test_short_files_share_a_partition(tmp_path):
+    from skycube.sources.fits_source import FitsReader
+
+    for k in range(600):
+        (tmp_path / f"{k}.fits").write_bytes(b"x" * (300 if k == 7 else 10))
+    parts = FitsReader({"path": str(tmp_path), "content": "tiles", "rangebytes": "100"}).partitions()
+    assert len(parts) < 70 and sum(len(p.files) for p in parts if p.last is None) == 599
+    assert [(p.first, p.last) for p in parts if p.last] == [(0, 100), (100, 200), (200, 300)]
