@@ -24,8 +24,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group stays that fingerprints of 3-word shingles, or sets of 5-word shingles, link."""
+    return simhash.drop_near_texts(docs)
 
 
 def drop_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,11 +11,12 @@ whole distance. A bucket of more than ``max_bucket`` fingerprints is not joined
 its members meet at hubs instead, which costs the same for each member whatever the bucket's
 size and finds the same components.
 
-``near_copies``, which the pipeline's stage takes, asks more: texts link when the Jaccard
-similarity of their sets of five-word shingles is 0.8 or more, which fingerprints of 64 bits
-cannot tell. Candidates share one of 32 bands of five minima (at similarity 0.8 a pair is missed
+The pipeline's stage takes these links (``drop_near_texts``). To them come those that fingerprints of 64 bits
+cannot tell (``near_copies``): texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. Candidates share one of 32 bands of five minima (at similarity 0.8 a pair is missed
 with probability (1 - 0.8^5)^32 = 3e-6, less above); the exact similarity of the sets decides. Members of
-a bucket meet its hub, then those that differ from it alike each other, which loses no pair.
+a bucket meet its hub, then those that differ from it alike each other, which loses no pair. Components are
+those of both kinds of links together.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link
 like any other. Equal fingerprints are one node, so a group of copies costs one row. Null
@@ -40,6 +41,7 @@ from .shared import components, fresh, map_texts, stored
 BITS = 64
 CHUNK = 1 << 15
 BANDS, ROWS = 32, 5
+SIM_WORDS, SIM_SEED, SIM_TAU = 3, 42, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -76,7 +78,7 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
     return np.packbits((2 * counts > n[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIM_WORDS, seed: int = SIM_SEED) -> DataFrame:
     """(doc_id, h, fp): h is a hash of the text that tells rows with one doc_id apart."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +197,7 @@ def _around(i: int, key: Column, flips: list[int]) -> Column:
     return F.transform(_longs(flips), lambda f: F.struct(F.lit(i).alias("g"), key.bitwiseXOR(f).alias("key")))
 
 
-def links(fps: DataFrame, tau: int = 3, max_bucket: int = 4096, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
+def links(fps: DataFrame, tau: int = SIM_TAU, max_bucket: int = 4096, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
     """(u, v): pairs of different fingerprints that lie in one component, whose components are those of all links.
 
     Outside hot buckets these are the links themselves. ``fps`` should be a stored table of
@@ -249,7 +251,7 @@ def _named(marked: DataFrame, found: DataFrame) -> DataFrame:
     return marked.join(ids, "fp").select("doc_id", "h", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, tau: int = 3, seed: int = 42, max_bucket: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SIM_WORDS, tau: int = SIM_TAU, seed: int = SIM_SEED, max_bucket: int = 4096) -> DataFrame:
     """(doc_id, h, fp, component_id) of every row."""
     marked = stored(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     fps = stored(marked.select("fp").distinct(), "distinct")
@@ -264,7 +266,10 @@ def minima(sets: list[np.ndarray], flip: np.ndarray, odd: np.ndarray) -> np.ndar
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
-    """(doc_id, h, fp, n, bands): fp hashes the set of shingles, n is its size, bands has the keys of its bands, none for an empty set."""
+    """(doc_id, h, fp, n, bands, sim): fp hashes the set of shingles, n is its size, bands has the keys of its bands, none for an empty set.
+
+    sim is the fingerprint that ``fingerprints`` gives the text by itself.
+    """
     random = np.random.default_rng(seed)
     flip, odd = (random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
     mix = random.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
@@ -279,9 +284,15 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, seed:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            fps, sizes, bands, held, size = [], [], [], [], 0
+            fps, sizes, bands, held, size, sims, short, n_short = [], [], [], [], 0, [], [], 0
             for text in batch.column(2).cast(pa.binary()):
-                held.append(np.unique(shingle_hashes(text.as_py() or b"", words, seed)))
+                text = text.as_py() or b""
+                short.append(shingle_hashes(text, SIM_WORDS, SIM_SEED))
+                n_short += len(short[-1])
+                if n_short > 1 << 16:
+                    sims.append(majority(short))
+                    short, n_short = [], 0
+                held.append(np.unique(shingle_hashes(text, words, seed)))
                 fps.append(xxh64_intdigest(held[-1].tobytes(), seed))
                 sizes.append(len(held[-1]))
                 size += sizes[-1]
@@ -289,13 +300,14 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, seed:
                     bands += keys(held)
                     held, size = [], 0
             bands += keys(held)
+            sims = pa.array(np.concatenate([*sims, majority(short)]).view(np.int64))
             fps = pa.array(np.array(fps, np.uint64).view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, bands)]).astype(np.int32))
             flat = pa.array(np.concatenate([*bands, np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "h", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat), sims], names=["doc_id", "h", "fp", "n", "bands", "sim"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    return map_texts(texts, rows, "doc_id long, h long, fp long, n long, bands array<long>")
+    return map_texts(texts, rows, "doc_id long, h long, fp long, n long, bands array<long>, sim long")
 
 
 def _members(fps: DataFrame, words: int, seed: int) -> DataFrame:
@@ -408,12 +420,31 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _named(marked.select("doc_id", "h", "fp"), set_links(marked, docs, id_col, text_col, words, similar, seed))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component of near copies: the smallest doc_id, of rows with one doc_id the smallest text hash.
+def fingerprint_links(marked: DataFrame) -> DataFrame:
+    """(u, v): pairs of sets (fp) that connect just what the links of their texts' fingerprints (sim) connect.
+
+    A fingerprint's least set speaks for all sets that have it. ``marked``: fp, sim; stored.
+    """
+    of = stored(marked.select("sim", "fp").distinct(), "sims")
+    least = stored(of.groupBy("sim").agg(F.min("fp").alias("fp")), "distinct")
+    same = of.join(least.toDF("sim", "u"), "sim").where("u <> fp").select("u", F.col("fp").alias("v"))
+    near = links(least.select(F.col("sim").alias("fp")))
+    near = near.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return same.unionByName(near)
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, seed: int = 42) -> DataFrame:
+    """(doc_id, h, fp, component_id) of every row, by links of fingerprints (``near_duplicates``) and of similar sets (``near_copies``) together."""
+    marked = stored(shingle_sets(docs, id_col, text_col, words, seed), "signatures")
+    found = fingerprint_links(marked).unionByName(set_links(marked, docs, id_col, text_col, words, similar, seed))
+    return _named(marked.select("doc_id", "h", "fp"), found)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component of ``found``, a stored table (doc_id, h, fp, component_id): the smallest doc_id, of rows with one doc_id the smallest text hash.
 
     Columns and rows that stay are as they were.
     """
-    found = stored(near_copies(docs, id_col, text_col, **options), "components")
     rank = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h", "fp")
     # A component of null doc_ids has no number; its fingerprints' rows then stand for themselves.
     group = [F.coalesce("component_id", "fp"), F.col("component_id").isNull()]
@@ -428,6 +459,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return left.select(docs.columns)
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component of near copies."""
+    return keep_first(docs, stored(near_copies(docs, id_col, text_col, **options), "components"), id_col, text_col)
+
+
+def drop_near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component of near texts: by fingerprints and by similar sets together."""
+    return keep_first(docs, stored(near_texts(docs, id_col, text_col, **options), "components"), id_col, text_col)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -42,6 +42,34 @@ def test_near_copies_by_exact_similarity(spark):
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(df).collect()) == sorted(set(least))
 
 
+def test_the_pipeline_links_fingerprints_and_sets(spark):
+    """The pipeline's stage leaves one text of each component of both kinds of links, also where the sets are less alike than 0.8."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows = []
+    for _ in range(200):
+        text = [word() for _ in range(60)]
+        rows.append(" ".join(text))
+        for changes in (1, 2):
+            at = r.sample(range(60), changes)
+            rows.append(" ".join(word() if i in at else w for i, w in enumerate(text)))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sims = {x.doc_id: x.fp & (1 << 64) - 1 for x in simhash.fingerprints(df).collect()}
+    sets = [shingles(t) for t in rows]
+    group, kinds = list(range(len(rows))), Counter()
+    for i in range(len(rows)):
+        for j in range(i):
+            near, alike = (sims[i] ^ sims[j]).bit_count() <= 3, len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+            kinds[near, alike] += 1
+            if near or alike:
+                group = [group[j] if g == group[i] else g for g in group]
+    assert kinds[True, False] > 2 and kinds[False, True] > 2, kinds
+    left = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted(x.doc_id for x in left) == sorted({min(i for i in range(len(rows)) if group[i] == g) for g in group})
+
+
 def test_pages_of_one_frame_meet_no_more_than_their_number(spark, monkeypatch):
     """Pages that share most words but not 0.8 of their shingles, and near copies among them: rows that are stored grow as the pages, and no pair is lost."""
     sizes, whole = {}, simhash.stored
