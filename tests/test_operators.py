@@ -13,6 +13,7 @@ from skycube.operators import patchfit as H
 from skycube.operators import quality as Q
 from skycube.operators import reduce as R
 from skycube.operators import select as P
+from skycube.operators import tracking as T
 from skycube.operators import windows as W
 from skycube.sources import fits, schema, store, tables
 
@@ -362,3 +363,13 @@ def test_a_beam_that_is_written_as_zero_is_not_positive(spark, tmp_path):
 
     duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE value END AS value) FROM read_parquet('{SMALL}/events.parquet')) TO '{tmp_path}/events.parquet'")
     assert table(QUERIES["f7_invalid_beams"](spark, str(tmp_path)).toPandas()) == table(sql_rows(ORACLES["f7_invalid_beams"], str(tmp_path)))
+
+
+def test_sources_are_told_apart_after_planes(spark):
+    """The last step gives a row to each source, so nothing is read from arrays for each of them."""
+    tracked = spark.createDataFrame([([1, 2, 3], 0, 0, 0, True)], "source_ids array<long>, time_idx long, l_idx long, m_idx long, visible boolean")
+    values = spark.createDataFrame([(0, 0, 0, f, 0, 1.0) for f in range(4)], "time_idx long, l_idx long, m_idx long, freq_idx long, pol_idx long, value double")
+    rows = T.spread(tracked, values)
+    assert sorted((r.source_id, r.freq_idx) for r in rows.collect()) == [(s, f) for s in (1, 2, 3) for f in range(4)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(source_ids") < plan.index("explode(found")
