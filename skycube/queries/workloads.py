@@ -94,7 +94,7 @@ def _places(spark, sf_dir):
     """Tiles of vectors that are dealt to many tasks, the places that sources are seen at, and the times."""
     times = views.axis(spark, sf_dir, "time_idx")
     tiles = views.tiles(spark, sf_dir, vectors=views.dealt(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")))
-    return tiles, T.places(T.track(views.sources(spark, sf_dir), times, 8, 8, together=True)), times
+    return tiles, T.places_of(views.sources(spark, sf_dir), times, 8, 8), times
 
 
 @query(
