@@ -142,5 +142,5 @@ def beam_tables(spark, sf_dir):
     heads = fits.read_headers(spark, folder).select("path", h["NAXIS3"].cast("int").alias("n_chan"), number("CRVAL3").alias("crval"), number("CRPIX3").alias("crpix"), number("CDELT3").alias("cdelt"), number("PART").cast("long").alias("part"))
     # channel_planes takes widths in arcsec.
     beams = fits_tables.read_tables(spark, heads, "BEAMS", "BMAJ double, BMIN double, CHAN int, POL int").select("path", F.col("CHAN").alias("chan"), F.col("POL").cast("long").alias("pol"), F.col("BMAJ").alias("bmaj"), F.col("BMIN").alias("bmin"))
-    found = fits.channel_planes(heads.drop("part"), beams).join(heads.select("path", "part"), "path").drop("path").withColumn("chan", F.col("chan").cast("long"))
+    found = fits.channel_planes(heads, beams).drop("path").withColumn("chan", F.col("chan").cast("long"))
     return rounded(found, "bmaj", "bmin", digits=9)

@@ -390,8 +390,10 @@ def export_planes(tiles: DataFrame, n_l: int, n_m: int, header: dict[str, str |
 def channel_planes(cube_header: DataFrame, beams: DataFrame) -> DataFrame:
     """One row for each channel of spectral cubes: frequency CRVAL + (chan + 1 - CRPIX) CDELT, its beam in degrees.
 
-    ``cube_header``: path, n_chan, crval, crpix, cdelt; ``beams``: path, chan, pol, bmaj, bmin in arcsec.
+    ``cube_header``: path, n_chan, crval, crpix, cdelt, and columns that stay; ``beams``: path, chan, pol, bmaj, bmin in arcsec.
+    Both may come from files, whose list says little of what is in them, so neither is broadcast, small as it may look to Spark.
     """
+    more = [c for c in cube_header.columns if c not in ("path", "n_chan", "crval", "crpix", "cdelt")]
     rows = cube_header.select("*", F.explode(F.sequence(F.lit(0), F.col("n_chan") - 1)).alias("chan"))
     freq = F.col("crval") + (F.col("chan") + 1 - F.col("crpix")) * F.col("cdelt")
-    return rows.withColumn("freq_hz", freq).join(beams.withColumns({"bmaj": F.col("bmaj") / 3600, "bmin": F.col("bmin") / 3600}), ["path", "chan"], "left").select("path", "chan", "pol", "freq_hz", "bmaj", "bmin")
+    return rows.withColumn("freq_hz", freq).hint("merge").join(beams.withColumns({"bmaj": F.col("bmaj") / 3600, "bmin": F.col("bmin") / 3600}), ["path", "chan"], "left").select("path", "chan", "pol", "freq_hz", "bmaj", "bmin", *more)

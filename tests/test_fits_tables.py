@@ -58,3 +58,14 @@ def test_units_behind_a_heap_are_found(spark, tmp_path):
     found = fits_tables.read_tables(spark, files, "FIRST", "X array<int>").orderBy("row").collect()
     assert [r.X for r in found] == heap
     assert [h["NAXIS"] for h, _ in fits.image_units(io.BytesIO(data))] == ["4"]
+
+
+def test_beams_of_many_files_are_not_sent_to_all_tasks(spark):
+    """A list of files says little of how much is in them, so Spark's check of sizes would send the beams of a million files to the driver."""
+    from compare import SMALL
+
+    from skycube.queries import QUERIES
+
+    for name in ("s12_beam_tables", "s12_channel_planes"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
