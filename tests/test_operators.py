@@ -373,3 +373,35 @@ def test_sources_are_told_apart_after_planes(spark):
     assert sorted((r.source_id, r.freq_idx) for r in rows.collect()) == [(s, f) for s in (1, 2, 3) for f in range(4)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(source_ids") < plan.index("explode(found")
+
+
+def test_sources_meet_values_by_blocks(spark, monkeypatch):
+    """Every source, time and plane, some sources to a position, more positions than a block holds, hidden ones and some without a position."""
+    rows = [(k, 7.0 * (k % 50), 5.0 * (k % 17) - 30) for k in range(900)] + [(900, None, 10.0), (None, 14.0, -20.0)]
+    sources = spark.createDataFrame(rows, "source_id long, ra_deg double, dec_deg double")
+    times = spark.createDataFrame([(t, 60000 + 0.05 * t) for t in range(6)], "time_idx long, mjd double")
+    tiles = spark.createDataFrame([(t, f, p, a, b, 4 * a, 4 * b, 4, 4, [float(t + f + p + a + b + i) for i in range(16)]) for t in range(5) for f in (0, 1) for p in (0, 1) if t + f + p != 3 for a in (0, 1) for b in (0, 1)], "time_idx long, freq_idx long, pol_idx long, tile_l long, tile_m long, l0 long, m0 long, n_l int, n_m int, data array<float>")
+    tracked = T.track(sources, times, 8, 8)
+    plain = lambda df: sorted(df.collect(), key=str)
+    monkeypatch.setattr(T, "BLOCK", 100)
+    channels = T.channels_of(tiles)
+    names = ["source_id", "time_idx", "freq_idx", "pol_idx", "visible", "flux"]
+    got = T.follow(sources, times, 8, 8, T.pixels_of(tiles, 4), channels=channels).select(*names)
+    assert plain(got) == plain(T.along(tracked, tiles, 4).select(*names)) and got.count() == 902 * 6 * 4
+    got = T.follow(sources, times, 8, 8, T.pixels_of(tiles, 4)).select(*names)
+    assert plain(got) == plain(T.spread(tracked, T.pixels_of(tiles, 4)(T.places(tracked))).select(*names))
+
+
+def test_no_shuffle_has_the_sources_of_each_time(spark):
+    """What is shuffled with a source's number does not grow with the times."""
+    import re
+
+    from compare import SMALL
+
+    from skycube.queries import QUERIES
+
+    for name in ("e1_light_curve", "f10_spectral_index_at", "a27_coverage_report", "j1_tile_lookup", "p6_sky_boxes"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        # Numbers are gathered and dealt to parts, and meet a block's times by the block, not by time and place.
+        joins = [x for x in plan.splitlines() if re.search(r"\bJoin Inner\b", x) and "block" in x and "part" in x]
+        assert joins and all("time_idx" not in x.split("strategy")[0].split(">")[0] for x in joins), name
